@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
-from codexflow.functions.text import first_match, first_of, strip
+from codexflow.functions.text import first_match, first_of, not_empty, strip
 
 
 def resolution_number(text: Column) -> Column:
@@ -97,7 +97,7 @@ def page_of(text: Column) -> Column:
 
 
 def trim_article(number: Column) -> Column:
-    return F.nullif(F.rtrim(number, F.lit(".")), F.lit(""))
+    return not_empty(F.rtrim(number, F.lit(".")))
 
 
 def article_of(text: Column) -> Column:

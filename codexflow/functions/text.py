@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
+from codexflow.functions.arrays import empty, let
 
 ColumnFn = Callable[[Column], Column]
 
@@ -31,10 +32,39 @@ def drop_all(text: Column, *patterns: str) -> Column:
     return reduce(lambda acc, p: sub(acc, p, "", "iU"), patterns, text)
 
 
+def when_any(text: Column, needles: tuple[str, ...], then: ColumnFn, fold: bool = False) -> Column:
+    """Apply ``then`` only where one of the literal needles occurs.
+
+    A byte search costs far less than the regex it spares. The text is bound
+    once, so chained rules do not multiply the expression.
+    """
+    def found(probe):
+        return reduce(lambda a, b: a | b, [F.contains(probe, F.lit(n)) for n in needles])
+
+    def body(t):
+        return F.when(let(F.lower(t), found) if fold else found(t), then(t)).otherwise(t)
+
+    return let(text, body)
+
+
+def drop_rules(text: Column) -> Column:
+    return when_any(text, ("____", "----"), lambda t: sub(t, V.NOISE_RULES, ""))
+
+
+def drop_page_furniture(text: Column, *patterns: str) -> Column:
+    """Headers, footers and ruled lines. Every footer pattern needs one of two words."""
+    return drop_rules(when_any(text, ("departamento", "decreto"), lambda t: drop_all(t, *patterns), fold=True))
+
+
 def first_match(text: Column, pattern: str, group: int, flags: str = "") -> Column:
     """First match of a group, NULL when there is none."""
     rx = f"(?{flags}){pattern}" if flags else pattern
-    return F.nullif(F.regexp_extract(text, rx, group), F.lit(""))
+    return not_empty(F.regexp_extract(text, rx, group))
+
+
+def not_empty(value: Column) -> Column:
+    """NULL for ''; the value is computed once."""
+    return let(value, lambda v: F.when(v != "", v))
 
 
 def first_of(text: Column, patterns: list[str], group: int, flags: str = "iU") -> Column:
@@ -69,31 +99,41 @@ def inject_headings(text: Column, headings=tuple(V.SECTION_HEADINGS), compat: bo
     Default: only at the start of a line, so prose and already marked headings
     are left alone. ``compat`` marks every occurrence.
     """
-    for word, marks in headings:
-        if compat:
-            text = sub(text, word, f"{marks} {word}", "iU")
-        else:
-            text = sub(text, rf"^{word}", f"{marks} {word}", "iUm")
-    return text
+    def mark_all(t):
+        for word, marks in headings:
+            pattern, flags = (word, "iU") if compat else (rf"^{word}", "iUm")
+            t = sub(t, pattern, f"{marks} {word}", flags)
+        return t
+
+    return when_any(text, tuple(w.lower() for w, _ in headings), mark_all, fold=True)
 
 
 def strip_noise(text: Column, compat: bool = False) -> Column:
     decree = V.NOISE_DECREE_GREEDY if compat else V.NOISE_DECREE_LINE
-    return drop_all(text, V.NOISE_AGENCY, decree, V.NOISE_GAZETTE, V.NOISE_RULES)
+    known = ("departamento", "decreto", "diario")
+    patterns = (V.NOISE_AGENCY, decree, V.NOISE_GAZETTE)
+    return drop_rules(when_any(text, known, lambda t: drop_all(t, *patterns), fold=True))
 
 
 def normalize_units(text: Column, compat: bool = False) -> Column:
     for unit in ("m³", "L/s"):
-        if compat:
-            text = sub(text, rf"(\d+)\.?(\d*)\s*{unit}", f"$1.$2 {unit}", "U")
-        else:
-            text = sub(text, rf"(\d+(?:\.\d+)?)\.?\s*{unit}", f"$1 {unit}", "U")
+        pattern, value = (r"(\d+)\.?(\d*)", "$1.$2") if compat else (r"(\d+(?:\.\d+)?)\.?", "$1")
+        text = when_any(text, (unit,), _unit_rule(rf"{pattern}\s*{unit}", f"{value} {unit}"))
     return text
 
 
+def _unit_rule(pattern: str, replacement: str) -> ColumnFn:
+    return lambda t: sub(t, pattern, replacement, "U")
+
+
 def collapse_blank(text: Column, newlines: str = "\n\n\n") -> Column:
     """Runs of four or more newlines shrink, runs of spaces become one."""
-    return strip(sub(sub(text, r"\n{4,}", newlines), r" +", " "))
+    text = when_any(text, ("\n\n\n\n",), lambda t: sub(t, r"\n{4,}", newlines))
+    return strip(squeeze_spaces(text))
+
+
+def squeeze_spaces(text: Column) -> Column:
+    return when_any(text, ("  ",), lambda t: sub(t, r" {2,}", " "))
 
 
 def clean_legal(text: Column, compat: bool = False) -> Column:
@@ -102,8 +142,8 @@ def clean_legal(text: Column, compat: bool = False) -> Column:
     ``compat`` flattens the text through the OCR profile first, as the original
     behaviour does.
     """
-    text = clean_ocr(text) if compat else sub(dot_decimals(text), r"[ \t]+", " ")
-    text = normalize_resolution_number(text)
+    text = clean_ocr(text) if compat else squeeze_spaces(when_any(dot_decimals(text), ("\t",), lambda t: F.translate(t, "\t", " ")))
+    text = when_any(text, ("resoluci",), normalize_resolution_number, fold=True)
     text = inject_headings(text, compat=compat)
     text = strip_noise(text, compat)
     return collapse_blank(normalize_units(text, compat))
@@ -162,22 +202,22 @@ def clean_by_profile(text: Column, profile: Column) -> Column:
 # --------------------------------------------------------- source cleaners
 
 def clean_loader(text: Column) -> Column:
-    return collapse_blank(drop_all(text, V.NOISE_AGENCY, V.NOISE_DECREE_FOOTER, V.NOISE_RULES))
+    return collapse_blank(drop_page_furniture(text, V.NOISE_AGENCY, V.NOISE_DECREE_FOOTER))
 
 
 def clean_markdown(text: Column) -> Column:
-    return collapse_blank(drop_all(text, V.NOISE_DECREE_LOOSE, V.NOISE_AGENCY_LOOSE, V.NOISE_RULES))
+    return collapse_blank(drop_page_furniture(text, V.NOISE_DECREE_LOOSE, V.NOISE_AGENCY_LOOSE))
 
 
 def clean_page(text: Column) -> Column:
     """Remove page furniture, then blank lines."""
-    text = drop_all(F.coalesce(text, F.lit("")), V.NOISE_DECREE_LOOSE, V.NOISE_AGENCY_LOOSE, V.NOISE_RULES)
+    text = drop_page_furniture(F.coalesce(text, F.lit("")), V.NOISE_DECREE_LOOSE, V.NOISE_AGENCY_LOOSE)
     lines = F.filter(F.split(text, "\n"), lambda line: strip(line) != "")
     return strip(F.array_join(lines, "\n"))
 
 
 def clean_basic(text: Column) -> Column:
-    text = drop_all(text, V.NOISE_AGENCY, V.NOISE_DECREE_FOOTER, V.NOISE_RULES)
+    text = drop_page_furniture(text, V.NOISE_AGENCY, V.NOISE_DECREE_FOOTER)
     return collapse_blank(sub(text, V.NOISE_PAGE_MARK, "", "U"), "\n\n")
 
 
@@ -205,7 +245,7 @@ def rows_to_markdown_table(rows: Column) -> Column:
         cells = F.transform(row, lambda c: F.coalesce(c, F.lit("")))
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n"))
 
-    header = F.get(rows, F.lit(0))
+    header = F.try_element_at(rows, F.lit(1))
     rule = F.transform(header, lambda _: F.lit("---"))
     body = F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), render), "")
     return F.when(F.size(header) > 0, F.concat(render(header), render(rule), body))
@@ -217,21 +257,22 @@ def join_broken_paragraphs(text: Column) -> Column:
     One ordered pass over the paragraph array of the row: a joined pair is
     consumed whole, so its second half never opens another join.
     """
-    parts = F.transform(F.split(text, r"\n\n+"), strip)
+    return let(F.transform(F.split(text, r"\n\n+"), strip), _join_paragraphs)
+
 
+def _join_paragraphs(parts: Column) -> Column:
     def mark(p, i):
         nxt = F.get(parts, i + 1)
-        is_open = ~F.contains(F.lit(V.CLOSING_CHARS), F.right(p, F.lit(1))) & (p != "")
         # an empty paragraph has no last character, which counts as closed
+        is_open = ~F.contains(F.lit(V.CLOSING_CHARS), F.right(p, F.lit(1))) & (p != "")
         follows = (nxt != "") & ~F.rlike(nxt, F.lit(f"(?iU){V.PARAGRAPH_STARTS}"))
         return F.struct(p.alias("p"), F.coalesce(is_open & follows, F.lit(False)).alias("joins"))
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
+    start = F.struct(empty("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
 
     def step(acc, x):
-        emit = F.when(acc["held"].isNotNull(), F.concat(acc["held"], F.lit(" "), x["p"])).otherwise(x["p"])
         hold = acc["held"].isNull() & x["joins"]
+        emit = F.coalesce(F.concat(acc["held"], F.lit(" "), x["p"]), x["p"])
         return F.struct(
             F.when(hold, acc["out"]).otherwise(F.concat(acc["out"], F.array(emit))).alias("out"),
             F.when(hold, x["p"]).alias("held"))
@@ -250,7 +291,7 @@ def format_answer(text: Column) -> Column:
     text = sub(text, r"\s*(P[AÁ]R[AÁ]GRAFO\s*\d+\.?\s*)", "\n\n$1", "iU")
     text = sub(text, r"\s*(\(Decreto\s+\d+\s+de\s+\d+[\s\S]*?\))", "\n\n$1", "U")
     text = sub(text, r"\s*(\(Par[aá]grafo\s+adicionado[\s\S]*?\))", "\n$1", "iU")
-    return strip(sub(sub(text, r"\n{3,}", "\n\n"), r" +", " "))
+    return strip(squeeze_spaces(sub(text, r"\n{3,}", "\n\n")))
 
 
 # ------------------------------------------------------------------- small
@@ -261,9 +302,12 @@ def strip_code_fence(text: Column) -> Column:
 
 def strip_front_matter(text: Column) -> Column:
     """Drop a leading ``---`` block that closes with a line of ``---``."""
-    end = F.locate("\n---\n", text, 4)
-    body = strip(F.substring(text, end + 5, F.length(text)))
-    return F.when(F.startswith(text, F.lit("---")) & (end > 0), body).otherwise(text)
+    def body(t):
+        end = F.locate("\n---\n", t, 4)
+        rest = strip(F.substring(t, end + 5, F.length(t)))
+        return F.when(F.startswith(t, F.lit("---")) & (end > 0), rest).otherwise(t)
+
+    return let(text, body)
 
 
 def sanitize_name(stem: Column) -> Column:
