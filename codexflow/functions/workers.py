@@ -5,6 +5,7 @@ The module is pickled by value, so executors need no copy of this package.
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
@@ -65,3 +66,61 @@ def batch_splitter(separators: list[str], size: int, overlap: int):
             None if t is None else split_text(t, separators, size, overlap) for t in row])
 
     return split
+
+
+def block_topk(qids, qvecs, ids, vecs, k: int, digits: int) -> pd.DataFrame:
+    """Best k of this block for each question; ties go to the smaller id."""
+    scores = np.round(np.asarray(vecs, dtype=np.float64) @ np.asarray(qvecs, dtype=np.float64).T, digits) + 0.0
+    ids, frames = np.asarray(ids), []
+    for column, qid in enumerate(qids):
+        s = scores[:, column]
+        if len(s) > k:
+            cut = np.partition(s, len(s) - k)[len(s) - k]
+            keep = np.flatnonzero(s >= cut)
+        else:
+            keep = np.arange(len(s))
+        keep = keep[np.lexsort((ids[keep], -s[keep]))[:k]]
+        frames.append(pd.DataFrame({"qid": qid, "id": ids[keep], "score": s[keep]}))
+    return pd.concat(frames) if frames else pd.DataFrame({"qid": [], "id": [], "score": []})
+
+
+def scan_topk(queries: dict, k: int, digits: int, batch_rows: int = 16_384):
+    """mapInPandas body: ``queries`` maps a key to (qids, vectors); corpus rows
+    meet only the questions with their own key."""
+    def best(pdf):
+        found = []
+        for key, group in pdf.groupby("key", sort=False):
+            if key in queries:
+                qids, qvecs = queries[key]
+                found.append(block_topk(qids, qvecs, group["id"].to_numpy(), np.stack(group["vec"].to_numpy()), k, digits))
+        return pd.concat(found) if found else None
+
+    def reduce(frames):
+        rows = pd.concat(frames).sort_values(["qid", "score", "id"], ascending=[True, False, True])
+        return rows.groupby("qid", sort=False).head(k)
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_rows):
+                found = best(pdf.iloc[start:start + batch_rows])
+                if found is not None:
+                    held = found if held is None else reduce([held, found])
+        if held is not None and len(held):
+            yield held.astype({"qid": "int64", "id": "int64", "score": "float64"})
+
+    return run
+
+
+def join_topk(k: int, digits: int):
+    """applyInPandas body for one (corpus block, question block) pair."""
+    def run(corpus, queries):
+        if not len(corpus) or not len(queries):
+            return pd.DataFrame({"qid": [], "id": [], "score": []}).astype(
+                {"qid": "int64", "id": "int64", "score": "float64"})
+        out = block_topk(
+            queries["qid"].to_numpy(), np.stack(queries["qvec"].to_numpy()),
+            corpus["id"].to_numpy(), np.stack(corpus["vec"].to_numpy()), k, digits)
+        return out.astype({"qid": "int64", "id": "int64", "score": "float64"})
+
+    return run

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -24,25 +24,23 @@ def count(spark: SparkSession, path: str, collection: str) -> int:
         return 0
 
 
-def with_batch_id(df: DataFrame, order: str, batch_size: int) -> DataFrame:
-    """Number rows in ``order`` and cut them into batches of ``batch_size``.
+def with_batch_id(df: DataFrame, order: str, batch_size: int, width: int = 1_000_000) -> DataFrame:
+    """Number rows by a unique integer key and cut them into batches.
 
-    A global row_number would send every row to one task. Instead rows are
-    range-partitioned by the order key, each partition counts its rows, and the
-    running total of those few counts (one per partition) gives each partition
-    its offset.
+    A global row_number would send every row to one task. Rows are numbered
+    inside key ranges of ``width`` instead, and each range starts after the rows
+    counted in the ranges before it; only those counts, one row per range, go
+    through a single task.
     """
-    from pyspark.sql import Window
-
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    position = F.col("_before") + F.col("_n") - 1
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_size")).select(
+        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
     return (
-        local.join(F.broadcast(offsets), "_p")  # one row per partition
-        .withColumn("batch_id", F.floor(position / batch_size)).drop("_p", "_n", "_before"))
+        ranged.withColumn("_n", number).join(offsets, "_range")
+        .withColumn("batch_id", F.floor((F.col("_before") + F.col("_n")) / batch_size))
+        .drop("_range", "_n", "_before"))
 
 
 def register_case(df: DataFrame, name: str) -> None:
