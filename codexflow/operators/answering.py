@@ -177,18 +177,16 @@ def select_context(span: Column, full_text: Column, limit: int = V.CONTEXT_CHARS
     return F.coalesce(span, F.substring(full_text, 1, limit))
 
 
-def context_window(chunks: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
-    """Each chunk with its neighbours in the same document.
+def context_window(df: DataFrame, chunks: str = "chunks", before: int = 2, after: int = 2) -> DataFrame:
+    """Add to each chunk of the array the text of its neighbours in the document.
 
-    The frame holds five rows, so a very long document costs no memory; its
-    chunks are joined by neighbour number, not gathered in one task.
+    The neighbours are in the same row, so nothing is shuffled.
     """
-    reach = F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("step")
-    targets = chunks.select("doc_id", "chunk_index", "content", reach).select(
-        "doc_id", (F.col("chunk_index") + F.col("step")).alias("chunk_index"), (-F.col("step")).alias("step"),
-        F.col("content").alias("near"))
-    own = chunks.select("doc_id", "chunk_index")
-    near = F.array_sort(F.collect_list(F.struct("step", "near")))
-    return (
-        targets.join(own, ["doc_id", "chunk_index"]).groupBy("doc_id", "chunk_index")
-        .agg(F.array_join(F.transform(near, lambda n: n["near"]), "\n").alias("window")))
+    texts = F.transform(chunks, lambda c: c["content"])
+
+    def around(c, i):
+        start = F.greatest(i - before, F.lit(0))
+        near = F.slice("_texts", start + 1, i + after - start + 1)
+        return F.struct(c["content"].alias("content"), F.array_join(near, "\n").alias("window"))
+
+    return df.withColumn("_texts", texts).withColumn(chunks, F.transform(chunks, around)).drop("_texts")

@@ -56,7 +56,7 @@ def recursive_splitter(separators: list[str], size: int, overlap: int) -> Splitt
 
 
 def fixed_splitter(size: int, overlap: int) -> Splitter:
-    return lambda texts: F.transform(texts, lambda t: split_fixed(t, size, overlap))
+    return lambda texts: F.transform(texts, lambda t: F.when(t.isNotNull(), split_fixed(t, size, overlap)))
 
 
 # ---------------------------------------------------------- header sections
@@ -155,13 +155,18 @@ def with_adaptive_chunks(
     return sections.withColumn("chunks", _subchunks(F.col("_sections"), size, splitter)).drop("_sections")
 
 
-def explode_chunks(df: DataFrame, chunks: str = "chunks") -> DataFrame:
-    """One row per chunk with a document-wide, 0-based chunk_index."""
+def explode_chunks(df: DataFrame, chunks: str = "chunks", keep_empty: bool = False) -> DataFrame:
+    """One row per chunk with a document-wide, 0-based chunk_index.
+
+    ``keep_empty`` keeps a document without chunks as one row of NULLs.
+    """
     keep = [c for c in df.columns if c != chunks]
     # the outer form spares the size filter that Spark infers for a plain explode,
     # which would compute the whole array a second time below the projection
     rows = df.select(*keep, F.posexplode_outer(chunks).alias("chunk_index", "_c"))
-    return rows.filter("_c IS NOT NULL").select(*keep, "chunk_index", "_c.*")
+    if not keep_empty:
+        rows = rows.filter("_c IS NOT NULL")
+    return rows.select(*keep, "chunk_index", "_c.*")
 
 
 def chunk_adaptive(

@@ -17,18 +17,17 @@ def extract_metadata(df: DataFrame, text: str = "text", path: str | None = None)
     return out
 
 
-def enrich_chunks(df: DataFrame, chunks: str = "chunks") -> DataFrame:
+def enrich_chunks(df: DataFrame, chunks: str = "chunks", keep_empty: bool = False) -> DataFrame:
     """Chunks of a document share the fields found in its joined chunk text.
 
     The chunks are still an array in the document's row, so the fields are
     extracted once per document and copied by the explode; no join, no shuffle.
     """
     full = F.array_join(F.transform(chunks, lambda c: c["content"]), "\n\n")
-    with_text = df.withColumn("_full", full)
-    with_meta = with_text.withColumn("_m", fields.legal_metadata(F.col("_full"))).drop("_full")
+    with_meta = df.withColumn("_full", full).withColumn("_m", fields.legal_metadata(F.col("_full"))).drop("_full")
     keep = [c for c in df.columns if c != chunks]
-    rows = explode_chunks(with_meta, chunks)
-    own = [c for c in rows.columns if c not in keep and c not in ("_m",)]
+    rows = explode_chunks(with_meta, chunks, keep_empty)
+    own = [c for c in rows.columns if c not in keep and c != "_m"]
     return rows.select(*keep, *own, "_m.*", fields.section(F.col("content")).alias("section"))
 
 

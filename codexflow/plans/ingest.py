@@ -9,33 +9,31 @@ from codexflow.functions import fixed_values as V
 from codexflow.functions.text import clean_by_profile, clean, file_suffix, strip_front_matter
 from codexflow.operators.chunking import Splitter, chunk_markdown, chunk_page_text, with_adaptive_chunks
 from codexflow.operators.enrich import enrich_chunks
-from codexflow.sources import store
 
 
 def prepare(docs: DataFrame, text: str = "text", profile: str | Column = "legal_colombia") -> DataFrame:
-    """Header block off, cleaned; a document without text is marked, not dropped."""
+    """Header block off, then cleaned."""
     body = strip_front_matter(F.coalesce(F.col(text), F.lit("")))
-    cleaned = clean(body, profile) if isinstance(profile, str) else clean_by_profile(body, profile)
-    out = docs.withColumn(text, cleaned)
-    failed = F.col(text) == ""
-    return out.withColumns({"success": ~failed, "error": F.when(failed, F.lit("no text extracted"))})
+    return docs.withColumn(text, clean(body, profile) if isinstance(profile, str) else clean_by_profile(body, profile))
 
 
 def ingest(
-    docs: DataFrame, text: str = "text", source: str = "source", tool: str = "direct_md", processed_at: Column | None = None,
+    docs: DataFrame, text: str = "text", tool: str = "direct_md", processed_at: Column | None = None,
     profile: str | Column = "legal_colombia", size: int = V.ADAPTIVE_SIZE, overlap: int = V.ADAPTIVE_OVERLAP,
     splitter: Splitter | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(chunks, quarantine). Everything happens in the document's row up to the
-    final explode: the plan has no shuffle."""
-    ready = prepare(docs, text, profile)
-    base = ready.withColumns({
-        "original_format": F.expr("''") if "path" not in docs.columns else F.ltrim(file_suffix(F.col("path")), F.lit(".")),
-        "extraction_tool": F.lit(tool),
+) -> DataFrame:
+    """Enriched chunks; a document that yields none is one row with its error.
+
+    Everything happens in the document's row up to the final explode: the plan
+    has no shuffle, and good and bad rows come out of one pass.
+    """
+    suffix = F.ltrim(file_suffix(F.col("path")), F.lit(".")) if "path" in docs.columns else F.lit(None).cast("string")
+    base = prepare(docs, text, profile).withColumns({
+        "original_format": suffix, "extraction_tool": F.lit(tool),
         "processed_at": processed_at if processed_at is not None else F.current_timestamp()})
-    good = with_adaptive_chunks(base.filter("success"), text, size, overlap, splitter).drop(text, "success", "error")
-    bad = ready.filter("NOT success").drop(text)
-    return enrich_chunks(good), bad
+    rows = enrich_chunks(with_adaptive_chunks(base, text, size, overlap, splitter).drop(text), keep_empty=True)
+    success = F.col("chunk_index").isNotNull()
+    return rows.withColumns({"success": success, "error": F.when(~success, F.lit("no text extracted"))})
 
 
 def ingest_with_loader(docs: DataFrame, loader: str, **options) -> DataFrame:
@@ -46,9 +44,8 @@ def ingest_with_loader(docs: DataFrame, loader: str, **options) -> DataFrame:
     return chunkers[loader](docs, **options).withColumn("loader", F.lit(f"{loader}_legal"))
 
 
-def run(docs: DataFrame, path: str, collection: str, quarantine_path: str, **options) -> None:
-    """Write both outputs. A failed task is retried by Spark; a bad document
-    lands in the quarantine table and stops nothing."""
-    chunks, bad = ingest(docs, **options)
-    store.append(chunks, path, collection)
-    bad.write.mode("append").parquet(quarantine_path)
+def run(docs: DataFrame, path: str, collection: str, **options) -> None:
+    """One write, partitioned by outcome: readers of ``success=true`` never see
+    the quarantine rows beside it."""
+    rows = ingest(docs, **options).withColumn("collection", F.lit(collection))
+    rows.write.mode("append").partitionBy("collection", "success").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
@@ -15,23 +15,19 @@ from codexflow.sources.pages import assemble_clean_pages
 def _corpus_prefix(docs: DataFrame, order: Column, limit: int) -> DataFrame:
     """First characters of all texts in order, as one row.
 
-    Only the documents that reach into the first ``limit`` characters matter.
-    Each task keeps its own first documents (WindowGroupLimit works on rank, so
-    the number kept is bounded by the limit itself: every kept text adds at
-    least three characters with its separator).
+    Lengths alone decide which documents reach into the prefix, so only (key,
+    length) pairs are ordered. Every non-empty text adds at least three
+    characters with its separator, which bounds those pairs; the texts picked
+    add up to at most twice the limit.
     """
-    most = limit // 3 + 1
-    head = docs.select(order.alias("o"), F.substring("text", 1, limit).alias("t")).filter("t <> ''").orderBy("o").limit(most)
-    running = F.sum(F.length("t") + 2).over(_upto())
-    near = head.withColumn("before", running - F.length("t") - 2).filter(F.col("before") < limit)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda r: r["t"]), "\n\n")
-    return near.agg(F.substring(joined, 1, limit).alias("prefix"))
-
-
-def _upto():
-    from pyspark.sql import Window
-
-    return Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    sized = docs.select(order.alias("o"), F.substring("text", 1, limit).alias("t")).filter("t <> ''")
+    shortest = sized.select("o", (F.length("t") + 2).alias("n")).orderBy("o").limit(limit // 3 + 1)
+    upto = Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    near = shortest.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).filter(F.col("before") < limit)
+    picked = sized.join(F.broadcast(near.select("o")), "o")  # at most limit / 3 + 1 keys
+    ordered = F.array_sort(F.collect_list(F.struct("o", "t")))
+    joined = F.array_join(F.transform(ordered, lambda r: r["t"]), "\n\n")
+    return picked.agg(F.substring(joined, 1, limit).alias("prefix"))
 
 
 def direct_query(

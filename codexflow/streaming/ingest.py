@@ -38,11 +38,10 @@ def _library(spark: SparkSession, path: str, before: int, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def ingest_sink(chunks_path: str, quarantine_path: str, text: str = "text", **options):
+def ingest_sink(path: str, text: str = "text", **options):
+    """Chunks and failed documents of each batch, told apart by ``success``."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        chunks, bad = ingest(df, text=text, **options)
-        _replace_batch(chunks, chunks_path, batch_id)
-        _replace_batch(bad, quarantine_path, batch_id)
+        _replace_batch(ingest(df, text=text, **options), path, batch_id)
 
     return batch
 
