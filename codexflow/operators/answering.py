@@ -14,6 +14,7 @@ from codexflow.functions import fields
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
 from codexflow.operators.hierarchy import sentences
+from codexflow.session import cut_lineage
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -136,12 +137,17 @@ def answer_with_retries(
     max_attempts: int = V.MAX_ATTEMPTS,
 ) -> DataFrame:
     """Bounded loop, unrolled: only failed questions are answered again, from the
-    same documents. The last attempt stands whatever its verdict."""
+    same documents. The last attempt stands whatever its verdict.
+
+    The retrieved rows and every attempt but the last are written once: later
+    steps read them instead of retrieving, or asking a model, a second time.
+    """
     answerers = answerers or [None] * max_attempts
-    current, done = kept, None
+    current, done = cut_lineage(kept, "kept"), None
     for attempt in range(1, max_attempts + 1):
         result = answer_once(current, attempt, answerers[attempt - 1], verifier, threshold)
         last = attempt == max_attempts
+        result = result if last else cut_lineage(result, "attempt")
         settled = result if last else result.filter("grade = 'útil'")
         done = settled if done is None else done.unionByName(settled)
         if not last:
@@ -190,3 +196,15 @@ def context_window(df: DataFrame, chunks: str = "chunks", before: int = 2, after
         return F.struct(c["content"].alias("content"), F.array_join(near, "\n").alias("window"))
 
     return df.withColumn("_texts", texts).withColumn(chunks, F.transform(chunks, around)).drop("_texts")
+
+
+def chat_history(messages: DataFrame, preview: int = V.PREVIEW_CHARS) -> DataFrame:
+    """Messages with a preview and how many their role sent in the conversation.
+
+    The counts are aggregated and joined back, so a conversation that holds very
+    many messages is split by AQE and never sorted in one task. Read the result
+    ordered by (conv_id, turn).
+    """
+    counts = messages.groupBy("conv_id", "role").agg(F.count("*").alias("n_role"))
+    return messages.withColumn("preview", F.substring("text", 1, preview)).join(counts, ["conv_id", "role"]).select(
+        "conv_id", "turn", "role", "text", "preview", "n_role")

@@ -33,7 +33,7 @@ def article_spans(docs: DataFrame, order: Column, text: str = "text", markdown:
     # the number is quoted, so its dots are literal
     pattern = F.concat(
         F.lit(rf"(?isU){head}ART[IÍ]CULO\s*\Q"), F.col("article"), F.lit(rf"\E{tail}.*"))
-    span = strip(F.regexp_extract(F.concat("seg", F.lit("\n")), pattern, 0))
+    span = strip(F.call_function("regexp_extract", F.concat("seg", F.lit("\n")), pattern, F.lit(0)))
     return rows.select("article", F.struct("_doc", "seg_no").alias("place"), span.alias("span"))
 
 

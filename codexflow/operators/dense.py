@@ -58,7 +58,7 @@ def _block_join(q: DataFrame, c: DataFrame, k: int, block_rows: int, max_local:
         "qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
     queries = q.withColumns({
         "qb": F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"),
-        "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")})
+        "salt": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))})
     keys = ["key", "salt", "qb"]
     return corpus.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(join_topk(k, SCORE_DIGITS), RESULT)
 
