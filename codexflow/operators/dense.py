@@ -6,12 +6,12 @@ vectors and emits only its best k per question.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexflow.functions.workers import join_topk, scan_topk
 from codexflow.operators.lexical import SCORE_DIGITS, rank
-from codexflow.session import fits
 
 RESULT = "qid bigint, id bigint, score double"
 MAX_LOCAL_QUESTIONS = 2_000
@@ -34,17 +34,19 @@ def dense_topk(
     key = (lambda df: df["key"].cast("string")) if keyed else (lambda df: F.lit(""))
     q = questions.select("qid", "qvec", key(questions).alias("key")).filter("key IS NOT NULL")
     c = corpus.select("id", "vec", key(corpus).alias("key")).filter("key IS NOT NULL")
-    partial = _scan(q, c, k) if fits(q, max_local) else _block_join(q, c, k, block_rows, max_local)
+    rows = q.limit(max_local + 1).collect()  # never more than max_local + 1 rows
+    partial = _scan(rows, c, k) if len(rows) <= max_local else _block_join(q, c, k, block_rows, max_local)
     return rank(partial, k, [F.desc("score"), F.asc("id")])
 
 
-def _scan(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+def _scan(rows: list, c: DataFrame, k: int) -> DataFrame:
     by_key: dict[str, tuple[list, list]] = {}
-    for row in q.collect():  # at most max_local rows, checked by the caller
+    for row in rows:
         ids, vecs = by_key.setdefault(row["key"], ([], []))
         ids.append(row["qid"])
-        vecs.append([float(x) for x in row["qvec"]])
-    return c.mapInPandas(scan_topk(by_key, k, SCORE_DIGITS), RESULT)
+        vecs.append(row["qvec"])
+    packed = {key: (np.array(ids), np.array(vecs, dtype=np.float64)) for key, (ids, vecs) in by_key.items()}
+    return c.mapInPandas(scan_topk(packed, k, SCORE_DIGITS), RESULT)
 
 
 def _block_join(q: DataFrame, c: DataFrame, k: int, block_rows: int, max_local: int) -> DataFrame:

@@ -11,7 +11,7 @@ from codexflow.functions import fields
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
 from codexflow.operators.lexical import rank
-from codexflow.session import broadcast_if_small
+from codexflow.session import fits, hint_broadcast
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -27,13 +27,14 @@ def union_branches(*branches: DataFrame) -> DataFrame:
     return out
 
 
-def attach_content(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def attach_content(hits: DataFrame, chunks: DataFrame, few: bool, id_col: str = "doc_id") -> DataFrame:
     """Look the few hits up in the large chunk table.
 
-    Hits number at most branches x k per question; they are broadcast after a
-    count, so the chunk table is scanned, not shuffled.
+    Hits number at most branches x k per question. When the questions are few
+    (``few``, from counting them) the hits are broadcast and the chunk table is
+    scanned, not shuffled.
     """
-    return chunks.withColumnRenamed(id_col, "id").join(broadcast_if_small(hits), "id")
+    return chunks.withColumnRenamed(id_col, "id").join(hint_broadcast(hits, few), "id")
 
 
 def dedupe_by_content(hits: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def rerank(candidates: DataFrame, questions: DataFrame, top_k: int = V.TOP_K, sc
     mapInPandas, one model per worker). A NULL score falls back to fused order,
     behind every scored row.
     """
-    pairs = candidates.join(broadcast_if_small(questions.select("qid", "question")), "qid")
+    pairs = candidates.join(hint_broadcast(questions.select("qid", "question"), fits(questions)), "qid")
     if scorer is None:
         scored = pairs.withColumn("rerank_score", lexical_pair_score(F.col("question"), F.col("content")))
     else:
@@ -90,5 +91,5 @@ def hybrid_retrieve(
     Either branch may be missing; the other one then serves alone.
     """
     branches = [b for b in (dense, sparse) if b is not None]
-    hits = attach_content(union_branches(*branches), chunks, id_col)
+    hits = attach_content(union_branches(*branches), chunks, fits(questions), id_col)
     return rerank(dedupe_by_content(hits), questions, top_k, scorer)

@@ -11,6 +11,7 @@ from codexflow.functions import fixed_values as V
 from codexflow.functions.text import sub, tokens
 from codexflow.operators.dense import dense_topk
 from codexflow.operators.lexical import rank
+from codexflow.session import cut_lineage
 
 Summarizer = Callable[[DataFrame], DataFrame]
 
@@ -60,7 +61,8 @@ def hier_retrieve(
     else for two unfiltered ones. Every such request is a question of its own
     with a filter key, so one keyed top-k serves all of them. Duplicates keep
     their first place; at most ``k_chunks`` rows remain per question.
-    A missing summary level falls back to plain search with twice the chunks,
+    The requests (k_summaries per question) are written once, so the three
+    branches do not search the summaries again. A missing summary level falls back to plain search with twice the chunks,
     a missing detailed level gives None.
     """
     if detailed is None:
@@ -70,10 +72,10 @@ def hier_retrieve(
     top = dense_topk(questions, summaries.select("id", "vec"), k_summaries)
     keys = summaries.select("id", F.col("article").cast("string").alias("article"), F.col("page").cast("string").alias("page"))
     asked = top.select("qid", "id", F.col("rank").alias("summary_rank")).join(keys, "id").join(questions, "qid")
-    request = asked.select(
+    request = cut_lineage(asked.select(
         (F.col("qid") * (k_summaries + 1) + F.col("summary_rank")).alias("rid"), "qid", "summary_rank", "qvec",
         F.when(F.col("article").isNotNull(), F.concat(F.lit("a:"), F.col("article")))
-        .when(F.col("page").isNotNull(), F.concat(F.lit("p:"), F.col("page"))).otherwise("*").alias("key"))
+        .when(F.col("page").isNotNull(), F.concat(F.lit("p:"), F.col("page"))).otherwise("*").alias("key")), "requests")
 
     def branch(prefix, corpus, k):
         wanted = request.filter(F.startswith("key", F.lit(prefix))).select(F.col("rid").alias("qid"), "qvec", "key")

@@ -4,36 +4,55 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
-from codexflow.session import broadcast_if_small
+from codexflow.session import fits, hint_broadcast
 
 SCORE_DIGITS = 6
 
 
 @dataclass
 class Bm25Index:
-    """Lazy index tables. ``save`` them once; every question batch reads them.
+    """Index tables, lazy until saved.
 
-    docs:  (id, dl)          corpus: one row (n_docs, avgdl)
-    terms: (term, df, idf)   tokens: (id, dl, toks), the source of postings
+    corpus: one row (n_docs, avgdl)   terms: (term, df, idf)
+    tokenized: (id, dl, toks), or stored: (term, id, dl, tf) once saved
     """
 
-    docs: DataFrame
     corpus: DataFrame
     terms: DataFrame
-    tokenized: DataFrame
+    tokenized: DataFrame | None = None
+    stored: DataFrame | None = None
 
-    def postings(self, vocabulary: DataFrame | None = None) -> DataFrame:
+    def postings(self, vocabulary: DataFrame | None = None, few: bool = False) -> DataFrame:
         """(term, id, dl, tf). With a vocabulary, other terms are dropped before
         the shuffle, so its size follows the questions, not the corpus."""
-        exploded = self.tokenized.select("id", "dl", F.explode("toks").alias("term"))
+        rows = self.stored
+        if rows is None:
+            rows = self.tokenized.select("id", "dl", F.explode("toks").alias("term"))
         if vocabulary is not None:
-            exploded = exploded.join(broadcast_if_small(vocabulary), "term", "left_semi")
-        return exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+            rows = rows.join(hint_broadcast(vocabulary, few), "term", "left_semi")
+        if self.stored is not None:
+            return rows
+        # all tokens of a document are in one task: the partial count is final there
+        return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+    def save(self, path: str) -> Bm25Index:
+        """Write the tables. Postings are ranged by (term, id): a frequent term
+        spreads over many files and a rare one touches a single row group."""
+        spark = self.terms.sparkSession
+        postings = self.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        for name, df in (("corpus", self.corpus), ("terms", self.terms), ("postings", postings)):
+            df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> Bm25Index:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Bm25Index(read("corpus"), read("terms"), stored=read("postings"))
 
 
 def build_index(chunks: DataFrame, id_col: str = "doc_id", text: str = "text") -> Bm25Index:
@@ -49,7 +68,7 @@ def build_index(chunks: DataFrame, id_col: str = "doc_id", text: str = "text") -
     scored = df.withColumn("raw_idf", raw)
     floor = F.lit(V.BM25_EPSILON) * scored.agg(F.avg("raw_idf")).scalar()
     terms = scored.select("term", "df", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"))
-    return Bm25Index(tokenized.select("id", "dl"), corpus, terms, tokenized)
+    return Bm25Index(corpus, terms, tokenized)
 
 
 def query_terms(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
@@ -63,13 +82,17 @@ def score(index: Bm25Index, questions: DataFrame) -> DataFrame:
     """(qid, id, score) for every chunk that shares a term with the question.
 
     A frequent term is a hot key, so postings are not shuffled by term: the
-    question terms are broadcast when few (counted), and AQE splits the skewed
-    side of the join otherwise. Scores combine per (chunk, question).
+    question terms are broadcast when the questions are few (counted), and AQE
+    splits the skewed side of the join otherwise. Scores combine per (chunk,
+    question).
     """
+    few = fits(questions)
     wanted = query_terms(questions)
-    weighted = wanted.join(index.terms, "term").select("qid", "term", "qtf", "idf")
+    weighted = hint_broadcast(wanted, few).join(index.terms, "term").select("qid", "term", "qtf", "idf")
     avgdl = index.corpus.select("avgdl").scalar()
-    hits = index.postings(wanted.select("term").distinct()).join(broadcast_if_small(weighted), "term")
+    vocabulary = wanted.select("term").distinct()
+    # one row per (question, term) at most, so no larger than the question terms
+    hits = index.postings(vocabulary, few).join(hint_broadcast(weighted, few), "term")
     tf, norm = F.col("tf"), 1 - V.BM25_B + V.BM25_B * F.col("dl") / avgdl
     part = F.col("qtf") * F.col("idf") * (tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * norm))
     return hits.groupBy("id", "qid").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))

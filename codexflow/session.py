@@ -69,9 +69,13 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to AQE."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def hint_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
+    """Broadcast a side whose size the caller has checked; else AQE decides.
+
+    ``bounded`` comes from counting the small input the frame is derived from
+    (see ``fits``), so the check never runs the derived plan itself.
+    """
+    return F.broadcast(df) if bounded else df
 
 
 def env_int(name: str, default: int) -> int:

@@ -8,6 +8,7 @@ from codexflow.functions import fields
 from codexflow.operators import answering as A
 from codexflow.operators import articles as R
 from codexflow.plans import questions as Q
+from codexflow.session import fits
 from workload import sqlviews as S
 from workload import views as W
 from workload.corpus_queries import SENTENCES
@@ -117,7 +118,8 @@ def _hits(spark, sf):
     from codexflow.operators.fusion import attach_content
 
     hits = sparse_hits(spark, sf, 10)
-    return attach_content(hits.select("qid", "id", "rank"), W.citable(spark, sf)).join(W.questions(spark, sf), "qid")
+    questions = W.questions(spark, sf)
+    return attach_content(hits.select("qid", "id", "rank"), W.citable(spark, sf), fits(questions)).join(questions, "qid")
 
 
 def _kept(spark, sf):

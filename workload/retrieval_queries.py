@@ -8,6 +8,7 @@ from codexflow.operators import dense as D
 from codexflow.operators import fusion as U
 from codexflow.operators import hierarchy as H
 from codexflow.operators import lexical as X
+from codexflow.session import fits
 from workload import sqlviews as S
 from workload import views as W
 from workload.registry import query
@@ -107,7 +108,8 @@ fused AS (SELECT qid, arg_max(id, branch * 1000 + rank) AS id, content, row_numb
 
 def fused_hits(spark, sf):
     hits = U.union_branches(dense_hits(spark, sf), sparse_hits(spark, sf))
-    return U.dedupe_by_content(U.attach_content(hits, W.documents(spark, sf).select("doc_id", F.col("text").alias("content"))))
+    return U.dedupe_by_content(U.attach_content(
+        hits, W.documents(spark, sf).select("doc_id", F.col("text").alias("content")), fits(W.questions(spark, sf))))
 
 
 @query("fuse_dedupe", f"WITH {FUSED} SELECT qid, id, fused_rank FROM fused")
