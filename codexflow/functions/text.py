@@ -329,7 +329,8 @@ def file_stem(path: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased, whitespace-separated; no punctuation handling."""
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
+    return let(strip(F.lower(text)), lambda t: F.when(t == "", empty("array<string>")).otherwise(
+        F.split(t, r"(?U)\s+")))
 
 
 def content_hash(content: Column, prefix_bytes: int = V.HASH_PREFIX_BYTES) -> Column:

@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
-from codexflow.session import fits, hint_broadcast
+from codexflow.session import cut_lineage, fits, hint_broadcast
 
 SCORE_DIGITS = 6
 
 
+def explode_terms(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """One row per token. The outer form spares the size filter that Spark infers
+    for a plain explode, which would tokenize every text a second time."""
+    return df.select(*keep, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL")
+
+
 @dataclass
 class Bm25Index:
-    """Index tables, lazy until saved.
-
-    corpus: one row (n_docs, avgdl)   terms: (term, df, idf)
-    tokenized: (id, dl, toks), or stored: (term, id, dl, tf) once saved
-    """
+    """terms: (term, df, idf), a written table. tokenized: (id, dl, toks), or
+    stored: (term, id, dl, tf) once the index is saved."""
 
-    corpus: DataFrame
+    n_docs: int
+    avgdl: float
     terms: DataFrame
     tokenized: DataFrame | None = None
     stored: DataFrame | None = None
@@ -32,7 +36,7 @@ class Bm25Index:
         the shuffle, so its size follows the questions, not the corpus."""
         rows = self.stored
         if rows is None:
-            rows = self.tokenized.select("id", "dl", F.explode("toks").alias("term"))
+            rows = explode_terms(self.tokenized, F.col("toks"), "id", "dl")
         if vocabulary is not None:
             rows = rows.join(hint_broadcast(vocabulary, few), "term", "left_semi")
         if self.stored is not None:
@@ -45,36 +49,37 @@ class Bm25Index:
         spreads over many files and a rare one touches a single row group."""
         spark = self.terms.sparkSession
         postings = self.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-        for name, df in (("corpus", self.corpus), ("terms", self.terms), ("postings", postings)):
+        corpus = spark.createDataFrame([(self.n_docs, self.avgdl)], "n_docs bigint, avgdl double")
+        for name, df in (("corpus", corpus), ("terms", self.terms), ("postings", postings)):
             df.write.mode("errorifexists").parquet(f"{path}/{name}")
         return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> Bm25Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Bm25Index(read("corpus"), read("terms"), stored=read("postings"))
+    n_docs, avgdl = read("corpus").first()
+    return Bm25Index(n_docs, avgdl, read("terms"), stored=read("postings"))
 
 
 def build_index(chunks: DataFrame, id_col: str = "doc_id", text: str = "text") -> Bm25Index:
+    """Count once: document frequencies go to a written table, which the mean
+    idf, the questions and any later batch read instead of the texts."""
     tokenized = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("toks")).select(
         "id", F.size("toks").alias("dl"), "toks")
-    corpus = tokenized.agg(
-        F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     # counting (term) needs no document id in the shuffle: each document adds a term once
-    df = tokenized.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df"))
-    n = corpus.select("n_docs").scalar()
-    raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    scored = df.withColumn("raw_idf", raw)
-    floor = F.lit(V.BM25_EPSILON) * scored.agg(F.avg("raw_idf")).scalar()
-    terms = scored.select("term", "df", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"))
-    return Bm25Index(corpus, terms, tokenized)
+    df = explode_terms(tokenized, F.array_distinct("toks")).groupBy("term").agg(F.count("*").alias("df"))
+    counted = cut_lineage(df, "bm25-terms")
+    n_docs, total = tokenized.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    floor = V.BM25_EPSILON * (counted.agg(F.avg(raw)).first()[0] or 0.0)
+    terms = counted.select("term", "df", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
+    return Bm25Index(n_docs, total / n_docs if n_docs else 0.0, terms, tokenized)
 
 
 def query_terms(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
     """(qid, term, qtf): a repeated token counts as often as it occurs."""
     return (
-        questions.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(question))).alias("term"))
+        explode_terms(questions.withColumnRenamed(qid, "qid"), tokens(F.col(question)), "qid")
         .groupBy("qid", "term").agg(F.count("*").alias("qtf")))
 
 
@@ -89,11 +94,10 @@ def score(index: Bm25Index, questions: DataFrame) -> DataFrame:
     few = fits(questions)
     wanted = query_terms(questions)
     weighted = hint_broadcast(wanted, few).join(index.terms, "term").select("qid", "term", "qtf", "idf")
-    avgdl = index.corpus.select("avgdl").scalar()
     vocabulary = wanted.select("term").distinct()
     # one row per (question, term) at most, so no larger than the question terms
     hits = index.postings(vocabulary, few).join(hint_broadcast(weighted, few), "term")
-    tf, norm = F.col("tf"), 1 - V.BM25_B + V.BM25_B * F.col("dl") / avgdl
+    tf, norm = F.col("tf"), 1 - V.BM25_B + V.BM25_B * F.col("dl") / index.avgdl
     part = F.col("qtf") * F.col("idf") * (tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * norm))
     return hits.groupBy("id", "qid").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
 

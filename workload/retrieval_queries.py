@@ -47,8 +47,7 @@ def _ranked(df, *extra):
 @query("bm25_index", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, (SELECT round(avgdl, 6) FROM st) AS avgdl FROM idf")
 def bm25_index(spark, sf):
     index = _index(spark, sf)
-    avgdl = index.corpus.select(F.round("avgdl", 6)).scalar()
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"), avgdl.alias("avgdl"))
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"), F.round(F.lit(index.avgdl), 6).alias("avgdl"))
 
 
 @query("bm25_score", f"WITH {BM25} SELECT qid, id, score FROM score")
