@@ -55,7 +55,7 @@ def scan_files(spark: SparkSession, paths: list[str] | str, glob: str = DEFAULT_
 def read_markdown(spark: SparkSession, paths: list[str] | str, glob: str = "*.md") -> DataFrame:
     """One row per file: path, source, header-free text."""
     files = scan_files(spark, paths, glob)
-    text = strip_front_matter(F.decode("content", F.lit("UTF-8")))
+    text = strip_front_matter(F.decode("content", "UTF-8"))
     return files.select("path", F.col("name").alias("source"), text.alias("text"))
 
 

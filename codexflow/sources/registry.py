@@ -35,7 +35,7 @@ def load_multiple(name: str, spark: SparkSession, paths: list[str], **options) -
 def _text_pages(spark: SparkSession, paths: list[str] | str, glob: str = "*.txt") -> DataFrame:
     """Form feeds separate pages."""
     files = scan_files(spark, paths, glob)
-    pages = F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\f")).alias("pos", "text")
+    pages = F.posexplode(F.split(F.decode("content", "UTF-8"), "\f")).alias("pos", "text")
     return files.select(F.col("path").alias("doc_id"), pages).select(
         "doc_id", (F.col("pos") + 1).alias("page_no"), "text")
 
