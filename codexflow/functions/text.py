@@ -245,10 +245,13 @@ def rows_to_markdown_table(rows: Column) -> Column:
         cells = F.transform(row, lambda c: F.coalesce(c, F.lit("")))
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n"))
 
-    header = F.try_element_at(rows, F.lit(1))
-    rule = F.transform(header, lambda _: F.lit("---"))
-    body = F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), render), "")
-    return F.when(F.size(header) > 0, F.concat(render(header), render(rule), body))
+    def table(all_rows):
+        header = F.get(all_rows, F.lit(0))
+        rule = F.transform(header, lambda _: F.lit("---"))
+        body = F.transform(all_rows, lambda row, i: F.when(i > 0, render(row)).otherwise(""))
+        return F.when(F.size(header) > 0, F.concat(render(header), render(rule), F.array_join(body, "")))
+
+    return let(rows, table)
 
 
 def join_broken_paragraphs(text: Column) -> Column:

@@ -260,12 +260,15 @@ def _drain(stream, sink, spark):
     X.start(stream, sink, new_table_path(spark, "checkpoint")).awaitTermination()
 
 
-@query("stream_ingest")
+@query("stream_ingest", f"""
+WITH md AS (SELECT doc_id, {_legal('text')} AS body FROM documents), {sections_sql('md')}, {chunks_sql(800, 150)}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS chunk_index, content, true AS success FROM pieces
+UNION ALL SELECT doc_id, NULL, NULL, false FROM md WHERE body = ''""")
 def stream_ingest(spark, sf):
     out = new_table_path(spark, "stream-ingest")
     docs = X.file_stream(spark, sf, "documents.parquet", DOCUMENTS_SCHEMA).select("doc_id", "source", "text")
     _drain(docs, X.ingest_sink(out, processed_at=F.lit("2024-05-01"), splitter=C.fixed_splitter(800, 150)), spark)
-    return spark.read.parquet(out).select("doc_id", "chunk_index", "content", "success")
+    return spark.read.parquet(out).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content", "success")
 
 
 @query("stream_index", f"""

@@ -179,7 +179,19 @@ def join_broken_paragraphs(spark, sf):
     return W.legal(spark, sf).select("doc_id", T.join_broken_paragraphs(F.col("body")).alias("text"))
 
 
-@query("format_answer")
+# RE2 has no look-behind: numerals after PARÁGRAFO are marked first, then restored
+FORMATTED = r"""replace('**' || body || '**' || repeat(chr(10), 4) || 'PARÁGRAFO' || chr(10) || '2. texto (Decreto 17 de 2016,' || chr(10) || 'art. 1)  1. Uno', '*', '')"""
+for _p, _r in [
+    (r"\(\s*\n+\s*([^(\n])", r"(\1"), (r"(P[AÁ]R[AÁ]GRAFO)\s*\n+\s*(\d+\.?)\s*", r"\1 \2 "),
+    (r"([a-záéíóúüñA-ZÁÉÍÓÚÜÑ,;])\n([a-záéíóúüñ])", r"\1 \2"), (r"\n{3,}", "\n\n"),
+    (r"((?i:PARÁGRAFO))\s+(\d+\.\s+[A-ZÁÉÍÓÚÜÑ])", r"\1@@\2"), (r"\s+(\d+\.\s+[A-ZÁÉÍÓÚÜÑ])", "\n" + r"\1"), ("@@", " "),
+    (r"(?i)\s*(P[AÁ]R[AÁ]GRAFO\s*\d+\.?\s*)", "\n\n" + r"\1"), (r"\s*(\(Decreto\s+\d+\s+de\s+\d+[\s\S]*?\))", "\n\n" + r"\1"),
+    (r"(?i)\s*(\(Par[aá]grafo\s+adicionado[\s\S]*?\))", "\n" + r"\1"), (r"\n{3,}", "\n\n"), (" +", " "),
+]:
+    FORMATTED = S.sub(FORMATTED, _p, _r)
+
+
+@query("format_answer", f"WITH {S.PLAIN} SELECT doc_id, {S.strip(FORMATTED)} AS text FROM plain")
 def format_answer(spark, sf):
     raw = F.concat(F.lit("**"), F.col("body"), F.lit("**\n\n\n\nPARÁGRAFO\n2. texto (Decreto 17 de 2016,\nart. 1)  1. Uno"))
     return W.plain(spark, sf).select("doc_id", T.format_answer(raw).alias("text"))
