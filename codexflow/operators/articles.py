@@ -18,22 +18,27 @@ def _segments(text: Column, starts: str) -> Column:
     return F.split(text, rf"(?iU)\n(?={starts})")
 
 
-def article_spans(docs: DataFrame, order: Column, text: str = "text", markdown: bool = False) -> DataFrame:
+def article_spans(
+    docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, wanted: DataFrame | None = None,
+) -> DataFrame:
     """(article, place, span): one row per article and segment that names it.
 
     A span runs from the mention to the end of its segment, that is to the next
-    article, chapter or section. A document is cut in its own row.
+    article, chapter or section. A document is cut in its own row. With
+    ``wanted`` (article) other articles are dropped before any span is cut out.
     """
     starts, mention = (HEADING_STARTS, HEADING_MENTION) if markdown else (PLAIN_STARTS, PLAIN_MENTION)
-    cut = docs.select(order.alias("_doc"), F.posexplode(_segments(F.col(text), starts)).alias("seg_no", "seg"))
-    named = F.array_distinct(F.regexp_extract_all(F.concat("seg", F.lit("\n")), F.lit(f"(?iU){mention}"), F.lit(1)))
-    rows = cut.select("_doc", "seg_no", "seg", F.explode(named).alias("article"))
+    cut = docs.select(order.alias("_doc"), F.posexplode_outer(_segments(F.col(text), starts)).alias("seg_no", "seg"))
+    cut = cut.withColumn("seg", F.concat("seg", F.lit("\n")))
+    named = F.array_distinct(F.regexp_extract_all("seg", F.lit(f"(?iU){mention}"), F.lit(1)))
+    rows = cut.select("_doc", "seg_no", "seg", F.explode_outer(named).alias("article")).filter("article IS NOT NULL")
+    if wanted is not None:
+        rows = rows.join(wanted, "article", "left_semi")
     tail = r"(?:\.|(?![\d.]))" if markdown else r"\.?\s"
     head = r"#{1,4}\s*" if markdown else ""
     # the number is quoted, so its dots are literal
-    pattern = F.concat(
-        F.lit(rf"(?isU){head}ART[IÍ]CULO\s*\Q"), F.col("article"), F.lit(rf"\E{tail}.*"))
-    span = strip(F.call_function("regexp_extract", F.concat("seg", F.lit("\n")), pattern, F.lit(0)))
+    pattern = F.concat(F.lit(rf"(?isU){head}ART[IÍ]CULO\s*\Q"), F.col("article"), F.lit(rf"\E{tail}.*"))
+    span = strip(F.call_function("regexp_extract", F.col("seg"), pattern, F.lit(0)))
     return rows.select("article", F.struct("_doc", "seg_no").alias("place"), span.alias("span"))
 
 
@@ -52,7 +57,7 @@ def lookup(questions: DataFrame, docs: DataFrame, order: Column, text: str = "te
     wanted = asked.select("article").filter("article IS NOT NULL").distinct()
 
     def found(as_markdown):
-        spans = article_spans(docs, order, text, as_markdown).join(wanted, "article", "left_semi")
+        spans = article_spans(docs, order, text, as_markdown, wanted)
         return first_spans(spans).filter("span <> ''").drop("place")
 
     plain = found(False).withColumnRenamed("span", "plain")

@@ -20,7 +20,7 @@ from codexflow.functions.workers import batch_splitter
 # A noncharacter: valid in a string, never part of text.
 GUARD = "\ufdd1"
 HEADER_LINE = r"#{1,4}(?:[ \n]|$)"
-SECTION = "struct<h1:string,h2:string,h3:string,h4:string,parts:array<string>>"
+SECTION = "struct<path:struct<h1:string,h2:string,h3:string,h4:string>,parts:array<string>>"
 Splitter = Callable[[Column], Column]  # array<string> -> array<array<string>>
 
 
@@ -93,36 +93,35 @@ def split_headers(text: Column) -> Column:
     path = ["h1", "h2", "h3", "h4"]
 
     def next_path(acc, b):
-        return [
+        return F.struct(*[
             F.when(b["level"] == i, b["title"]).when((b["level"] > 0) & (b["level"] < i), F.lit(None))
-            .otherwise(acc[h]).alias(h)
-            for i, h in enumerate(path, start=1)]
+            .otherwise(acc["path"][h]).alias(h)
+            for i, h in enumerate(path, start=1)])
+
+    def depth(p):
+        return F.size(F.filter(F.array(*[p[h] for h in path]), F.isnotnull))
 
     def step(acc, b):
         def attach(p):
-            last = F.element_at(acc["out"], -1)
-            depth = lambda s: sum((s[h].isNotNull().cast("int") for h in path), F.lit(0))
-            same = F.lit(True)
-            for h in path:
-                same = same & last[h].eqNullSafe(p[h])
-            merges = (F.size(acc["out"]) > 0) & (same | ((depth(last) < depth(p)) & acc["bare"]))
-            heads = [p[h].alias(h) for h in path]
-            grown = F.concat(
-                F.slice(acc["out"], 1, F.size(acc["out"]) - 1),
-                F.array(F.struct(*heads, F.concat(last["parts"], F.array(b["text"])).alias("parts"))))
-            added = F.concat(acc["out"], F.array(F.struct(*heads, F.array(b["text"]).alias("parts"))))
-            return F.struct(*heads, b["bare"].alias("bare"), F.when(merges, grown).otherwise(added).alias("out"))
-
-        return let(F.struct(*next_path(acc, b)), attach)
+            last = F.try_element_at(acc["out"], F.lit(-1))
+            merges = last["path"].eqNullSafe(p) | (acc["bare"] & (depth(last["path"]) < depth(p)))
+            entry = lambda parts: F.array(F.struct(p.alias("path"), parts.alias("parts")))
+            kept = F.slice(acc["out"], 1, F.size(acc["out"]) - 1)
+            return F.struct(
+                p.alias("path"), b["bare"].alias("bare"),
+                F.when((F.size(acc["out"]) > 0) & merges, F.concat(kept, entry(F.concat(last["parts"], F.array(b["text"])))))
+                .otherwise(F.concat(acc["out"], entry(F.array(b["text"])))).alias("out"))
+
+        return let(next_path(acc, b), attach)
 
     start = F.struct(
-        *[F.lit(None).cast("string").alias(h) for h in path], F.lit(False).alias("bare"),
+        F.struct(*[F.lit(None).cast("string").alias(h) for h in path]).alias("path"), F.lit(False).alias("bare"),
         empty(f"array<{SECTION}>").alias("out"))
     described = F.filter(F.transform(blocks, describe), lambda b: b["text"] != "")
     return F.transform(
         F.aggregate(described, start, step, lambda acc: acc["out"]),
         lambda s: F.struct(
-            *[s[h].alias(h) for h in path],
+            *[s["path"][h].alias(h) for h in path],
             F.replace(F.array_join(s["parts"], "  \n"), F.lit(GUARD), F.lit("")).alias("content")))
 
 
@@ -169,6 +168,11 @@ def explode_chunks(df: DataFrame, chunks: str = "chunks", keep_empty: bool = Fal
     return rows.select(*keep, "chunk_index", "_c.*")
 
 
+def with_chunk_id(chunks: DataFrame) -> DataFrame:
+    """One bigint per chunk, from integer document ids below 2^39."""
+    return chunks.withColumn("chunk_id", F.shiftleft(F.col("doc_id").cast("bigint"), 24) + F.col("chunk_index"))
+
+
 def chunk_adaptive(
     df: DataFrame, text: str = "text", size: int = V.ADAPTIVE_SIZE, overlap: int = V.ADAPTIVE_OVERLAP,
     splitter: Splitter | None = None,

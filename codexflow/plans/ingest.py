@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexflow.functions import fields
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import clean_by_profile, clean, file_suffix, strip_front_matter
 from codexflow.operators.chunking import Splitter, chunk_markdown, chunk_page_text, with_adaptive_chunks
@@ -32,8 +33,10 @@ def ingest(
         "original_format": suffix, "extraction_tool": F.lit(tool),
         "processed_at": processed_at if processed_at is not None else F.current_timestamp()})
     rows = enrich_chunks(with_adaptive_chunks(base, text, size, overlap, splitter).drop(text), keep_empty=True)
-    success = F.col("chunk_index").isNotNull()
-    return rows.withColumns({"success": success, "error": F.when(~success, F.lit("no text extracted"))})
+    success, content = F.col("chunk_index").isNotNull(), F.col("content")
+    return rows.withColumns({
+        "article": fields.article_number(F.col("h3"), content), "page": fields.page_of(content), "chunk_size": F.length(content),
+        "success": success, "error": F.when(~success, F.lit("no text extracted"))})
 
 
 def ingest_with_loader(docs: DataFrame, loader: str, **options) -> DataFrame:

@@ -9,6 +9,7 @@ from codexflow.functions import fixed_values as V
 from codexflow.functions.text import format_answer, join_broken_paragraphs, strip_front_matter
 from codexflow.operators import articles
 from codexflow.operators.answering import select_context
+from codexflow.session import cut_lineage
 from codexflow.sources.pages import assemble_clean_pages
 
 
@@ -39,6 +40,7 @@ def direct_query(
     the context is the answer.
     """
     docs = assemble_clean_pages(pages).withColumn("text", join_broken_paragraphs(F.col("text")))
+    docs = cut_lineage(docs, "assembled")  # read by the lookup and twice by the prefix
     found = articles.lookup(questions, docs, F.col("doc_id"))
     return _answer(found, docs, F.col("doc_id"), limit, answerer, "pdf_direct", V.NO_PDF_TEXT)
 

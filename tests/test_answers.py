@@ -90,3 +90,34 @@ def test_judge_and_report(spark):
     lines = [r[0] for r in spark.read.text(path).collect()]
     assert "**Puntuación General (Promedio):** 2.00/5.0" in lines and "| Q1 | 5 |" in lines
     assert E.golden_set(spark).count() == 4
+
+
+def test_from_documents_to_answers(spark):
+    from codexflow.hooks import embed_hashing
+    from codexflow.operators import dense, fusion, lexical
+    from codexflow.operators.chunking import with_chunk_id
+    from codexflow.plans.ingest import ingest
+
+    docs = spark.createDataFrame([
+        (1, "a.md", "Resolución No. 0123\nARTÍCULO 2.2.1. El pozo capta 120 m³ de agua.\nARTÍCULO 2.2.2. Las multas se pagan."),
+        (2, "b.md", "CONSIDERANDO\nque la vereda pide agua limpia"), (3, "c.md", "")], "doc_id int, source string, text string")
+    chunks = cut(with_chunk_id(ingest(docs, processed_at=F.lit("t")).filter("success")))
+    questions = spark.createDataFrame([(1, "¿quién capta agua según 2.2.1?"), (2, "xyzzy")], "qid bigint, question string")
+    vectors = embed_hashing(
+        chunks.select("chunk_id", F.col("content").alias("text")).unionByName(
+            questions.select((-F.col("qid")).alias("chunk_id"), F.col("question").alias("text"))))
+    near = dense.dense_topk(
+        vectors.filter("chunk_id < 0").select((-F.col("chunk_id")).alias("qid"), F.col("embedding").alias("qvec")),
+        vectors.filter("chunk_id >= 0").select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")), 4)
+    sparse = lexical.topk(lexical.build_index(chunks, "chunk_id", "content"), questions, 4)
+    hits = fusion.hybrid_retrieve(questions, chunks.select("chunk_id", "content"), sparse, near, 3, id_col="chunk_id")
+    hits = fusion.attach_content(hits.drop("content"), chunks, True, "chunk_id")
+    rows = {r["qid"]: r for r in A.answer_questions(questions, hits).collect()}
+    assert "El pozo capta 120 m³ de agua." in rows[1]["answer"] and rows[1]["source_docs"] == ["a.md"] and rows[1]["grade"] == "útil"
+    assert set(rows) == {1, 2}
+
+
+def cut(df):
+    from codexflow.session import cut_lineage
+
+    return cut_lineage(df, "chunks")
