@@ -66,19 +66,31 @@ def _block_join(q: DataFrame, c: DataFrame, k: int, block_rows: int, max_local:
 
 
 def dense_topk_lsh(
-    questions: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 2.0, tables: int = 4, threshold: float = 2.0,
-    seed: int = 7,
+    questions: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 4, seed: int = 7,
 ) -> DataFrame:
-    """Approximate form: random-projection hashing, then exact distance on the
-    pairs that share a bucket."""
+    """Approximate form: exact scores, but only inside the question's buckets.
+
+    Random-projection hashing gives each vector one bucket per table. A bucket
+    is the key of the exact keyed search, so a bucket of very many copies is
+    scanned in blocks and no pair of it becomes a row.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def features(df, column):
+        return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
-    q = questions.select("qid", array_to_vector(F.col("qvec").cast("array<double>")).alias("features"))
-    c = corpus.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    c = features(corpus.select("id", "vec"), "vec")
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(c)
-    near = model.approxSimilarityJoin(q, c, threshold, "distance").select(
-        F.col("datasetA.qid").alias("qid"), F.col("datasetB.id").alias("id"),
-        F.round(1 - F.col("distance") ** 2 / 2, SCORE_DIGITS).alias("score"))
-    return rank(near, k, [F.desc("score"), F.asc("id")])
+
+    def bucketed(df):
+        rows = model.transform(df).select(*[x for x in df.columns if x != "features"], F.posexplode("hashes").alias("t", "h"))
+        bucket = F.get(vector_to_array("h"), F.lit(0)).cast("bigint").cast("string")
+        return rows.withColumn("key", F.concat(F.col("t").cast("string"), F.lit(":"), bucket)).drop("h")
+
+    asked = bucketed(features(questions.select("qid", "qvec"), "qvec"))
+    requests = asked.select((F.col("qid") * tables + F.col("t")).alias("qid"), "qvec", "key")
+    found = dense_topk(requests, bucketed(c).select("id", "vec", "key"), k)
+    merged = found.groupBy(F.floor(F.col("qid") / tables).alias("qid"), "id").agg(F.max("score").alias("score"))
+    return rank(merged, k, [F.desc("score"), F.asc("id")])

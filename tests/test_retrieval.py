@@ -77,7 +77,9 @@ def test_missing_levels(vecs):
     assert H.hier_retrieve(qs.drop("key"), None, cs, k_chunks=4).groupBy("qid").count().filter("count <> 8").count() == 0
 
 
-def test_lsh_is_a_subset_of_the_corpus(vecs):
+def test_lsh_scores_are_exact_within_buckets(vecs):
     q, c, qs, cs = vecs
-    rows = D.dense_topk_lsh(qs.drop("key"), cs.drop("key"), 3, threshold=5.0).collect()
-    assert rows and all(r["rank"] <= 3 for r in rows)
+    rows = D.dense_topk_lsh(qs.drop("key"), cs.drop("key"), 3, bucket_length=2.0).collect()
+    assert rows and all(r["rank"] <= 3 and r["score"] == round(float(c[r["id"]] @ q[r["qid"]]), 6) for r in rows)
+    wide = D.dense_topk_lsh(qs.drop("key"), cs.drop("key"), 3, bucket_length=1e6, tables=8).collect()
+    assert {(r["qid"], r["id"], r["rank"]) for r in wide} == brute(q, c, 3)
