@@ -286,15 +286,9 @@ def _join_paragraphs(parts: Column) -> Column:
 def format_answer(text: Column) -> Column:
     """Lay out a legal answer: numerals, paragraphs and citations on own lines."""
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("*"), F.lit(""))
-    text = sub(text, r"\(\s*\n+\s*([^(\n])", "($1", "U")
-    text = sub(text, r"(P[AÁ]R[AÁ]GRAFO)\s*\n+\s*(\d+\.?)\s*", "$1 $2 ", "U")
-    text = sub(text, r"([a-záéíóúüñA-ZÁÉÍÓÚÜÑ,;])\n([a-záéíóúüñ])", "$1 $2")
-    text = sub(text, r"\n{3,}", "\n\n")
-    text = sub(text, r"(?<!(?i:PARÁGRAFO)\s{0,10})\s+(\d+\.\s+[A-ZÁÉÍÓÚÜÑ])", "\n$1", "U")
-    text = sub(text, r"\s*(P[AÁ]R[AÁ]GRAFO\s*\d+\.?\s*)", "\n\n$1", "iU")
-    text = sub(text, r"\s*(\(Decreto\s+\d+\s+de\s+\d+[\s\S]*?\))", "\n\n$1", "U")
-    text = sub(text, r"\s*(\(Par[aá]grafo\s+adicionado[\s\S]*?\))", "\n$1", "iU")
-    return strip(squeeze_spaces(sub(text, r"\n{3,}", "\n\n")))
+    for pattern, replacement, flags in V.ANSWER_LAYOUT:
+        text = sub(text, pattern, replacement, flags)
+    return strip(squeeze_spaces(text))
 
 
 # ------------------------------------------------------------------- small

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexflow.functions import fixed_values as V
 from codexflow.functions.fields import question_article
 from codexflow.functions.text import strip
 
-PLAIN_STARTS = r"ART[IÍ]CULO\s+\d|CAP[IÍ]TULO|SECCI[OÓ]N|PARTE"
-HEADING_STARTS = r"#{1,4}\s*ART[IÍ]CULO\s*\d|#{1,4}\s*CAP[IÍ]TULO|#{1,4}\s*SECCI[OÓ]N"
-PLAIN_MENTION = r"ART[IÍ]CULO\s*(\d+(?:\.\d+)*)\.?\s"
-HEADING_MENTION = r"#{1,4}\s*ART[IÍ]CULO\s*(\d+(?:\.\d+)*)"
-
 
 def _segments(text: Column, starts: str) -> Column:
     return F.split(text, rf"(?iU)\n(?={starts})")
@@ -27,7 +23,7 @@ def article_spans(
     article, chapter or section. A document is cut in its own row. With
     ``wanted`` (article) other articles are dropped before any span is cut out.
     """
-    starts, mention = (HEADING_STARTS, HEADING_MENTION) if markdown else (PLAIN_STARTS, PLAIN_MENTION)
+    starts, mention = (V.HEADING_STARTS, V.HEADING_MENTION) if markdown else (V.PLAIN_STARTS, V.PLAIN_MENTION)
     cut = docs.select(order.alias("_doc"), F.posexplode_outer(_segments(F.col(text), starts)).alias("seg_no", "seg"))
     cut = cut.withColumn("seg", F.concat("seg", F.lit("\n")))
     named = F.array_distinct(F.regexp_extract_all("seg", F.lit(f"(?iU){mention}"), F.lit(1)))
