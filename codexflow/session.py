@@ -32,13 +32,16 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named in spark.checkpoint.dir.
 
-    Only when the session names none (tests, bench on one machine) a temporary
-    folder is made and written back to the setting.
+    Where a session on one machine (tests, bench) names none, a temporary folder serves; on a
+    cluster that is an error, as each executor would write to its own disk.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="codexflow-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="codexflow-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
