@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codexflow.llm import bpe, packing, secret_scan
-from codexflow.llm.common import read
+from codexflow.llm import bpe, language, packing, quality, secret_scan, toxicity
+from codexflow.llm.common import held_out, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +22,18 @@ def query(fn):
     return fn
 
 
+def marks(spark, sf_dir, label, parts, part):
+    """(doc_id, label) of the rows one may learn from."""
+    return read(spark, sf_dir, "labels").filter(~held_out("doc_id", parts, part)).select("doc_id", F.col(label).alias("label"))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, marks(spark, sf_dir, "toxic", 4, 2))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), VOCABULARY)
@@ -31,6 +44,20 @@ def op5_secrets(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
+@query
+def op6_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~held_out("doc_id", 3, 1)))
+    return language.predict(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False)
+
+
+@query
+def op9_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, marks(spark, sf_dir, "quality", 5, 0))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
