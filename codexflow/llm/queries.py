@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexflow.llm import bpe, language, packing, quality, secret_scan, toxicity
+from codexflow.llm import bpe, language, packing, quality, secret_scan, simhash, toxicity
 from codexflow.llm.common import held_out, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,12 @@ def op6_language(spark, sf_dir):
     return language.predict(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_simhash(spark, sf_dir):
+    found = simhash.link(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query
 def op8_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False)
