@@ -89,25 +89,7 @@ def map_slices(df: DataFrame, make, schema: str | T.StructType, text_col: str |
     return df.mapInArrow(run, fields)
 
 
-def stacked(vectors: list, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that are usable, their matrix in double precision).
-
-    Usable: not null, no null or non-finite component, not all zero, and of the expected length
-    (that of the first usable vector if none is given).
-    """
-    good, rows = [], []
-    for i, v in enumerate(vectors):
-        if v is None or any(x is None for x in v):
-            continue
-        a = np.asarray(v, dtype=np.float64)
-        if a.size and np.isfinite(a).all() and a.any() and (dims is None or a.size == dims):
-            dims = dims or a.size
-            good.append(i)
-            rows.append(a)
-    return np.array(good, dtype=np.int64), np.stack(rows) if rows else np.zeros((0, dims or 0))
-
-
-def usable_vectors(df: DataFrame, col: str) -> DataFrame:
-    """Rows whose vector is not null, not zero and holds only finite components."""
+def is_usable(col: str) -> Column:
+    """True for a vector that is not null, not all zero and holds only finite components."""
     bad = F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.filter(F.col(col).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(col, lambda x: x != 0))
+    return F.coalesce(F.col(col).isNotNull() & ~bad & F.exists(col, lambda x: x != 0), F.lit(False))

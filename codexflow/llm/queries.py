@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexflow.llm import bpe, language, packing, quality, secret_scan, simhash, toxicity
+from codexflow.llm import bpe, embedding_dedup, language, packing, quality, secret_scan, simhash, toxicity
 from codexflow.llm.common import held_out, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,3 +67,8 @@ def op9_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, marks(spark, sf_dir, "quality", 5, 0))
     return quality.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
