@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexflow.llm import bpe, embedding_dedup, language, packing, quality, secret_scan, simhash, toxicity
+from codexflow.llm import bpe, embedding_dedup, language, nearest, packing, quality, secret_scan, simhash, toxicity
 from codexflow.llm.common import held_out, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,12 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_nearest(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op3_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), VOCABULARY)
