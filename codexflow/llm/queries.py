@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexflow.llm import bpe, embedding_dedup, language, nearest, packing, quality, secret_scan, simhash, toxicity
+from codexflow.llm import bpe, embedding_dedup, language, nearest, packing, pii, quality, secret_scan, simhash, toxicity
 from codexflow.llm.common import held_out, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,11 @@ def op3_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+@query
+def op4_pii(spark, sf_dir):
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 @query
 def op5_secrets(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
