@@ -70,15 +70,24 @@ class Model:
         return names, scores
 
 
-def solve(x: np.ndarray, languages: list[str], landmarks: int, ridge: float) -> Model:
-    """Nyström kernel ridge regression; the first texts of each language, in turn, are the landmarks."""
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+def solve(bits: list[bytes], languages: list[str], landmarks: int, ridge: float) -> Model:
+    """Nyström kernel ridge regression; the first texts of each language, in turn, are the landmarks.
+
+    ``bits`` holds one packed presence vector per text; few are unpacked at a time.
+    """
     names = sorted(set(languages))
     turn, order = dict.fromkeys(names, 0), []
     for i, lang in enumerate(languages):
         order.append((turn[lang], i))
         turn[lang] += 1
-    marks = x[[i for _, i in sorted(order)[:landmarks]]]
-    cross, own = (x @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
+    marks = unpacked([bits[i] for _, i in sorted(order)[:landmarks]])
+    cross = np.concatenate([unpacked(bits[lo:lo + ROWS]) @ marks.T for lo in range(0, len(bits), ROWS)]).astype(np.float64)
+    own = (marks @ marks.T).astype(np.float64)
     y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in languages])
     balance = np.sqrt(np.array([len(languages) / turn[lang] for lang in languages]) / len(names))[:, None]  # every language weighs alike
     normal = (cross * balance).T @ (cross * balance) + ridge * len(languages) * own + 1e-8 * len(languages) * np.eye(len(marks))
@@ -109,8 +118,7 @@ def fit(docs: DataFrame, bound: int = 8_000, landmarks: int = 256, ridge: float
     seen = map_slices(sample, lambda: work, "place int, lang string, bits binary").toPandas().sort_values(["place", "lang"])
     if not len(seen):
         return None
-    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in seen["bits"]]).astype(np.float32)
-    return solve(x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)), seen["lang"].tolist(), landmarks, ridge)
+    return solve(seen["bits"].tolist(), seen["lang"].tolist(), landmarks, ridge)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
