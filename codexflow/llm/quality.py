@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +117,19 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = map_slices(own, lambda: work, f"id {own.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at or above the threshold; a map without a shuffle.
+
+    A row is judged by its own text: repeated rows and repeated or null ids are no special case.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([0.5] * len(texts) if shared.value is None else
+                            shared.value.scores(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))), dtype=float)
+
+    return docs.filter(scored(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)

@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,3 +238,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = map_slices(own, make, f"id {own.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold; a map without a shuffle.
+
+    A row is judged by its own text: repeated rows and repeated or null ids are no special case.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shared.value.ready().score(t) for t in texts], dtype=float)
+
+    return docs.filter(scored(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
