@@ -42,9 +42,9 @@ class Index:
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.largest - (x * x).sum(axis=1)))
         return np.column_stack([x, rest])
 
-    def lists(self, augmented: np.ndarray, n: int) -> np.ndarray:
+    def nearest_first(self, augmented: np.ndarray) -> np.ndarray:
         far = (self.centroids ** 2).sum(axis=1) - 2 * augmented @ self.centroids.T
-        return np.argsort(far, axis=1, kind="stable")[:, :n]
+        return np.argsort(far, axis=1, kind="stable")
 
     def survivors(self, query: np.ndarray, block: np.ndarray, k: int, worst: float) -> np.ndarray:
         """Positions in ``block`` (dimensions x candidates, rotated) that no test abandons.
@@ -168,26 +168,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int = 128
     spark, rows, asked = vectors.sparkSession, own(vectors), own(queries)
     id_type = rows.schema["id"].dataType
     out = T.StructType([T.StructField("query_id", id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
-    size = rows.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+    size = rows.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     if size is None:
         return spark.createDataFrame([], out).select("query_id", F.lit(0).alias("rank"), F.col("id").alias(id_col), "score")
     rows, asked = (df.filter(F.size("vector") == size["dims"]) for df in (rows, asked))
-    index = train(rows, lists, bound, strictness)
+    index = train(rows, max(1, min(lists, size["n"] // 32)), bound, strictness)
     shared = spark.sparkContext.broadcast(index)
     probes = max(1, math.ceil(len(index.centroids) * probe_share))
 
-    def assign(query):
+    with_lists = T.StructType([*rows.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
+
+    def index_row():
+        return lambda part: part | {"lists": shared.value.nearest_first(shared.value.augmented(part["vector"], False))[:, :1].tolist()}
+
+    listed = written(map_slices(rows, index_row, with_lists, text_col=None).select("id", "vector", F.col("lists")[0].alias("list")), "lists")
+    sizes = listed.groupBy("list").agg(F.count("*").alias("n"))
+    held = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in sizes.collect():  # one row per centroid
+        held[r["list"]] = r["n"]
+
+    def probed_lists():
         def work(part):
-            near = shared.value.lists(shared.value.augmented(part["vector"], query), probes if query else 1)
-            return part | {"lists": near.tolist()}
+            near = shared.value.nearest_first(shared.value.augmented(part["vector"], True))
+            enough = (np.cumsum(held[near], axis=1) <= k).sum(axis=1) + 1  # lists that hold k rows beside the query's own
+            return part | {"lists": [row[:max(probes, n)].tolist() for row, n in zip(near, enough)]}
 
-        return lambda: work
+        return work
 
-    with_lists = T.StructType([*rows.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
-    listed = written(map_slices(rows, assign(False), with_lists, text_col=None).select("id", "vector", F.col("lists")[0].alias("list")), "lists")
-    blocks = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # one row per centroid
+    blocks = F.broadcast(sizes.select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     candidates = listed.join(blocks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"), "id", "vector")
-    probing = (map_slices(asked, assign(True), with_lists, text_col=None).select("id", "vector", F.explode("lists").alias("list")).join(blocks, "list")
+    probing = (map_slices(asked, probed_lists, with_lists, text_col=None).select("id", "vector", F.explode("lists").alias("list")).join(blocks, "list")
                .select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("is_query"), "id", "vector"))
     dealt = candidates.unionByName(probing).repartition(F.col("list"), F.col("block")).sortWithinPartitions("list", "block", "is_query")
     found = dealt.mapInArrow(scan_cells(shared, k, id_type), out)
