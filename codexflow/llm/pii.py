@@ -115,7 +115,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, threshold: float, suppor
             .groupBy("term").agg(F.max(F.col("entity").contains(":")).alias("removed")))
 
 
-def find(docs: DataFrame, threshold: float = 0.8, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.8, support: int = 5, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``spans``: array of (start, rank, kind, end, value), by start, then in the order of the kinds.
 
     Base spans follow the patterns; ``term`` spans are the occurrences of disclosing terms outside them, with
@@ -131,6 +131,8 @@ def find(docs: DataFrame, threshold: float = 0.8, support: int = 5, id_col: str
     held = (named.select(key.alias("key"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(terms, "term")
             .groupBy("key").agg(F.collect_set(F.struct("term", "removed")).alias("terms")))
     held = written(held, "texts-with-terms")
+    size = held.agg(F.sum(F.lit(100) + 60 * F.size("terms"))).first()[0] or 0
+    held = F.broadcast(held) if size <= broadcast_bytes else held  # beyond that the texts are shuffled once
     marked = spans.withColumn("key", key).join(held, "key", "left")
     pattern = lambda removed: F.concat(F.lit(rf"(?iu)(?<!{LETTERS})(?:"), F.array_join(F.transform(
         F.filter("terms", lambda t: t["removed"] == removed), lambda t: t["term"]), "|"), F.lit(rf")(?!{LETTERS})"))
