@@ -74,10 +74,9 @@ def words_of(text: Column) -> Column:
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """(entity, context, words) for every mention: up to six words within 120 characters on either side.
+    """(entity, words) for every mention: up to six words within 120 characters on either side.
 
-    A mention stands for its value and for its kind. ``context`` is a hash of the words, by which copies of
-    one passage count once as evidence.
+    A mention stands for its value and for its kind.
     """
     mention = spans.filter(F.size("base") > 0).select("text", F.explode("base").alias("m"))
     first = F.greatest(F.col("m.start") - CHARS_BESIDE, F.lit(0))
@@ -90,19 +89,21 @@ def contexts(spans: DataFrame) -> DataFrame:
     last = F.slice("l", F.greatest(F.size("l") - WORDS_BESIDE + 1, F.lit(1)), WORDS_BESIDE)
     words = F.concat(last, F.slice("r", 1, WORDS_BESIDE))
     name = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
-    return beside.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", F.sha2(name, 256)))).alias("entity"), "kind",
-                         F.xxhash64(F.array_join(words, " ")).alias("context"), words.alias("words"))
+    return beside.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", F.sha2(name, 256)))).alias("entity"), words.alias("words"))
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, threshold: float, support: int) -> DataFrame:
     """(term, removed): terms that disclose more than ``threshold`` of an entity's information.
 
-    ``support`` different contexts are needed, so that a rare word seen beside an entity by chance, or in
-    copies of one passage, is no evidence. Counts cover the whole corpus.
+    A rare word seen beside an entity by chance is no evidence, nor are copies and near copies of one passage.
+    Each context has a sketch, the smallest hash of its other words, which near copies mostly share; the
+    effective number of contexts, (sum n)^2 / sum n^2 over the sketches, must reach ``support``. Counts cover
+    the whole corpus.
     """
-    seen = contexts(spans).select("entity", "context", F.explode("words").alias("term"))
-    pairs = (seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")))
+    seen = contexts(spans).select("entity", "words", F.explode("words").alias("term"))
+    sketch = F.array_min(F.transform(F.array_remove("words", F.col("term")), lambda w: F.xxhash64(w)))
+    pairs = (seen.groupBy("entity", "term", sketch.alias("sketch")).agg(F.count("*").cast("double").alias("n"))
+             .groupBy("entity", "term").agg(F.sum("n").alias("together"), (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("contexts")))
     pairs = written(pairs, "cooccurrence")
     corpus = docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     corpus = written(corpus, "words")

@@ -100,14 +100,16 @@ def test_tricky_texts(spark, odd, empty):
 
 def test_disclosing_terms_are_found_wherever_they_stand(spark):
     """A code word seen next to one number in many contexts, and almost nowhere else, gives that number away."""
-    filler = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november".split()
-    rows = [(i, f"{filler[i % 14]} {filler[(i * 5 + 1) % 14]} quokka +1 (614) 555-8001 {filler[(i * 3 + 2) % 14]} {filler[(i + 7) % 14]}") for i in range(14)]
-    rows += [(100 + i, " ".join(filler[(i + k) % 14] for k in range(12))) for i in range(60)]
-    rows += [(200, "the Quokka is not a quokkas"), (201, "same passage zebu 10.0.0.1 again"), *[(300 + i, "same passage zebu 10.0.0.1 again") for i in range(9)]]
+    filler = [a + b for a in ("al", "bra", "char", "del", "ech", "fox", "gol", "hot") for b in ("pha", "vo", "lie", "ta", "oes", "trot", "fed", "elo")]
+    pick = lambda i, k: filler[(i * 7 + k * 13 + i * k) % 64]
+    rows = [(i, f"{pick(i, 1)} {pick(i, 2)} quokka +1 (614) 555-8001 {pick(i, 3)} {pick(i, 4)}") for i in range(20)]
+    rows += [(100 + i, " ".join(pick(i, k) for k in range(12))) for i in range(80)]
+    near = lambda i: "same passage zebu 10.0.0.1 again and " + ("once more" if i % 6 else pick(i, 5))
+    rows += [(200, "the Quokka is not a quokkas"), (201, near(1)), *[(300 + i, near(i)) for i in range(40)]]
     found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(s["start"], s["kind"], s["end"], s["value"]) for s in found[200]] == [(4, "term", 10, "removed")]
-    assert [s["kind"] for s in found[201]] == ["ip"], "copies of one passage are one piece of evidence"
-    assert all(not found[100 + i] for i in range(60))
+    assert [s["kind"] for s in found[201]] == ["ip"], "copies and near copies of one passage are one piece of evidence"
+    assert all(not found[100 + i] for i in range(80))
     clean = pii.sanitise(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).filter("doc_id in (0, 200)").collect()
     texts = {r["doc_id"]: r["text"] for r in clean}
     assert "[PHONE]" in texts[0] and "quokka" not in texts[0] and texts[200] == "the  is not a quokkas"
