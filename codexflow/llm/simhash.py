@@ -105,12 +105,13 @@ def link(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id",
 
 
 def long_fingerprints(docs: DataFrame, words: int, segments: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, same binary, long_print array<long>, segment values array<long>): for distinct shingle sets.
+    """(id, same binary, long_print array<long>, parts array<long>, n int): over the set of shingles.
 
-    ``same`` is a digest of the sorted set of shingles: equal sets are copies of similarity 1.
+    ``parts`` are the segment values; the last block of ``long_print`` is in no segment. ``same`` is a digest
+    of the sorted set: equal sets are copies of similarity 1.
     """
     own, kind = _own(docs, id_col, text_col)
-    blocks = -(-segments * width // 64)
+    blocks = -(-segments * width // 64) + 1
 
     def one(text):
         hashes = np.unique(shingle_hashes(text, words))
@@ -125,29 +126,35 @@ def long_fingerprints(docs: DataFrame, words: int, segments: int, width: int, id
     return map_slices(own, lambda: work, f"id {kind}, same binary, long_print array<long>, parts array<long>, n int")
 
 
-def group(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 12, width: int = 24, id_col: str = "doc_id",
+def group(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 14, width: int = 28, broadcast_rows: int = 1_000_000, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """(id, component): rows whose shingle sets have a Jaccard similarity of ``similarity`` or more, transitively.
 
     Candidates: every segment value puts a text into the buckets of its one-sided ball, and each member of
     a bucket is compared with the bucket's smallest id. Buckets of any size cost one row per member, so a
-    group of copies yields links in proportion to its size. Candidates pass if the long fingerprints differ
-    in at most a quarter of the bits, then only if the exact similarity of the shingle sets holds.
-    ``width`` should exceed the binary logarithm of the number of texts by about six.
+    group of copies yields links in proportion to its size. Candidates pass if a block of 64 bits outside
+    the segments, then the whole fingerprints differ in at most a quarter of the bits, then only if the exact
+    similarity of the shingle sets holds. ``width`` keeps strangers out of the buckets: it should exceed the
+    binary logarithm of the number of texts by about ten. At a similarity of 0.8 a pair meets in some bucket
+    with a probability of about 0.8, at 0.85 with 0.98, from 0.9 on practically always.
 
     Texts without a word have an empty shingle set and form one group. Null texts count as empty; rows with
     a null id are not grouped and get a null component.
     """
     prints = written(long_fingerprints(docs.filter(F.col(id_col).isNotNull()), words, segments, width, id_col, text_col), "long-fingerprints")
     first = written(prints.groupBy("same").agg(F.min("id").alias("id"), F.first("long_print").alias("long_print"), F.first("parts").alias("parts"), F.first("n").alias("n")), "distinct-shingles")
-    value = first.filter("n > 0").select("id", F.posexplode("parts").alias("segment", "value"))
+    value = first.filter("n > 0").select("id", F.element_at("long_print", -1).alias("check"), F.posexplode("parts").alias("segment", "value"))
     flips = F.expr(f"transform(filter(sequence(0, {width - 1}), i -> (value >> i) & 1 = 1), i -> value ^ (1L << i))")
-    member = value.select("id", F.explode(F.transform(F.concat(F.array("value"), flips), lambda v: v * segments + F.col("segment"))).alias("bucket"))
-    lowest = member.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("members")).filter("members > 1")
-    lowest = written(lowest, "buckets")
-    pairs = lowest.filter("members = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))
-    crowded = member.join(lowest.filter("members > 2").select("bucket", "leader"), "bucket").filter("id <> leader")
-    pairs = pairs.unionByName(crowded.select(F.col("leader").alias("a"), F.col("id").alias("b"))).filter("a <> b").distinct()
+    member = value.select("id", "check", F.explode(F.transform(F.concat(F.array("value"), flips), lambda v: v * segments + F.col("segment"))).alias("bucket"))
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 16
+    buckets = written(member.groupBy("bucket").agg(
+        F.min("id").alias("leader"), F.min_by("check", "id").alias("leader_check"), F.max("id").alias("last"),
+        F.max_by("check", "id").alias("last_check"), F.count("*").alias("members")).filter("members > 1"), "buckets")
+    pairs = buckets.filter((F.col("members") == 2) & near(F.col("leader_check"), F.col("last_check"))).select(F.col("leader").alias("a"), F.col("last").alias("b"))
+    crowded = buckets.filter("members > 2").select("bucket", "leader", "leader_check")
+    crowded = F.broadcast(crowded) if crowded.count() <= broadcast_rows else crowded  # 24 bytes a row
+    led = member.join(crowded, "bucket").filter((F.col("id") != F.col("leader")) & near(F.col("check"), F.col("leader_check")))
+    pairs = pairs.unionByName(led.select(F.col("leader").alias("a"), F.col("id").alias("b"))).filter("a <> b").distinct()
     full = first.select("id", "long_print", "n")
     side = lambda name: full.select(F.col("id").alias(name), F.col("long_print").alias(f"{name}_print"), F.col("n").alias(f"{name}_n"))
     distance = F.aggregate(F.zip_with("a_print", "b_print", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
