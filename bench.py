@@ -1,10 +1,16 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+The tables are first copied into several files each, untimed: a large input lies in many
+splits, and the plans measured here are the ones it gets. Every query runs twice;
+``queries`` has the first, cold run, ``warm`` the second.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import sys
+import tempfile
 import time
 
 from codexflow.session import env_int, local_session
@@ -24,15 +30,19 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(env_int("BENCH_CPUS", 8), os.environ.get("BENCH_MEMORY", "16g"))
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executor threads
-    seconds = {}
+    split = tempfile.mkdtemp(prefix="bench-")
+    for table in sorted(x.removesuffix(".parquet") for x in os.listdir(sf_dir) if x.endswith(".parquet")):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{split}/{table}.parquet")
+    seconds, warm = {}, {}
     for name in names:
-        start = time.perf_counter()
-        workload.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
-        print(f"{name} {seconds[name]}", file=sys.stderr)
+        for run in (seconds, warm):
+            start = time.perf_counter()
+            workload.QUERIES[name](spark, split).write.format("noop").mode("overwrite").save()
+            run[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {seconds[name]} {warm[name]}", file=sys.stderr)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "sf": os.path.basename(sf_dir.rstrip("/"))}))
+        "warm": warm, "warm_total": round(sum(warm.values()), 3), "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 

@@ -123,3 +123,9 @@ def context_header_markdown(source: Column, article: Column, section_title: Colu
     info = F.coalesce(F.concat(F.lit("Art. "), article), F.lit("Contexto general"))
     part = F.coalesce(F.concat(F.lit(" | "), F.nullif(section_title, F.lit(""))), F.lit(""))
     return F.concat(F.lit("[Documento: "), source, F.lit(" | "), info, part, F.lit(" | Formato: Markdown]\n"))
+
+
+def names_article(content: Column, article: Column) -> Column:
+    """Whether the text holds exactly this article number, not one it is a part of."""
+    exact = F.concat(F.lit(r"(?<![\d.])\Q"), article, F.lit(r"\E(?!\.?\d)"))
+    return F.coalesce(article.isNotNull() & F.contains(content, article) & F.rlike(content, exact), F.lit(False))

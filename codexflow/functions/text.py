@@ -257,8 +257,8 @@ def rows_to_markdown_table(rows: Column) -> Column:
 def join_broken_paragraphs(text: Column) -> Column:
     """Join a paragraph that does not close with the one that continues it.
 
-    One ordered pass over the paragraph array of the row: a joined pair is
-    consumed whole, so its second half never opens another join.
+    A joined pair is consumed whole, so its second half never opens another
+    join. The work grows with the number of paragraphs, not its square.
     """
     return let(F.transform(F.split(text, r"\n\n+"), strip), _join_paragraphs)
 
@@ -271,16 +271,15 @@ def _join_paragraphs(parts: Column) -> Column:
         follows = (nxt != "") & ~F.rlike(nxt, F.lit(f"(?iU){V.PARAGRAPH_STARTS}"))
         return F.struct(p.alias("p"), F.coalesce(is_open & follows, F.lit(False)).alias("joins"))
 
-    start = F.struct(empty("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
+    def joined(marked):
+        # an opening paragraph takes the next one whole, which then opens nothing
+        flags = F.array_join(F.transform(marked, lambda x: F.when(x["joins"], "1").otherwise("0")), "")
+        roles = F.filter(F.split(sub(flags, "1.", "JC"), ""), lambda c: c != "")
+        return let(roles, lambda r: F.array_join(F.flatten(F.transform(
+            marked, lambda x, i: F.when(F.get(r, i) == "J", F.array(F.concat(x["p"], F.lit(" "), F.get(marked, i + 1)["p"])))
+            .when(F.get(r, i) == "C", empty("array<string>")).otherwise(F.array(x["p"])))), "\n\n"))
 
-    def step(acc, x):
-        hold = acc["held"].isNull() & x["joins"]
-        emit = F.coalesce(F.concat(acc["held"], F.lit(" "), x["p"]), x["p"])
-        return F.struct(
-            F.when(hold, acc["out"]).otherwise(F.concat(acc["out"], F.array(emit))).alias("out"),
-            F.when(hold, x["p"]).alias("held"))
-
-    return F.aggregate(F.transform(parts, mark), start, step, lambda acc: F.array_join(acc["out"], "\n\n"))
+    return let(F.transform(parts, mark), joined)
 
 
 def format_answer(text: Column) -> Column:
@@ -308,7 +307,7 @@ def strip_front_matter(text: Column) -> Column:
 
 
 def sanitize_name(stem: Column) -> Column:
-    return F.substring(sub(stem, r"[^\w\-]", "_", "U"), 1, 60)
+    return sub(stem, r"[^\w\-]", "_", "U")
 
 
 def file_name(path: Column) -> Column:
@@ -330,7 +329,6 @@ def tokens(text: Column) -> Column:
         F.split(t, r"(?U)\s+")))
 
 
-def content_hash(content: Column, prefix_bytes: int = V.HASH_PREFIX_BYTES) -> Column:
-    """First 16 hex digits of SHA-256 over the first bytes of the content."""
-    binary = content.cast("binary")
-    return F.substring(F.sha2(F.substring(binary, 1, prefix_bytes), 256), 1, 16)
+def content_hash(content: Column) -> Column:
+    """SHA-256 of the whole content, 64 hex digits."""
+    return F.sha2(content.cast("binary"), 256)

@@ -4,6 +4,7 @@ The module is pickled by value, so executors need no copy of this package.
 """
 
 import sys
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -84,43 +85,69 @@ def block_topk(qids, qvecs, ids, vecs, k: int, digits: int) -> pd.DataFrame:
     return pd.concat(frames) if frames else pd.DataFrame({"qid": [], "id": [], "score": []})
 
 
-def scan_topk(queries: dict, k: int, digits: int, batch_rows: int = 16_384):
+def keep_best(held, found, k: int):
+    """The k best rows per question of two frames; ties go to the smaller id."""
+    rows = found if held is None else pd.concat([held, found])
+    return rows.sort_values(["qid", "score", "id"], ascending=[True, False, True], kind="stable").groupby("qid", sort=False).head(k)
+
+
+def scan_topk(queries: dict, k: int, digits: int, batch_rows: int = 4_096):
     """mapInPandas body: ``queries`` maps a key to (qids, vectors); corpus rows
     meet only the questions with their own key."""
-    def best(pdf):
-        found = []
-        for key, group in pdf.groupby("key", sort=False):
-            if key in queries:
-                qids, qvecs = queries[key]
-                found.append(block_topk(qids, qvecs, group["id"].to_numpy(), np.stack(group["vec"].to_numpy()), k, digits))
-        return pd.concat(found) if found else None
-
-    def reduce(frames):
-        rows = pd.concat(frames).sort_values(["qid", "score", "id"], ascending=[True, False, True])
-        return rows.groupby("qid", sort=False).head(k)
-
     def run(batches):
         held = None
         for pdf in batches:
-            for start in range(0, len(pdf), batch_rows):
-                found = best(pdf.iloc[start:start + batch_rows])
-                if found is not None:
-                    held = found if held is None else reduce([held, found])
+            for key, group in pdf.groupby("key", sort=False):
+                if key not in queries:
+                    continue
+                for start in range(0, len(group), batch_rows):
+                    part = group.iloc[start:start + batch_rows]
+                    qids, qvecs = queries[key]
+                    held = keep_best(held, block_topk(qids, qvecs, part["id"].to_numpy(), np.stack(part["vec"].to_numpy()), k, digits), k)
         if held is not None and len(held):
-            yield held.astype({"qid": "int64", "id": "int64", "score": "float64"})
+            yield held.astype({"score": "float64"})
 
     return run
 
 
-def join_topk(k: int, digits: int):
-    """applyInPandas body for one (corpus block, question block) pair."""
-    def run(corpus, queries):
-        if not len(corpus) or not len(queries):
-            return pd.DataFrame({"qid": [], "id": [], "score": []}).astype(
-                {"qid": "int64", "id": "int64", "score": "float64"})
-        out = block_topk(
-            queries["qid"].to_numpy(), np.stack(queries["qvec"].to_numpy()),
-            corpus["id"].to_numpy(), np.stack(corpus["vec"].to_numpy()), k, digits)
-        return out.astype({"qid": "int64", "id": "int64", "score": "float64"})
+def scan_terms(weights: list, k: int, avgdl: float, k1: float, b: float, digits: int, batch_rows: int = 256):
+    """mapInPandas body: BM25 of rows (id, dl, toks) for the questions of ``weights`` (qid, term, weight)."""
+    def run(batches):
+        qids = sorted({w[0] for w in weights})
+        place, by_term = {q: i for i, q in enumerate(qids)}, {}
+        for qid, term, weight in weights:
+            at, values = by_term.setdefault(term, ([], []))
+            at.append(place[qid])
+            values.append(weight)
+        by_term = {t: (np.array(at), np.array(values)) for t, (at, values) in by_term.items()}
+        held = None
+
+        def best(ids, lengths, token_lists):
+            cells, values = [], []
+            for row, (dl, toks) in enumerate(zip(lengths, token_lists)):
+                counts = Counter(t for t in toks if t in by_term)
+                for term, tf in counts.items():
+                    at, weight = by_term[term]
+                    cells.append(row * len(qids) + at)
+                    values.append(weight * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))))
+            if not cells:
+                return None
+            cells = np.concatenate(cells)
+            total = np.bincount(cells, np.concatenate(values), len(ids) * len(qids)).reshape(len(ids), len(qids))
+            met = np.zeros(len(ids) * len(qids), dtype=bool)
+            met[cells] = True
+            total, met = np.round(total, digits) + 0.0, met.reshape(len(ids), len(qids))
+            row, column = np.nonzero(met)
+            found = pd.DataFrame({"qid": [qids[c] for c in column], "id": ids[row], "score": total[row, column]})
+            return keep_best(None, found, k)
+
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_rows):
+                part = pdf.iloc[start:start + batch_rows]
+                found = best(part["id"].to_numpy(), part["dl"].to_numpy(), part["toks"].to_numpy())
+                if found is not None:
+                    held = keep_best(held, found, k)
+        if held is not None and len(held):
+            yield held
 
     return run

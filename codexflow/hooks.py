@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from codexflow.functions.text import tokens
 
@@ -17,15 +18,29 @@ BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 def per_batch(load: Callable[[], BatchFn], added: str) -> Callable[[DataFrame], DataFrame]:
     """``load`` runs once per task and returns the batch function; ``added`` is
-    the DDL of the columns that function adds."""
+    the DDL of the columns that function adds.
+
+    Where a batch raises, its rows are tried one by one; a row that raises again
+    keeps NULL in the added columns and says why in ``error``.
+    """
     def hook(df: DataFrame) -> DataFrame:
+        extra = [f.name for f in StructType.fromDDL(added).fields]
+
+        def attempt(fn, pdf):
+            try:
+                return fn(pdf.copy()).assign(error=None)
+            except Exception as problem:  # whatever a model raises is that row's error
+                if len(pdf) == 1:
+                    return pdf.assign(**dict.fromkeys(extra), error=f"{type(problem).__name__}: {problem}")
+                return pd.concat([attempt(fn, pdf.iloc[i:i + 1]) for i in range(len(pdf))])
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fn = load()
             for pdf in batches:
-                yield fn(pdf)
+                yield attempt(fn, pdf)
 
-        base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInPandas(run, f"{base}, {added}")
+        own = df.drop("error", *extra)
+        return own.mapInPandas(run, StructType([*own.schema.fields, *StructType.fromDDL(added).fields, StructField("error", StringType())]))
 
     return hook
 

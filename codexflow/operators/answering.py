@@ -32,7 +32,7 @@ def grade_chunks(hits: DataFrame, threshold: float = 0.5, grader: Hook | None =
     if grader is not None:
         return grader(hits).withColumn("relevant", F.coalesce("relevant", F.lit(False)))
     article = fields.question_article(F.col("question"))
-    named = F.coalesce(F.contains("content", article), F.lit(False))
+    named = fields.names_article(F.col("content"), article)
     return hits.withColumn("relevant", named | (coverage(F.col("question"), F.col("content")) >= threshold))
 
 
@@ -66,7 +66,7 @@ def build_context(kept: DataFrame) -> DataFrame:
         F.lit(" - pág. "), F.coalesce(d["page"].cast("string"), F.lit("?")), F.lit("]:\n"), d["content"])
     return kept.groupBy("qid").agg(docs.alias("_docs"), F.array_sort(F.collect_set("source")).alias("source_docs")).select(
         "qid", F.array_join(F.transform("_docs", label), "\n\n---\n\n").alias("context"),
-        F.array_join(F.transform("_docs", lambda d: F.substring(d["content"], 1, V.VERIFIER_CHARS)), "\n---\n").alias("evidence"),
+        F.array_join(F.transform("_docs", lambda d: d["content"]), "\n---\n").alias("evidence"),
         "source_docs")
 
 
@@ -178,9 +178,9 @@ def answer_questions(
 
 # ----------------------------------------------------------------- context
 
-def select_context(span: Column, full_text: Column, limit: int = V.CONTEXT_CHARS) -> Column:
-    """The exact article when found, else the first characters of the text."""
-    return F.coalesce(span, F.substring(full_text, 1, limit))
+def select_context(span: Column, retrieved: Column) -> Column:
+    """The exact article when found, else what retrieval found for the question."""
+    return F.coalesce(span, retrieved)
 
 
 def context_window(df: DataFrame, chunks: str = "chunks", before: int = 2, after: int = 2) -> DataFrame:

@@ -20,7 +20,6 @@ from codexflow.functions.workers import batch_splitter
 # A noncharacter: valid in a string, never part of text.
 GUARD = "\ufdd1"
 HEADER_LINE = r"#{1,4}(?:[ \n]|$)"
-SECTION = "struct<path:struct<h1:string,h2:string,h3:string,h4:string>,parts:array<string>>"
 Splitter = Callable[[Column], Column]  # array<string> -> array<array<string>>
 
 
@@ -90,39 +89,55 @@ def split_headers(text: Column) -> Column:
             b.alias("text"), F.length(marks).alias("level"), title.alias("title"),
             (F.left(F.substring_index(b, "\n", -1), F.lit(1)) == "#").alias("bare"))
 
-    path = ["h1", "h2", "h3", "h4"]
-
-    def next_path(acc, b):
-        return F.struct(*[
-            F.when(b["level"] == i, b["title"]).when((b["level"] > 0) & (b["level"] < i), F.lit(None))
-            .otherwise(acc["path"][h]).alias(h)
-            for i, h in enumerate(path, start=1)])
-
-    def depth(p):
-        return F.size(F.filter(F.array(*[p[h] for h in path]), F.isnotnull))
-
-    def step(acc, b):
-        def attach(p):
-            last = F.try_element_at(acc["out"], F.lit(-1))
-            merges = last["path"].eqNullSafe(p) | (acc["bare"] & (depth(last["path"]) < depth(p)))
-            entry = lambda parts: F.array(F.struct(p.alias("path"), parts.alias("parts")))
-            kept = F.slice(acc["out"], 1, F.size(acc["out"]) - 1)
-            return F.struct(
-                p.alias("path"), b["bare"].alias("bare"),
-                F.when((F.size(acc["out"]) > 0) & merges, F.concat(kept, entry(F.concat(last["parts"], F.array(b["text"])))))
-                .otherwise(F.concat(acc["out"], entry(F.array(b["text"])))).alias("out"))
-
-        return let(next_path(acc, b), attach)
-
-    start = F.struct(
-        F.struct(*[F.lit(None).cast("string").alias(h) for h in path]).alias("path"), F.lit(False).alias("bare"),
-        empty(f"array<{SECTION}>").alias("out"))
-    described = F.filter(F.transform(blocks, describe), lambda b: b["text"] != "")
-    return F.transform(
-        F.aggregate(described, start, step, lambda acc: acc["out"]),
-        lambda s: F.struct(
-            *[s["path"][h].alias(h) for h in path],
-            F.replace(F.array_join(s["parts"], "  \n"), F.lit(GUARD), F.lit("")).alias("content")))
+    return let(F.filter(F.transform(blocks, describe), lambda b: b["text"] != ""), _sections)
+
+
+PATH = ("h1", "h2", "h3", "h4")
+
+
+def _last_of_level(blocks: Column, level: int) -> Column:
+    """Per block: the position of the last heading of this level so far, or -1."""
+    def spread(at):
+        until = lambda k: F.coalesce(F.get(at, k), F.size(blocks))
+        runs = F.transform(at, lambda p, k: F.array_repeat(p, until(k + 1) - p))
+        return F.concat(F.array_repeat(F.lit(-1), until(F.lit(0))), F.flatten(runs))
+
+    found = F.filter(F.transform(blocks, lambda b, i: F.when(b["level"] == level, i)), F.isnotnull)
+    return let(found, spread)
+
+
+def _sections(blocks: Column) -> Column:
+    """Blocks to sections in linear time: heading positions give every block its
+    path, and neighbours alone decide where a section starts."""
+    def paths(last):
+        def path(b, i):
+            at = [F.get(last[h], i) for h in PATH]
+            own = [at[0] >= 0, *(at[n] > F.greatest(F.lit(-1), *at[:n]) for n in range(1, 4))]
+            named = [F.when(own[n], F.get(blocks, at[n])["title"]).alias(h) for n, h in enumerate(PATH)]
+            depth = sum((F.when(own[n] & F.get(blocks, at[n])["title"].isNotNull(), 1).otherwise(0) for n in range(4)), F.lit(0))
+            return F.struct(F.struct(*named).alias("path"), depth.alias("depth"), b["bare"].alias("bare"))
+
+        return F.transform(blocks, path)
+
+    def cut(placed):
+        def starts_section(x, i):
+            before = F.get(placed, i - 1)
+            merges = before["path"].eqNullSafe(x["path"]) | (before["bare"] & (before["depth"] < x["depth"]))
+            return F.when((i == 0) | ~F.coalesce(merges, F.lit(False)), i)
+
+        def collect(starts):
+            def section(start, k):
+                end = F.coalesce(F.get(starts, k + 1), F.size(blocks))
+                texts = F.transform(F.slice(blocks, start + 1, end - start), lambda b: b["text"])
+                content = F.replace(F.array_join(texts, "  \n"), F.lit(GUARD), F.lit(""))
+                return F.struct(*[F.get(placed, end - 1)["path"][h].alias(h) for h in PATH], content.alias("content"))
+
+            return F.transform(starts, section)
+
+        return let(F.filter(F.transform(placed, starts_section), F.isnotnull), collect)
+
+    last = F.struct(*[_last_of_level(blocks, n).alias(h) for n, h in enumerate(PATH, start=1)])
+    return let(let(last, paths), cut)
 
 
 # ---------------------------------------------------------------- composites
@@ -169,8 +184,15 @@ def explode_chunks(df: DataFrame, chunks: str = "chunks", keep_empty: bool = Fal
 
 
 def with_chunk_id(chunks: DataFrame) -> DataFrame:
-    """One bigint per chunk, from integer document ids below 2^39."""
-    return chunks.withColumn("chunk_id", F.shiftleft(F.col("doc_id").cast("bigint"), 24) + F.col("chunk_index"))
+    """One key per chunk, for document ids of any type: ``id#index``."""
+    return chunks.withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+
+
+def with_parents(sections: DataFrame, content: str = "content", size: int = V.ADAPTIVE_SIZE, overlap: int = V.ADAPTIVE_OVERLAP) -> DataFrame:
+    """One row per child window of every section, beside its whole parent."""
+    keep = [c for c in sections.columns if c != content]
+    cut = F.posexplode(split_fixed(F.col(content), size, overlap)).alias("child_no", "child")
+    return sections.select(*keep, F.col(content).alias("parent"), cut)
 
 
 def chunk_adaptive(
@@ -183,16 +205,16 @@ def chunk_adaptive(
 
 def chunk_page_text(
     df: DataFrame, text: str = "text", source: str = "source", size: int = V.LOADER_SIZE,
-    overlap: int = V.LOADER_OVERLAP, splitter: Splitter | None = None,
+    overlap: int = V.LOADER_OVERLAP, splitter: Splitter | None = None, min_chars: int = 1,
 ) -> DataFrame:
-    """Assembled page text to chunks with a context line; short chunks are dropped
-    after numbering."""
+    """Assembled page text to chunks with a context line; chunks shorter than
+    ``min_chars`` (by default: blank ones) are dropped after numbering."""
     splitter = splitter or recursive_splitter(V.PAGE_TEXT_SEPARATORS, size, overlap)
     keep = [c for c in df.columns if c != text]
     cut = F.flatten(splitter(F.array(clean_loader(F.col(text)))))
     pieces = df.select(*keep, F.posexplode_outer(cut).alias("chunk_index", "_piece"))
     out = (
-        pieces.filter(F.length(strip(F.col("_piece"))) >= V.MIN_CHUNK_CHARS)
+        pieces.filter(F.length(strip(F.col("_piece"))) >= min_chars)
         .withColumn("article", fields.article_of(F.col("_piece")))
         .withColumn("page", fields.page_of(F.col("_piece"))))
     header = fields.context_header(F.col(source), F.col("article"), F.col("page"))
@@ -203,12 +225,13 @@ def chunk_page_text(
 
 def chunk_markdown(
     df: DataFrame, text: str = "text", source: str = "source", size: int = V.LOADER_SIZE,
-    overlap: int = V.LOADER_OVERLAP, splitter: Splitter | None = None,
+    overlap: int = V.LOADER_OVERLAP, splitter: Splitter | None = None, min_chars: int = 1,
 ) -> DataFrame:
-    """Markdown to chunks with a context line; numbering counts kept chunks only."""
+    """Markdown to chunks with a context line; numbering counts kept chunks only,
+    those of ``min_chars`` or more (by default: all but blank ones)."""
     splitter = splitter or recursive_splitter(V.MARKDOWN_SEPARATORS, size, overlap)
     chunked = with_adaptive_chunks(df.withColumn(text, clean_loader(F.col(text))), text, size, overlap, splitter)
-    kept = F.filter("chunks", lambda c: F.length(strip(c["content"])) >= V.MIN_CHUNK_CHARS)
+    kept = F.filter("chunks", lambda c: F.length(strip(c["content"])) >= min_chars)
     out = explode_chunks(chunked.withColumn("chunks", kept).drop(text))
     out = out.withColumn("article", fields.article_number(F.col("h3"), F.col("content")))
     title = F.coalesce(F.nullif("h2", F.lit("")), F.nullif("h1", F.lit("")))

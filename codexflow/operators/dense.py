@@ -10,65 +10,47 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexflow.functions.workers import join_topk, scan_topk
-from codexflow.operators.lexical import SCORE_DIGITS, rank
+from codexflow.functions.workers import scan_topk
+from codexflow.operators.lexical import BLOCK, SCORE_DIGITS, in_blocks, rank
+from codexflow.session import cut_lineage
 
-RESULT = "qid bigint, id bigint, score double"
-MAX_LOCAL_QUESTIONS = 2_000
-BLOCK_ROWS = 50_000
 
-
-def dense_topk(
-    questions: DataFrame, corpus: DataFrame, k: int, max_local: int = MAX_LOCAL_QUESTIONS,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def dense_topk(questions: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Top k by dot product (unit vectors: the cosine order).
 
     questions: (qid, qvec[, key]); corpus: (id, vec[, key]). With ``key`` on both
     sides a question sees only rows of its own key, before any scoring.
 
-    Few questions (counted, at most ``max_local``) travel to the tasks that scan
-    the corpus and nothing else moves. More questions use a block join.
+    A block of questions travels to the tasks that scan the corpus, where tiles of
+    bounded size are multiplied; nothing else moves. Every block is one more scan,
+    the same plan for few questions and many.
     """
     keyed = "key" in corpus.columns
     key = (lambda df: df["key"].cast("string")) if keyed else (lambda df: F.lit(""))
     q = questions.select("qid", "qvec", key(questions).alias("key")).filter("key IS NOT NULL")
     c = corpus.select("id", "vec", key(corpus).alias("key")).filter("key IS NOT NULL")
-    rows = q.limit(max_local + 1).collect()  # never more than max_local + 1 rows
-    partial = _scan(rows, c, k) if len(rows) <= max_local else _block_join(q, c, k, block_rows, max_local)
+    result = f"qid {q.schema['qid'].dataType.simpleString()}, id {c.schema['id'].dataType.simpleString()}, score double"
+    partial = None
+    for part in in_blocks(q, block):
+        found = c.mapInPandas(scan_topk(_packed(part.collect()), k, SCORE_DIGITS), result)  # about ``block`` rows
+        partial = found if partial is None else partial.unionByName(found)
     return rank(partial, k, [F.desc("score"), F.asc("id")])
 
 
-def _scan(rows: list, c: DataFrame, k: int) -> DataFrame:
+def _packed(rows: list) -> dict:
     by_key: dict[str, tuple[list, list]] = {}
     for row in rows:
         ids, vecs = by_key.setdefault(row["key"], ([], []))
         ids.append(row["qid"])
         vecs.append(row["qvec"])
-    packed = {key: (np.array(ids), np.array(vecs, dtype=np.float64)) for key, (ids, vecs) in by_key.items()}
-    return c.mapInPandas(scan_topk(packed, k, SCORE_DIGITS), RESULT)
-
-
-def _block_join(q: DataFrame, c: DataFrame, k: int, block_rows: int, max_local: int) -> DataFrame:
-    """Equi-join of blocks: the corpus is cut into salted blocks and the question
-    side is repeated per salt. A hot key is spread over all salts, and a block
-    holds about ``block_rows`` vectors at most whatever the key distribution."""
-    salts = max(1, -(-c.count() // block_rows))
-    q_blocks = max(1, -(-q.count() // max_local))
-    corpus = c.withColumns({
-        "salt": F.pmod(F.xxhash64("id"), F.lit(salts)),
-        "qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
-    queries = q.withColumns({
-        "qb": F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"),
-        "salt": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))})
-    keys = ["key", "salt", "qb"]
-    return corpus.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(join_topk(k, SCORE_DIGITS), RESULT)
+    return {key: (ids, np.array(vecs, dtype=np.float64)) for key, (ids, vecs) in by_key.items()}
 
 
 def dense_topk_lsh(
     questions: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 4, seed: int = 7,
 ) -> DataFrame:
     """Approximate form: exact scores, but only inside the question's buckets.
+    Questions whose buckets hold fewer than k rows are searched exactly.
 
     Random-projection hashing gives each vector one bucket per table. A bucket
     is the key of the exact keyed search, so a bucket of very many copies is
@@ -90,7 +72,12 @@ def dense_topk_lsh(
         return rows.withColumn("key", F.concat(F.col("t").cast("string"), F.lit(":"), bucket)).drop("h")
 
     asked = bucketed(features(questions.select("qid", "qvec"), "qvec"))
-    requests = asked.select((F.col("qid") * tables + F.col("t")).alias("qid"), "qvec", "key")
+    requests = asked.select(F.struct("qid", "t").alias("qid"), "qvec", "key").withColumn("qid", F.to_json("qid"))
     found = dense_topk(requests, bucketed(c).select("id", "vec", "key"), k)
-    merged = found.groupBy(F.floor(F.col("qid") / tables).alias("qid"), "id").agg(F.max("score").alias("score"))
-    return rank(merged, k, [F.desc("score"), F.asc("id")])
+    named = asked.select("qid", F.to_json(F.struct("qid", "t")).alias("request")).distinct()
+    merged = found.withColumnRenamed("qid", "request").join(named, "request").groupBy("qid", "id").agg(F.max("score").alias("score"))
+    best = cut_lineage(rank(merged, k, [F.desc("score"), F.asc("id")]), "bucket-hits")
+    full = best.groupBy("qid").count().filter(F.col("count") >= k)
+    short = questions.select("qid", "qvec").join(full, "qid", "left_anti")
+    exact = dense_topk(short, corpus.select("id", "vec"), k)
+    return best.join(full, "qid", "left_semi").unionByName(exact.select(*best.columns))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexflow.functions import fixed_values as V
 from codexflow.functions.text import strip_code_fence
 
 JUDGE_SCHEMA = "faithfulness int, completeness int, citation_quality int, reasoning string, _bad string"
@@ -20,8 +19,9 @@ _JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
 METRICS = ("faithfulness", "completeness", "citation_quality")
 
 
-def golden_set(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(V.GOLDEN_QUESTIONS, "id string, question string, intent string")
+def golden_set(spark: SparkSession, path: str) -> DataFrame:
+    """The caller's questions (id, question, intent) as a Parquet table."""
+    return spark.read.parquet(path).select("id", "question", "intent")
 
 
 def parse_json_reply(df: DataFrame, reply: str, schema: str) -> DataFrame:
@@ -55,18 +55,20 @@ def report_rows(scores: DataFrame, columns: list[str]) -> DataFrame:
     return scores.select(*columns, F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("line"))
 
 
-def write_report(scores: DataFrame, columns: list[str], path: str) -> None:
-    """Header lines and table as text parts, in order of the first column."""
+def write_report(scores: DataFrame, columns: list[str], path: str, labels: dict[str, str] | None = None) -> None:
+    """Mean scores and a table as text parts, in order of the first column's own type.
+
+    ``labels`` names the metrics; by default their column names stand.
+    """
+    named = {m: m for m in (*METRICS, "overall")} | (labels or {})
     s = summary(scores)
     text = F.concat(
-        F.format_string("**Puntuación General (Promedio):** %.2f/5.0\n", "overall"),
-        F.format_string("- **Fidelidad Literal:** %.2f/5\n", "faithfulness"),
-        F.format_string("- **Integridad de Datos/Tablas:** %.2f/5\n", "completeness"),
-        F.format_string("- **Calidad de Citas:** %.2f/5\n\n", "citation_quality"),
+        *(F.format_string(f"- {named[m]}: %.2f\n", m) for m in ("overall", *METRICS)), F.lit("\n"),
         F.lit("| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns)))
-    head = s.select(F.lit(0).alias("part"), F.lit("").alias("key"), text.alias("value"))
+    first = scores.schema[columns[0]].dataType
+    head = s.select(F.lit(0).alias("part"), F.lit(None).cast(first).alias("key"), text.alias("value"))
     body = report_rows(scores, columns).select(
-        F.lit(1).alias("part"), F.col(columns[0]).cast("string").alias("key"), F.col("line").alias("value"))
+        F.lit(1).alias("part"), F.col(columns[0]).alias("key"), F.col("line").alias("value"))
     head.unionByName(body).orderBy("part", "key").select("value").write.mode("errorifexists").text(path)
 
 

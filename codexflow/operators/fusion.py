@@ -11,7 +11,6 @@ from codexflow.functions import fields
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
 from codexflow.operators.lexical import rank
-from codexflow.session import fits, hint_broadcast
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -27,22 +26,22 @@ def union_branches(*branches: DataFrame) -> DataFrame:
     return out
 
 
-def attach_content(hits: DataFrame, chunks: DataFrame, few: bool, id_col: str = "doc_id") -> DataFrame:
-    """Look the few hits up in the large chunk table.
-
-    Hits number at most branches x k per question. When the questions are few
-    (``few``, from counting them) the hits are broadcast and the chunk table is
-    scanned, not shuffled.
-    """
-    return chunks.withColumnRenamed(id_col, "id").join(hint_broadcast(hits, few), "id")
+def attach_content(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Look the hits up in the chunk table; they number at most branches x k per question."""
+    return chunks.withColumnRenamed(id_col, "id").join(hits, "id")
 
 
 def dedupe_by_content(hits: DataFrame) -> DataFrame:
-    """One row per (qid, content): first position, payload of the later branch."""
+    """One row per (qid, content): first position, payload of the later branch.
+
+    Texts are told apart by their SHA-256, so no text is a shuffle key. Columns
+    beside (qid, id, branch, branch_rank, content) do not pass.
+    """
     pos = F.struct("branch", "branch_rank", "id")
-    fused = hits.groupBy("qid", "content").agg(
+    fused = hits.withColumn("_same", F.sha2("content", 256)).groupBy("qid", "_same").agg(
         F.min(pos).alias("_first"), F.max_by("id", pos).alias("id"))
-    return rank(fused, 2**31 - 1, [F.col("_first")]).withColumnRenamed("rank", "fused_rank").drop("_first")
+    ranked = rank(fused, 2**31 - 1, [F.col("_first")]).withColumnRenamed("rank", "fused_rank").drop("_first", "_same")
+    return ranked
 
 
 def fuse_rrf(hits: DataFrame, c: int = V.RRF_K) -> DataFrame:
@@ -57,7 +56,7 @@ def lexical_pair_score(question: Column, content: Column) -> Column:
     q = F.array_distinct(tokens(question))
     covered = F.size(F.array_intersect(q, tokens(content))) / F.greatest(F.size(q), F.lit(1))
     article = fields.question_article(question)
-    hit = F.when(article.isNotNull() & F.contains(content, article), 2.0).otherwise(0.0)
+    hit = F.when(fields.names_article(content, article), 2.0).otherwise(0.0)
     return F.round(hit + covered, 6)
 
 
@@ -67,7 +66,7 @@ def rerank(candidates: DataFrame, questions: DataFrame, top_k: int = V.TOP_K, sc
     mapInPandas, one model per worker). A NULL score falls back to fused order,
     behind every scored row.
     """
-    pairs = candidates.join(hint_broadcast(questions.select("qid", "question"), fits(questions)), "qid")
+    pairs = candidates.join(questions.select("qid", "question"), "qid")
     if scorer is None:
         scored = pairs.withColumn("rerank_score", lexical_pair_score(F.col("question"), F.col("content")))
     else:
@@ -91,5 +90,15 @@ def hybrid_retrieve(
     Either branch may be missing; the other one then serves alone.
     """
     branches = [b for b in (dense, sparse) if b is not None]
-    hits = attach_content(union_branches(*branches), chunks, fits(questions), id_col)
-    return rerank(dedupe_by_content(hits), questions, top_k, scorer)
+    return rerank(fuse(union_branches(*branches), chunks, id_col), questions, top_k, scorer)
+
+
+def fuse(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(qid, id, fused_rank, content): hits without repeats of one text, in fused order.
+
+    Whether two hits are the same text is decided on hashes; the texts themselves
+    join only what remains.
+    """
+    texts = chunks.select(F.col(id_col).alias("id"), "content")
+    fused = dedupe_by_content(attach_content(hits, chunks.select(id_col, "content"), id_col))
+    return fused.join(texts, "id")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexflow.functions import fixed_values as V
 from codexflow.functions.text import sub, tokens
 from codexflow.operators.dense import dense_topk
 from codexflow.operators.lexical import rank
@@ -34,15 +33,13 @@ def extractive_summary(text: Column, keep: int = 3, min_len: int = 4) -> Column:
 
 
 def summarize(chunks: DataFrame, content: str = "content", summarizer: Summarizer | None = None) -> DataFrame:
-    """Summary level of the index: long chunks are summarised, short ones kept."""
+    """Summary level of the index: every chunk's best sentences, whatever its length.
+
+    A short text's best sentences are the text itself.
+    """
     text = F.col(content)
-    long = F.length(text) > V.SUMMARY_MIN_CHARS
-    marked = chunks.withColumns({
-        "is_summary": long, "original_content_length": F.when(long, F.length(text))})
-    if summarizer is None:
-        return marked.withColumn(content, F.when(long, extractive_summary(text)).otherwise(text))
-    done = summarizer(marked.filter("is_summary"))
-    return done.unionByName(marked.filter("NOT is_summary"))
+    marked = chunks.withColumns({"is_summary": F.lit(True), "original_content_length": F.length(text)})
+    return marked.withColumn(content, extractive_summary(text)) if summarizer is None else summarizer(marked)
 
 
 def build_levels(chunks: DataFrame, content: str = "content", summarizer: Summarizer | None = None) -> DataFrame:
@@ -73,7 +70,7 @@ def hier_retrieve(
     keys = summaries.select("id", F.col("article").cast("string").alias("article"), F.col("page").cast("string").alias("page"))
     asked = top.select("qid", "id", F.col("rank").alias("summary_rank")).join(keys, "id").join(questions, "qid")
     request = cut_lineage(asked.select(
-        (F.col("qid") * (k_summaries + 1) + F.col("summary_rank")).alias("rid"), "qid", "summary_rank", "qvec",
+        F.to_json(F.struct("qid", "summary_rank")).alias("rid"), "qid", "summary_rank", "qvec",
         F.when(F.col("article").isNotNull(), F.concat(F.lit("a:"), F.col("article")))
         .when(F.col("page").isNotNull(), F.concat(F.lit("p:"), F.col("page"))).otherwise("*").alias("key")), "requests")
 

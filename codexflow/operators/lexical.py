@@ -4,53 +4,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
-from codexflow.session import cut_lineage, fits, hint_broadcast
+from codexflow.functions.workers import scan_terms
+from codexflow.session import cut_lineage
 
 SCORE_DIGITS = 6
-
-
-def explode_terms(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
-    """One row per token. The outer form spares the size filter that Spark infers
-    for a plain explode, which would tokenize every text a second time."""
-    return df.select(*keep, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL")
+BLOCK = 1_024  # questions that travel to the corpus scan at once
 
 
 @dataclass
 class Bm25Index:
-    """terms: (term, df, idf), a written table. tokenized: (id, dl, toks), or
-    stored: (term, id, dl, tf) once the index is saved."""
+    """terms: (term, df, idf), a written table. documents: (id, dl, toks)."""
 
     n_docs: int
     avgdl: float
     terms: DataFrame
-    tokenized: DataFrame | None = None
-    stored: DataFrame | None = None
-
-    def postings(self, vocabulary: DataFrame | None = None, few: bool = False) -> DataFrame:
-        """(term, id, dl, tf). With a vocabulary, other terms are dropped before
-        the shuffle, so its size follows the questions, not the corpus."""
-        rows = self.stored
-        if rows is None:
-            rows = explode_terms(self.tokenized, F.col("toks"), "id", "dl")
-        if vocabulary is not None:
-            rows = rows.join(hint_broadcast(vocabulary, few), "term", "left_semi")
-        if self.stored is not None:
-            return rows
-        # all tokens of a document are in one task: the partial count is final there
-        return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    documents: DataFrame
 
     def save(self, path: str) -> Bm25Index:
-        """Write the tables. Postings are ranged by (term, id): a frequent term
-        spreads over many files and a rare one touches a single row group."""
         spark = self.terms.sparkSession
-        postings = self.postings().repartitionByRange("term", "id").sortWithinPartitions("term", "id")
         corpus = spark.createDataFrame([(self.n_docs, self.avgdl)], "n_docs bigint, avgdl double")
-        for name, df in (("corpus", corpus), ("terms", self.terms), ("postings", postings)):
+        for name, df in (("corpus", corpus), ("terms", self.terms), ("documents", self.documents)):
             df.write.mode("errorifexists").parquet(f"{path}/{name}")
         return load_index(spark, path)
 
@@ -58,48 +36,61 @@ class Bm25Index:
 def load_index(spark: SparkSession, path: str) -> Bm25Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     n_docs, avgdl = read("corpus").first()
-    return Bm25Index(n_docs, avgdl, read("terms"), stored=read("postings"))
+    return Bm25Index(n_docs, avgdl, read("terms"), read("documents"))
 
 
 def build_index(chunks: DataFrame, id_col: str = "doc_id", text: str = "text") -> Bm25Index:
-    """Count once: document frequencies go to a written table, which the mean
-    idf, the questions and any later batch read instead of the texts."""
-    tokenized = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("toks")).select(
+    """One pass over the texts: a document adds one to each of its terms, and its
+    length to the NULL term. The counts go to a written table."""
+    documents = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("toks")).select(
         "id", F.size("toks").alias("dl"), "toks")
-    # counting (term) needs no document id in the shuffle: each document adds a term once
-    df = explode_terms(tokenized, F.array_distinct("toks")).groupBy("term").agg(F.count("*").alias("df"))
-    counted = cut_lineage(df, "bm25-terms")
-    n_docs, total = tokenized.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("bigint").alias("n"))
+    length = one(F.lit(None).cast("string"), F.coalesce(F.greatest("dl", F.lit(0)), F.lit(0)))
+    seen = F.transform(F.array_distinct(F.coalesce("toks", F.array().cast("array<string>"))), lambda t: one(t, F.lit(1)))
+    rows = documents.select(F.explode_outer(F.concat(seen, F.array(length))).alias("r")).select("r.*")
+    counted = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")), "bm25-terms")
+    whole = counted.filter("term IS NULL").first()
+    n_docs, total = (whole["df"], whole["n"]) if whole else (0, 0)
     raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    floor = V.BM25_EPSILON * (counted.agg(F.avg(raw)).first()[0] or 0.0)
-    terms = counted.select("term", "df", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
-    return Bm25Index(n_docs, total / n_docs if n_docs else 0.0, terms, tokenized)
+    named = counted.filter("term IS NOT NULL")
+    floor = V.BM25_EPSILON * (named.agg(F.avg(raw)).first()[0] or 0.0)
+    terms = named.select("term", "df", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
+    return Bm25Index(n_docs, total / n_docs if n_docs else 0.0, terms, documents)
 
 
 def query_terms(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
     """(qid, term, qtf): a repeated token counts as often as it occurs."""
-    return (
-        explode_terms(questions.withColumnRenamed(qid, "qid"), tokens(F.col(question)), "qid")
-        .groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+    # the outer form spares the size filter that Spark infers for a plain explode, which would tokenize twice
+    rows = questions.select(F.col(qid).alias("qid"), F.explode_outer(tokens(F.col(question))).alias("term"))
+    return rows.filter("term IS NOT NULL").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def in_blocks(rows: DataFrame, block: int = BLOCK):
+    """The questions' rows, ``block`` questions at a time by a hash of the qid."""
+    n = rows.select("qid").distinct().count()
+    blocks = max(1, -(-n // block))
+    for b in range(blocks):
+        yield rows.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
 
 
-def score(index: Bm25Index, questions: DataFrame) -> DataFrame:
-    """(qid, id, score) for every chunk that shares a term with the question.
+def score(index: Bm25Index, questions: DataFrame, k: int = 10 * V.TOP_K, block: int = BLOCK) -> DataFrame:
+    """(qid, id, score): the k best of the chunks that share a term with each question.
 
-    A frequent term is a hot key, so postings are not shuffled by term: the
-    question terms are broadcast when the questions are few (counted), and AQE
-    splits the skewed side of the join otherwise. Scores combine per (chunk,
-    question).
+    A chunk is scored in its own row: the weights of a block of questions travel to
+    the scan, each task keeps k rows per question, and neither postings nor
+    (question, chunk) pairs are shuffled. Every block of questions is one more scan.
     """
-    few = fits(questions)
-    wanted = query_terms(questions)
-    weighted = hint_broadcast(wanted, few).join(index.terms, "term").select("qid", "term", "qtf", "idf")
-    vocabulary = wanted.select("term").distinct()
-    # one row per (question, term) at most, so no larger than the question terms
-    hits = index.postings(vocabulary, few).join(hint_broadcast(weighted, few), "term")
-    tf, norm = F.col("tf"), 1 - V.BM25_B + V.BM25_B * F.col("dl") / index.avgdl
-    part = F.col("qtf") * F.col("idf") * (tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * norm))
-    return hits.groupBy("id", "qid").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    weighted = cut_lineage(query_terms(questions).join(index.terms, "term").select(
+        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "question-terms")
+    kind = index.documents.schema["id"].dataType.simpleString()
+    asked = questions.schema["qid"].dataType.simpleString()
+    out = None
+    for part in in_blocks(weighted, block):
+        rows = part.collect()  # the terms of at most about ``block`` questions
+        scan = scan_terms([(r["qid"], r["term"], r["weight"]) for r in rows], k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS)
+        found = index.documents.filter(F.size("toks") > 0).mapInPandas(scan, f"qid {asked}, id {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    return rank(out, k, [F.desc("score"), F.asc("id")]).drop("rank")
 
 
 def rank(scored: DataFrame, k: int, order: list, by: str = "qid") -> DataFrame:
@@ -110,5 +101,5 @@ def rank(scored: DataFrame, k: int, order: list, by: str = "qid") -> DataFrame:
 
 
 def topk(index: Bm25Index, questions: DataFrame, k: int = 2 * V.TOP_K) -> DataFrame:
-    positive = score(index, questions).filter("score > 0")
+    positive = score(index, questions, k).filter("score > 0")
     return rank(positive, k, [F.desc("score"), F.asc("id")])

@@ -9,8 +9,8 @@ from codexflow.functions import fixed_values as V
 from codexflow.functions.text import strip, tokens
 
 
-def page_features(pages: DataFrame, sample_pages: int = V.SAMPLE_PAGES) -> DataFrame:
-    """Per page of the sample: characters, words, coverage, table hint.
+def page_features(pages: DataFrame, sample_pages: int | None = None) -> DataFrame:
+    """Per page (the first ``sample_pages`` if given): characters, words, coverage, table hint.
 
     Optional boolean input columns ``found_table`` and ``found_image`` add what a
     layout detector saw.
@@ -19,7 +19,7 @@ def page_features(pages: DataFrame, sample_pages: int = V.SAMPLE_PAGES) -> DataF
     has = lambda s: F.contains(F.col("_t"), F.lit(s))
     seen = lambda c: F.col(c) if c in pages.columns else F.lit(False)
     return (
-        pages.filter(F.col("page_no") <= sample_pages).withColumn("_t", text)
+        (pages if sample_pages is None else pages.filter(F.col("page_no") <= sample_pages)).withColumn("_t", text)
         .withColumn("n_words", F.size(tokens(F.col("_t"))))
         .select(
             "doc_id", "page_no", F.length("_t").alias("chars"), "n_words",
@@ -73,15 +73,15 @@ def report(pages: DataFrame, dpi: float = V.DEFAULT_DPI) -> DataFrame:
     boolean = lambda c: F.when(F.col(c), "True").otherwise("False")
     reasoning = F.format_string(
         "Chars/page: %.0f, Coverage: %.2f, Tables: %s, DPI: %.0f → %s",
-        "avg_chars", "avg_coverage", boolean("has_tables"), F.lit(dpi), "recommendation")
+        F.bround("avg_chars", 0), F.bround("avg_coverage", 2), boolean("has_tables"), F.lit(dpi), "recommendation")
     either = lambda fallback, value: F.when(bad, F.lit(fallback)).otherwise(value)
     return assess(pages, F.lit(dpi)).select(
         "doc_id",
         either(False, F.col("is_native")).alias("is_native"),
         either(True, F.col("is_scanned")).alias("is_scanned"),
-        either(V.FALLBACK_SCORE, F.round("score", 3)).alias("quality_score"),
-        either(0.0, F.round("avg_chars", 1)).alias("avg_chars_per_page"),
-        either(0.0, F.round("avg_coverage", 3)).alias("text_coverage"),
+        either(V.FALLBACK_SCORE, F.bround("score", 3)).alias("quality_score"),
+        either(0.0, F.bround("avg_chars", 1)).alias("avg_chars_per_page"),
+        either(0.0, F.bround("avg_coverage", 3)).alias("text_coverage"),
         F.lit(dpi).alias("dpi_estimate"),
         either(False, F.col("has_tables")).alias("has_tables"),
         either(False, F.col("has_images")).alias("has_images"),

@@ -47,8 +47,8 @@ def ingest_with_loader(docs: DataFrame, loader: str, **options) -> DataFrame:
     return chunkers[loader](docs, **options).withColumn("loader", F.lit(f"{loader}_legal"))
 
 
-def run(docs: DataFrame, path: str, collection: str, **options) -> None:
-    """One write, partitioned by outcome: readers of ``success=true`` never see
-    the quarantine rows beside it."""
-    rows = ingest(docs, **options).withColumn("collection", F.lit(collection))
-    rows.write.mode("append").partitionBy("collection", "success").parquet(path)
+def run(docs: DataFrame, path: str, collection: str, batch: str = "all", **options) -> None:
+    """Partitioned by outcome: readers of ``success=true`` never see the quarantine
+    rows beside it. A batch that is run again replaces its own rows."""
+    rows = ingest(docs, **options)
+    rows.write.mode("overwrite").partitionBy("success").parquet(f"{path}/collection={collection}/batch={batch}")

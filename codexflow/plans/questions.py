@@ -2,61 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import format_answer, join_broken_paragraphs, strip_front_matter
-from codexflow.operators import articles
+from codexflow.operators import articles, lexical
 from codexflow.operators.answering import select_context
 from codexflow.session import cut_lineage
 from codexflow.sources.pages import assemble_clean_pages
 
 
-def _corpus_prefix(docs: DataFrame, order: Column, limit: int) -> DataFrame:
-    """First characters of all texts in order, as one row.
+KEEP = 3
 
-    Lengths alone decide which documents reach into the prefix, so only (key,
-    length) pairs are ordered. Every non-empty text adds at least three
-    characters with its separator, which bounds those pairs; the texts picked
-    add up to at most twice the limit.
-    """
-    sized = docs.select(order.alias("o"), F.substring("text", 1, limit).alias("t")).filter("t <> ''")
-    shortest = sized.select("o", (F.length("t") + 2).alias("n")).orderBy("o").limit(limit // 3 + 1)
-    upto = Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    near = shortest.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).filter(F.col("before") < limit)
-    picked = sized.join(F.broadcast(near.select("o")), "o")  # at most limit / 3 + 1 keys
-    ordered = F.array_sort(F.collect_list(F.struct("o", "t")))
-    joined = F.array_join(F.transform(ordered, lambda r: r["t"]), "\n\n")
-    return picked.agg(F.substring(joined, 1, limit).alias("prefix"))
-
-
-def direct_query(
-    questions: DataFrame, pages: DataFrame, limit: int = V.CONTEXT_CHARS, answerer=None,
-) -> DataFrame:
+
+def retrieved(questions: DataFrame, docs: DataFrame, keep: int = KEEP) -> DataFrame:
+    """(qid, retrieved): the whole texts of the ``keep`` best documents by BM25, best first."""
+    best = lexical.topk(lexical.build_index(docs), questions, keep)
+    texts = best.select("qid", "rank", F.col("id").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))  # at most ``keep`` rows
+    return texts.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n\n").alias("retrieved"))
+
+
+def direct_query(questions: DataFrame, pages: DataFrame, keep: int = KEEP, answerer=None) -> DataFrame:
     """(qid, question, article, context, answer, mode). Pages are cleaned, joined
-    and mended per document; the asked article, or the first characters of the
-    corpus, is the context. ``answerer`` adds ``answer`` to the frame; by default
+    and mended per document; the asked article, or else the best documents for the
+    question, is the context. ``answerer`` adds ``answer`` to the frame; by default
     the context is the answer.
     """
     docs = assemble_clean_pages(pages).withColumn("text", join_broken_paragraphs(F.col("text")))
-    docs = cut_lineage(docs, "assembled")  # read by the lookup and twice by the prefix
-    found = articles.lookup(questions, docs, F.col("doc_id"))
-    return _answer(found, docs, F.col("doc_id"), limit, answerer, "pdf_direct", V.NO_PDF_TEXT)
+    docs = cut_lineage(docs, "assembled")  # read by the lookup and by retrieval
+    return _answer(articles.lookup(questions, docs, F.col("doc_id")), docs, keep, answerer, "pdf_direct", V.NO_PDF_TEXT)
 
 
-def markdown_query(
-    questions: DataFrame, golden: DataFrame, limit: int = V.CONTEXT_CHARS, answerer=None,
-) -> DataFrame:
+def markdown_query(questions: DataFrame, golden: DataFrame, keep: int = KEEP, answerer=None) -> DataFrame:
     """golden: (doc_id, text) of the stored or given Markdown, header block included."""
     docs = golden.withColumn("text", strip_front_matter(F.col("text")))
     found = articles.lookup(questions, docs, F.col("doc_id"), markdown=True)
-    return _answer(found, docs, F.col("doc_id"), limit, answerer, "markdown_direct", V.NO_DOCUMENTS)
+    return _answer(found, docs, keep, answerer, "markdown_direct", V.NO_DOCUMENTS)
+
+
+def library_query(questions: DataFrame, docs: DataFrame, manifest: DataFrame, keep: int = KEEP, answerer=None) -> DataFrame:
+    """Questions over documents (doc_id, file_hash, name, text), stored copies first.
+
+    Documents with a stored copy answer as Markdown. A question whose article none of
+    them names goes to the others; where those are none, retrieval over the stored
+    copies stands.
+    """
+    chosen = cut_lineage(choose_markdown(docs, manifest).select("doc_id", "text", "mode"), "chosen")
+    stored, rest = (chosen.filter(F.col("mode") == m).select("doc_id", "text") for m in ("markdown_direct", "pdf_direct_fallback"))
+    first = cut_lineage(markdown_query(questions, stored, keep, answerer).select("qid", "article", "found", "context", "answer", "mode"), "stored-answers")
+    open_ = questions.join(first.filter("NOT found").select("qid"), "qid", "left_semi")
+    second = direct_query(open_, rest.withColumn("page_no", F.lit(1)), keep, answerer).filter("found").select(*first.columns)
+    return first.join(second.select("qid"), "qid", "left_anti").unionByName(second)
 
 
-def _answer(found, docs, order, limit, answerer, mode, empty_text):
-    prefix = _corpus_prefix(docs, order, limit).scalar()
-    ctx = found.withColumn("context", select_context(F.col("span"), prefix, limit)).drop("span")
+def _answer(found, docs, keep, answerer, mode, empty_text):
+    found = cut_lineage(found, "spans")
+    near = retrieved(found.filter("span IS NULL").select("qid", "question"), docs, keep)
+    ctx = found.join(near, "qid", "left").withColumns({
+        "context": select_context(F.col("span"), F.col("retrieved")), "found": F.col("span").isNotNull()}).drop("span", "retrieved")
     answered = ctx.withColumn("answer", F.col("context")) if answerer is None else answerer(ctx)
     final = F.when(F.coalesce("context", F.lit("")) == "", F.lit(empty_text)).otherwise(format_answer(F.col("answer")))
     return answered.withColumns({"answer": final, "mode": F.lit(mode)})

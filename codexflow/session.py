@@ -7,9 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 10_000
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -20,6 +17,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.maxPartitionBytes", "32m")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # halves the time to build long rule chains
         .config("spark.sql.adaptive.enabled", "true")
@@ -56,31 +54,5 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when a small input arrives in fewer splits than cores.
-
-    A large input has more splits than cores and passes through unchanged, so
-    the extra exchange only ever moves small data.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most max_rows rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def hint_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
-    """Broadcast a side whose size the caller has checked; else AQE decides.
-
-    ``bounded`` comes from counting the small input the frame is derived from
-    (see ``fits``), so the check never runs the derived plan itself.
-    """
-    return F.broadcast(df) if bounded else df
-
-
 def env_int(name: str, default: int) -> int:
     return int(os.environ.get(name, default))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexflow.functions.text import file_name, file_stem, file_suffix, strip_front_matter
@@ -52,11 +52,21 @@ def scan_files(spark: SparkSession, paths: list[str] | str, glob: str = DEFAULT_
         .withColumn("name", file_name(F.col("path"))))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _status(spark, path) != "missing"
+
+
+def utf8(content: Column) -> Column:
+    """Text of binary content; NULL where the bytes are not UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def read_markdown(spark: SparkSession, paths: list[str] | str, glob: str = "*.md") -> DataFrame:
-    """One row per file: path, source, header-free text."""
-    files = scan_files(spark, paths, glob)
-    text = strip_front_matter(F.decode("content", "UTF-8"))
-    return files.select("path", F.col("name").alias("source"), text.alias("text"))
+    """One row per file: path, source, header-free text, error. A file that is not
+    UTF-8 has no text and says so; the others are not affected."""
+    files = scan_files(spark, paths, glob).withColumn("_text", utf8(F.col("content")))
+    return files.select("path", F.col("name").alias("source"), strip_front_matter(F.col("_text")).alias("text"),
+                        F.when(F.col("_text").isNull(), F.lit("not UTF-8")).alias("error"))
 
 
 def path_parts(df: DataFrame, path: str = "path") -> DataFrame:

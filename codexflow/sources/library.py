@@ -7,21 +7,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from codexflow.functions.text import content_hash, file_name, file_stem, sanitize_name, strip
+from codexflow.sources.files import exists
 
 MANIFEST_SCHEMA = (
     "file_hash string, name string, md_filename string, processed_at string, source_tool string, chars bigint")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Missing manifest gives no rows; malformed JSON lines are dropped."""
-    try:
-        raw = spark.read.schema(MANIFEST_SCHEMA + ", _bad string").option(
-            "columnNameOfCorruptRecord", "_bad").json(path)
-    except AnalysisException:
+def read_manifest(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Missing manifest gives no rows. Malformed lines are written to ``quarantine``
+    as text, or are an error where no such folder is given: a forgotten entry
+    would be converted again."""
+    if not exists(spark, path):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
+    raw = spark.read.schema(MANIFEST_SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    bad = spark.read.text(path).filter(F.trim("value") != "").select("value", F.from_json(
+        "value", MANIFEST_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).filter(
+        "r._bad IS NOT NULL OR r.file_hash IS NULL").select("value")
+    if quarantine is not None:
+        bad.write.mode("overwrite").text(quarantine)
+    elif not bad.isEmpty():
+        raise ValueError(f"malformed manifest lines in {path}; name a quarantine folder to set them aside")
     return raw.filter("_bad IS NULL AND file_hash IS NOT NULL").drop("_bad")
 
 
@@ -32,7 +39,7 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def md_filename(path: Column, file_hash: Column) -> Column:
-    return F.concat(sanitize_name(file_stem(path)), F.lit("_"), F.substring(file_hash, 1, 8), F.lit(".md"))
+    return F.concat(sanitize_name(file_stem(path)), F.lit("_"), file_hash, F.lit(".md"))
 
 
 def render_golden_copy(
@@ -47,7 +54,7 @@ def render_golden_copy(
         "rendered": F.concat(
             F.lit("---\n"), line("source_pdf", file_name(F.col(path))), line("processed_at", processed_at),
             line("source_tool", source_tool), line("file_hash", F.col("file_hash")), F.lit("---\n\n"), F.col(body)),
-        "chars": F.length(body).cast("bigint")})
+        "processed_at": processed_at, "chars": F.length(body).cast("bigint")})
 
 
 def write_golden_copies(rendered: DataFrame, path: str) -> None:
@@ -55,6 +62,11 @@ def write_golden_copies(rendered: DataFrame, path: str) -> None:
     rendered.withColumn("bucket", F.substring("file_hash", 1, 2)).write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def golden_copies(spark: SparkSession, path: str) -> DataFrame:
+    """The stored copies; of a document converted again only the latest."""
+    return latest_per_hash(spark.read.parquet(path).drop("bucket"), F.struct("processed_at", "rendered"))
+
+
 def known(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     return docs.join(manifest.select("file_hash"), "file_hash", "left_semi")
 
@@ -89,8 +101,9 @@ def list_all(manifest: DataFrame) -> DataFrame:
     return manifest.orderBy(F.desc("processed_at"), "file_hash")
 
 
-def delete(manifest: DataFrame, md_filenames: DataFrame) -> DataFrame:
-    return manifest.join(md_filenames.select("md_filename"), "md_filename", "left_anti").select(*manifest.columns)
+def delete(manifest: DataFrame, gone: DataFrame) -> DataFrame:
+    """Manifest without the entries whose ``file_hash`` is in ``gone``."""
+    return manifest.join(gone.select("file_hash"), "file_hash", "left_anti").select(*manifest.columns)
 
 
 def convert_incremental(docs: DataFrame, manifest: DataFrame, tool: Column, force: bool = False) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexflow.functions import fixed_values as V
 from codexflow.functions.text import clean_page, strip
 
 
@@ -26,7 +25,7 @@ def _readable(pages: DataFrame, max_pages: int | None) -> DataFrame:
     return kept if max_pages is None else kept.filter(F.col("page_no") <= max_pages)
 
 
-def assemble_pages(pages: DataFrame, max_pages: int | None = V.MAX_PAGES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def assemble_pages(pages: DataFrame, max_pages: int | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     mark = F.concat(F.lit("[Página "), F.col("page_no").cast("string"), F.lit("]\n"), F.col("text"))
     return _assemble(_readable(pages, max_pages), mark, list(keys))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexflow.sources.files import scan_files
+from codexflow.sources.files import scan_files, utf8
 
 Source = Callable[..., DataFrame]
 _SOURCES: dict[str, Source] = {}
@@ -28,14 +28,14 @@ def load(name: str, spark: SparkSession, paths: list[str] | str, **options) -> D
 
 
 def load_multiple(name: str, spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """All paths in one scan; unreadable files are skipped by the reader."""
+    """All paths in one scan; a file that is not UTF-8 is one page without text."""
     return load(name, spark, paths, **options)
 
 
 def _text_pages(spark: SparkSession, paths: list[str] | str, glob: str = "*.txt") -> DataFrame:
     """Form feeds separate pages."""
     files = scan_files(spark, paths, glob)
-    pages = F.posexplode(F.split(F.decode("content", "UTF-8"), "\f")).alias("pos", "text")
+    pages = F.posexplode(F.coalesce(F.split(utf8(F.col("content")), "\f"), F.array(F.lit(None).cast("string")))).alias("pos", "text")
     return files.select(F.col("path").alias("doc_id"), pages).select(
         "doc_id", (F.col("pos") + 1).alias("page_no"), "text")
 

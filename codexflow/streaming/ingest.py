@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from codexflow.functions.text import content_hash
 from codexflow.plans.ingest import ingest
@@ -15,9 +14,12 @@ from codexflow.plans.ingest import ingest
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def file_stream(spark: SparkSession, path: str, glob: str, schema: str, fmt: str = "parquet") -> DataFrame:
+def file_stream(
+    spark: SparkSession, path: str, glob: str, schema: str, fmt: str = "parquet", files_per_batch: int | None = None,
+) -> DataFrame:
     """Arriving files; streaming sources need their schema spelled out."""
-    return spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob).load(path)
+    reader = spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).load(path)
 
 
 def start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -30,14 +32,6 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _library(spark: SparkSession, path: str, before: int, schema) -> DataFrame:
-    """What earlier batches stored; a replayed batch does not see itself."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch_id") < before).drop("batch_id")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 def ingest_sink(path: str, text: str = "text", **options):
     """Chunks and failed documents of each batch, told apart by ``success``."""
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -46,38 +40,36 @@ def ingest_sink(path: str, text: str = "text", **options):
     return batch
 
 
-def dedupe_sink(library_path: str, key: str, content: str = "text"):
-    """Each content once: inside the batch the smallest key wins, and content an
-    earlier batch stored is left out. The library table is the state, so it does
-    not grow in executor memory.
-    """
+def dedupe_sink(path: str, key: str, content: str = "text"):
+    """Per batch: each content's smallest key and number of copies. ``once_per_content``
+    merges the batches, so a later batch may still lower a key, and a replayed batch
+    replaces its own rows. No state is kept in executor memory."""
     def batch(df: DataFrame, batch_id: int) -> None:
         hashed = df.withColumn("file_hash", content_hash(F.col(content)))
-        first = hashed.groupBy("file_hash").agg(F.min(key).alias(key), F.count("*").alias("copies"))
-        seen = _library(df.sparkSession, library_path, batch_id, first.schema)
-        _replace_batch(first.join(seen, "file_hash", "left_anti"), library_path, batch_id)
+        _replace_batch(hashed.groupBy("file_hash").agg(F.min(key).alias(key), F.count("*").alias("copies")), path, batch_id)
 
     return batch
 
 
-def window_counts(events: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events and mean value per window and type."""
+def once_per_content(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(file_hash, smallest key, copies) over all batches so far."""
+    return spark.read.parquet(path).groupBy("file_hash").agg(F.min(key).alias(key), F.sum("copies").alias("copies"))
+
+
+def window_counts(events: DataFrame, ts: str = "ts", width: str = "1 hour") -> DataFrame:
+    """Events and sum of values per window and type."""
     timed = events.withColumn("ts", F.col(ts).cast("timestamp"))
-    if timed.isStreaming:
-        timed = timed.withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", width), "event_type").agg(
-        F.count("*").alias("n"), F.sum("value").alias("total"))
+    return timed.groupBy(F.window("ts", width).alias("window"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def upsert_sink(path: str):
-    """Update-mode results by batch; the latest batch holds the final value."""
+def window_sink(path: str, ts: str = "ts", width: str = "1 hour"):
+    """Partial counts of each batch. They add up whenever they arrive, so an event
+    may be late by any time and still counts; ``merged_windows`` adds them."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        _replace_batch(df, path, batch_id)
+        _replace_batch(window_counts(df, ts, width), path, batch_id)
 
     return batch
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    table = spark.read.parquet(path)
-    rest = [c for c in table.columns if c not in (*keys, "batch_id")]
-    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*keys, "_r.*")
+def merged_windows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("window", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

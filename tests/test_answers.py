@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
@@ -71,13 +72,23 @@ def test_markdown_heading_first(spark):
     assert R.lookup(qs, docs, F.col("doc_id"), markdown=True).first()["span"] == "## ARTÍCULO 2.2.1. cuerpo\ntexto"
 
 
-def test_direct_query_prefix_and_empty(spark):
-    qs = spark.createDataFrame([(1, "hola")], "qid int, question string")
-    pages = spark.createDataFrame([(d, p, f"doc {d} página {p}.") for d in (1, 2) for p in (1, 2)], "doc_id int, page_no int, text string")
-    full = "doc 1 página 1.\n\ndoc 1 página 2.\n\ndoc 2 página 1.\n\ndoc 2 página 2."
-    assert Q.direct_query(qs, pages).first()["context"] == full
-    assert Q.direct_query(qs, pages, limit=20).first()["context"] == full[:20]
-    assert Q.direct_query(qs, pages.limit(0)).first()["answer"] == V.NO_PDF_TEXT
+def test_direct_query_retrieves_whole_documents(spark):
+    qs = spark.createDataFrame([(1, "hola perro"), (2, "xyzzy")], "qid int, question string")
+    pages = spark.createDataFrame([(d, p, f"doc {d} página {p} {'perro' if d == 2 else 'gato'}.") for d in (1, 2, 3, 4) for p in (1, 2)], "doc_id int, page_no int, text string")
+    pages = pages.unionByName(spark.createDataFrame([(2, 3, "hola " + "relleno " * 30_000 + "final.")], "doc_id int, page_no int, text string"))
+    rows = {r["qid"]: r for r in Q.direct_query(qs, pages).collect()}
+    assert rows[1]["context"].startswith("doc 2 página 1") and rows[1]["context"].endswith("final.")
+    assert rows[2]["context"] is None and rows[2]["answer"] == V.NO_PDF_TEXT
+    assert {r["answer"] for r in Q.direct_query(qs, pages.limit(0)).collect()} == {V.NO_PDF_TEXT}
+
+
+def test_library_query_asks_the_other_documents_too(spark):
+    docs = spark.createDataFrame([(1, "h1", "a", "plain"), (2, "h2", "b", "ARTÍCULO 3.3.3. del otro.")], "doc_id int, file_hash string, name string, text string")
+    stored = spark.createDataFrame([("h1", "---\nk: v\n---\n\n## ARTÍCULO 2.2.1. guardado")], "file_hash string, body string")
+    qs = spark.createDataFrame([(1, "2.2.1"), (2, "3.3.3"), (3, "9.9.9")], "qid int, question string")
+    rows = {r["qid"]: r for r in Q.library_query(qs, docs, stored).collect()}
+    assert (rows[1]["mode"], rows[2]["mode"]) == ("markdown_direct", "pdf_direct") and "guardado" in rows[1]["context"] and "del otro" in rows[2]["context"]
+    assert rows[3]["mode"] == "markdown_direct" and not rows[3]["found"]
 
 
 def test_judge_and_report(spark):
@@ -88,11 +99,18 @@ def test_judge_and_report(spark):
     path = new_table_path(spark, "report")
     E.write_report(scores, ["id", "faithfulness"], path)
     lines = [r[0] for r in spark.read.text(path).collect()]
-    assert "**Puntuación General (Promedio):** 2.00/5.0" in lines and "| Q1 | 5 |" in lines
-    assert E.golden_set(spark).count() == 4
+    assert "- overall: 2.00" in lines and "| Q1 | 5 |" in lines
+    numbered = spark.createDataFrame([(i, 1, 1, 1) for i in (10, 2)], "id int, faithfulness int, completeness int, citation_quality int")
+    path = new_table_path(spark, "report")
+    E.write_report(numbered, ["id"], path)
+    assert [r[0] for r in spark.read.text(path).collect()][-2:] == ["| 2 |", "| 10 |"]
+    asked = spark.createDataFrame([("Q1", "¿qué?", "x")], "id string, question string, intent string")
+    asked.write.parquet(golden := new_table_path(spark, "golden"))
+    assert E.golden_set(spark, golden).count() == 1
 
 
-def test_from_documents_to_answers(spark):
+@pytest.mark.parametrize("key", ["int", "string"])
+def test_from_documents_to_answers(spark, key):
     from codexflow.hooks import embed_hashing
     from codexflow.operators import dense, fusion, lexical
     from codexflow.operators.chunking import with_chunk_id
@@ -100,18 +118,18 @@ def test_from_documents_to_answers(spark):
 
     docs = spark.createDataFrame([
         (1, "a.md", "Resolución No. 0123\nARTÍCULO 2.2.1. El pozo capta 120 m³ de agua.\nARTÍCULO 2.2.2. Las multas se pagan."),
-        (2, "b.md", "CONSIDERANDO\nque la vereda pide agua limpia"), (3, "c.md", "")], "doc_id int, source string, text string")
+        (2, "b.md", "CONSIDERANDO\nque la vereda pide agua limpia"), (3, "c.md", "")], "doc_id int, source string, text string").withColumn("doc_id", F.col("doc_id").cast(key))
     chunks = cut(with_chunk_id(ingest(docs, processed_at=F.lit("t")).filter("success")))
     questions = spark.createDataFrame([(1, "¿quién capta agua según 2.2.1?"), (2, "xyzzy")], "qid bigint, question string")
     vectors = embed_hashing(
-        chunks.select("chunk_id", F.col("content").alias("text")).unionByName(
-            questions.select((-F.col("qid")).alias("chunk_id"), F.col("question").alias("text"))))
+        chunks.select("chunk_id", F.lit(None).cast("bigint").alias("qid"), F.col("content").alias("text")).unionByName(
+            questions.select(F.lit(None).cast("string").alias("chunk_id"), "qid", F.col("question").alias("text"))))
     near = dense.dense_topk(
-        vectors.filter("chunk_id < 0").select((-F.col("chunk_id")).alias("qid"), F.col("embedding").alias("qvec")),
-        vectors.filter("chunk_id >= 0").select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")), 4)
+        vectors.filter("qid is not null").select("qid", F.col("embedding").alias("qvec")),
+        vectors.filter("chunk_id is not null").select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")), 4)
     sparse = lexical.topk(lexical.build_index(chunks, "chunk_id", "content"), questions, 4)
     hits = fusion.hybrid_retrieve(questions, chunks.select("chunk_id", "content"), sparse, near, 3, id_col="chunk_id")
-    hits = fusion.attach_content(hits.drop("content"), chunks, True, "chunk_id")
+    hits = fusion.attach_content(hits.drop("content"), chunks, "chunk_id")
     rows = {r["qid"]: r for r in A.answer_questions(questions, hits).collect()}
     assert "El pozo capta 120 m³ de agua." in rows[1]["answer"] and rows[1]["source_docs"] == ["a.md"] and rows[1]["grade"] == "útil"
     assert set(rows) == {1, 2}

@@ -27,10 +27,11 @@ def test_native_chunking_stays_in_the_jvm(spark, sf):
     assert "Exchange" not in p and "Python" not in p
 
 
-def test_topk_limits_before_the_shuffle(spark, sf):
+def test_bm25_shuffles_neither_postings_nor_pairs(spark, sf):
     index = X.build_index(docs(spark, sf).select("doc_id", "text"))
-    p = plan(X.topk(index, W.questions(spark, sf), 5))
-    assert "WindowGroupLimit" in p and "Partial" in p and "Cartesian" not in p and "NestedLoop" not in p
+    p = plan(X.score(index, W.questions(spark, sf), 5))
+    assert p.count("Exchange") == 1 and "WindowGroupLimit" in p and "Cartesian" not in p and "NestedLoop" not in p
+    assert "hashpartitioning(qid" in p and "term" not in p.split("Exchange")[1].split("\n")[0]
 
 
 def test_scan_reads_only_needed_columns(spark, sf):

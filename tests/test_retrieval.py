@@ -29,7 +29,7 @@ def brute(q, c, k, allowed=lambda i, j: True):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_local": 2, "block_rows": 60}])
+@pytest.mark.parametrize("limits", [{}, {"block": 2}])
 def test_dense_matches_brute_force(vecs, limits):
     q, c, qs, cs = vecs
     got = {(r["qid"], r["id"], r["rank"]) for r in D.dense_topk(qs.drop("key"), cs.drop("key"), 5, **limits).collect()}
@@ -57,7 +57,7 @@ def test_fusion_properties(spark):
     b = spark.createDataFrame([(1, 12, 1), (1, 10, 2)], "qid bigint, id bigint, rank int")
     chunks = spark.createDataFrame([(10, "x"), (11, "y"), (12, "y")], "doc_id bigint, content string")
     hits = U.union_branches(a, b)
-    rows = U.dedupe_by_content(U.attach_content(hits, chunks, True)).orderBy("fused_rank").collect()
+    rows = U.dedupe_by_content(U.attach_content(hits, chunks)).join(chunks.withColumnRenamed("doc_id", "id"), "id").orderBy("fused_rank").collect()
     assert [(r["content"], r["id"], r["fused_rank"]) for r in rows] == [("x", 10, 1), ("y", 12, 2)]
     rrf = U.fuse_rrf(hits).orderBy("rank").collect()
     assert [r["id"] for r in rrf] == [10, 12, 11]
@@ -83,3 +83,20 @@ def test_lsh_scores_are_exact_within_buckets(vecs):
     assert rows and all(r["rank"] <= 3 and r["score"] == round(float(c[r["id"]] @ q[r["qid"]]), 6) for r in rows)
     wide = D.dense_topk_lsh(qs.drop("key"), cs.drop("key"), 3, bucket_length=1e6, tables=8).collect()
     assert {(r["qid"], r["id"], r["rank"]) for r in wide} == brute(q, c, 3)
+
+
+def test_article_numbers_match_exactly(spark):
+    from codexflow.functions.fields import names_article
+
+    cases = [("ver 2.2.2.4.11 aquí", "2.2.2.4.1", False), ("Artículo 2.2.2.4.1. Texto", "2.2.2.4.1", True), ("12.2.2.4.1", "2.2.2.4.1", False),
+             ("(2.2.2.4.1)", "2.2.2.4.1", True), ("2.2.2.4.1.5", "2.2.2.4.1", False), ("nada", None, False), ("termina en 2.2.2.4.1.", "2.2.2.4.1", True)]
+    df = spark.createDataFrame([(c, a) for c, a, _ in cases], "c string, a string")
+    assert [r[0] for r in df.select(names_article(F.col("c"), F.col("a"))).collect()] == [w for *_, w in cases]
+
+
+def test_bucketed_search_is_topped_up(vecs):
+    q, c, qs, cs = vecs
+    rows = D.dense_topk_lsh(qs.drop("key"), cs.drop("key"), 3, bucket_length=0.01, tables=1).collect()
+    assert len(rows) == 3 * len(q)
+    rows = D.dense_topk_lsh(qs.drop("key"), cs.drop("key"), 3, bucket_length=3.0, tables=8).collect()
+    assert len({(r["qid"], r["id"]) for r in rows} & {(a, b) for a, b, _ in brute(q, c, 3)}) >= 0.9 * 3 * len(q)

@@ -40,7 +40,8 @@ def test_read_markdown_and_registry(spark, folder):
 def test_pages_cap_and_blank(spark):
     pages = spark.createDataFrame([(1, n, "x" if n != 2 else " \n") for n in range(1, 405)], "doc_id int, page_no int, text string")
     text = P.assemble_pages(pages).first()["text"]
-    assert text.startswith("[Página 1]\nx\n\n[Página 3]\nx") and text.endswith("[Página 400]\nx")
+    assert text.startswith("[Página 1]\nx\n\n[Página 3]\nx") and text.endswith("[Página 404]\nx")
+    assert P.assemble_pages(pages, max_pages=400).first()["text"].endswith("[Página 400]\nx")
 
 
 def test_quality_fallback(spark):
@@ -55,7 +56,11 @@ def test_manifest_round_trip(spark, tmp_path):
     row = spark.createDataFrame([("h", "n", "m.md", "2024", "t", 3)], L.MANIFEST_SCHEMA)
     L.write_manifest(row, str(tmp_path / "m"))
     (tmp_path / "m" / "bad.json").write_text("{not json\n")
-    assert [r["file_hash"] for r in L.read_manifest(spark, str(tmp_path / "m")).collect()] == ["h"]
+    with pytest.raises(ValueError):
+        L.read_manifest(spark, str(tmp_path / "m"))
+    aside = str(tmp_path / "aside")
+    assert [r["file_hash"] for r in L.read_manifest(spark, str(tmp_path / "m"), aside).collect()] == ["h"]
+    assert [r[0] for r in spark.read.text(aside).collect()] == ["{not json"]
 
 
 def test_incremental_errors_and_force(spark):
@@ -68,7 +73,7 @@ def test_incremental_errors_and_force(spark):
 
 def test_store(spark, tmp_path):
     df = spark.range(45).withColumnRenamed("id", "k")
-    got = store.with_batch_id(df, "k", 20, width=7).collect()
+    got = store.with_batch_id(df, "k", 20).collect()
     assert all(r["batch_id"] == r["k"] // 20 for r in got) and len(got) == 45
     path = str(tmp_path / "c")
     assert store.count(spark, path, "a") == 0
@@ -83,8 +88,11 @@ def test_golden_copies(spark, tmp_path):
     docs = spark.createDataFrame([("in/año 1.pdf", "raw", "body")], "path string, content string, text string")
     out = L.render_golden_copy(docs, F.lit("2024"), F.lit("docling"))
     L.write_golden_copies(out, str(tmp_path / "g"))
-    row = spark.read.parquet(str(tmp_path / "g")).first()
-    assert row["md_filename"] == f"año_1_{row['file_hash'][:8]}.md" and row["rendered"].endswith("---\n\nbody")
+    L.write_golden_copies(L.render_golden_copy(docs.withColumn("text", F.lit("again")), F.lit("2023"), F.lit("docling")), str(tmp_path / "g"))
+    copies = L.golden_copies(spark, str(tmp_path / "g"))
+    assert copies.count() == 1
+    row = copies.first()
+    assert row["md_filename"] == f"año_1_{row['file_hash']}.md" and len(row["file_hash"]) == 64 and row["rendered"].endswith("---\n\nbody")
 
 
 def test_ingest_quarantine(spark, tmp_path):
@@ -110,7 +118,51 @@ def test_stream_over_several_batches(spark, tmp_path):
     run()
     spark.createDataFrame([(4, "x"), (5, "z")], schema).write.parquet(f"{src}/two")
     run()
-    assert {r["doc_id"] for r in spark.read.parquet(out).collect()} == {1, 3, 5}
-    sink = X.dedupe_sink(out, "doc_id")  # a replay of the second batch changes nothing
-    sink(spark.createDataFrame([(4, "x"), (5, "z")], schema), 1)
-    assert {r["doc_id"] for r in spark.read.parquet(out).collect()} == {1, 3, 5}
+    spark.createDataFrame([(0, "x")], schema).write.parquet(f"{src}/three")
+    run()
+    want = {(0, 4), (3, 1), (5, 1)}
+    state = lambda: {(r["doc_id"], r["copies"]) for r in X.once_per_content(spark, out, "doc_id").collect()}
+    assert state() == want
+    X.dedupe_sink(out, "doc_id")(spark.createDataFrame([(4, "x"), (5, "z")], schema), 1)  # a replay of the second batch changes nothing
+    assert state() == want
+
+
+def test_late_events_count(spark, tmp_path):
+    out, schema = new_table_path(spark, "windows"), "ts string, event_type string, value double"
+    sink = X.window_sink(out)
+    sink(spark.createDataFrame([("2024-01-09 10:00:00", "a", 1.0)], schema), 0)
+    sink(spark.createDataFrame([("2024-01-01 10:10:00", "a", 2.0), ("2024-01-09 10:59:00", "a", 3.0)], schema), 1)
+    assert sorted((r["n"], r["total"]) for r in X.merged_windows(spark, out).collect()) == [(1, 2.0), (2, 4.0)]
+
+
+def test_bad_bytes_stop_nothing(spark, tmp_path):
+    (tmp_path / "good.md").write_text("bueno", encoding="utf-8")
+    (tmp_path / "bad.md").write_bytes(b"caf\xe9 \xff")
+    rows = {r["source"]: (r["text"], r["error"]) for r in files.read_markdown(spark, str(tmp_path)).collect()}
+    assert rows == {"good.md": ("bueno", None), "bad.md": (None, "not UTF-8")}
+    (tmp_path / "good.txt").write_text("uno\fdos", encoding="utf-8")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    assert sorted(str(r["text"]) for r in registry.load_multiple("text", spark, [str(tmp_path)]).collect()) == ["None", "dos", "uno"]
+
+
+def test_content_key_covers_everything(spark):
+    from codexflow.functions.text import content_hash
+
+    start = "x" * 300_000
+    df = spark.createDataFrame([(start + "a",), (start + "b",)], "t string")
+    assert df.select(content_hash(F.col("t")).alias("h")).distinct().count() == 2
+
+
+def test_failing_rows_of_a_model(spark):
+    from codexflow.hooks import per_batch
+
+    def load():
+        def run(pdf):
+            if (pdf["x"] == 2).any():
+                raise RuntimeError("no")
+            return pdf.assign(y=pdf["x"] * 10.0)
+
+        return run
+
+    rows = per_batch(load, "y double")(spark.createDataFrame([(1,), (2,), (3,)], "x int").coalesce(1)).collect()
+    assert {r["x"]: (r["y"], r["error"]) for r in rows} == {1: (10.0, None), 2: (None, "RuntimeError: no"), 3: (30.0, None)}

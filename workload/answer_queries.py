@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codexflow.functions import fields
+from codexflow.functions.text import content_hash
 from codexflow.operators import answering as A
 from codexflow.operators import articles as R
 from codexflow.plans import questions as Q
-from codexflow.session import fits
 from workload import sqlviews as S
 from workload import views as W
 from workload.corpus_queries import SENTENCES
 from workload.registry import query
-from workload.retrieval_queries import BM25, sparse_hits
+from workload.retrieval_queries import K2, sparse_hits
 
 NO_ANSWER = ("⚠️ No se encontró información relevante en los documentos indexados para responder su consulta legal. "
              "Por favor reformule la pregunta o sea más específico con el número del artículo.")
@@ -64,9 +64,11 @@ def article_lookup_md(spark, sf):
 
 
 @query("select_context", f"""
-WITH {S.CITABLE} SELECT doc_id, coalesce(article, substring(content, 1, 180000)) AS context FROM citable""")
+WITH {S.PLAIN}, {S.ARTICLE_QUESTIONS}, {ASKED}, {spans_sql('plain', 'body', '', PLAIN_START)}
+SELECT qid, coalesce(span, question) AS context FROM asked LEFT JOIN first_span USING (article)""")
 def select_context(spark, sf):
-    return W.citable(spark, sf).select("doc_id", A.select_context(F.col("article"), F.col("content")).alias("context"))
+    found = R.lookup(W.article_questions(spark, sf), W.plain(spark, sf), F.col("doc_id"), "body")
+    return found.select("qid", A.select_context(F.col("span"), F.col("question")).alias("context"))
 
 
 @query("direct_query")
@@ -80,15 +82,23 @@ def direct_query(spark, sf):
 
 @query("markdown_query", f"""
 WITH {S.LEGAL}, {S.ARTICLE_QUESTIONS}, {ASKED}, {spans_sql('legal', 'body', '#{1,4}' + chr(92) + 's*', HEAD_START)},
-docs AS (SELECT doc_id, body FROM legal WHERE body <> ''),
-near AS (SELECT doc_id, body, coalesce(sum(length(body) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs),
-prefix AS (SELECT substring(string_agg(body, chr(10) || chr(10) ORDER BY doc_id), 1, 180000) AS prefix FROM near WHERE before < 180000)
-SELECT qid, article, coalesce(span, (SELECT prefix FROM prefix)) AS context FROM asked LEFT JOIN first_span USING (article)""")
+open_ AS (SELECT a.qid, a.question FROM asked a LEFT JOIN first_span f USING (article) WHERE f.span IS NULL),
+{S.bm25('legal', 'body', 3, 'open_')},
+near AS (SELECT qid, string_agg(body, chr(10) || chr(10) ORDER BY rank) AS text FROM sparse JOIN legal ON doc_id = id GROUP BY qid)
+SELECT asked.qid, article, coalesce(span, near.text) AS context FROM asked LEFT JOIN first_span USING (article) LEFT JOIN near ON near.qid = asked.qid""")
 def markdown_query(spark, sf):
     golden = W.legal(spark, sf).select("doc_id", F.col("body").alias("text"))
     return Q.markdown_query(W.article_questions(spark, sf), golden).select("qid", "article", "context")
 
 
+@query("library_query")
+def library_query(spark, sf):
+    body = F.concat(F.lit("---\nsource_pdf: x\n---\n\n"), "body")
+    docs = W.legal(spark, sf).select("doc_id", F.col("source").alias("name"), F.col("body").alias("text"), content_hash(F.col("body")).alias("file_hash"))
+    stored = W.legal(spark, sf).filter("doc_id % 2 = 0").groupBy(content_hash(F.col("body")).alias("file_hash")).agg(F.min(body).alias("body"))
+    return Q.library_query(W.article_questions(spark, sf), docs, stored).select("qid", "article", "answer", "mode")
+
+
 @query("choose_markdown", f"""
 WITH {S.LIBRARY},
 m AS (SELECT file_hash, '---' || chr(10) || 'source_pdf: ' || name || chr(10) || '---' || chr(10) || chr(10) || 'golden ' || chars AS body FROM manifest)
@@ -105,10 +115,11 @@ def choose_markdown(spark, sf):
 
 # ------------------------------------------------------------------- grading
 
-HITS = f"""{BM25}, {S.CITABLE},
-hits AS (SELECT qid, question, rank, id, content, article, page, source FROM sparse JOIN questions USING (qid) JOIN citable ON doc_id = id WHERE rank <= 10),
+HITS = f"""{S.QUESTIONS}, {S.CITABLE}, {S.bm25('passages', 'content', K2)},
+hits AS (SELECT qid, question, nullif(regexp_extract(question, '\\d+(?:\\.\\d+){{2,}}'), '') AS asked_article, rank, id, content, article, page, source FROM sparse JOIN questions USING (qid) JOIN citable ON doc_id = id WHERE rank <= 10),
 graded AS (SELECT *, len(list_intersect(list_distinct({S.tokens('question')}), {S.tokens('content')}))::DOUBLE
-    / greatest(len(list_distinct({S.tokens('question')})), 1) >= 0.7 AS relevant FROM hits),
+    / greatest(len(list_distinct({S.tokens('question')})), 1) >= 0.7
+    OR {S.names_article('content', 'asked_article')} AS relevant FROM hits),
 kept AS (SELECT * FROM graded QUALIFY relevant OR (NOT bool_or(relevant) OVER (PARTITION BY qid) AND rank <= 3))"""
 THRESHOLD = 0.7
 
@@ -118,8 +129,7 @@ def _hits(spark, sf):
     from codexflow.operators.fusion import attach_content
 
     hits = sparse_hits(spark, sf, 10)
-    questions = W.questions(spark, sf)
-    return attach_content(hits.select("qid", "id", "rank"), W.citable(spark, sf), fits(questions)).join(questions, "qid")
+    return attach_content(hits.select("qid", "id", "rank"), W.citable(spark, sf)).join(W.questions(spark, sf), "qid")
 
 
 def _kept(spark, sf):
@@ -152,7 +162,7 @@ CONTEXT = f"""{HITS},
 num AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM kept),
 ctx AS (SELECT qid, string_agg('[Doc ' || n || ' - Art. ' || coalesce(article, 'N/A') || ' - pág. ' || coalesce(CAST(page AS VARCHAR), '?') || ']:' || chr(10) || content,
     chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context,
-  string_agg(substring(content, 1, 1500), chr(10) || '---' || chr(10) ORDER BY n) AS evidence,
+  string_agg(content, chr(10) || '---' || chr(10) ORDER BY n) AS evidence,
   array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM num GROUP BY qid)"""
 
 PASSAGES = rf"""{CONTEXT},

@@ -29,7 +29,7 @@ MANIFEST = ["file_hash", "name", "md_filename", "processed_at", "source_tool", "
 
 @query("golden_copy_render", f"""
 WITH {S.LIBRARY}
-SELECT doc_id, file_hash, 'doc_' || doc_id || '_' || substring(file_hash, 1, 8) || '.md' AS md_filename,
+SELECT doc_id, file_hash, 'doc_' || doc_id || '_' || file_hash || '.md' AS md_filename,
   '---' || chr(10) || 'source_pdf: doc ' || doc_id || '.pdf' || chr(10) || 'processed_at: 2024-05-01' || chr(10) || 'source_tool: docling' || chr(10)
   || 'file_hash: ' || file_hash || chr(10) || '---' || chr(10) || chr(10) || text AS rendered, length(text) AS chars
 FROM lib""")
@@ -73,20 +73,23 @@ def library_list(spark, sf):
     return L.list_all(W.manifest(spark, sf))
 
 
-@query("library_delete", f"WITH {S.LIBRARY} SELECT * FROM manifest WHERE md_filename NOT IN (SELECT 'doc_' || doc_id || '.md' FROM labels)")
+@query("library_delete", f"""
+WITH {S.LIBRARY} SELECT * FROM manifest WHERE file_hash NOT IN (SELECT file_hash FROM lib WHERE doc_id IN (SELECT doc_id FROM labels))""")
 def library_delete(spark, sf):
-    gone = W.table(spark, sf, "labels").select(F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("md_filename"))
+    gone = W.library(spark, sf).join(W.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     return L.delete(W.manifest(spark, sf), gone)
 
 
 @query("library_incremental", f"""
 WITH {S.LIBRARY}
 SELECT doc_id, file_hash, m.file_hash IS NOT NULL AS was_cached, CASE WHEN m.file_hash IS NOT NULL THEN 'cached' ELSE lang END AS tool,
-  m.file_hash IS NOT NULL OR {S.strip('text')} <> '' AS success
-FROM lib LEFT JOIN (SELECT file_hash FROM manifest) m USING (file_hash)""")
+  m.file_hash IS NOT NULL OR {S.strip('text')} <> '' AS success,
+  CASE WHEN m.file_hash IS NULL AND {S.strip('text')} = '' THEN 'no text extracted' END AS error
+FROM (SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END AS text) FROM lib) LEFT JOIN (SELECT file_hash FROM manifest) m USING (file_hash)""")
 def library_incremental(spark, sf):
-    out = L.convert_incremental(W.library(spark, sf), W.manifest(spark, sf), F.col("lang"))
-    return out.select("doc_id", "file_hash", "was_cached", "tool", "success")
+    docs = W.library(spark, sf).withColumn("text", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")))  # some conversions fail
+    out = L.convert_incremental(docs, W.manifest(spark, sf), F.col("lang"))
+    return out.select("doc_id", "file_hash", "was_cached", "tool", "success", "error")
 
 
 # --------------------------------------------------------------------- store
@@ -99,19 +102,23 @@ def index_batches(spark, sf):
 @query("collection_count", """
 SELECT source AS collection, CAST(sum(greatest(CAST(ceil((n_chars - 150) / 650.0) AS BIGINT), 1)) AS BIGINT) AS n_chunks FROM documents GROUP BY source""")
 def collection_count(spark, sf):
-    n = F.size(C.split_fixed(F.col("text"), 800, 150))
-    return W.documents(spark, sf).groupBy(F.col("source").alias("collection")).agg(F.sum(n).alias("n_chunks"))
+    path = new_table_path(spark, "collection")
+    chunks = W.documents(spark, sf).select("source", F.explode(C.split_fixed(F.col("text"), 800, 150)).alias("content"))
+    n = store.append(chunks, path, "all", "first")
+    assert n == store.append(chunks, path, "all", "first") == store.count(spark, path, "all")  # a repeated batch doubles nothing
+    return store.read(spark, path, "all").groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("n_chunks"))
 
 
 @query("ingest_summary", f"""
-SELECT lang, count(*) AS docs_loaded, sum(CAST({S.strip('text')} <> '' AND n_chars >= 50 AS BIGINT))::BIGINT AS docs_indexed,
-  count(DISTINCT source) AS n_sources, sum(CAST(NOT ({S.strip('text')} <> '' AND n_chars >= 50) AS BIGINT))::BIGINT AS n_errors
-FROM documents GROUP BY lang""")
+WITH src AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END AS text FROM documents),
+md AS (SELECT doc_id, {_legal('text')} AS body FROM src), {sections_sql('md')}, {chunks_sql(800, 150)},
+out AS (SELECT doc_id, true AS success FROM pieces UNION ALL SELECT doc_id, false FROM md WHERE body = '')
+SELECT lang, 'direct_md' AS tool, count(*) AS docs_loaded, sum(CAST(success AS BIGINT))::BIGINT AS docs_indexed,
+  count(DISTINCT source) AS n_sources, sum(CAST(NOT success AS BIGINT))::BIGINT AS n_errors FROM out JOIN src USING (doc_id) GROUP BY lang""")
 def ingest_summary(spark, sf):
-    from codexflow.functions.text import strip
-
-    rows = W.documents(spark, sf).withColumn("success", (strip(F.col("text")) != "") & (F.col("n_chars") >= 50))
-    return store.ingest_summary(rows, "source", "success", "lang")
+    docs = W.documents(spark, sf).select("doc_id", "lang", "source", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("text"))
+    rows = I.ingest(docs, processed_at=F.lit("2024-05-01"), splitter=C.fixed_splitter(800, 150))
+    return store.ingest_summary(rows, "source", "success", "lang", F.col("extraction_tool").alias("tool"))
 
 
 INGEST_COLUMNS = ("doc_id", "source", "chunk_index", "h1", "h2", "h3", "h4", "is_refined", "content", "document_type", "resolution_number", "section")
@@ -141,7 +148,7 @@ def ingest_recursive(spark, sf):
 WITH ch AS (SELECT doc_id, i - 1 AS chunk_index, parts[i] AS content FROM (
   SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, {windows_sql('text', 1100, 300)} AS parts FROM documents)))
 SELECT doc_id, chunk_index, 'detailed' AS level, false AS is_summary, NULL AS original_content_length FROM ch
-UNION ALL SELECT doc_id, chunk_index, 'summary', length(content) > 800, CASE WHEN length(content) > 800 THEN length(content) END FROM ch""")
+UNION ALL SELECT doc_id, chunk_index, 'summary', true, length(content) FROM ch""")
 def hier_index(spark, sf):
     return H.build_levels(_summary_chunks(spark, sf)).select(
         "doc_id", "chunk_index", "level", "is_summary", F.col("original_content_length").cast("bigint").alias("original_content_length"))
@@ -161,12 +168,11 @@ WITH ch AS (SELECT doc_id, i - 1 AS chunk_index, parts[i] AS content FROM (
   SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, {windows_sql('text', 1100, 300)} AS parts FROM documents))),
 st AS (SELECT doc_id, chunk_index, pos, ss[pos] AS s FROM (
   SELECT doc_id, chunk_index, ss, unnest(generate_series(1, len(ss))) AS pos FROM (
-    SELECT doc_id, chunk_index, {SENTENCES.format('content')} AS ss FROM ch WHERE length(content) > 800))),
+    SELECT doc_id, chunk_index, {SENTENCES.format('content')} AS ss FROM ch))),
 sc AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY len(list_filter(list_distinct({S.tokens('s')}), lambda w: length(w) >= 4)) DESC, pos) AS r FROM st)
 SELECT doc_id, chunk_index, coalesce(x, '') AS content, true AS is_summary FROM (
-  SELECT doc_id, chunk_index FROM ch WHERE length(content) > 800) LEFT JOIN (
-  SELECT doc_id, chunk_index, string_agg(s, ' ' ORDER BY pos) AS x FROM sc WHERE r <= 3 GROUP BY ALL) USING (doc_id, chunk_index)
-UNION ALL SELECT doc_id, chunk_index, content, false FROM ch WHERE length(content) <= 800""")
+  SELECT doc_id, chunk_index FROM ch) LEFT JOIN (
+  SELECT doc_id, chunk_index, string_agg(s, ' ' ORDER BY pos) AS x FROM sc WHERE r <= 3 GROUP BY ALL) USING (doc_id, chunk_index)""")
 def summarize_extractive(spark, sf):
     return H.summarize(_summary_chunks(spark, sf)).drop("original_content_length")
 
@@ -174,8 +180,7 @@ def summarize_extractive(spark, sf):
 @query("embed_hashing")
 def embed_hashing(spark, sf):
     out = embed(W.documents(spark, sf).select("doc_id", "text"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    return out.select("doc_id", F.round(F.sqrt(norm), 4).alias("norm"), F.size("embedding").alias("dims"))
+    return out.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -260,39 +265,43 @@ def _drain(stream, sink, spark):
     X.start(stream, sink, new_table_path(spark, "checkpoint")).awaitTermination()
 
 
+def _arriving(spark, sf, name, schema, batches=4):
+    """The table as files that arrive one micro-batch after the other."""
+    path = new_table_path(spark, f"arriving-{name}")
+    W.table(spark, sf, name).repartition(batches).write.parquet(path)
+    return X.file_stream(spark, path, "*.parquet", schema, files_per_batch=1)
+
+
 @query("stream_ingest", f"""
 WITH md AS (SELECT doc_id, {_legal('text')} AS body FROM documents), {sections_sql('md')}, {chunks_sql(800, 150)}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS chunk_index, content, true AS success FROM pieces
 UNION ALL SELECT doc_id, NULL, NULL, false FROM md WHERE body = ''""")
 def stream_ingest(spark, sf):
     out = new_table_path(spark, "stream-ingest")
-    docs = X.file_stream(spark, sf, "documents.parquet", DOCUMENTS_SCHEMA).select("doc_id", "source", "text")
+    docs = _arriving(spark, sf, "documents", DOCUMENTS_SCHEMA).select("doc_id", "source", "text")
     _drain(docs, X.ingest_sink(out, processed_at=F.lit("2024-05-01"), splitter=C.fixed_splitter(800, 150)), spark)
     return spark.read.parquet(out).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content", "success")
 
 
 @query("stream_index", f"""
-WITH w AS (SELECT source, {windows_sql('text', 800, 150)} AS parts FROM documents WHERE {S.strip('text')} <> '')
-SELECT source, CAST(sum(len(parts)) AS BIGINT) AS n_chunks FROM w GROUP BY source""")
+WITH md AS (SELECT doc_id, {_legal("CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END")} AS body FROM documents), {sections_sql('md')}, {chunks_sql(800, 150)},
+out AS (SELECT doc_id, true AS success FROM pieces UNION ALL SELECT doc_id, false FROM md WHERE body = '')
+SELECT source, success, count(*) AS n FROM out JOIN documents USING (doc_id) GROUP BY ALL""")
 def stream_index(spark, sf):
+    """Chunks per source, and beside them the documents set aside for having no text."""
     out = new_table_path(spark, "stream-index")
-    docs = X.file_stream(spark, sf, "documents.parquet", DOCUMENTS_SCHEMA)
-
-    def batch(df, batch_id):
-        rows = df.select("source", F.posexplode(C.split_fixed(F.col("text"), 800, 150)).alias("chunk_index", "content"), "text")
-        X._replace_batch(rows.filter(F.trim("text") != "").drop("text"), out, batch_id)
-
-    _drain(docs, batch, spark)
-    return spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("n_chunks"))
+    docs = _arriving(spark, sf, "documents", DOCUMENTS_SCHEMA).select(
+        "doc_id", "source", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("text"))
+    _drain(docs, X.ingest_sink(out, processed_at=F.lit("2024-05-01"), splitter=C.fixed_splitter(800, 150)), spark)
+    return spark.read.parquet(out).groupBy("source", "success").agg(F.count("*").alias("n"))
 
 
 @query("stream_dedupe", f"""
 WITH {S.LIBRARY} SELECT file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM lib GROUP BY file_hash""")
 def stream_dedupe(spark, sf):
     out = new_table_path(spark, "stream-dedupe")
-    docs = X.file_stream(spark, sf, "documents.parquet", DOCUMENTS_SCHEMA)
-    _drain(docs, X.dedupe_sink(out, "doc_id"), spark)
-    return spark.read.parquet(out).drop("batch_id")
+    _drain(_arriving(spark, sf, "documents", DOCUMENTS_SCHEMA), X.dedupe_sink(out, "doc_id"), spark)
+    return X.once_per_content(spark, out, "doc_id")
 
 
 @query("stream_window_counts", """
@@ -300,8 +309,6 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type,
 FROM events GROUP BY ALL""")
 def stream_window_counts(spark, sf):
     out = new_table_path(spark, "stream-windows")
-    counts = X.window_counts(X.file_stream(spark, sf, "events.parquet", EVENTS_SCHEMA))
-    flat = counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
-    writer = flat.writeStream.outputMode("update").foreachBatch(X.upsert_sink(out))
-    writer.option("checkpointLocation", new_table_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return X.latest(spark, out, ["start", "event_type"])
+    _drain(_arriving(spark, sf, "events", EVENTS_SCHEMA), X.window_sink(out), spark)
+    return X.merged_windows(spark, out).select(
+        F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

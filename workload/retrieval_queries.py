@@ -8,7 +8,7 @@ from codexflow.operators import dense as D
 from codexflow.operators import fusion as U
 from codexflow.operators import hierarchy as H
 from codexflow.operators import lexical as X
-from codexflow.session import fits
+from codexflow.session import new_table_path
 from workload import sqlviews as S
 from workload import views as W
 from workload.registry import query
@@ -18,22 +18,17 @@ K2 = 20
 
 # -------------------------------------------------------------------- sparse
 
-BM25 = f"""{S.QUESTIONS},
-tk AS (SELECT doc_id AS id, {S.tokens('text')} AS toks FROM documents),
-tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tk) GROUP BY ALL),
-st AS (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM tk),
-df AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({S.tokens('question')}) AS term FROM questions) GROUP BY ALL),
-score AS (
-  SELECT qid, tf.id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl)))), 6) AS score
-  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN tk ON tk.id = tf.id, st GROUP BY qid, tf.id),
-sparse AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM score WHERE score > 0
-  QUALIFY rank <= {K2})"""
+BM25 = f"{S.QUESTIONS}, {S.PASSAGES}, {S.bm25('passages', 'content', K2)}"
+_INDEXES: dict[tuple[str, str], X.Bm25Index] = {}
 
 
 def _index(spark, sf):
-    return X.build_index(W.documents(spark, sf).select("doc_id", "text"))
+    """Built and saved once per session and input; the queries read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        built = X.build_index(W.passages(spark, sf), "doc_id", "content")
+        _INDEXES[key] = built.save(new_table_path(spark, "bm25"))
+    return _INDEXES[key]
 
 
 def sparse_hits(spark, sf, k=K2):
@@ -44,13 +39,13 @@ def _ranked(df, *extra):
     return df.select("qid", "id", *extra, F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("bm25_index", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, (SELECT round(avgdl, 6) FROM st) AS avgdl FROM idf")
+@query("bm25_index", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, round(avgdl, 6) AS avgdl FROM idf, st")
 def bm25_index(spark, sf):
-    index = _index(spark, sf)
+    index = X.build_index(W.passages(spark, sf), "doc_id", "content")
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"), F.round(F.lit(index.avgdl), 6).alias("avgdl"))
 
 
-@query("bm25_score", f"WITH {BM25} SELECT qid, id, score FROM score")
+@query("bm25_score", f"WITH {BM25} SELECT qid, id, score FROM score QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 100")
 def bm25_score(spark, sf):
     return X.score(_index(spark, sf), W.questions(spark, sf)).select("qid", "id", "score")
 
@@ -78,9 +73,9 @@ def dense_topk(spark, sf):
 
 @query("dense_topk_blocks", f"WITH {DENSE} SELECT qid, id, score, rank FROM dense")
 def dense_topk_blocks(spark, sf):
-    """The block join that larger question sets take, forced by a zero limit."""
+    """Questions in several blocks, as a larger set of them comes."""
     q, c = W.question_vectors(spark, sf).drop("label"), W.vectors(spark, sf).drop("label")
-    return _ranked(D.dense_topk(q, c, K2, max_local=16, block_rows=200), "score")
+    return _ranked(D.dense_topk(q, c, K2, block=16), "score")
 
 
 @query("dense_topk_filtered", f"""
@@ -100,15 +95,13 @@ def dense_topk_lsh(spark, sf):
 
 FUSED = f"""{DENSE}, {BM25},
 hits AS (SELECT qid, id, 0 AS branch, rank FROM dense UNION ALL SELECT qid, id, 1, rank FROM sparse),
-withc AS (SELECT qid, id, branch, rank, text AS content FROM hits JOIN documents ON doc_id = id),
+withc AS (SELECT qid, id, branch, rank, content FROM hits JOIN passages ON doc_id = id),
 fused AS (SELECT qid, arg_max(id, branch * 1000 + rank) AS id, content, row_number() OVER (PARTITION BY qid ORDER BY min(branch * 1000 + rank)) AS fused_rank
   FROM withc GROUP BY qid, content)"""
 
 
 def fused_hits(spark, sf):
-    hits = U.union_branches(dense_hits(spark, sf), sparse_hits(spark, sf))
-    return U.dedupe_by_content(U.attach_content(
-        hits, W.documents(spark, sf).select("doc_id", F.col("text").alias("content")), fits(W.questions(spark, sf))))
+    return U.fuse(U.union_branches(dense_hits(spark, sf), sparse_hits(spark, sf)), W.passages(spark, sf))
 
 
 @query("fuse_dedupe", f"WITH {FUSED} SELECT qid, id, fused_rank FROM fused")
@@ -123,11 +116,12 @@ def fuse_rrf(spark, sf):
     return _ranked(U.fuse_rrf(U.union_branches(dense_hits(spark, sf), sparse_hits(spark, sf))), "score")
 
 
-RERANKED = f"""{FUSED},
+SCORED = f"""
 paired AS (SELECT f.*, question, nullif(regexp_extract(question, '\\d+(?:\\.\\d+){{2,}}'), '') AS article FROM fused f JOIN questions USING (qid)),
-scored AS (SELECT qid, id, content, fused_rank, round(CASE WHEN article IS NOT NULL AND contains(content, article) THEN 2.0 ELSE 0.0 END
+scored AS (SELECT qid, id, content, fused_rank, round(CASE WHEN {S.names_article('content', 'article')} THEN 2.0 ELSE 0.0 END
   + len(list_intersect(list_distinct({S.tokens('question')}), {S.tokens('content')}))::DOUBLE / greatest(len(list_distinct({S.tokens('question')})), 1), 6) AS rerank_score FROM paired),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, fused_rank) AS rank FROM scored QUALIFY rank <= 10)"""
+RERANKED = f"{FUSED}, {SCORED}"
 
 
 @query("rerank_topk", f"WITH {RERANKED} SELECT qid, id, rerank_score, rank FROM best")
@@ -141,8 +135,7 @@ def rerank_fallback(spark, sf):
 
 
 def hybrid_hits(spark, sf):
-    chunks = W.documents(spark, sf).select("doc_id", F.col("text").alias("content"))
-    return U.hybrid_retrieve(W.questions(spark, sf), chunks, sparse_hits(spark, sf), dense_hits(spark, sf))
+    return U.hybrid_retrieve(W.questions(spark, sf), W.passages(spark, sf), sparse_hits(spark, sf), dense_hits(spark, sf))
 
 
 @query("hybrid_retrieve", f"WITH {RERANKED} SELECT qid, id, rerank_score, rank, content FROM best")
@@ -150,17 +143,15 @@ def hybrid_retrieve(spark, sf):
     return _ranked(hybrid_hits(spark, sf), "rerank_score", "content")
 
 
-@query("hybrid_dense_only", f"""
-WITH {DENSE}, {S.QUESTIONS},
-withc AS (SELECT qid, id, rank, text AS content FROM dense JOIN documents ON doc_id = id),
-fused AS (SELECT qid, arg_max(id, rank) AS id, content, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS fused_rank FROM withc GROUP BY qid, content),
-scored AS (SELECT f.*, round(len(list_intersect(list_distinct({S.tokens('question')}), {S.tokens('content')}))::DOUBLE / greatest(len(list_distinct({S.tokens('question')})), 1), 6) AS rerank_score
-  FROM fused f JOIN questions USING (qid))
-SELECT qid, id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, fused_rank) AS rank FROM scored QUALIFY rank <= 10""")
+DENSE_ONLY = f"""{DENSE}, {S.QUESTIONS}, {S.PASSAGES},
+withc AS (SELECT qid, id, rank, content FROM dense JOIN passages ON doc_id = id),
+fused AS (SELECT qid, arg_max(id, rank) AS id, content, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS fused_rank FROM withc GROUP BY qid, content)"""
+
+
+@query("hybrid_dense_only", f"WITH {DENSE_ONLY}, {SCORED} SELECT qid, id, rerank_score, rank FROM best")
 def hybrid_dense_only(spark, sf):
     """The sparse branch is missing: dense serves alone."""
-    chunks = W.documents(spark, sf).select("doc_id", F.col("text").alias("content"))
-    return _ranked(U.hybrid_retrieve(W.questions(spark, sf), chunks, None, dense_hits(spark, sf)), "rerank_score")
+    return _ranked(U.hybrid_retrieve(W.questions(spark, sf), W.passages(spark, sf), None, dense_hits(spark, sf)), "rerank_score")
 
 
 # ---------------------------------------------------------------- two levels

@@ -31,8 +31,8 @@ described AS (
     WHEN 1 THEN 'CONTRATO de obra, cláusula primera. RESOLUCIÓN Nro ' || (doc_id + 100) || ' del 2019-0' || (doc_id % 9 + 1)
       || '-1' || (doc_id % 9) || ', CAR. NIT ' || (doc_id + 80000000) || '-7, localidad de Usme y otros. ' || body
     WHEN 2 THEN 'Solicitud de concesión de aguas subterráneas, pozo ' || doc_id || ', vereda El Salitre. N.I.T. '
-      || (doc_id + 7000000) || '. Fecha 0' || (doc_id % 9 + 1) || '/12/2020. Tabla | a | b |'
-    ELSE 'Cargo de la SDA en el municipio de Chía, 1 de Enero de 2021, 120 m³ del pozo ' || doc_id || '.' END AS body
+      || (doc_id + 7000000) || '. Fecha 0' || (doc_id % 9 + 1) || '/12/2020. Tabla | a | b | ' || replace(body, ' de marzo de ', ' marzo ')
+    ELSE 'Cargo de la SDA en el municipio de Chía, 1 de Enero de 2021, 120 m³ del pozo ' || doc_id || '. ' || body END AS body
   FROM legal)"""
 
 PAGES = r"""
@@ -41,9 +41,11 @@ pages_view AS (
   FROM (SELECT doc_id, text, CAST(unnest(generate_series(1, greatest(CAST(ceil(n_chars / 1500.0) AS BIGINT), 1))) AS INTEGER) AS page_no
         FROM documents))"""
 
-QUESTIONS = r"""
-questions AS (
-  SELECT item_id AS qid, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 8), ' ') AS question FROM benchmark)"""
+QUESTIONS = """
+questions AS (SELECT item_id AS qid, text || ' artículo 2.2.4.' || (item_id % 12) AS question FROM benchmark)"""
+
+PASSAGES = """
+passages AS (SELECT doc_id, 'Artículo 2.2.4.' || (doc_id % 12) || '. ' || text AS content, lang, source, n_chars FROM documents)"""
 
 ARTICLE_QUESTIONS = r"""
 questions AS (
@@ -55,15 +57,15 @@ qv AS (
   SELECT b.item_id AS qid, CAST(e.embedding AS DOUBLE[]) AS qvec, e.label FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 cv AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"""
 
-CITABLE = r"""
+CITABLE = PASSAGES + r""",
 citable AS (
-  SELECT doc_id, text AS content, CASE WHEN lang = 'es' THEN '2.2.' || doc_id END AS article,
+  SELECT doc_id, content, CASE WHEN lang = 'es' THEN '2.2.' || doc_id END AS article,
     CASE WHEN lang <> 'de' THEN n_chars // 1500 + 1 END AS page, source
-  FROM documents)"""
+  FROM passages)"""
 
 LIBRARY = r"""
 lib AS (
-  SELECT doc_id, lang, source, text, substring(sha256(encode(text)[1:262144]), 1, 16) AS file_hash,
+  SELECT doc_id, lang, source, text, sha256(text) AS file_hash,
     'in/' || source || '/doc ' || doc_id || '.pdf' AS path
   FROM documents),
 manifest AS (
@@ -104,3 +106,26 @@ def first(expr: str, *patterns: str, group: int = 1) -> str:
 
 def tokens(expr: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({expr}), '\s+'), lambda t: t <> '')"
+
+
+def bm25(docs: str, text: str, k: int, questions: str = "questions") -> str:
+    """CTEs ending in sparse(qid, id, score, rank), from questions(qid, question)."""
+    return f"""
+tk AS MATERIALIZED (SELECT doc_id AS id, {tokens(text)} AS toks FROM {docs}),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tk) GROUP BY ALL),
+st AS MATERIALIZED (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM tk),
+df AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term),
+fl AS MATERIALIZED (SELECT 0.25 * avg(raw) AS floor FROM df),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM df, fl),
+qt AS MATERIALIZED (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tokens('question')}) AS term FROM {questions}) GROUP BY ALL),
+ln_ AS MATERIALIZED (SELECT id, len(toks) AS dl FROM tk),
+score AS MATERIALIZED (
+  SELECT qid, tf.id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN ln_ ON ln_.id = tf.id, st GROUP BY qid, tf.id),
+sparse AS MATERIALIZED (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM score WHERE score > 0
+  QUALIFY rank <= {k})"""
+
+
+def names_article(content: str, article: str) -> str:
+    pattern = f"'(^|[^0-9.])' || replace({article}, '.', '[.]') || '($|[^0-9.]|[.]($|[^0-9]))'"
+    return f"coalesce(regexp_matches({content}, {pattern}), false)"

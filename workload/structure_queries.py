@@ -110,7 +110,7 @@ PAGE = "TRY_CAST(regexp_extract({0}, '\\[Página\\s*(\\d+)\\]', 1) AS INTEGER)"
 WITH {S.NOISY},
 cut AS (SELECT doc_id, source, {windows_sql('t', 2500, 400)} AS parts FROM (SELECT doc_id, source, {_loader('body')} AS t FROM noisy)),
 pieces AS (SELECT doc_id, source, i - 1 AS chunk_index, parts[i] AS piece FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM cut)),
-named AS (SELECT *, {ARTICLE.format('piece')} AS article, {PAGE.format('piece')} AS page FROM pieces WHERE length({S.strip('piece')}) >= 50),
+named AS (SELECT *, {ARTICLE.format('piece')} AS article, {PAGE.format('piece')} AS page FROM pieces WHERE length({S.strip('piece')}) >= 1),
 done AS (SELECT *, '[Documento: ' || source || ' | ' || coalesce('Art. ' || article, 'Contexto general') || ' | Página: ' || coalesce(CAST(page AS VARCHAR), '?')
   || ']' || chr(10) || {S.strip('piece')} AS content FROM named)
 SELECT doc_id, source, chunk_index, article, page, content, length(content) AS chunk_size FROM done""")
@@ -122,7 +122,7 @@ def chunk_page_text(spark, sf):
 @query("chunk_markdown", rf"""
 WITH {S.LEGAL}, md AS (SELECT doc_id, source, {_loader('body')} AS body FROM legal), {sections_sql('md')}, {chunks_sql(600, 100)},
 named AS (SELECT p.*, source, coalesce(nullif(rtrim(coalesce(regexp_extract(h3, '(\d[\d.]*)', 1), ''), '.'), ''), {ARTICLE.format('p.content')}) AS article
-  FROM pieces p JOIN documents USING (doc_id) WHERE length({S.strip('p.content')}) >= 50),
+  FROM pieces p JOIN documents USING (doc_id) WHERE length({S.strip('p.content')}) >= 1),
 done AS (SELECT *, '[Documento: ' || source || ' | ' || coalesce('Art. ' || article, 'Contexto general')
   || coalesce(' | ' || coalesce(nullif(h2, ''), nullif(h1, '')), '') || ' | Formato: Markdown]' || chr(10) || {S.strip('content')} AS full_content FROM named)
 SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS chunk_index, h1, h2, h3, h4,
@@ -167,13 +167,12 @@ def context_window(spark, sf):
 
 
 @query("parent_child", f"""
-WITH {S.LEGAL}, {sections_sql('legal')}, {chunks_sql(300, 50)}
-SELECT p.doc_id, p.i - 1 AS child_no, p.content AS child, s.content AS parent FROM pieces p JOIN sections s USING (doc_id, sec_no) WHERE p.big""")
+WITH {S.LEGAL}, {sections_sql('legal')}
+SELECT doc_id, i - 1 AS child_no, parts[i] AS child, content AS parent FROM (
+  SELECT *, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, content, {windows_sql('content', 300, 50)} AS parts FROM sections))""")
 def parent_child(spark, sf):
-    sections = W.legal(spark, sf).select("doc_id", F.explode(C.split_headers(F.col("body"))).alias("s")).filter(F.length("s.content") > 300)
-    parent = F.col("s.content")
-    return sections.select("doc_id", parent.alias("parent"), F.posexplode(C.split_fixed(parent, 300, 50)).alias("pos", "child")).select(
-        "doc_id", F.col("pos").cast("bigint").alias("child_no"), "child", "parent")
+    sections = W.legal(spark, sf).select("doc_id", F.explode(C.split_headers(F.col("body"))).alias("s")).select("doc_id", "s.content")
+    return C.with_parents(sections, "content", 300, 50).withColumn("child_no", F.col("child_no").cast("bigint"))
 
 
 # ------------------------------------------------------------------ metadata
@@ -276,7 +275,7 @@ def _assembled(mark, cap=""):
             f"FROM pages_view WHERE {S.strip('text')} <> '' {cap} GROUP BY doc_id")
 
 
-@query("assemble_pages", _assembled("'[Página ' || page_no || ']' || chr(10)", "AND page_no <= 400"))
+@query("assemble_pages", _assembled("'[Página ' || page_no || ']' || chr(10)"))
 def assemble_pages(spark, sf):
     return P.assemble_pages(W.pages(spark, sf))
 
@@ -296,7 +295,7 @@ def assemble_clean_pages(spark, sf):
 FEATURES = f"""{S.PAGES},
 feat AS (SELECT doc_id, page_no, length(t) AS chars, len({S.tokens('t')}) AS n_words, least(1.0, len({S.tokens('t')}) / 350.0) AS coverage,
     contains(t, '│') OR (contains(t, 'Tabla') AND contains(t, 'Si')) AS has_table
-  FROM (SELECT doc_id, page_no, {S.strip('text')} AS t FROM pages_view WHERE page_no <= 10)),
+  FROM (SELECT doc_id, page_no, {S.strip('text')} AS t FROM pages_view)),
 doc AS (SELECT doc_id, sum(chars) / greatest(count(*), 1) AS avg_chars, avg(CAST(coverage AS DOUBLE)) AS avg_coverage, bool_or(has_table) AS has_tables FROM feat GROUP BY doc_id),
 sc AS (SELECT *, least(1.0, avg_chars / 1400.0 * 0.55 + avg_coverage * 0.35) AS score, avg_chars > 650 AND avg_coverage > 0.65 AS is_native,
     avg_chars < 280 OR avg_coverage < 0.45 AS is_scanned FROM doc),
@@ -334,8 +333,10 @@ def quality_route(spark, sf):
 
 @query("quality_report", f"""
 WITH {FEATURES}
-SELECT doc_id, is_native, is_scanned, round(score, 3) AS quality_score, round(avg_chars, 1) AS avg_chars_per_page,
-  round(avg_coverage, 3) AS text_coverage, 72.0::DOUBLE AS dpi_estimate, has_tables, recommendation, recommendation = 'ocr_heavy' AS needs_ocr
+SELECT doc_id, is_native, is_scanned, round_even(score, 3) AS quality_score, round_even(avg_chars, 1) AS avg_chars_per_page,
+  round_even(avg_coverage, 3) AS text_coverage, 72.0::DOUBLE AS dpi_estimate, has_tables, false AS has_images, recommendation, recommendation = 'ocr_heavy' AS needs_ocr,
+  'Chars/page: ' || CAST(CAST(round_even(avg_chars, 0) AS BIGINT) AS VARCHAR) || printf(', Coverage: %.2f, Tables: ', round_even(avg_coverage, 2))
+    || CASE WHEN has_tables THEN 'True' ELSE 'False' END || ', DPI: 72 → ' || recommendation AS reasoning
 FROM rt""")
 def quality_report(spark, sf):
-    return Q.report(W.pages(spark, sf)).drop("has_images", "reasoning")
+    return Q.report(W.pages(spark, sf))

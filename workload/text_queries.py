@@ -247,11 +247,12 @@ def tokenize(spark, sf):
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", "|").alias("tokens"))
 
 
-@query("content_hash", "SELECT doc_id, substring(sha256(encode(text)[1:262144]), 1, 16) AS file_hash FROM documents")
+@query("content_hash", "SELECT doc_id, sha256(text) AS file_hash FROM documents")
 def content_hash(spark, sf):
     return W.documents(spark, sf).select("doc_id", T.content_hash(F.col("text")).alias("file_hash"))
 
 
 @query("scan_files")
 def scan(spark, sf):
-    return scan_files(spark, sf, "*.parquet").select("name", "length").orderBy("name")
+    """The given files by name, with a digest of what they hold."""
+    return scan_files(spark, sf, "*.parquet").select("name", "length", F.sha2("content", 256).alias("sha256"))

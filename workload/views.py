@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from codexflow.session import spread
-
 FOOTER = "Decreto 1072 de 2015 Sector Trabajo "
 PAGE_CHARS = 1500
 
@@ -27,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def _cat(*parts) -> Column:
@@ -69,8 +67,8 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = _cat("CONTRATO de obra, cláusula primera. RESOLUCIÓN Nro ", d + 100, " del 2019-0", d % 9 + 1,
                     "-1", d % 9, ", CAR. NIT ", d + 80000000, "-7, localidad de Usme y otros. ", F.col("body"))
     water = _cat("Solicitud de concesión de aguas subterráneas, pozo ", d, ", vereda El Salitre. N.I.T. ",
-                 d + 7000000, ". Fecha 0", d % 9 + 1, "/12/2020. Tabla | a | b |")
-    bare = _cat("Cargo de la SDA en el municipio de Chía, 1 de Enero de 2021, 120 m³ del pozo ", d, ".")
+                 d + 7000000, ". Fecha 0", d % 9 + 1, "/12/2020. Tabla | a | b | ", F.replace("body", F.lit(" de marzo de "), F.lit(" marzo ")))
+    bare = _cat("Cargo de la SDA en el municipio de Chía, 1 de Enero de 2021, 120 m³ del pozo ", d, ". ", F.col("body"))
     body = F.when(kind == 0, F.col("body")).when(kind == 1, contract).when(kind == 2, water).otherwise(bare)
     return legal(spark, sf_dir).select("doc_id", body.alias("body"))
 
@@ -85,10 +83,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, question): first eight words of each benchmark item."""
-    words = F.slice(F.split("text", r"\s+"), 1, 8)
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("qid"), F.array_join(words, " ").alias("question"))
+    """(qid, question): each benchmark item as a whole, with an article it asks for."""
+    q = F.col("item_id")
+    return table(spark, sf_dir, "benchmark").select(q.alias("qid"), _cat(F.col("text"), " artículo 2.2.4.", q % 12).alias("question"))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content, lang, source, n_chars): texts under article numbers, some the start of others (2.2.4.1 and 2.2.4.11)."""
+    content = _cat("Artículo 2.2.4.", F.col("doc_id") % 12, ". ", F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", content.alias("content"), "lang", "source", "n_chars")
 
 
 def article_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +110,14 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
 def citable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as citable chunks: doc_id, content, article, page, source."""
-    return documents(spark, sf_dir).select(
-        "doc_id", F.col("text").alias("content"),
+    return passages(spark, sf_dir).select(
+        "doc_id", "content",
         F.when(F.col("lang") == "es", _cat("2.2.", F.col("doc_id"))).alias("article"),
         F.when(F.col("lang") != "de", F.floor(F.col("n_chars") / PAGE_CHARS) + 1).alias("page"), "source")
 
@@ -145,7 +148,7 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ', "citation_quality": ', d % 6, ', "reasoning": "doc ', d, '"')
     reply = (F.when(d % 7 == 3, body).when(d % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("}\n```")))
              .otherwise(F.concat(body, F.lit("}"))))
-    return spread(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", reply.alias("reply"))
+    return table(spark, sf_dir, "labels").select("doc_id", reply.alias("reply"))
 
 
 def analysis_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
