@@ -66,6 +66,11 @@ def assess(pages: DataFrame, dpi: Column | None = None) -> DataFrame:
     return route(quality_flags(scored))
 
 
+def _even(column: str, digits: int) -> Column:
+    """Half-even rounding, undisturbed by the last bits of a sum."""
+    return F.bround(F.round(column, 9), digits)
+
+
 def report(pages: DataFrame, dpi: float = V.DEFAULT_DPI) -> DataFrame:
     """Rounded report; a document whose pages are all unreadable gets the safe
     fallback row instead of a score."""
@@ -73,15 +78,15 @@ def report(pages: DataFrame, dpi: float = V.DEFAULT_DPI) -> DataFrame:
     boolean = lambda c: F.when(F.col(c), "True").otherwise("False")
     reasoning = F.format_string(
         "Chars/page: %.0f, Coverage: %.2f, Tables: %s, DPI: %.0f → %s",
-        F.bround("avg_chars", 0), F.bround("avg_coverage", 2), boolean("has_tables"), F.lit(dpi), "recommendation")
+        _even("avg_chars", 0), _even("avg_coverage", 2), boolean("has_tables"), F.lit(dpi), "recommendation")
     either = lambda fallback, value: F.when(bad, F.lit(fallback)).otherwise(value)
     return assess(pages, F.lit(dpi)).select(
         "doc_id",
         either(False, F.col("is_native")).alias("is_native"),
         either(True, F.col("is_scanned")).alias("is_scanned"),
-        either(V.FALLBACK_SCORE, F.bround("score", 3)).alias("quality_score"),
-        either(0.0, F.bround("avg_chars", 1)).alias("avg_chars_per_page"),
-        either(0.0, F.bround("avg_coverage", 3)).alias("text_coverage"),
+        either(V.FALLBACK_SCORE, _even("score", 3)).alias("quality_score"),
+        either(0.0, _even("avg_chars", 1)).alias("avg_chars_per_page"),
+        either(0.0, _even("avg_coverage", 3)).alias("text_coverage"),
         F.lit(dpi).alias("dpi_estimate"),
         either(False, F.col("has_tables")).alias("has_tables"),
         either(False, F.col("has_images")).alias("has_images"),

@@ -331,11 +331,19 @@ def quality_route(spark, sf):
     return Q.assess(W.pages(spark, sf)).select("doc_id", "recommendation")
 
 
+def half_even(value: str, digits: int) -> str:
+    """Half-even rounding in integers, from nine decimals."""
+    unit = 10 ** (9 - digits)
+    v = f"CAST(round({value} * 1000000000) AS BIGINT)"
+    up = f"CASE WHEN {v} % {unit} > {unit // 2} OR ({v} % {unit} = {unit // 2} AND ({v} // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(({v} // {unit} + {up}) / {10 ** digits}::DOUBLE)"
+
+
 @query("quality_report", f"""
 WITH {FEATURES}
-SELECT doc_id, is_native, is_scanned, round_even(score, 3) AS quality_score, round_even(avg_chars, 1) AS avg_chars_per_page,
-  round_even(avg_coverage, 3) AS text_coverage, 72.0::DOUBLE AS dpi_estimate, has_tables, false AS has_images, recommendation, recommendation = 'ocr_heavy' AS needs_ocr,
-  'Chars/page: ' || CAST(CAST(round_even(avg_chars, 0) AS BIGINT) AS VARCHAR) || printf(', Coverage: %.2f, Tables: ', round_even(avg_coverage, 2))
+SELECT doc_id, is_native, is_scanned, {half_even('score', 3)} AS quality_score, {half_even('avg_chars', 1)} AS avg_chars_per_page,
+  {half_even('avg_coverage', 3)} AS text_coverage, 72.0::DOUBLE AS dpi_estimate, has_tables, false AS has_images, recommendation, recommendation = 'ocr_heavy' AS needs_ocr,
+  'Chars/page: ' || CAST(CAST({half_even('avg_chars', 0)} AS BIGINT) AS VARCHAR) || printf(', Coverage: %.2f, Tables: ', {half_even('avg_coverage', 2)})
     || CASE WHEN has_tables THEN 'True' ELSE 'False' END || ', DPI: 72 → ' || recommendation AS reasoning
 FROM rt""")
 def quality_report(spark, sf):
