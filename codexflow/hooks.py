@@ -45,13 +45,24 @@ def per_batch(load: Callable[[], BatchFn], added: str) -> Callable[[DataFrame],
     return hook
 
 
-def embed_hashing(df: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
-    """Default embedding without a model: hashed term counts, IDF, unit length."""
+def fit_hashing(df: DataFrame, text: str = "text", dims: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """Default embedding without a model: hashed term counts, IDF learned from
+    ``df``, unit length. Returns the embedder, which adds ``embedding``."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = df.withColumn("_toks", tokens(F.col(text)))
-    counts = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dims).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_toks", "_tf", "_idf", "_unit")
+    def counted(rows):
+        words = rows.withColumn("_toks", tokens(F.coalesce(F.col(text), F.lit(""))))
+        return HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dims).transform(words)
+
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted(df))
+
+    def embedder(rows):
+        unit = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(idf.transform(counted(rows)))
+        return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_toks", "_tf", "_idf", "_unit")
+
+    return embedder
+
+
+def embed_hashing(df: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
+    return fit_hashing(df, text, dims)(df)

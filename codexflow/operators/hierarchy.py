@@ -49,6 +49,24 @@ def build_levels(chunks: DataFrame, content: str = "content", summarizer: Summar
     return summarize(chunks, content, summarizer).withColumn("level", F.lit("summary")).unionByName(detail)
 
 
+def index_levels(
+    chunks: DataFrame, embedder: Callable[[DataFrame], DataFrame], id_col: str = "chunk_id", content: str = "content",
+    summarizer: Summarizer | None = None,
+) -> DataFrame:
+    """(level, id, vec, article, page): both levels of the chunks, embedded by
+    ``embedder`` (adds ``embedding`` to rows with ``text``)."""
+    levels = build_levels(chunks.select(id_col, content, "article", "page"), content, summarizer)
+    rows = embedder(levels.withColumnRenamed(content, "text"))
+    return rows.select("level", F.col(id_col).alias("id"), F.col("embedding").alias("vec"), "article", "page")
+
+
+def search_levels(questions: DataFrame, index: DataFrame, embedder: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
+    """Two-level search of questions (qid, question) over an index of ``index_levels``."""
+    asked = embedder(questions.select("qid", F.col("question").alias("text"))).select("qid", F.col("embedding").alias("qvec"))
+    level = lambda name: index.filter(F.col("level") == name).drop("level")
+    return hier_retrieve(asked, level("summary"), level("detailed"), **options)
+
+
 def hier_retrieve(
     questions: DataFrame, summaries: DataFrame | None, detailed: DataFrame | None, k_summaries: int = 4, k_chunks: int = 8,
 ) -> DataFrame | None:

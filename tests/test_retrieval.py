@@ -100,3 +100,16 @@ def test_bucketed_search_is_topped_up(vecs):
     assert len(rows) == 3 * len(q)
     rows = D.dense_topk_lsh(qs.drop("key"), cs.drop("key"), 3, bucket_length=3.0, tables=8).collect()
     assert len({(r["qid"], r["id"]) for r in rows} & {(a, b) for a, b, _ in brute(q, c, 3)}) >= 0.9 * 3 * len(q)
+
+
+def test_two_levels_over_their_own_index(spark):
+    from codexflow.hooks import fit_hashing
+
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"uno dos {w} tres {w}. Luego {w} cuatro {w} cinco.", str(i % 3), None) for i, w in enumerate("agua pozo multa río lago mar".split())],
+        "chunk_id string, content string, article string, page int")
+    embedder = fit_hashing(chunks.withColumnRenamed("content", "text"))
+    index = H.index_levels(chunks, embedder)
+    assert index.count() == 12
+    rows = H.search_levels(spark.createDataFrame([("q", "pozo")], "qid string, question string"), index, embedder).orderBy("rank").collect()
+    assert rows[0]["id"] == "c1" and {"c1", "c4"} <= {r["id"] for r in rows}

@@ -166,3 +166,12 @@ def test_failing_rows_of_a_model(spark):
 
     rows = per_batch(load, "y double")(spark.createDataFrame([(1,), (2,), (3,)], "x int").coalesce(1)).collect()
     assert {r["x"]: (r["y"], r["error"]) for r in rows} == {1: (10.0, None), 2: (None, "RuntimeError: no"), 3: (30.0, None)}
+
+
+def test_extra_metadata_precedence(spark):
+    from codexflow.operators.chunking import with_adaptive_chunks
+    from codexflow.operators.enrich import enrich_chunks
+
+    docs = spark.sql("SELECT 1 doc_id, '## RESUELVE\\nResolución No. 0123 NIT 900123456' text, map('nit', 'old', 'origin', 'web', 'h2', 'old') extra")
+    row = enrich_chunks(with_adaptive_chunks(docs).drop("text"), extra="extra").first()
+    assert row["metadata"]["origin"] == "web" and row["metadata"]["nit"] == row["nit"] and row["metadata"]["h2"] == "RESUELVE" and "extra" not in row

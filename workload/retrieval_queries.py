@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codexflow.hooks import fit_hashing
 from codexflow.operators import dense as D
 from codexflow.operators import fusion as U
 from codexflow.operators import hierarchy as H
 from codexflow.operators import lexical as X
-from codexflow.session import new_table_path
+from codexflow.operators.chunking import chunk_page_text, with_chunk_id
+from codexflow.session import cut_lineage, new_table_path
 from workload import sqlviews as S
 from workload import views as W
 from workload.registry import query
@@ -172,3 +174,13 @@ def hier_retrieve(spark, sf):
     level = W.vectors(spark, sf).select(
         "id", "vec", F.when(label < 6, label).alias("article"), F.when(label < 9, label).alias("page"))
     return _ranked(H.hier_retrieve(W.question_vectors(spark, sf).drop("label"), level, level), "score")
+
+
+@query("hier_end_to_end")
+def hier_end_to_end(spark, sf):
+    """Chunks to summaries to both levels' vectors to answers, over one index."""
+    chunks = cut_lineage(with_chunk_id(chunk_page_text(W.noisy(spark, sf), "body")).select("chunk_id", "content", "article", "page"), "chunks")
+    embedder = fit_hashing(chunks, "content")
+    by_text = lambda df: embedder(df.withColumnRenamed("text", "content"))
+    index = cut_lineage(H.index_levels(chunks, by_text), "levels")
+    return _ranked(H.search_levels(W.article_questions(spark, sf), index, by_text), "score")
