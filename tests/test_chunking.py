@@ -103,3 +103,34 @@ def test_adaptive_keeps_what_fits(spark):
     assert rows[0]["content"] == table and not rows[0]["is_refined"]
     assert all(r["is_refined"] and len(r["content"]) <= 800 for r in rows[1:])
     assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and {r["doc_id"] for r in rows} == {1}
+
+
+def test_sections_and_paragraphs_grow_with_the_lines(spark):
+    """Time per line of a long document stays within three times that of a short one."""
+    import time
+
+    def seconds(lines, copies):
+        text = "\n\n".join(("## T" if i % 50 == 0 else "## ARTÍCULO" if i % 50 == 1 else f"línea {i} abierta") for i in range(lines))
+        df = spark.createDataFrame([(text,)] * copies, "t string").coalesce(1)
+        run = lambda: df.select(F.size(C.split_headers(F.col("t"))), F.length(join_broken_paragraphs(F.col("t")))).collect()
+        run()
+        start = time.perf_counter()
+        run()
+        return (time.perf_counter() - start) / (lines * copies)
+
+    assert seconds(50_000, 1) < 3 * seconds(1_000, 50) + 1e-5
+
+
+def test_parents_of_all_sections(spark):
+    rows = C.with_parents(spark.createDataFrame([(1, "corto"), (2, "x" * 500)], "doc_id int, content string"), size=300, overlap=50).collect()
+    assert [(r["doc_id"], r["child_no"], len(r["child"]), len(r["parent"])) for r in rows] == [(1, 0, 5, 5), (2, 0, 300, 500), (2, 1, 250, 500)]
+
+
+def test_temporary_tables_go(spark):
+    from codexflow.session import cut_lineage, temporary_tables
+    from codexflow.sources.files import exists
+
+    with temporary_tables(spark):
+        path = cut_lineage(spark.range(3), "scratch").inputFiles()[0].rsplit("/", 1)[0]
+        assert exists(spark, path)
+    assert not exists(spark, path)

@@ -230,27 +230,46 @@ PARSED = f"""{S.ANALYSIS},
 txt AS (SELECT doc_id, trim(regexp_replace(reply, '```(?:json)?[ \\n\\t]*', '', 'g'), ' ' || chr(10)) AS j FROM analysis)"""
 
 
+TEXTS = ("tipo_documento", "tono_general", "analisis_critico")
+NUMBERS = ("nivel_urgencia", "nivel_coercion")
+LISTS = ("temas_principales", "plazos_inmediatos", "ambigüedades_identificadas", "excepciones_mencionadas", "entidades_afectadas",
+         "referencias_internas", "menciones_de_otras_leyes")
+
+
+def _json_fields():
+    when = lambda e: f"CASE WHEN json_valid(j) THEN {e} END"
+    rows = [when(f"json_extract_string(j, '$.{c}')") + f" AS {c}" for c in TEXTS]
+    rows += [when(f"CAST(json_extract_string(j, '$.{c}') AS INT)") + f" AS {c}" for c in NUMBERS]
+    rows += [when(f"array_to_string(CAST(json_extract(j, '$.{c}') AS VARCHAR[]), '|')") + f' AS "{c}"' for c in LISTS]
+    rows.append(when("CAST(json_array_length(j, '$.obligaciones_criticas') AS INT)") + " AS n_obligations")
+    rows.append(when("CAST(len(json_keys(j, '$.definiciones_clave')) AS INT)") + " AS n_definitions")
+    return ", ".join(rows)
+
+
 @query("parse_analysis", f"""
 WITH {PARSED}
-SELECT doc_id, json_valid(j) AS valid, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.tipo_documento') END AS tipo_documento,
-  CASE WHEN json_valid(j) THEN CAST(json_extract_string(j, '$.nivel_urgencia') AS INT) END AS nivel_urgencia,
-  CASE WHEN json_valid(j) THEN json_extract_string(j, '$.analisis_critico') END AS analisis_critico,
+SELECT doc_id, json_valid(j) AS valid, {_json_fields()},
   CASE WHEN json_valid(j) THEN NULL ELSE 'Error procesando el análisis especializado: invalid JSON' END AS error FROM txt""")
 def parse_analysis(spark, sf):
     out = E.parse_analysis(W.analysis_replies(spark, sf))
-    when = lambda c: F.when(F.col("valid"), F.col(f"parsed.{c}")).alias(c)
-    return out.select("doc_id", "valid", when("tipo_documento"), when("nivel_urgencia"), when("analisis_critico"), "error")
+    when = lambda value, name: F.when(F.col("valid"), value).alias(name)
+    return out.select(
+        "doc_id", "valid", *[when(F.col(f"parsed.{c}"), c) for c in (*TEXTS, *NUMBERS)],
+        *[when(F.array_join(f"parsed.`{c}`", "|"), c) for c in LISTS],
+        when(F.size("parsed.obligaciones_criticas"), "n_obligations"), when(F.size(F.map_keys("parsed.definiciones_clave")), "n_definitions"), "error")
 
 
 @query("analysis_obligations", f"""
-WITH {PARSED}
-SELECT doc_id, p - 1 AS pos, json_extract_string(j, '$.obligaciones_criticas[' || (p - 1) || '].texto') AS texto,
+WITH {PARSED}, n AS (SELECT doc_id, j, unnest(generate_series(1, CAST(json_array_length(j, '$.obligaciones_criticas') AS BIGINT))) AS p FROM txt WHERE json_valid(j))
+SELECT doc_id, CAST(p - 1 AS BIGINT) AS pos, json_extract_string(j, '$.obligaciones_criticas[' || (p - 1) || '].texto') AS texto,
+  json_extract_string(j, '$.obligaciones_criticas[' || (p - 1) || '].sujeto') AS sujeto,
   json_extract_string(j, '$.obligaciones_criticas[' || (p - 1) || '].plazo') AS plazo,
+  json_extract_string(j, '$.obligaciones_criticas[' || (p - 1) || '].consecuencia_incumplimiento') AS consecuencia_incumplimiento,
   CAST(json_extract_string(j, '$.obligaciones_criticas[' || (p - 1) || '].nivel_criticidad') AS INT) AS nivel_criticidad
-FROM (SELECT doc_id, j, unnest([1, 2]) AS p FROM txt WHERE json_valid(j))""")
+FROM n""")
 def analysis_obligations(spark, sf):
     out = E.obligations(E.parse_analysis(W.analysis_replies(spark, sf)), "doc_id")
-    return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "texto", "plazo", "nivel_criticidad")
+    return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "texto", "sujeto", "plazo", "consecuencia_incumplimiento", "nivel_criticidad")
 
 
 @query("analysis_definitions", f"""
