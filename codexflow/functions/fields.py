@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,22 +57,17 @@ def concession_type(text: Column) -> Column:
 
 def document_type(text: Column) -> Column:
     low = F.lower(text)
-    has = lambda s: F.contains(low, F.lit(s))
-    return (
-        F.when(has("resolución no.") | has("resuelve"), "resolucion")
-        .when(has("concesión de aguas") | (has("pozo") & has("m³")), "concesion_aguas")
-        .when(has("cláusula"), "contrato")
-        .otherwise("legal_document"))
+    every = lambda words: reduce(and_, [F.contains(low, F.lit(w)) for w in words])
+    kinds = [(reduce(or_, map(every, ways)), name) for name, ways in V.DOCUMENT_TYPES]
+    return F.coalesce(*[F.when(test, name) for test, name in kinds], F.lit(V.DOCUMENT_TYPE_ELSE))
 
 
 def section(text: Column) -> Column:
     up = F.upper(text)
-    expr = F.when(F.contains(up, F.lit("RESUELVE")), "RESUELVE")
-    for word, label in [
-        ("CONSIDERANDO", "CONSIDERANDO"), ("ANTECEDENTES", "ANTECEDENTES"), ("ARTÍCULO", "ARTICULO")]:
-        expr = expr.when(F.contains(up, F.lit(word)), label)
-    table = F.contains(F.substring(up, 1, 400), F.lit("TABLA")) | F.contains(F.substring(text, 1, 300), F.lit("|"))
-    return expr.when(table, "TABLA").otherwise("GENERAL")
+    named = [F.when(F.contains(up, F.lit(word)), label) for word, label in V.SECTION_WORDS]
+    table = (F.contains(F.substring(up, 1, V.TABLE_WORD_WITHIN), F.lit(V.TABLE_WORD))
+             | F.contains(F.substring(text, 1, V.TABLE_MARK_WITHIN), F.lit(V.TABLE_MARK)))
+    return F.coalesce(*named, F.when(table, V.SECTION_TABLE), F.lit(V.SECTION_ELSE))
 
 
 def legal_metadata(text: Column) -> Column:

@@ -54,9 +54,9 @@ def route(df: DataFrame) -> DataFrame:
     """Decide on the unrounded score."""
     return df.withColumn(
         "recommendation",
-        F.when(F.col("has_tables") & (F.col("score") < V.TABLE_QUALITY), "docling")
-        .when(F.col("is_scanned") | (F.col("score") < V.LOW_QUALITY), "ocr_heavy")
-        .when(F.col("is_native"), "pymupdf").otherwise("docling"))
+        F.when(F.col("has_tables") & (F.col("score") < V.TABLE_QUALITY), V.ROUTE_LAYOUT)
+        .when(F.col("is_scanned") | (F.col("score") < V.LOW_QUALITY), V.ROUTE_OCR)
+        .when(F.col("is_native"), V.ROUTE_NATIVE).otherwise(V.ROUTE_LAYOUT))
 
 
 def assess(pages: DataFrame, dpi: Column | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def report(pages: DataFrame, dpi: float = V.DEFAULT_DPI) -> DataFrame:
     bad = F.col("unreadable")
     boolean = lambda c: F.when(F.col(c), "True").otherwise("False")
     reasoning = F.format_string(
-        "Chars/page: %.0f, Coverage: %.2f, Tables: %s, DPI: %.0f → %s",
+        V.QUALITY_REASONING,
         _even("avg_chars", 0), _even("avg_coverage", 2), boolean("has_tables"), F.lit(dpi), "recommendation")
     either = lambda fallback, value: F.when(bad, F.lit(fallback)).otherwise(value)
     return assess(pages, F.lit(dpi)).select(
@@ -90,6 +90,6 @@ def report(pages: DataFrame, dpi: float = V.DEFAULT_DPI) -> DataFrame:
         F.lit(dpi).alias("dpi_estimate"),
         either(False, F.col("has_tables")).alias("has_tables"),
         either(False, F.col("has_images")).alias("has_images"),
-        either("ocr_heavy", F.col("recommendation")).alias("recommendation"),
-        either(True, F.col("recommendation") == "ocr_heavy").alias("needs_ocr"),
+        either(V.ROUTE_OCR, F.col("recommendation")).alias("recommendation"),
+        either(True, F.col("recommendation") == V.ROUTE_OCR).alias("needs_ocr"),
         either("Error: no readable page → Fallback OCR Safe", reasoning).alias("reasoning"))
