@@ -37,13 +37,18 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bits set in over half of the hashes, as a signed 64-bit integer; no hash gives zero."""
+def set_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each of the 64 bits is set, highest bit first."""
     ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 14):
         part = np.unpackbits(hashes[lo:lo + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += part.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+    return ones
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes, as a signed 64-bit integer; no hash gives zero."""
+    return int(np.packbits(2 * set_counts(hashes) > len(hashes)).view(">i8")[0])
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -104,68 +109,73 @@ def link(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id",
     return prints.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component")
 
 
-def long_fingerprints(docs: DataFrame, words: int, segments: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, same binary, long_print array<long>, parts array<long>, n int): over the set of shingles.
+def long_fingerprints(docs: DataFrame, words: int, segments: int, width: int, flips: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, same binary, long_print array<long>, parts array<long>, weak array<long>, n int): over the set of shingles.
 
-    ``parts`` are the segment values; the last block of ``long_print`` is in no segment. ``same`` is a digest
-    of the sorted set: equal sets are copies of similarity 1.
+    ``parts`` are the segment values and ``weak`` marks in each the ``flips`` set bits with the narrowest
+    majority, those a near copy is likeliest to lack. The last block of ``long_print`` is in no segment.
+    ``same`` is a digest of the sorted set: equal sets are copies of similarity 1.
     """
     own, kind = _own(docs, id_col, text_col)
-    blocks = -(-segments * width // 64) + 1
+    blocks = -(-segments * width // 64)
 
     def one(text):
         hashes = np.unique(shingle_hashes(text, words))
-        prints = [majority(hashes), *(majority(mixed(hashes, k)) for k in range(1, blocks))]
-        bits = np.unpackbits(np.array(prints, dtype=">i8").view(np.uint8))[:segments * width].reshape(segments, width)
-        return xxhash.xxh3_128_digest(hashes.tobytes()), prints, (bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))).tolist(), len(hashes)
+        lead = np.concatenate([set_counts(hashes if k == 0 else mixed(hashes, k)) for k in range(blocks + 1)]) * 2 - len(hashes)
+        prints = np.packbits(lead > 0).view(">i8").astype(np.int64).tolist()
+        lead = lead[:segments * width].reshape(segments, width)
+        place = np.int64(1) << np.arange(width, dtype=np.int64)
+        order = np.argsort(np.where(lead > 0, lead, np.iinfo(np.int64).max), axis=1, kind="stable")[:, :flips]
+        weak = np.where(np.take_along_axis(lead, order, 1) > 0, place[order], 0).sum(axis=1)
+        return xxhash.xxh3_128_digest(hashes.tobytes()), prints, ((lead > 0) @ place).tolist(), weak.tolist(), len(hashes)
 
     def work(rows):
-        found = [one(t) for t in rows["text"]]
-        return {"id": rows["id"], "same": [f[0] for f in found], "long_print": [f[1] for f in found], "parts": [f[2] for f in found], "n": [f[3] for f in found]}
+        found = list(zip(*map(one, rows["text"])))
+        return {"id": rows["id"], **dict(zip(("same", "long_print", "parts", "weak", "n"), map(list, found)))}
 
-    return map_slices(own, lambda: work, f"id {kind}, same binary, long_print array<long>, parts array<long>, n int")
+    return map_slices(own, lambda: work, f"id {kind}, same binary, long_print array<long>, parts array<long>, weak array<long>, n int")
 
 
-def group(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 14, width: int = 28, broadcast_rows: int = 1_000_000, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
+def group(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 16, flips: int = 6, width: int | None = None,
+          broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): rows whose shingle sets have a Jaccard similarity of ``similarity`` or more, transitively.
 
-    Candidates: every segment value puts a text into the buckets of its one-sided ball, and each member of
-    a bucket is compared with the bucket's smallest id. Buckets of any size cost one row per member, so a
-    group of copies yields links in proportion to its size. Candidates pass if a block of 64 bits outside
-    the segments, then the whole fingerprints differ in at most a quarter of the bits, then only if the exact
-    similarity of the shingle sets holds. ``width`` keeps strangers out of the buckets: it should exceed the
-    binary logarithm of the number of texts by about ten. At a similarity of 0.8 a pair meets in some bucket
-    with a probability of about 0.8, at 0.85 with 0.98, from 0.9 on practically always.
+    Candidates: every segment value puts a text into the buckets of its one-sided ball, limited to the
+    ``flips`` weakest bits, and each member of a bucket is compared with the bucket's smallest id. Buckets of
+    any size cost one row per member, so a group of copies yields links in proportion to its size. Candidates
+    pass if a block of 64 bits outside the segments, then the whole fingerprints differ in at most a quarter of
+    the bits, then only if the exact similarity of the shingle sets holds. Segments have eight bits more than
+    the binary logarithm of the number of texts (or ``width``), so strangers seldom share a bucket at any
+    size. With 26 bits a pair of similarity 0.8 meets with a probability of about 0.8, at 0.85 with 0.98, from
+    0.9 on practically always.
 
     Texts without a word have an empty shingle set and form one group. Null texts count as empty; rows with
     a null id are not grouped and get a null component.
     """
-    prints = written(long_fingerprints(docs.filter(F.col(id_col).isNotNull()), words, segments, width, id_col, text_col), "long-fingerprints")
-    first = written(prints.groupBy("same").agg(F.min("id").alias("id"), F.first("long_print").alias("long_print"), F.first("parts").alias("parts"), F.first("n").alias("n")), "distinct-shingles")
-    value = first.filter("n > 0").select("id", F.element_at("long_print", -1).alias("check"), F.posexplode("parts").alias("segment", "value"))
-    flips = F.expr(f"transform(filter(sequence(0, {width - 1}), i -> (value >> i) & 1 = 1), i -> value ^ (1L << i))")
-    member = value.select("id", "check", F.explode(F.transform(F.concat(F.array("value"), flips), lambda v: v * segments + F.col("segment"))).alias("bucket"))
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 16
-    buckets = written(member.groupBy("bucket").agg(
-        F.min("id").alias("leader"), F.min_by("check", "id").alias("leader_check"), F.max("id").alias("last"),
-        F.max_by("check", "id").alias("last_check"), F.count("*").alias("members")).filter("members > 1"), "buckets")
-    pairs = buckets.filter((F.col("members") == 2) & near(F.col("leader_check"), F.col("last_check"))).select(F.col("leader").alias("a"), F.col("last").alias("b"))
-    crowded = buckets.filter("members > 2").select("bucket", "leader", "leader_check")
-    crowded = F.broadcast(crowded) if crowded.count() <= broadcast_rows else crowded  # 24 bytes a row
-    led = member.join(crowded, "bucket").filter((F.col("id") != F.col("leader")) & near(F.col("check"), F.col("leader_check")))
-    pairs = pairs.unionByName(led.select(F.col("leader").alias("a"), F.col("id").alias("b"))).filter("a <> b").distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    width = width or max(16, named.count().bit_length() + 8)
+    prints = written(long_fingerprints(named, words, segments, width, flips, id_col, text_col), "long-fingerprints")
+    first = written(prints.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("long_print", "parts", "weak", "n"))), "distinct-shingles")
+    value = first.filter("n > 0").select("id", F.element_at("long_print", -1).alias("check"), "weak", F.posexplode("parts").alias("segment", "value"))
+    value = value.withColumn("weak", F.get("weak", F.col("segment")))
+    ball = F.expr(f"transform(filter(sequence(0, {width - 1}), i -> (weak >> i) & 1 = 1), i -> value ^ (1L << i))")
+    member = value.select("id", "check", F.explode(F.transform(F.concat(F.array("value"), ball), lambda v: v * segments + F.col("segment"))).alias("bucket"))
+    shared = written(member.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "buckets")
+    shared = F.broadcast(shared) if shared.count() <= broadcast_rows else shared  # 8 bytes a row
+    met = written(member.join(shared, "bucket"), "bucket-members")
+    lead = met.groupBy("bucket").agg(F.min("id").alias("leader"), F.min_by("check", "id").alias("leader_check"))
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("leader_check"))) <= 16
+    pairs = met.join(lead, "bucket").filter((F.col("id") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     full = first.select("id", "long_print", "n")
     side = lambda name: full.select(F.col("id").alias(name), F.col("long_print").alias(f"{name}_print"), F.col("n").alias(f"{name}_n"))
     distance = F.aggregate(F.zip_with("a_print", "b_print", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")
     close = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike & (distance <= 64 * F.size("a_print") / 4)).select("a", "b"), "close-pairs")
-    links = verified(docs, close, words, similarity, id_col, text_col)
-    found = components(links)
-    named = first.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    grouped = prints.join(named, "same").select(F.col("id").alias(id_col), "component")
-    nameless = docs.filter(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(grouped.schema["component"].dataType).alias("component"))
-    return grouped.unionByName(nameless)
+    found = components(verified(docs, close, words, similarity, id_col, text_col))
+    grouped = first.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
+    out = prints.select("id", "same").join(grouped, "same").select(F.col("id").alias(id_col), "component")
+    nameless = docs.filter(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(out.schema["component"].dataType).alias("component"))
+    return out.unionByName(nameless)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
