@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexflow.llm.common import by_value, map_slices
+from codexflow.llm.common import Shared, by_value, map_slices
 
 by_value(__name__)
 
@@ -116,7 +116,7 @@ class Vocabulary:
 def vocabulary(spark, path: str):
     """The vocabulary, read on the driver and broadcast (its size does not depend on the data)."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(Vocabulary(f.read()))
+        return Shared(spark, Vocabulary(f.read()))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -6,8 +6,10 @@ need no copy of this package.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import uuid
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,25 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
+class Shared:
+    """An object for all tasks: broadcast once, by value like the code, and unpacked once per Python worker.
+
+    A worker that serves several tasks keeps it, with whatever it has cached; a few objects at most are kept.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.data, self.key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    @property
+    def value(self):
+        kept = sys.modules.setdefault("_codexflow_shared", ModuleType("_codexflow_shared")).__dict__.setdefault("kept", {})
+        if self.key not in kept:
+            if len(kept) >= 4:
+                kept.clear()
+            kept[self.key] = pickle.loads(self.data.value)
+        return kept[self.key]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexflow.llm.common import by_value, map_slices
+from codexflow.llm.common import Shared, by_value, map_slices
 
 by_value(__name__)
 
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     Without a model everything is ``und``. A map without a shuffle: repeated rows give repeated rows, other
     columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def work(rows):
         if shared.value is None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codexflow.llm.common import by_value, is_usable, map_slices, written
+from codexflow.llm.common import Shared, by_value, is_usable, map_slices, written
 
 by_value(__name__)
 
@@ -173,7 +173,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int = 128
         return spark.createDataFrame([], out).select("query_id", F.lit(0).alias("rank"), F.col("id").alias(id_col), "score")
     rows, asked = (df.filter(F.size("vector") == size["dims"]) for df in (rows, asked))
     index = train(rows, max(1, min(lists, size["n"] // 32)), bound, strictness)
-    shared = spark.sparkContext.broadcast(index)
+    shared = Shared(spark, index)
     probes = max(1, math.ceil(len(index.centroids) * probe_share))
 
     with_lists = T.StructType([*rows.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])

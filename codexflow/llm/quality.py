@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexflow.llm.common import by_value, labelled_sample, map_slices
+from codexflow.llm.common import Shared, by_value, labelled_sample, map_slices
 from codexflow.llm.toxicity import logistic
 
 by_value(__name__)
@@ -106,7 +106,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     A map without a shuffle: repeated rows give repeated rows, other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def work(rows):
         if shared.value is None:
@@ -124,7 +124,7 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col:
 
     A row is judged by its own text: repeated rows and repeated or null ids are no special case.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexflow.llm.automaton import Automaton, mirrored, parse
-from codexflow.llm.common import by_value, map_slices
+from codexflow.llm.common import Shared, by_value, map_slices
 
 by_value(__name__)
 
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     Offsets count code points, ends are exclusive. Null and empty texts give an empty array, repeated rows
     repeated rows; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Rules(rules or RULES))
+    shared = Shared(docs.sparkSession, Rules(rules or RULES))
 
     def make():
         scanner = shared.value.ready()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexflow.llm.common import by_value, labelled_sample, map_slices, written
+from codexflow.llm.common import Shared, by_value, labelled_sample, map_slices, written
 
 by_value(__name__)
 
@@ -47,6 +47,7 @@ QUOTES = "\"“”„«»"
 WORD = re.compile(rf"[^\W\d_]+|[{QUOTES}]")
 CLAUSE_END = re.compile(r"[.!?;\n]")
 SCOPE = 4
+PURITY = 3.2  # log-odds from which a stem counts: weaker ones would flag clean rows
 PATHS = [(kind, negated, reported, targeted) for kind in "IT" for negated in (0, 1) for reported in (0, 1) for targeted in (0, 1)]
 # where labels say nothing: plain insults and targeted threats are toxic, negated or reported ones less so
 PRIOR = np.array([-4.0] + [
@@ -187,7 +188,7 @@ def significant_stems(sample: DataFrame, most: int = 2000) -> dict[str, float]:
         stem, counts = r["stem"], (r["pos"], r["neg"])
         covered = any(stem.startswith(c) for c in chosen)
         wider = any(c.startswith(stem) for c in chosen)  # a shorter prefix of a chosen stem adds doubtful words only
-        if not covered and not wider and math.log((counts[0] + 0.5) / (toxic + 1)) - math.log((counts[1] + 0.5) / (clean + 1)) > 2.5:
+        if not covered and not wider and math.log((counts[0] + 0.5) / (toxic + 1)) - math.log((counts[1] + 0.5) / (clean + 1)) > PURITY:
             chosen[stem] = counts
     return {s: min(8.0, math.log((p + 0.5) / (toxic + 1)) - math.log((q + 0.5) / (clean + 1))) for s, (p, q) in chosen.items()}
 
@@ -216,7 +217,7 @@ def fit(docs: DataFrame, marks: DataFrame, bound: int = 20_000, text_col: str =
     """
     sample = written(labelled_sample(docs, marks, text_col, bound).withColumn("label", F.col("label").cast("int")).dropDuplicates(["text"]), "toxic-sample")
     model = Model({s + "$": 4.0 for s in SEEDS} | significant_stems(sample))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def make():
         ready = shared.value.ready()
@@ -233,7 +234,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A map without a shuffle: repeated rows give repeated rows, other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def make():
         ready = shared.value.ready()
@@ -249,7 +250,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
 
     A row is judged by its own text: repeated rows and repeated or null ids are no special case.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
