@@ -12,8 +12,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``links`` (a, b).
 
     Rounds of two star operations: every node hands its larger neighbours to its smallest neighbour, then
-    its smaller ones. A hub's links are hooked by a join with one row per node, which Spark splits where a
-    hub is hot, and minima combine before the shuffle. Each round is a written table. Self links and
+    its smaller ones. A hub's links are hooked by a join with one row per node, and minima combine before the
+    shuffle. Both are written first: a join of tables, unlike one on top of the aggregation, is split by Spark
+    where a hub is hot. Self links and
     repeated links change nothing; an empty table gives an empty one.
     """
     edge = lambda u, v: (F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
@@ -21,9 +22,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large-stars")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v")
                  .select(*edge(F.col("u"), F.col("v"))).distinct())
