@@ -104,9 +104,15 @@ def fit(docs: DataFrame, bound: int = 8_000, landmarks: int = 256, ridge: float
     """
     known = (docs.filter(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
              .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    languages = max(1, known.select("lang").distinct().count())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # the labels themselves
+    if not counts:
+        return None
+    each = max(1, bound // len(counts))
+    # a draw by hash leaves about half more than wanted of each language, whose place decides
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.5 * each / n))])
+    few = known.select("id", "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    drawn = known.select("id", "lang", place.alias("place")).filter(F.col("place") <= max(1, bound // languages))
+    drawn = few.select("id", "lang", place.alias("place")).filter(F.col("place") <= each)
     sample = known.select("id", "text").join(F.broadcast(drawn.dropDuplicates(["id"])), "id").dropDuplicates(["id"])
 
     def work(rows):
@@ -116,8 +122,6 @@ def fit(docs: DataFrame, bound: int = 8_000, landmarks: int = 256, ridge: float
         return {"place": rows["place"], "lang": rows["lang"], "bits": [np.packbits(b > 0).tobytes() for b in bits]}
 
     seen = map_slices(sample, lambda: work, "place int, lang string, bits binary").toPandas().sort_values(["place", "lang"])
-    if not len(seen):
-        return None
     return solve(seen["bits"].tolist(), seen["lang"].tolist(), landmarks, ridge)
 
 
