@@ -17,7 +17,7 @@ from codexflow.streaming import ingest as X
 from workload import sqlviews as S
 from workload import views as W
 from workload.registry import query
-from workload.structure_queries import chunks_sql, section_sql, sections_sql, windows_sql
+from workload.structure_queries import chunks_sql, recursive_chunks_sql, section_sql, sections_sql, windows_sql
 from workload.text_queries import _legal
 
 DOCUMENTS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -137,9 +137,19 @@ def ingest_end_to_end(spark, sf):
     return rows.filter("success").withColumn("chunk_index", F.col("chunk_index").cast("bigint")).select(*INGEST_COLUMNS)
 
 
-@query("ingest_recursive")
+@query("ingest_recursive", f"""
+WITH RECURSIVE {S.NOISY}, md AS (SELECT doc_id, source, {_legal('body')} AS body FROM noisy), {sections_sql('md')}, {recursive_chunks_sql()},
+num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS chunk_index FROM pieces),
+joined AS (SELECT doc_id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS body FROM num GROUP BY doc_id),
+m AS (SELECT doc_id, CASE WHEN contains(lower(body), 'resolución no.') THEN 'resolucion' ELSE 'legal_document' END AS document_type,
+  nullif(regexp_extract(body, '(?i)Resolución' || chr(92) || 's+No' || chr(92) || '.?' || chr(92) || 's*(' || chr(92) || 'd{{3,6}})', 1), '') AS resolution_number FROM joined)
+SELECT doc_id, source, chunk_index, h1, h2, h3, h4, big AS is_refined, content, document_type, resolution_number, {section_sql('content')} AS section,
+  true AS success, CAST(NULL AS VARCHAR) AS error
+FROM num JOIN m USING (doc_id) JOIN documents USING (doc_id)""")
 def ingest_recursive(spark, sf):
-    return I.ingest(W.noisy(spark, sf), "body", processed_at=F.lit("2024-05-01")).select(*INGEST_COLUMNS, "success", "error")
+    """The default path: the splitter that users get."""
+    rows = I.ingest(W.noisy(spark, sf), "body", processed_at=F.lit("2024-05-01"))
+    return rows.withColumn("chunk_index", F.col("chunk_index").cast("bigint")).select(*INGEST_COLUMNS, "success", "error")
 
 
 # -------------------------------------------------------------------- levels

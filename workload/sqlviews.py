@@ -129,3 +129,40 @@ sparse AS MATERIALIZED (SELECT qid, id, score, row_number() OVER (PARTITION BY q
 def names_article(content: str, article: str) -> str:
     pattern = f"'(^|[^0-9.])' || replace({article}, '.', '[.]') || '($|[^0-9.]|[.]($|[^0-9]))'"
     return f"coalesce(regexp_matches({content}, {pattern}), false)"
+
+
+def recursive_split(source: str, key: str, text: str, separators: list[str], size: int, overlap: int) -> str:
+    """CTEs ending in rec(k, i, content): the chunks of every text of ``source`` in order.
+
+    One cut per separator level; pieces under ``size`` stay in runs, others go on to the next level. A run's
+    chunks follow from the bounds of its pieces, one recursion step per chunk.
+    """
+    quoted = lambda sep: " || ".join("chr(10)" if c == chr(10) else f"'{c}'" for c in sep)
+    parts, last = [f"a0 AS (SELECT {key} AS k, []::BIGINT[] AS path, {text} AS t FROM {source} WHERE {text} IS NOT NULL)"], len(separators) - 1
+    for n, sep in enumerate(separators):
+        q = quoted(sep)
+        parts.append(f"""
+s{n} AS MATERIALIZED (SELECT k, path, j, CASE WHEN j = 1 THEN p[1] ELSE {q} || p[j] END AS piece
+  FROM (SELECT k, path, p, unnest(generate_series(1, len(p))) AS j FROM (SELECT k, path, string_split(t, {q}) AS p FROM a{n} WHERE contains(t, {q})))
+  WHERE j > 1 OR p[1] <> ''),
+g{n} AS (SELECT *, length(piece) >= {size} AS big, sum(CAST(length(piece) >= {size} AS INT)) OVER (PARTITION BY k, path ORDER BY j) AS run FROM s{n}),
+a{n + 1} AS (SELECT k, path, t FROM a{n} WHERE NOT contains(t, {q}){f' UNION ALL SELECT k, list_append(path, j), piece FROM g{n} WHERE big' if n < last else ''})""")
+    runs = " UNION ALL ".join(
+        f"SELECT k, list_append(path, min(j)) AS ord, string_agg(piece, '' ORDER BY j) AS t, list(length(piece) ORDER BY j) AS sizes FROM g{n} WHERE NOT big GROUP BY k, path, run"
+        for n in range(last + 1))
+    first_over = f"list_filter(bounds, lambda v: v > {{0}} + {size})[1]"
+    end = "CASE WHEN {0} IS NULL THEN bounds[-1] ELSE list_filter(bounds, lambda v: v < {0})[-1] END"
+    parts.append(f"""
+runs AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, list_prepend(0, list_transform(sizes, lambda s, i: list_sum(sizes[1:i])))::BIGINT[] AS bounds FROM ({runs})),
+fill(rid, n, b, x, e) AS (
+  SELECT rid, 0, 0::BIGINT, x, {end.format('x')} FROM (SELECT rid, bounds, {first_over.format('0')} AS x FROM runs)
+  UNION ALL
+  SELECT rid, n, b, x, {end.format('x')} FROM (SELECT rid, n, b, bounds, {first_over.format('b')} AS x FROM (
+    SELECT f.rid, n + 1 AS n, r.bounds, list_filter(r.bounds, lambda v: v >= f.b AND f.e - v <= {overlap} AND (f.x - v <= {size} OR v >= f.e))[1] AS b
+    FROM fill f JOIN runs r ON r.rid = f.rid WHERE f.x IS NOT NULL))),
+found AS (
+  SELECT k, ord, n, {strip('substring(t, b + 1, e - b)')} AS content FROM fill JOIN runs USING (rid)
+  UNION ALL SELECT k, list_append(path, j), 0, piece FROM g{last} WHERE big
+  UNION ALL SELECT k, path, 0, CASE WHEN length(t) >= {size} THEN t ELSE {strip('t')} END FROM a{last + 1}),
+rec AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY ord, n) - 1 AS i, content FROM found WHERE content <> '')""")
+    return ",".join(parts)

@@ -72,10 +72,23 @@ def split_headers(spark, sf):
     return C.explode_chunks(rows).withColumn("section_no", F.col("chunk_index").cast("bigint")).drop("chunk_index")
 
 
-@query("split_recursive")
+RECURSIVE = (V.ADAPTIVE_SEPARATORS, V.ADAPTIVE_SIZE, V.ADAPTIVE_OVERLAP)
+
+
+def recursive_chunks_sql() -> str:
+    """CTEs ending in pieces(doc_id, sec_no, h1..h4, big, i, content): sections, the large ones cut by the default splitter."""
+    split = S.recursive_split(f"(SELECT * FROM sections WHERE length(content) > {V.ADAPTIVE_SIZE})", "struct_pack(d := doc_id, s := sec_no)", "content", *RECURSIVE)
+    return f"""{split},
+pieces AS (
+  SELECT doc_id, sec_no, h1, h2, h3, h4, true AS big, i + 1 AS i, rec.content FROM rec JOIN sections ON doc_id = rec.k.d AND sec_no = rec.k.s
+  UNION ALL SELECT doc_id, sec_no, h1, h2, h3, h4, false, 1, content FROM sections WHERE length(content) <= {V.ADAPTIVE_SIZE})"""
+
+
+@query("split_recursive", f"WITH RECURSIVE {S.recursive_split('documents', 'doc_id', 'text', *RECURSIVE)} SELECT k AS doc_id, i AS chunk_index, content FROM rec")
 def split_recursive(spark, sf):
-    cut = C.split_recursive(F.col("text"), V.ADAPTIVE_SEPARATORS, V.ADAPTIVE_SIZE, V.ADAPTIVE_OVERLAP)
-    return W.documents(spark, sf).select("doc_id", F.posexplode(cut).alias("chunk_index", "content"))
+    cut = C.split_recursive(F.col("text"), *RECURSIVE)
+    return W.documents(spark, sf).select("doc_id", F.posexplode(cut).alias("pos", "content")).select(
+        "doc_id", F.col("pos").cast("bigint").alias("chunk_index"), "content")
 
 
 @query("split_fixed_overlap", f"""
@@ -88,9 +101,13 @@ def split_fixed_overlap(spark, sf):
         "doc_id", F.col("pos").cast("bigint").alias("chunk_index"), "content")
 
 
-@query("chunk_adaptive")
+@query("chunk_adaptive", f"""
+WITH RECURSIVE {S.LEGAL}, {sections_sql('legal')}, {recursive_chunks_sql()}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS chunk_index, h1, h2, h3, h4,
+  CASE WHEN big THEN i - 1 END AS section_chunk_index, big AS is_refined, content FROM pieces""")
 def chunk_adaptive(spark, sf):
-    return C.chunk_adaptive(W.legal(spark, sf).select("doc_id", "body"), "body")
+    rows = C.chunk_adaptive(W.legal(spark, sf).select("doc_id", "body"), "body")
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "section_chunk_index")})
 
 
 @query("chunk_adaptive_fixed", f"""
