@@ -75,13 +75,14 @@ def split_headers(spark, sf):
 RECURSIVE = (V.ADAPTIVE_SEPARATORS, V.ADAPTIVE_SIZE, V.ADAPTIVE_OVERLAP)
 
 
-def recursive_chunks_sql() -> str:
+def recursive_chunks_sql(separators: list[str] = V.ADAPTIVE_SEPARATORS, size: int = V.ADAPTIVE_SIZE, overlap: int = V.ADAPTIVE_OVERLAP) -> str:
     """CTEs ending in pieces(doc_id, sec_no, h1..h4, big, i, content): sections, the large ones cut by the default splitter."""
-    split = S.recursive_split(f"(SELECT * FROM sections WHERE length(content) > {V.ADAPTIVE_SIZE})", "struct_pack(d := doc_id, s := sec_no)", "content", *RECURSIVE)
+    large = f"(SELECT * FROM sections WHERE length(content) > {size})"
+    split = S.recursive_split(large, "struct_pack(d := doc_id, s := sec_no)", "content", separators, size, overlap)
     return f"""{split},
 pieces AS (
   SELECT doc_id, sec_no, h1, h2, h3, h4, true AS big, i + 1 AS i, rec.content FROM rec JOIN sections ON doc_id = rec.k.d AND sec_no = rec.k.s
-  UNION ALL SELECT doc_id, sec_no, h1, h2, h3, h4, false, 1, content FROM sections WHERE length(content) <= {V.ADAPTIVE_SIZE})"""
+  UNION ALL SELECT doc_id, sec_no, h1, h2, h3, h4, false, 1, content FROM sections WHERE length(content) <= {size})"""
 
 
 @query("split_recursive", f"WITH RECURSIVE {S.recursive_split('documents', 'doc_id', 'text', *RECURSIVE)} SELECT k AS doc_id, i AS chunk_index, content FROM rec")
@@ -123,14 +124,24 @@ ARTICLE = "nullif(rtrim(coalesce(regexp_extract({0}, '(?i)ARTÍCULO\\s*([\\d.]+)
 PAGE = "TRY_CAST(regexp_extract({0}, '\\[Página\\s*(\\d+)\\]', 1) AS INTEGER)"
 
 
+PAGE_TEXT_CHUNKS = rf"""named AS (SELECT *, {ARTICLE.format('piece')} AS article, {PAGE.format('piece')} AS page FROM pieces WHERE length({S.strip('piece')}) >= 1),
+done AS (SELECT *, '[Documento: ' || source || ' | ' || coalesce('Art. ' || article, 'Contexto general') || ' | Página: ' || coalesce(CAST(page AS VARCHAR), '?')
+  || ']' || chr(10) || {S.strip('piece')} AS content FROM named)
+SELECT doc_id, source, chunk_index, article, page, content, length(content) AS chunk_size FROM done"""
+MARKDOWN_CHUNKS = rf"""named AS (SELECT p.*, source, coalesce(nullif(rtrim(coalesce(regexp_extract(h3, '(\d[\d.]*)', 1), ''), '.'), ''), {ARTICLE.format('p.content')}) AS article
+  FROM pieces p JOIN documents USING (doc_id) WHERE length({S.strip('p.content')}) >= 1),
+done AS (SELECT *, '[Documento: ' || source || ' | ' || coalesce('Art. ' || article, 'Contexto general')
+  || coalesce(' | ' || coalesce(nullif(h2, ''), nullif(h1, '')), '') || ' | Formato: Markdown]' || chr(10) || {S.strip('content')} AS full_content FROM named)
+SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS chunk_index, h1, h2, h3, h4,
+  CASE WHEN big THEN i - 1 END AS section_chunk_index, big AS is_refined, article, full_content AS content, length(full_content) AS chunk_size, 'markdown' AS format
+FROM done"""
+
+
 @query("chunk_page_text", rf"""
 WITH {S.NOISY},
 cut AS (SELECT doc_id, source, {windows_sql('t', 2500, 400)} AS parts FROM (SELECT doc_id, source, {_loader('body')} AS t FROM noisy)),
 pieces AS (SELECT doc_id, source, i - 1 AS chunk_index, parts[i] AS piece FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM cut)),
-named AS (SELECT *, {ARTICLE.format('piece')} AS article, {PAGE.format('piece')} AS page FROM pieces WHERE length({S.strip('piece')}) >= 1),
-done AS (SELECT *, '[Documento: ' || source || ' | ' || coalesce('Art. ' || article, 'Contexto general') || ' | Página: ' || coalesce(CAST(page AS VARCHAR), '?')
-  || ']' || chr(10) || {S.strip('piece')} AS content FROM named)
-SELECT doc_id, source, chunk_index, article, page, content, length(content) AS chunk_size FROM done""")
+{PAGE_TEXT_CHUNKS}""")
 def chunk_page_text(spark, sf):
     rows = C.chunk_page_text(W.noisy(spark, sf), "body", splitter=C.fixed_splitter(2500, 400))
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "chunk_size")})
@@ -138,18 +149,31 @@ def chunk_page_text(spark, sf):
 
 @query("chunk_markdown", rf"""
 WITH {S.LEGAL}, md AS (SELECT doc_id, source, {_loader('body')} AS body FROM legal), {sections_sql('md')}, {chunks_sql(600, 100)},
-named AS (SELECT p.*, source, coalesce(nullif(rtrim(coalesce(regexp_extract(h3, '(\d[\d.]*)', 1), ''), '.'), ''), {ARTICLE.format('p.content')}) AS article
-  FROM pieces p JOIN documents USING (doc_id) WHERE length({S.strip('p.content')}) >= 1),
-done AS (SELECT *, '[Documento: ' || source || ' | ' || coalesce('Art. ' || article, 'Contexto general')
-  || coalesce(' | ' || coalesce(nullif(h2, ''), nullif(h1, '')), '') || ' | Formato: Markdown]' || chr(10) || {S.strip('content')} AS full_content FROM named)
-SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS chunk_index, h1, h2, h3, h4,
-  CASE WHEN big THEN i - 1 END AS section_chunk_index, big AS is_refined, article, full_content AS content, length(full_content) AS chunk_size, 'markdown' AS format
-FROM done""")
+{MARKDOWN_CHUNKS}""")
 def chunk_markdown(spark, sf):
     rows = C.chunk_markdown(W.legal(spark, sf), "body", size=600, splitter=C.fixed_splitter(600, 100))
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "section_chunk_index", "chunk_size")})
 
 
+@query("chunk_page_text_default", rf"""
+WITH RECURSIVE {S.NOISY}, src AS (SELECT doc_id, source, {_loader('body')} AS t FROM noisy),
+{S.recursive_split('src', 'doc_id', 't', V.PAGE_TEXT_SEPARATORS, V.LOADER_SIZE, V.LOADER_OVERLAP)},
+pieces AS (SELECT doc_id, source, i AS chunk_index, content AS piece FROM rec JOIN src ON doc_id = k),
+{PAGE_TEXT_CHUNKS}""")
+def chunk_page_text_default(spark, sf):
+    rows = C.chunk_page_text(W.noisy(spark, sf), "body")
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "chunk_size")})
+
+
+@query("chunk_markdown_default", rf"""
+WITH RECURSIVE {S.LEGAL}, md AS (SELECT doc_id, source, {_loader('body')} AS body FROM legal), {sections_sql('md')},
+{recursive_chunks_sql(V.MARKDOWN_SEPARATORS, V.LOADER_SIZE, V.LOADER_OVERLAP)},
+{MARKDOWN_CHUNKS}""")
+def chunk_markdown_default(spark, sf):
+    rows = C.chunk_markdown(W.legal(spark, sf), "body")
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "section_chunk_index", "chunk_size")})
+
+
 @query("inject_context_header", f"""
 WITH {S.CITABLE}
 SELECT doc_id, '[Documento: ' || source || ' | ' || coalesce('Art. ' || article, 'Contexto general') || ' | Página: '
