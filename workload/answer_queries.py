@@ -14,6 +14,7 @@ from workload import views as W
 from workload.corpus_queries import SENTENCES
 from workload.registry import query
 from workload.retrieval_queries import K2, sparse_hits
+from workload.text_queries import _page, formatted, paragraphs_sql
 
 NO_ANSWER = ("⚠️ No se encontró información relevante en los documentos indexados para responder su consulta legal. "
              "Por favor reformule la pregunta o sea más específico con el número del artículo.")
@@ -71,7 +72,19 @@ def select_context(spark, sf):
     return found.select("qid", A.select_context(F.col("span"), F.col("question")).alias("context"))
 
 
-@query("direct_query")
+OPEN = f"""open_ AS (SELECT a.qid, a.question FROM asked a LEFT JOIN first_span f USING (article) WHERE f.span IS NULL)"""
+
+
+@query("direct_query", f"""
+WITH {S.PLAIN}, {S.ARTICLE_QUESTIONS}, {ASKED},
+pg AS (SELECT doc_id, page_no, {_page('text')} AS text FROM (
+  SELECT doc_id, page_no, substring(body, (page_no - 1) * 1500 + 1, 1500) AS text FROM (
+    SELECT doc_id, body, unnest(generate_series(1, greatest(CAST(ceil(length(body) / 1500.0) AS BIGINT), 1))) AS page_no FROM plain))),
+assembled AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS body FROM pg WHERE text <> '' GROUP BY doc_id),
+{paragraphs_sql('assembled', 'body')}, {spans_sql('mended', 'body', '', PLAIN_START)}, {OPEN}, {S.bm25('mended', 'body', 3, 'open_')},
+near AS (SELECT qid, string_agg(body, chr(10) || chr(10) ORDER BY rank) AS text FROM sparse JOIN mended ON doc_id = id GROUP BY qid)
+SELECT asked.qid, article, {formatted('coalesce(span, near.text)')} AS answer, 'pdf_direct' AS mode
+FROM asked LEFT JOIN first_span USING (article) LEFT JOIN near ON near.qid = asked.qid""")
 def direct_query(spark, sf):
     plain = W.plain(spark, sf)
     last = F.greatest(F.ceil(F.length("body") / W.PAGE_CHARS), F.lit(1)).cast("int")
@@ -82,13 +95,13 @@ def direct_query(spark, sf):
 
 @query("markdown_query", f"""
 WITH {S.LEGAL}, {S.ARTICLE_QUESTIONS}, {ASKED}, {spans_sql('legal', 'body', '#{1,4}' + chr(92) + 's*', HEAD_START)},
-open_ AS (SELECT a.qid, a.question FROM asked a LEFT JOIN first_span f USING (article) WHERE f.span IS NULL),
+{OPEN},
 {S.bm25('legal', 'body', 3, 'open_')},
 near AS (SELECT qid, string_agg(body, chr(10) || chr(10) ORDER BY rank) AS text FROM sparse JOIN legal ON doc_id = id GROUP BY qid)
-SELECT asked.qid, article, coalesce(span, near.text) AS context FROM asked LEFT JOIN first_span USING (article) LEFT JOIN near ON near.qid = asked.qid""")
+SELECT asked.qid, article, coalesce(span, near.text) AS context, {formatted('coalesce(span, near.text)')} AS answer FROM asked LEFT JOIN first_span USING (article) LEFT JOIN near ON near.qid = asked.qid""")
 def markdown_query(spark, sf):
     golden = W.legal(spark, sf).select("doc_id", F.col("body").alias("text"))
-    return Q.markdown_query(W.article_questions(spark, sf), golden).select("qid", "article", "context")
+    return Q.markdown_query(W.article_questions(spark, sf), golden).select("qid", "article", "context", "answer")
 
 
 @query("library_query")

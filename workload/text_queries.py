@@ -159,12 +159,13 @@ def rows_to_markdown_table(spark, sf):
         F.col("p_partkey").alias("id"), T.rows_to_markdown_table(F.array(header, row)).alias("table_md"))
 
 
-@query("join_broken_paragraphs", rf"""
-WITH {S.LEGAL},
+def paragraphs_sql(view: str, body: str) -> str:
+    """CTEs ending in mended(doc_id, body)."""
+    return rf"""
 p AS (
   SELECT doc_id, i, {S.strip('parts[i]')} AS para FROM (
     SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (
-      SELECT doc_id, regexp_split_to_array(body, '\n\n+') AS parts FROM legal))),
+      SELECT doc_id, regexp_split_to_array({body}, '\n\n+') AS parts FROM {view}))),
 f AS (
   SELECT doc_id, i, para, lead(para) OVER w AS nxt,
     coalesce(para <> '' AND NOT contains('.;:)]"', right(para, 1)) AND lead(para) OVER w <> '' AND NOT regexp_matches(lead(para) OVER w,
@@ -172,26 +173,34 @@ f AS (
   FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 g AS (SELECT *, i - sum(CAST(joins AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f),
 r AS (SELECT *, joins AND (row_number() OVER (PARTITION BY doc_id, island, joins ORDER BY i) - 1) % 2 = 0 AS merges FROM g),
-o AS (SELECT *, coalesce(lag(merges) OVER (PARTITION BY doc_id ORDER BY i), false) AS consumed FROM r)
-SELECT doc_id, string_agg(CASE WHEN merges THEN para || ' ' || nxt ELSE para END, chr(10) || chr(10) ORDER BY i) AS text
-FROM o WHERE NOT consumed GROUP BY doc_id""")
+o AS (SELECT *, coalesce(lag(merges) OVER (PARTITION BY doc_id ORDER BY i), false) AS consumed FROM r),
+mended AS MATERIALIZED (SELECT doc_id, string_agg(CASE WHEN merges THEN para || ' ' || nxt ELSE para END, chr(10) || chr(10) ORDER BY i) AS body
+  FROM o WHERE NOT consumed GROUP BY doc_id)"""
+
+
+@query("join_broken_paragraphs", f"WITH {S.LEGAL}, {paragraphs_sql('legal', 'body')} SELECT doc_id, body AS text FROM mended")
 def join_broken_paragraphs(spark, sf):
     return W.legal(spark, sf).select("doc_id", T.join_broken_paragraphs(F.col("body")).alias("text"))
 
 
 # RE2 has no look-behind: numerals after PARÁGRAFO are marked first, then restored
-FORMATTED = r"""replace('**' || body || '**' || repeat(chr(10), 4) || 'PARÁGRAFO' || chr(10) || '2. texto (Decreto 17 de 2016,' || chr(10) || 'art. 1)  1. Uno', '*', '')"""
-for _p, _r in [
-    (r"\(\s*\n+\s*([^(\n])", r"(\1"), (r"(P[AÁ]R[AÁ]GRAFO)\s*\n+\s*(\d+\.?)\s*", r"\1 \2 "),
-    (r"([a-záéíóúüñA-ZÁÉÍÓÚÜÑ,;])\n([a-záéíóúüñ])", r"\1 \2"), (r"\n{3,}", "\n\n"),
-    (r"((?i:PARÁGRAFO))\s+(\d+\.\s+[A-ZÁÉÍÓÚÜÑ])", r"\1@@\2"), (r"\s+(\d+\.\s+[A-ZÁÉÍÓÚÜÑ])", "\n" + r"\1"), ("@@", " "),
-    (r"(?i)\s*(P[AÁ]R[AÁ]GRAFO\s*\d+\.?\s*)", "\n\n" + r"\1"), (r"\s*(\(Decreto\s+\d+\s+de\s+\d+[\s\S]*?\))", "\n\n" + r"\1"),
-    (r"(?i)\s*(\(Par[aá]grafo\s+adicionado[\s\S]*?\))", "\n" + r"\1"), (r"\n{3,}", "\n\n"), (" +", " "),
-]:
-    FORMATTED = S.sub(FORMATTED, _p, _r)
-
-
-@query("format_answer", f"WITH {S.PLAIN} SELECT doc_id, {S.strip(FORMATTED)} AS text FROM plain")
+def formatted(expr: str) -> str:
+    out = f"replace({expr}, '*', '')"
+    for p, r in [
+        (r"\(\s*\n+\s*([^(\n])", r"(\1"), (r"(P[AÁ]R[AÁ]GRAFO)\s*\n+\s*(\d+\.?)\s*", r"\1 \2 "),
+        (r"([a-záéíóúüñA-ZÁÉÍÓÚÜÑ,;])\n([a-záéíóúüñ])", r"\1 \2"), (r"\n{3,}", "\n\n"),
+        (r"((?i:PARÁGRAFO))\s+(\d+\.\s+[A-ZÁÉÍÓÚÜÑ])", r"\1@@\2"), (r"\s+(\d+\.\s+[A-ZÁÉÍÓÚÜÑ])", "\n" + r"\1"), ("@@", " "),
+        (r"(?i)\s*(P[AÁ]R[AÁ]GRAFO\s*\d+\.?\s*)", "\n\n" + r"\1"), (r"\s*(\(Decreto\s+\d+\s+de\s+\d+[\s\S]*?\))", "\n\n" + r"\1"),
+        (r"(?i)\s*(\(Par[aá]grafo\s+adicionado[\s\S]*?\))", "\n" + r"\1"), (r"\n{3,}", "\n\n"), (" +", " "),
+    ]:
+        out = S.sub(out, p, r)
+    return S.strip(out)
+
+
+RAW_ANSWER = r"""'**' || body || '**' || repeat(chr(10), 4) || 'PARÁGRAFO' || chr(10) || '2. texto (Decreto 17 de 2016,' || chr(10) || 'art. 1)  1. Uno'"""
+
+
+@query("format_answer", f"WITH {S.PLAIN} SELECT doc_id, {formatted(RAW_ANSWER)} AS text FROM plain")
 def format_answer(spark, sf):
     raw = F.concat(F.lit("**"), F.col("body"), F.lit("**\n\n\n\nPARÁGRAFO\n2. texto (Decreto 17 de 2016,\nart. 1)  1. Uno"))
     return W.plain(spark, sf).select("doc_id", T.format_answer(raw).alias("text"))
@@ -216,7 +225,7 @@ def strip_front_matter(spark, sf):
 
 
 @query("sanitize_name", """
-SELECT page_id, substring(regexp_replace(url, '[^0-9A-Za-zÀ-ÿ_-]', '_', 'g'), 1, 60) AS name FROM pages""")
+SELECT page_id, regexp_replace(url, '[^0-9A-Za-zÀ-ÿ_-]', '_', 'g') AS name FROM pages""")
 def sanitize_name(spark, sf):
     return W.table(spark, sf, "pages").select("page_id", T.sanitize_name(F.col("url")).alias("name"))
 
