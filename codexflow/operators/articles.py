@@ -1,4 +1,4 @@
-"""Exact article lookup: segment the corpus once, then join on the number."""
+"""Exact article lookup: segments are tested for the asked numbers where they are."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codexflow.functions import fixed_values as V
 from codexflow.functions.fields import question_article
 from codexflow.functions.text import strip
+from codexflow.operators.lexical import BLOCK, in_blocks
 
 
 def _segments(text: Column, starts: str) -> Column:
@@ -15,21 +16,21 @@ def _segments(text: Column, starts: str) -> Column:
 
 
 def article_spans(
-    docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, wanted: DataFrame | None = None,
+    docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, wanted: list[str] | None = None,
 ) -> DataFrame:
     """(article, place, span): one row per article and segment that names it.
 
     A span runs from the mention to the end of its segment, that is to the next
     article, chapter or section. A document is cut in its own row. With
-    ``wanted`` (article) other articles are dropped before any span is cut out.
+    ``wanted`` only these articles are looked at, and no text is shuffled.
     """
     starts, mention = (V.HEADING_STARTS, V.HEADING_MENTION) if markdown else (V.PLAIN_STARTS, V.PLAIN_MENTION)
     cut = docs.select(order.alias("_doc"), F.posexplode_outer(_segments(F.col(text), starts)).alias("seg_no", "seg"))
     cut = cut.withColumn("seg", F.concat("seg", F.lit("\n")))
     named = F.array_distinct(F.regexp_extract_all("seg", F.lit(f"(?iU){mention}"), F.lit(1)))
-    rows = cut.select("_doc", "seg_no", "seg", F.explode_outer(named).alias("article")).filter("article IS NOT NULL")
     if wanted is not None:
-        rows = rows.join(wanted, "article", "left_semi")
+        named = F.array_intersect(named, F.array(*map(F.lit, wanted)).cast("array<string>"))
+    rows = cut.select("_doc", "seg_no", "seg", F.explode_outer(named).alias("article")).filter("article IS NOT NULL")
     tail = r"(?:\.|(?![\d.]))" if markdown else r"\.?\s"
     head = r"#{1,4}\s*" if markdown else ""
     # the number is quoted, so its dots are literal
@@ -44,17 +45,24 @@ def first_spans(spans: DataFrame) -> DataFrame:
     return spans.groupBy("article").agg(F.min_by("span", "place").alias("span"), F.min("place").alias("place"))
 
 
-def lookup(questions: DataFrame, docs: DataFrame, order: Column, text: str = "text", markdown: bool = False) -> DataFrame:
+def lookup(
+    questions: DataFrame, docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, block: int = BLOCK,
+) -> DataFrame:
     """(qid, question, article, span); span is NULL when not found or not asked.
 
-    Only articles that some question names enter the aggregation.
+    The asked numbers travel to the scan, ``block`` of them at a time, so only
+    their spans enter the aggregation; every block is one more scan.
     """
     asked = questions.withColumn("article", question_article(F.col("question")))
-    wanted = asked.select("article").filter("article IS NOT NULL").distinct()
+    numbers = asked.select("article").filter("article IS NOT NULL").distinct()
 
     def found(as_markdown):
-        spans = article_spans(docs, order, text, as_markdown, wanted)
-        return first_spans(spans).filter("span <> ''").drop("place")
+        out = None
+        for part in in_blocks(numbers, block, "article"):
+            wanted = sorted(r["article"] for r in part.collect())  # about ``block`` numbers
+            spans = first_spans(article_spans(docs, order, text, as_markdown, wanted)).filter("span <> ''").drop("place")
+            out = spans if out is None else out.unionByName(spans)
+        return out
 
     plain = found(False).withColumnRenamed("span", "plain")
     out = asked.join(plain, "article", "left")

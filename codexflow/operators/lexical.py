@@ -65,12 +65,12 @@ def query_terms(questions: DataFrame, qid: str = "qid", question: str = "questio
     return rows.filter("term IS NOT NULL").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def in_blocks(rows: DataFrame, block: int = BLOCK):
-    """The questions' rows, ``block`` questions at a time by a hash of the qid."""
-    n = rows.select("qid").distinct().count()
+def in_blocks(rows: DataFrame, block: int = BLOCK, key: str = "qid"):
+    """The rows, about ``block`` keys at a time by a hash of the key."""
+    n = rows.select(key).distinct().count()
     blocks = max(1, -(-n // block))
     for b in range(blocks):
-        yield rows.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
 
 
 def score(index: Bm25Index, questions: DataFrame, k: int = 10 * V.TOP_K, block: int = BLOCK) -> DataFrame:

@@ -42,3 +42,10 @@ def test_scan_reads_only_needed_columns(spark, sf):
 def test_upsert_combines_before_the_shuffle(spark, sf):
     p = plan(L.upsert(W.manifest(spark, sf), W.manifest(spark, sf)))
     assert "partial_max_by" in p
+
+
+def test_article_lookup_shuffles_no_segments(spark, sf):
+    from codexflow.operators.articles import article_spans, first_spans
+
+    p = plan(first_spans(article_spans(docs(spark, sf), F.col("doc_id"), wanted=["2.2.1", "2.2.2"])))
+    assert p.count("Exchange") == 1 and "partial_min_by" in p and "Join" not in p
