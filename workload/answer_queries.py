@@ -31,18 +31,18 @@ def question_article(spark, sf):
     return both.select("qid", fields.question_article(F.col("question")).alias("article"))
 
 
-def spans_sql(view: str, body: str, mark: str, line_start: str) -> str:
-    """First span per article: lines, segment numbers, segments, first match."""
+def spans_sql(view: str, body: str, mark: str, line_start: str, tag: str = "") -> str:
+    """First span per article: lines, segment numbers, segments, first match; ends in first_span<tag>."""
     return rf"""
-ln AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS pos FROM (
+ln{tag} AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS pos FROM (
     SELECT doc_id, string_split({body}, chr(10)) AS lines FROM {view}))),
-sg AS (SELECT *, sum(CAST(pos > 1 AND regexp_matches(line, '(?i)^({line_start})') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS seg_no FROM ln),
-seg AS (SELECT doc_id, seg_no, string_agg(line, chr(10) ORDER BY pos) AS seg FROM sg GROUP BY doc_id, seg_no),
-found AS (
+sg{tag} AS (SELECT *, sum(CAST(pos > 1 AND regexp_matches(line, '(?i)^({line_start})') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS seg_no FROM ln{tag}),
+seg{tag} AS (SELECT doc_id, seg_no, string_agg(line, chr(10) ORDER BY pos) AS seg FROM sg{tag} GROUP BY doc_id, seg_no),
+found{tag} AS (
   SELECT a.article, doc_id, seg_no, trim(regexp_extract(seg || chr(10), '(?is){mark}ART[IÍ]CULO\s*' || replace(a.article, '.', '[.]') || '[.]?\s.*'), ' ' || chr(10)) AS span
-  FROM seg, (SELECT DISTINCT article FROM asked WHERE article IS NOT NULL) a
+  FROM seg{tag}, (SELECT DISTINCT article FROM asked WHERE article IS NOT NULL) a
   WHERE regexp_matches(seg || chr(10), '(?is){mark}ART[IÍ]CULO\s*' || replace(a.article, '.', '[.]') || '[.]?\s')),
-first_span AS (SELECT article, arg_min(span, doc_id * 100000 + seg_no) AS span FROM found GROUP BY article)"""
+first_span{tag} AS (SELECT article, arg_min(span, doc_id * 100000 + seg_no) AS span FROM found{tag} GROUP BY article)"""
 
 
 ASKED = rf"asked AS (SELECT qid, question, nullif(regexp_extract(question, '(\d+(?:\.\d+){{2,}})', 1), '') AS article FROM questions)"
@@ -104,8 +104,21 @@ def markdown_query(spark, sf):
     return Q.markdown_query(W.article_questions(spark, sf), golden).select("qid", "article", "context", "answer")
 
 
-@query("library_query")
+HEADING = "#{1,4}" + chr(92) + "s*"
+
+
+@query("library_query", f"""
+WITH {S.LEGAL}, {S.ARTICLE_QUESTIONS}, {ASKED},
+gold AS (SELECT doc_id, {S.strip('body')} AS body FROM legal WHERE sha256(body) IN (SELECT sha256(body) FROM legal WHERE doc_id % 2 = 0)),
+{spans_sql('gold', 'body', HEADING, HEAD_START)}, {OPEN}, {S.bm25('gold', 'body', 3, 'open_')},
+near AS (SELECT qid, string_agg(body, chr(10) || chr(10) ORDER BY rank) AS text FROM sparse JOIN gold ON doc_id = id GROUP BY qid),
+rest AS (SELECT doc_id, {_page('body')} AS body FROM legal WHERE doc_id NOT IN (SELECT doc_id FROM gold)),
+whole AS (SELECT * FROM rest WHERE body <> ''), {paragraphs_sql('whole', 'body')}, {spans_sql('mended', 'body', '', PLAIN_START, '_rest')}
+SELECT asked.qid, article, {formatted('coalesce(g.span, o.span, near.text)')} AS answer,
+  CASE WHEN g.span IS NULL AND o.span IS NOT NULL THEN 'pdf_direct' ELSE 'markdown_direct' END AS mode
+FROM asked LEFT JOIN first_span g USING (article) LEFT JOIN first_span_rest o USING (article) LEFT JOIN near ON near.qid = asked.qid""")
 def library_query(spark, sf):
+    """Stored copies of half of the documents; the others answer what those do not name."""
     body = F.concat(F.lit("---\nsource_pdf: x\n---\n\n"), "body")
     docs = W.legal(spark, sf).select("doc_id", F.col("source").alias("name"), F.col("body").alias("text"), content_hash(F.col("body")).alias("file_hash"))
     stored = W.legal(spark, sf).filter("doc_id % 2 = 0").groupBy(content_hash(F.col("body")).alias("file_hash")).agg(F.min(body).alias("body"))
