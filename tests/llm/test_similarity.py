@@ -77,6 +77,33 @@ def test_group_keeps_the_similarity(spark, odd, empty):
     assert {r["doc_id"]: r["component"] for r in got.collect()}[5] == 4
 
 
+def jaccard_roots(texts, least=0.8):
+    sets = [{tuple(t.lower().split()[i:i + 5]) for i in range(max(len(t.split()) - 4, 1))} for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    return roots(len(texts), links), len(links)
+
+
+def changed(words, places, tag):
+    """The words with those at the given places replaced; each place touches five shingles."""
+    return [f"{tag}x{i}" if i in places else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_group_links_pairs_behind_a_smaller_sibling(spark, cell):
+    """A family of one template, most under 0.8 to each other: its pairs over 0.8 are all linked, whoever leads the buckets."""
+    random = np.random.default_rng(3)
+    base = [f"w{i}" for i in random.integers(0, 5000, 204)]
+    places = lambda: {7 + 10 * int(p) for p in random.choice(19, 4, replace=False)}
+    texts = [" ".join(changed(base, places(), f"s{k}")) for k in range(60)]
+    for k in range(12):  # a sibling, and the same with four more words changed: 180 of 220 shingles
+        sibling = changed(base, places(), f"p{k}")
+        texts += [" ".join(sibling), " ".join(changed(sibling, {p + 5 for p in places()}, f"q{k}"))]
+    own, links = jaccard_roots(texts)
+    assert links >= 12 and len(set(own)) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component"]) for r in simhash.group(df, cell=cell).collect()) == list(enumerate(own))
+
+
 @pytest.mark.parametrize("links", [[], [(1, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 150)], [(5, 5), (7, 6), (6, 7), (9, 8), (8, 7)]])
 def test_components(spark, links):
     n = 1 + max((max(p) for p in links), default=0)
