@@ -104,6 +104,23 @@ def test_group_links_pairs_behind_a_smaller_sibling(spark, cell):
     assert sorted((r["doc_id"], r["component"]) for r in simhash.group(df, cell=cell).collect()) == list(enumerate(own))
 
 
+def test_group_links_every_pair_just_over_the_similarity(spark):
+    """300 pairs between 0.80 and 0.85, short and long, none lost."""
+    random = np.random.default_rng(8)
+    texts, pairs = [], []
+    for k in range(300):
+        n = int(random.integers(40, 260))
+        a = [f"w{i}" for i in random.integers(0, 10 ** 6, n + 4)]
+        lost = int(n / 9 / 5)  # a ninth of the shingles may differ on either side
+        b = changed(a, {4 + 5 * int(p) for p in random.choice((n - 4) // 5, max(lost, 1), replace=False)}, f"c{k}")
+        sets = [{tuple(t[i:i + 5]) for i in range(n)} for t in (a, b)]
+        pairs.append(len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]))
+        texts += [" ".join(a), " ".join(b)]
+    assert sum(pairs) > 250
+    got = {r["doc_id"]: r["component"] for r in simhash.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(300)] == pairs
+
+
 @pytest.mark.parametrize("links", [[], [(1, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 150)], [(5, 5), (7, 6), (6, 7), (9, 8), (8, 7)]])
 def test_components(spark, links):
     n = 1 + max((max(p) for p in links), default=0)
