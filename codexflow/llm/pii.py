@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexflow.functions.arrays import let
 from codexflow.llm.common import written
 
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -74,36 +75,41 @@ def words_of(text: Column) -> Column:
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """(entity, words) for every mention: up to six words within 120 characters on either side.
+    """(entity, words, source) for every mention: up to six words within 120 characters on either side.
 
-    A mention stands for its value and for its kind.
+    A mention stands for its value and for its kind. ``source`` is a sketch of the text it stands in, the smallest
+    hash of its three-word shingles, which copies share and near copies mostly share.
     """
-    mention = spans.filter(F.size("base") > 0).select("text", F.explode("base").alias("m"))
+    shingles = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3)))
+    mention = spans.filter(F.size("base") > 0).select(
+        "text", let(words_of(F.col("text")), lambda w: F.array_min(shingles(w))).alias("source"), F.explode("base").alias("m"))
     first = F.greatest(F.col("m.start") - CHARS_BESIDE, F.lit(0))
     left = F.substring("text", (first + 1).cast("int"), (F.col("m.start") - first).cast("int"))
     left = F.when(first > 0, F.regexp_replace(left, rf"^{LETTERS}+", "")).otherwise(left)
     right = F.regexp_replace(F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(CHARS_BESIDE)), rf"{LETTERS}+$", "")
     right = F.when(F.length("text") <= F.col("m.end") + CHARS_BESIDE, F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(CHARS_BESIDE))).otherwise(right)
     clean = lambda side: words_of(F.regexp_replace(side, r"\S*@\S*", " "))
-    beside = mention.select(F.col("m.kind").alias("kind"), F.col("m.value").alias("value"), clean(left).alias("l"), clean(right).alias("r"))
+    beside = mention.select("source", F.col("m.kind").alias("kind"), F.col("m.value").alias("value"), clean(left).alias("l"), clean(right).alias("r"))
     last = F.slice("l", F.greatest(F.size("l") - WORDS_BESIDE + 1, F.lit(1)), WORDS_BESIDE)
     words = F.concat(last, F.slice("r", 1, WORDS_BESIDE))
     name = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
-    return beside.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", F.sha2(name, 256)))).alias("entity"), words.alias("words"))
+    return beside.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", F.sha2(name, 256)))).alias("entity"), words.alias("words"), "source")
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, threshold: float, support: int) -> DataFrame:
     """(term, removed): terms that disclose more than ``threshold`` of an entity's information.
 
     A rare word seen beside an entity by chance is no evidence, nor are copies and near copies of one passage.
-    Each context has a sketch, the smallest hash of its other words, which near copies mostly share; the
-    effective number of contexts, (sum n)^2 / sum n^2 over the sketches, must reach ``support``. Counts cover
-    the whole corpus.
+    Evidence is the number of different contexts, told apart by the smallest hash of the other words, or of
+    different texts, told apart by their ``source``, whichever is larger; it must reach ``support``. Further rows
+    never lower it. Counts cover the whole corpus.
     """
-    seen = contexts(spans).select("entity", "words", F.explode("words").alias("term"))
-    sketch = F.array_min(F.transform(F.array_remove("words", F.col("term")), lambda w: F.xxhash64(w)))
-    pairs = (seen.groupBy("entity", "term", sketch.alias("sketch")).agg(F.count("*").cast("double").alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("together"), (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("contexts")))
+    seen = contexts(spans).select("entity", "words", "source", F.explode("words").alias("term"))
+    context = F.array_min(F.transform(F.array_remove("words", F.col("term")), lambda w: F.xxhash64(w)))
+    sketches = F.array(F.struct(F.lit(True).alias("near"), context.alias("hash")), F.struct(F.lit(False).alias("near"), F.col("source").alias("hash")))
+    pairs = (seen.select("entity", "term", F.explode(sketches).alias("s")).groupBy("entity", "term", "s.near", "s.hash").agg(F.count("*").alias("n"))
+             .groupBy("entity", "term").agg(F.sum(F.when(F.col("near"), F.col("n"))).cast("double").alias("together"),
+                                            F.greatest(F.count_if("near"), F.count_if(~F.col("near"))).alias("contexts")))
     pairs = written(pairs, "cooccurrence")
     corpus = docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     corpus = written(corpus, "words")
@@ -116,7 +122,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, threshold: float, suppor
             .groupBy("term").agg(F.max(F.col("entity").contains(":")).alias("removed")))
 
 
-def find(docs: DataFrame, threshold: float = 0.8, support: int = 5, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.8, support: int = 5, broadcast_bytes: int = 64 << 20, broadcast_terms: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``spans``: array of (start, rank, kind, end, value), by start, then in the order of the kinds.
 
     Base spans follow the patterns; ``term`` spans are the occurrences of disclosing terms outside them, with
@@ -127,8 +133,9 @@ def find(docs: DataFrame, threshold: float = 0.8, support: int = 5, broadcast_by
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = base_spans(named)
     terms = written(disclosing_terms(named, spans, threshold, support), "disclosing")
-    # which texts hold such a term: distinct words per text, met with the terms by a join that Spark sizes
-    key = F.sha2("text", 256)
+    # which texts hold such a term: distinct words per text, met with the terms where the text lies
+    terms = F.broadcast(terms) if terms.count() <= broadcast_terms else terms  # some 50 bytes a row; beyond that the words are shuffled
+    key = F.unhex(F.sha2("text", 256))
     held = (named.select(key.alias("key"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).join(terms, "term")
             .groupBy("key").agg(F.collect_set(F.struct("term", "removed")).alias("terms")))
     held = written(held, "texts-with-terms")

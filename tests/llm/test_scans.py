@@ -115,6 +115,19 @@ def test_disclosing_terms_are_found_wherever_they_stand(spark):
     assert "[PHONE]" in texts[0] and "quokka" not in texts[0] and texts[200] == "the  is not a quokkas"
 
 
+def test_evidence_of_signatures_and_beside_copies(spark):
+    """A name in the same signature on different documents is found; copies of a template do not switch evidence off."""
+    filler = [a + b for a in ("al", "bra", "char", "del", "ech", "fox", "gol", "hot") for b in ("pha", "vo", "lie", "ta", "oes", "trot", "fed", "elo")]
+    pick = lambda i, k: filler[(i * 7 + k * 13 + i * k) % 64]
+    prose = lambda i: " ".join(pick(i, k) for k in range(40))
+    rows = [(i, f"{prose(i)} kind regards yours okapi +1 (614) 555-8001 head office north gate") for i in range(30)]
+    rows += [(100 + i, f"{pick(i, 1)} {pick(i, 2)} quokka 10.0.0.1 {pick(i, 3)} {pick(i, 4)}") for i in range(20)]
+    rows += [(200 + i, "one template with a quokka 10.0.0.1 that is copied often") for i in range(1000)]
+    rows += [(2000, "an okapi and a quokka"), *[(2100 + i, prose(i + 31)) for i in range(200)]]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 2000").first()["spans"]
+    assert [(s["start"], s["kind"], s["end"], s["value"]) for s in found] == [(3, "term", 8, "removed"), (15, "term", 21, "removed")]
+
+
 @pytest.mark.parametrize("text,spans", [("token=abc", []), ("secret=token:abcdefghijklmnop", [])])
 def test_short_bodies_use_up_their_text(text, spans):
     assert SCANNER.scan([text]) == [spans]
