@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexflow.llm import bpe, embedding_dedup, language, nearest, packing, pii, quality, secret_scan, simhash, toxicity
+from codexflow.llm import alignment, bpe, embedding_dedup, language, nearest, packing, pii, quality, secret_scan, simhash, spelling, toxicity, warc
 from codexflow.llm.common import held_out, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,27 @@ def op9_quality(spark, sf_dir):
 @query
 def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.link(read(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+
+
+@query
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_warc(spark, sf_dir):
+    return warc.checked_records(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_warc"] = """
+WITH records AS (
+  SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages),
+told AS (SELECT *, strlen(payload) >= 1000 AND largest <> page_id AS again FROM records)
+SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN largest END AS refers_to
+FROM told"""
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    return alignment.align(read(spark, sf_dir, "documents"), VOCABULARY, PIECES)
