@@ -23,8 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from codexflow.llm.common import Shared, by_value, map_slices, written
 from codexflow.llm.components import components
@@ -36,6 +34,7 @@ SEGMENTS, WIDTH = 2, 32
 SPREAD = 0x9E3779B97F4A7C15
 BLOCKS = 8  # of 64 bits, in the fingerprints that thin out candidates
 APART = 64 * BLOCKS * 3 // 10
+HEADS = 16  # first open buckets of a text that its rows carry, to tell where a pair has met before
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -135,7 +134,7 @@ def common_shingles(docs: DataFrame, words: int, rows: int, sample: int, least:
 
 
 def shingle_index(own: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
-    """(id, same binary, long_print array<long>, prefix array<long>, n int): over the set of shingles.
+    """(id, digest, same binary, long_print array<long>, prefix array<long>, n int): over the set of shingles.
 
     All texts order their shingles alike, common ones last. Two sets of Jaccard similarity s share a shingle
     among the first n - ceil(s n) + 1 of each, the ``prefix``. ``same`` is a digest of the sorted set: equal
@@ -155,116 +154,207 @@ def shingle_index(own: DataFrame, common: tuple[np.ndarray, np.ndarray], words:
 
     def work(rows):
         found = list(zip(*(one(t, *shared.value) for t in rows["text"])))
-        return {"id": rows["id"], **dict(zip(("same", "long_print", "prefix", "n"), map(list, found)))}
+        return {"id": rows["id"], "digest": rows["digest"], **dict(zip(("same", "long_print", "prefix", "n"), map(list, found)))}
 
-    return map_slices(own, lambda: work, f"id {kind}, same binary, long_print array<long>, prefix array<long>, n int")
+    return map_slices(own, lambda: work, f"id {kind}, digest binary, same binary, long_print array<long>, prefix array<long>, n int")
 
 
-def compare_cells(id_type, similarity: float):
-    """Rows sorted by cell in; (a, b) out: pairs of a cell that belong to different components and may reach the similarity."""
-    schema = to_arrow_schema(T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
+CELL = ["bucket", "low", "high"]
 
-    def cell(low, high, blocks, ids, components, n, place, prints):
-        blocks, n, place = np.array(blocks), np.array(n), np.array(place)
+
+def cell_rows(batches, columns):
+    """Rows sorted by cell in; (cell, one list per column) out, a cell at a time."""
+    held: list = []
+    at = None
+    for batch in batches:
+        rows = batch.to_pydict()
+        for *cell, row in zip(*(rows[c] for c in CELL), zip(*(rows[c] for c in columns))):
+            if at != cell:
+                if len(held) > 1:
+                    yield at, [list(c) for c in zip(*held)]
+                held, at = [], cell
+            held.append(row)
+    if len(held) > 1:
+        yield at, [list(c) for c in zip(*held)]
+
+
+def sides(low: int, high: int, blocks: list[int]):
+    """For each row of a cell of one or two blocks, if it is compared with later rows, and which rows those are."""
+    place = np.arange(len(blocks))
+    if low == high:
+        return [(i, place[i + 1:]) for i in place]
+    right = np.flatnonzero(np.array(blocks) == high)
+    return [(i, right) for i in np.flatnonzero(np.array(blocks) == low)]
+
+
+def candidate_members(similarity: float):
+    """Rows of cells in; (cell, block, node) out for the members that may reach the similarity with one of another component.
+
+    A pair is left to an earlier bucket if both rows' first open buckets (``heads``) show one that they share.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("block", pa.int32()), ("node", pa.int64())])
+
+    def members(bucket, low, high, blocks, nodes, components, n, place, prints, heads):
+        own, n, place = np.array(components), np.array(n), np.array(place)
         prints = np.array(prints, dtype=np.int64).view(np.uint64)
-        number: dict = {}
-        own = np.array([number.setdefault(c, len(number)) for c in components])
-        left, right = (np.arange(len(ids)),) * 2 if low == high else (np.flatnonzero(blocks == low), np.flatnonzero(blocks == high))
-        for i in left:
-            j = right[right > i] if low == high else right
-            j = j[own[j] != own[i]]
+        early = [set(h[:h.index(bucket)] if bucket in h else h) for h in heads]
+        met = np.zeros(len(nodes), dtype=bool)
+        for i, j in sides(low, high, blocks):
+            j = j[(own[j] != own[i]) & ~(met[j] & met[i])]
             # at their first common shingle, two sets have at most the rest of either in common
             j = j[np.minimum(n[i] - place[i], n[j] - place[j]) * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-9]
             j = j[np.bitwise_count(prints[j] ^ prints[i]).sum(axis=1, dtype=np.int64) <= APART]
-            if len(j):
-                yield [ids[i]] * len(j), [ids[k] for k in j]
+            j = [k for k in j.tolist() if early[i].isdisjoint(early[k])]
+            if j:
+                met[i] = True
+                met[j] = True
+        return np.flatnonzero(met)
+
+    def run(batches):
+        for (bucket, low, high), columns in cell_rows(batches, ["block", "node", "component", "n", "place", "long_print", "heads"]):
+            found = members(bucket, low, high, *columns).tolist()
+            if found:
+                size = len(found)
+                blocks, nodes = ([columns[c][i] for i in found] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(([bucket] * size, [low] * size, [high] * size, blocks, nodes), schema)], schema=schema)
+
+    return run
+
+
+def spanning_links(similarity: float):
+    """Rows of cells with their shingle sets in; (a, b) out: a forest that joins the members linked by exact similarity.
+
+    Pairs already of one tree are not compared, so a cell gives fewer links than it has members.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(low, high, blocks, nodes, components, sets):
+        sizes = np.array([len(s) for s in sets])
+        flat = np.unique(np.concatenate([np.array(s, dtype=np.int64) for s in sets]), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        number: dict = {}
+        tree = np.array([number.setdefault(c, len(number)) for c in components])
+        marked = np.zeros(int(flat.max()) + 1, dtype=bool)
+        for i, j in sides(low, high, blocks):
+            j = j[(tree[j] != tree[i]) & (np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-9)]
+            if not len(j):
+                continue
+            own = flat[starts[i]:ends[i]]
+            marked[own] = True
+            if len(j) * 4 < len(sizes):
+                common = np.array([np.count_nonzero(marked[flat[starts[k]:ends[k]]]) for k in j])
+            else:
+                common = np.diff(np.r_[0, np.cumsum(marked[flat])][np.r_[starts, ends[-1]]])[j]
+            marked[own] = False
+            for k in j[common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9].tolist():
+                if tree[k] != tree[i]:
+                    tree[tree == tree[k]] = tree[i]
+                    yield nodes[i], nodes[k]
 
     def run(batches):
-        held: list = []
-        at = None
-
-        def close():
-            if len(held) > 1:
-                for found in cell(*at[1:], *(list(c) for c in zip(*held))):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema)], schema=schema)
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            for bucket, low, high, *row in zip(*(rows[c] for c in ("bucket", "low", "high", "block", "id", "component", "n", "place", "long_print"))):
-                if at != (bucket, low, high):
-                    yield from close()
-                    held, at = [], (bucket, low, high)
-                held.append(row)
-        yield from close()
+        for (_, low, high), columns in cell_rows(batches, ["block", "node", "component", "shingles"]):
+            found = list(links(low, high, *columns))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
     return run
 
 
-def group(docs: DataFrame, words: int = 5, similarity: float = 0.8, cell: int = 1024, sample: int = 10_000,
-          broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): rows whose shingle sets have a Jaccard similarity of ``similarity`` or more, transitively.
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, cell: int = 1024, sample: int = 10_000,
+                broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, first struct): one row per row; rows whose shingle sets have a Jaccard similarity of
+    ``similarity`` or more, transitively, share ``first``: the smallest (id, digest of the text) among them.
 
     Candidates: each shingle of a text's prefix (``shingle_index``) is a bucket, so every pair of that similarity
-    shares one, whatever the number of texts. First each member of a bucket is compared with the bucket's
-    smallest id, one row per member, which joins large groups of near copies. Then, in the buckets that still
-    hold several components, all pairs of different components are compared, in cells of about ``cell`` x
-    ``cell`` members. Pairs stay candidates if their sizes allow the similarity and SimHash fingerprints of 512
-    bits differ in at most 30 % of them (15 to 19 % at similarity 0.8, six standard deviations below the bound);
-    the exact similarity of the shingle sets then decides. Neither ``cell`` nor ``sample`` changes which pairs are found.
-
-    Texts without a word have an empty shingle set and form one group. Null texts count as empty; rows with
-    a null id are not grouped and get a null component.
+    shares one, whatever the number of texts. First each member of a bucket is compared with one of it,
+    which joins large groups of near copies. Then, in the buckets that still hold several components, all pairs
+    of different components are compared, in cells of about ``cell`` x ``cell`` members: sizes and SimHash
+    fingerprints of 512 bits tell which members may have a partner (30 % of the bits may differ; 15 to 19 % do at
+    similarity 0.8, six standard deviations below the bound), only those get their shingle sets, and each
+    cell hands on a forest of exact links, fewer than its members. ``cell``, ``sample`` and ``broadcast_rows`` do not
+    change which pairs are found.
+
+    Null texts count as empty; texts without a word have an empty shingle set and form one group. Rows with a null
+    id are grouped like others and come last in the order. Rows that repeat an id with other texts are texts of their own.
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    own, _ = _own(named, id_col, text_col)
-    common = common_shingles(own, words, named.count(), sample, 4, 500_000)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    common = common_shingles(own, words, own.count(), sample, 4, 500_000)
     prints = written(shingle_index(own, common, words, similarity), "shingle-index")
-    first = written(prints.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("long_print", "prefix", "n"))), "distinct-shingles")
-    full = first.select("id", "long_print", "n")
-    member = first.select("id", F.posexplode("prefix").alias("place", "bucket"))
+    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("first")
+    first = prints.groupBy("same").agg(least, *(F.first(c).alias(c) for c in ("long_print", "prefix", "n")))
+    first = written(first.withColumn("node", F.monotonically_increasing_id()), "distinct-shingles")
+    full = first.select("node", "long_print", "n")
+    member = first.select("node", F.posexplode("prefix").alias("place", "bucket"))
     shared = written(member.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "buckets")
     shared = F.broadcast(shared) if shared.count() <= broadcast_rows else shared  # 8 bytes a row
     met = written(member.join(shared, "bucket"), "bucket-members")
 
-    lead = met.groupBy("bucket").agg(F.min("id").alias("leader"))
-    pairs = met.join(lead, "bucket").filter(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda name: full.select(F.col("id").alias(name), F.col("long_print").alias(f"{name}_print"), F.col("n").alias(f"{name}_n"))
+    lead = met.groupBy("bucket").agg(F.min("node").alias("leader"))
+    pairs = met.join(lead, "bucket").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    side = lambda name: full.select(F.col("node").alias(name), F.col("long_print").alias(f"{name}_print"), F.col("n").alias(f"{name}_n"))
     distance = F.aggregate(F.zip_with("a_print", "b_print", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
     close = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike & (distance <= APART)).select("a", "b"), "close-pairs")
-    links = written(verified(docs, close, words, similarity, id_col, text_col), "leader-links")
-
-    joined = components(links).withColumnRenamed("node", "id")
-    placed = written(met.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed-members")
-    open_buckets = (placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                    .filter("lo <> hi").select("bucket", F.ceil(F.col("members") / cell).cast("int").alias("blocks")))
-    cells = (placed.join(open_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sets = shingle_sets(own, first, close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    exact = both >= similarity * (F.size("a_set") + F.size("b_set") - both) - 1e-9
+    links = written(close.join(of("a"), "a").join(of("b"), "b").filter(exact).select("a", "b"), "leader-links")
+
+    joined = components(links)
+    placed = written(met.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(first.select("node", "n"), "node"), "placed-members")
+    blocks = F.ceil(F.greatest(F.col("members") / cell, F.col("shingles") / (cell << 12))).cast("int")
+    open_buckets = (placed.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+                    .filter("lo <> hi").select("bucket", blocks.alias("blocks")))
+    opened = written(placed.drop("n").join(open_buckets, "bucket"), "open-members")
+    heads = opened.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "bucket"))), 1, HEADS)["bucket"].alias("heads"))
+    cells = (opened.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("id", "bucket", "place", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
-    dealt = cells.join(full, "id").repartition(F.col("bucket"), F.col("low"), F.col("high")).sortWithinPartitions("bucket", "low", "high")
-    id_type = prints.schema["id"].dataType
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    crossing = dealt.mapInArrow(compare_cells(id_type, similarity), T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
-    crossing = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing-pairs")
-    found = components(links.unionByName(verified(docs, crossing, words, similarity, id_col, text_col)))
-
-    grouped = first.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    out = prints.select("id", "same").join(grouped, "same").select(F.col("id").alias(id_col), "component")
-    nameless = docs.filter(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(out.schema["component"].dataType).alias("component"))
-    return out.unionByName(nameless)
-
-
-def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles reach the Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own, kind = _own(docs, id_col, text_col)
-    needed = own.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+             .select("node", "bucket", "place", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    dealt = cells.join(full.join(heads, "node"), "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    partnered = written(dealt.mapInArrow(candidate_members(similarity), "bucket long, low int, high int, block int, node long"), "partnered-members")
+    needed = shingle_sets(own, first, partnered.select("node").distinct(), words)
+    placed_once = partnered.join(needed, "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crossing = placed_once.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(spanning_links(similarity), "a long, b long")
+    found = components(links.unionByName(written(crossing, "crossing-links")))
+
+    grouped = first.select("same", "node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = grouped.groupBy("component").agg(F.min("first").alias("first"))
+    told = grouped.select("same", "component").join(named, "component")
+    return prints.select("id", "digest", "same").join(told, "same").select("id", "digest", "first")
+
+
+def shingle_sets(own: DataFrame, first: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the sorted shingle set of each of ``nodes``, from one text that has it."""
+    wanted = first.select("node", "first.id", "first.digest").join(nodes, "node")
+    texts = own.join(wanted, own["id"].eqNullSafe(wanted["id"]) & (own["digest"] == wanted["digest"])).select("node", "text")
 
     def work(rows):
-        return {"id": rows["id"], "shingles": [np.unique(shingle_hashes(t, words)).view(np.int64).tolist() for t in rows["text"]]}
+        return {"node": rows["node"], "shingles": [np.unique(shingle_hashes(t, words)).view(np.int64).tolist() for t in rows["text"]]}
+
+    return written(map_slices(texts.dropDuplicates(["node"]), lambda: work, "node long, shingles array<long>"), "shingle-sets")
+
+
+def group(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, component): the smallest id of each row's group of near copies (``near_copies``); null where no row of the group has an id."""
+    found = near_copies(docs, words, similarity, id_col=id_col, text_col=text_col, **options)
+    return found.select(F.col("id").alias(id_col), F.col("first.id").alias("component"))
 
-    sets = written(map_slices(needed, lambda: work, f"id {kind}, shingles array<long>"), "shingle-sets")
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"{name}_set"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        common >= similarity * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` per group of near copies: that of the smallest id, of its smallest text digest, of rows that repeat both the smallest.
+
+    Texts that are no near copies all stay, whether or not they share an id.
+    """
+    found = near_copies(docs, words, similarity, id_col=id_col, text_col=text_col)
+    own = found.filter(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest")))
+    # texts of one digest and id count once, whichever groups their rows came from
+    stays = written(own.groupBy(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count("*").alias("_kept_rows")), "kept-texts")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    met = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest"))
+    once = docs.join(stays.filter("_kept_rows = 1"), met, "left_semi")
+    again = docs.join(stays.filter("_kept_rows > 1"), met, "inner").groupBy("_kept_id", "_kept_digest").agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("_kept_row"))
+    return once.unionByName(again.select(*(F.col("_kept_row")[c].alias(c) for c in docs.columns)))

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from codexflow.llm import embedding_dedup, nearest, simhash
+from codexflow.llm.common import written
 from codexflow.llm.components import components
 from codexflow.llm.queries import QUERIES
 
@@ -104,6 +105,38 @@ def test_group_links_pairs_behind_a_smaller_sibling(spark, cell):
     assert sorted((r["doc_id"], r["component"]) for r in simhash.group(df, cell=cell).collect()) == list(enumerate(own))
 
 
+def test_group_hands_on_rows_in_proportion_to_a_family(spark, monkeypatch):
+    """A family of one template at similarities from 0.70 to 0.78: its pairs grow with the square, the rows handed on do not."""
+    counts: dict = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    found = []
+    for n in (100, 200, 400):
+        random = np.random.default_rng(11)
+        base = [f"w{i}" for i in random.integers(0, 10 ** 6, 204)]
+        texts = [" ".join(changed(base, {5 + 5 * int(p) for p in random.choice(38, int(random.integers(5, 7)), replace=False)}, f"s{k}x")) for k in range(n)]
+        own, _ = jaccard_roots(texts)
+        counts.clear()
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted((r["doc_id"], r["component"]) for r in simhash.group(df, cell=64).collect()) == list(enumerate(own))
+        found.append(dict(counts))
+        assert counts["crossing-links"] < n * 16
+    for name in ("partnered-members", "crossing-links", "close-pairs"):
+        assert found[2][name] <= 10 * found[0][name] + 400  # four times the texts; in cells of 64, up to four blocks
+
+
+def test_keep_first_loses_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (3, b.upper(), "x"), (1, a, "x"), (1, a, "y"), (None, b, "x"), (None, "c d e f g h", "x"), (None, "c d e f g h", "x")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a, "x"), (1, b, "x"), (None, "c d e f g h", "x")], key=str)
+
+
 def test_group_links_every_pair_just_over_the_similarity(spark):
     """300 pairs between 0.80 and 0.85, short and long, none lost."""
     random = np.random.default_rng(8)
