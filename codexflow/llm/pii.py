@@ -29,6 +29,7 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 WORDS_BESIDE, CHARS_BESIDE = 6, 120
+BLOCK = 512
 LETTERS = r"\p{L}"
 
 
@@ -47,16 +48,47 @@ def _counts(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def scan(values: Column, combine, kind: str = "bigint", part: int = 256) -> Column:
+    """Running results of ``combine`` over an array, in parts, so that no long array is appended to item by item."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def walk(items):
+        step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(combine(F.get(acc, F.size(acc) - 1), x))))
+        return F.aggregate(items, none, step)
+
+    def whole(parts):
+        ends = walk(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(
+            F.transform(p, lambda x: combine(F.get(e, i - 1), x))))))
+
+    cuts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / part).cast("int"))
+    return F.when(F.size(values) == 0, none).otherwise(let(F.transform(cuts, lambda c: walk(F.slice(values, c * part + 1, part))), whole))
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` code points, so that a place is found without counting from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of the text."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(F.greatest(end - 1, start) / BLOCK).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(near, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 def _located(text: Column, matches: Column, pattern: Column, kind: str, order: int) -> Column:
     """Where the matches stand: the pieces between them are what the same pattern splits off."""
     pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match")), lambda p: p["match"].isNotNull())
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>)")
-    walk = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + F.length(p["gap"])).alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"),
-            (acc["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("end"), p["match"].alias("value")))).alias("out")))
-    return F.when(F.size(matches) > 0, walk["out"]).otherwise(none)
+
+    def told(zipped):
+        ends = scan(F.transform(zipped, lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("long")), lambda x, y: x + y)
+        return let(ends, lambda e: F.transform(zipped, lambda p, i: F.struct(
+            (F.get(e, i) - F.length(p["match"])).alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"),
+            F.get(e, i).alias("end"), p["match"].alias("value"))))
+
+    return F.when(F.size(matches) > 0, let(pairs, told)).otherwise(none)
 
 
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -81,19 +113,25 @@ def contexts(spans: DataFrame) -> DataFrame:
     hash of its three-word shingles, which copies share and near copies mostly share.
     """
     shingles = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3)))
-    mention = spans.filter(F.size("base") > 0).select(
-        "text", let(words_of(F.col("text")), lambda w: F.array_min(shingles(w))).alias("source"), F.explode("base").alias("m"))
-    first = F.greatest(F.col("m.start") - CHARS_BESIDE, F.lit(0))
-    left = F.substring("text", (first + 1).cast("int"), (F.col("m.start") - first).cast("int"))
-    left = F.when(first > 0, F.regexp_replace(left, rf"^{LETTERS}+", "")).otherwise(left)
-    right = F.regexp_replace(F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(CHARS_BESIDE)), rf"{LETTERS}+$", "")
-    right = F.when(F.length("text") <= F.col("m.end") + CHARS_BESIDE, F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(CHARS_BESIDE))).otherwise(right)
     clean = lambda side: words_of(F.regexp_replace(side, r"\S*@\S*", " "))
-    beside = mention.select("source", F.col("m.kind").alias("kind"), F.col("m.value").alias("value"), clean(left).alias("l"), clean(right).alias("r"))
-    last = F.slice("l", F.greatest(F.size("l") - WORDS_BESIDE + 1, F.lit(1)), WORDS_BESIDE)
-    words = F.concat(last, F.slice("r", 1, WORDS_BESIDE))
+
+    def beside(blocks, size, m):
+        first, end = F.greatest(m["start"] - CHARS_BESIDE, F.lit(0)), F.least(m["end"] + CHARS_BESIDE, size)
+        left, right = cut(blocks, first, m["start"]), cut(blocks, m["end"], end)
+        left = F.when(first > 0, F.regexp_replace(left, rf"^{LETTERS}+", "")).otherwise(left)  # no half words
+        right = F.when(end < size, F.regexp_replace(right, rf"{LETTERS}+$", "")).otherwise(right)
+        last = let(clean(left), lambda w: F.slice(w, F.greatest(F.size(w) - WORDS_BESIDE + 1, F.lit(1)), WORDS_BESIDE))
+        return F.struct(m["kind"].alias("kind"), m["value"].alias("value"), F.concat(last, F.slice(clean(right), 1, WORDS_BESIDE)).alias("words"))
+
+    # both columns are made in the text's row, before its mentions become rows
+    mentions = F.transform("base", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value")))
+    size = F.length("text").cast("long")
+    told = spans.filter(F.size("base") > 0).select(
+        let(words_of(F.col("text")), lambda w: F.array_min(shingles(w))).alias("source"),
+        let(blocks_of(F.col("text")), lambda b: let(size, lambda n: F.transform(mentions, lambda m: beside(b, n, m)))).alias("told"))
+    seen = told.select("source", F.explode_outer("told").alias("m")).select("source", "m.*")
     name = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
-    return beside.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", F.sha2(name, 256)))).alias("entity"), words.alias("words"), "source")
+    return seen.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", F.sha2(name, 256)))).alias("entity"), "words", "source")
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, threshold: float, support: int) -> DataFrame:
@@ -150,9 +188,19 @@ def find(docs: DataFrame, threshold: float = 0.8, support: int = 5, broadcast_by
     labelled = lambda r: F.transform(
         _located(F.col("text"), F.col(f"_t{int(r)}"), F.when(some(r), pattern(r)).otherwise("x"), "term", len(PATTERNS)),
         lambda s: s.withField("value", F.lit("removed" if r else "generalised")))
-    extra = F.filter(F.concat(labelled(True), labelled(False)), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    out = marked.withColumns(found).withColumn("spans", F.array_sort(F.concat("base", extra)))
-    return out.select("_row.*", "spans")
+    extra = F.concat(labelled(True), labelled(False))
+    out = marked.withColumns(found).withColumn("extra", extra)
+    spans = F.when(F.size("extra") == 0, F.col("base")).otherwise(let(F.array_sort(F.concat("base", "extra")), without_overlaps))
+    return out.select("_row.*", spans.alias("spans"))
+
+
+def without_overlaps(spans: Column) -> Column:
+    """Sorted spans without the terms that overlap one of the others."""
+    is_term = lambda s: s["kind"] == "term"
+    far = F.lit(1 << 62)
+    ends = scan(F.transform(spans, lambda s: F.when(is_term(s), F.lit(0).cast("long")).otherwise(s["end"])), F.greatest)
+    starts = F.reverse(scan(F.reverse(F.transform(spans, lambda s: F.when(is_term(s), far).otherwise(s["start"]))), F.least))
+    return let(ends, lambda e: let(starts, lambda n: F.filter(spans, lambda s, i: ~is_term(s) | ((F.get(e, i) <= s["start"]) & (F.get(n, i) >= s["end"])))))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -169,10 +217,21 @@ def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:
     generalised terms [TERM], removed terms nothing. Of overlapping spans the first is replaced. Texts without
     a span stay as they are, null included."""
     empty = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>)")
-    apart = F.aggregate("spans", empty, lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))), F.concat(acc, F.array(s))).otherwise(acc))
     tag = lambda s: F.when(s["value"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    kept = found.withColumn("_apart", F.when(F.size("spans") > 0, apart).otherwise(empty))
-    end = lambda i: F.coalesce(F.get("_apart", i)["end"], F.lit(0))
-    pieces = F.transform("_apart", lambda s, i: F.concat(F.substring(text_col, (end(i - 1) + 1).cast("int"), (s["start"] - end(i - 1)).cast("int")), tag(s)))
-    rest = F.substring(text_col, (end(F.size("_apart") - 1) + 1).cast("int"), F.length(text_col))
-    return kept.withColumn(text_col, F.when(F.size("_apart") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text_col))).drop("spans", "_apart")
+    kept = found.withColumn("_apart", F.when(F.size("spans") > 0, let(F.col("spans"), lambda s: first_of_overlaps(s))).otherwise(empty))
+    end = lambda i: F.coalesce(F.get("_apart", i)["end"], F.lit(0).cast("long"))
+    size = F.length(text_col).cast("long")
+    changed = let(blocks_of(F.col(text_col)), lambda b: F.concat(
+        F.array_join(F.transform("_apart", lambda s, i: F.concat(cut(b, end(i - 1), s["start"]), tag(s))), ""), cut(b, end(F.size("_apart") - 1), size)))
+    return kept.withColumn(text_col, F.when(F.size("_apart") > 0, changed).otherwise(F.col(text_col))).drop("spans", "_apart")
+
+
+def first_of_overlaps(spans: Column, part: int = 256) -> Column:
+    """Sorted spans without those that begin inside the last one kept before them; walked in parts, as in ``scan``."""
+    kind = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
+    none, nothing = F.expr(f"cast(array() as {kind})"), F.expr(f"cast(array() as array<{kind}>)")
+    state = lambda end, out: F.struct(end.alias("end"), out.alias("out"))
+    keep = lambda acc, s: F.when(s["start"] >= acc["end"], state(s["end"], F.concat(acc["out"], F.array(s)))).otherwise(acc)
+    walk = lambda acc, p: let(F.aggregate(p, state(acc["end"], none), keep), lambda r: state(r["end"], F.concat(acc["out"], F.array(r["out"]))))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / part).cast("int")), lambda c: F.slice(spans, c * part + 1, part))
+    return F.flatten(F.aggregate(cuts, state(F.lit(0).cast("long"), nothing), walk)["out"])
