@@ -6,7 +6,7 @@ the three never share a row. ``restore`` joins both, checks every payload agains
 original records back; ``parse`` reads their fields from the bytes. ``write_files`` and ``read_files`` exchange records
 with plain WARC files.
 
-A payload that very many records share is one key: heads of a key are dealt over salts in proportion to its
+Payloads are stored and shuffled compressed (zstd), each on its own. A payload that very many records share is one key: heads of a key are dealt over salts in proportion to its
 records, and its payload is repeated once per salt.
 """
 
@@ -87,22 +87,33 @@ def archive(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:00:0
     told = (told.withColumn("record_type", F.when(revisits, "revisit").otherwise("response"))
             .withColumn("refers_to", F.when(revisits, F.col("largest"))))
     heads = written(told.select("key", "copies", head_text(date).cast("binary").alias("head")), "heads")
-    contents = own.select("key", "payload").groupBy("key").agg(F.first("payload").alias("payload"))
+    packed = map_slices(own.select("key", "payload"), lambda: pack, "key string, packed binary", "payload")
+    contents = packed.groupBy("key").agg(F.first("packed").alias("packed"))
     payloads = written(contents.join(groups.select("key", "copies"), "key"), "payloads")
     return heads, payloads
 
 
+def pack(rows):
+    return {"key": rows["key"], "packed": [pa.compress(p, codec="zstd", asbytes=True) for p in rows["payload"]]}
+
+
+def unpack(rows):
+    sizes = (int(k.split("-")[1]) for k in rows["key"])
+    return {"key": rows["key"], "head": rows["head"], "payload": [pa.decompress(p, n, codec="zstd", asbytes=True) for p, n in zip(rows["packed"], sizes)]}
+
+
 def restore(heads: DataFrame, payloads: DataFrame) -> DataFrame:
     """(head, payload, record): every record's bytes as first made, and its whole payload, also for revisits.
 
     A payload whose digest is not its key's raises an error.
     """
     salts = F.ceil(F.col("copies") / SHARE).cast("int")
-    checked = payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.substring_index("key", "-", 1), F.col("payload"))
-                                  .otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("key")))))
-    stored = checked.select("key", "payload", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    stored = payloads.select("key", "packed", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     dealt = heads.select("key", "head", F.pmod(F.xxhash64("head"), salts).cast("int").alias("salt"))
-    whole = dealt.join(stored, ["key", "salt"])
+    joined = dealt.join(stored, ["key", "salt"]).select("key", "head", "packed")
+    whole = map_slices(joined, lambda: unpack, "key string, head binary, payload binary", "packed")
+    whole = whole.withColumn("payload", F.when(F.sha2("payload", 256) == F.substring_index("key", "-", 1), F.col("payload"))
+                             .otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("key")))))
     is_revisit = F.contains(F.col("head"), F.lit(f"{BREAK}WARC-Type: revisit{BREAK}".encode()))
     own = F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload"))
     return whole.select("head", "payload", F.concat("head", own, F.lit(RECORD_END.encode())).alias("record"))
