@@ -11,45 +11,30 @@ corpus and brought back to the documents: frequent pairs travel to the tasks, ra
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexflow.llm.bpe import Codec
+from codexflow.llm.bpe import PRETOKENS, Codec
 from codexflow.llm.common import Shared, by_value, map_slices, written
 
 by_value(__name__)
 
-KEPT_WINDOWS, KEPT_IDS = 300_000, 64
+KEPT_WINDOWS, KEPT_LINKS = 150_000, 1_500_000  # of a worker; it forgets them all when either is reached
 FREQUENT_PAIRS = 1 << 18  # most rows of pair counts that travel to every task
 
 
-def align_window(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, int, int, list[tuple[int, int]]]:
-    """(groups as text, groups, links, [(pair, times)]) of two id lists over the same bytes; a pair is ``a << 32 | b``."""
-    groups, links = [], Counter()
-    i = j = first_a = first_b = 0
-    a_end, b_end = a_size[0], b_size[0]
-    while True:
-        links[a[i] << 32 | b[j]] += 1
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a and step_b:
-            groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|{','.join(map(str, b[first_b:j + 1]))}")
-            first_a, first_b = i + 1, j + 1
-            if first_a == len(a):
-                return ";".join(groups), len(groups), links.total(), list(links.items())
-        if step_a:
-            i += 1
-            a_end += a_size[i]
-        if step_b:
-            j += 1
-            b_end += b_size[j]
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 class Aligner:
-    """Both vocabularies, built once per Python worker, and the windows met so far."""
+    """Both vocabularies, built once per Python worker, and the windows met so far: their groups as text and their links."""
 
     def __init__(self, spec: str, model: bytes):
         self.spec, self.model, self.codec = spec, model, None
@@ -57,55 +42,125 @@ class Aligner:
     def ready(self) -> Aligner:
         if self.codec is None:
             self.codec = Codec(self.spec)
+            special = set(self.codec.special)
+            ranks = {t: i for i, t in self.codec.tokens.items() if t.decode("utf-8", "replace") not in special}
+            self.encode_a = tiktoken.Encoding("a", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.pieces = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-            self.a_bytes = [self.codec.tokens.get(i, b"") for i in range(max(self.codec.tokens) + 1)]
+            a_bytes = [self.codec.tokens.get(i, b"") for i in range(max(self.codec.tokens) + 1)]
             names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
-            self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-            self.sizes = [np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes)]
-            self.spaced = [np.array([t[:1] == b" " for t in side]) for side in (self.a_bytes, self.b_bytes)]
-            self.kept: dict = {}
+            b_bytes = [bytes([int(p[3:-1], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+            self.bytes = a_bytes, b_bytes
+            self.flat = [np.frombuffer(b"".join(side), dtype=np.uint8) for side in self.bytes]
+            self.sizes = [np.array([len(t) for t in side]) for side in self.bytes]
+            self.starts = [np.cumsum(size) - size for size in self.sizes]
+            self.spaced = [np.array([t[:1] == b" " for t in side]) for side in self.bytes]
+            # an id as text, followed by what stands after a token within its group, and after the last one
+            self.named = [np.array([[f"{i}," for i in range(len(side))], [f"{i}{end}" for i in range(len(side))]], dtype=object)
+                          for side, end in zip(self.bytes, "|;")]
+            self.forget()
         return self
 
-    def window(self, key: tuple[bytes, bytes]):
-        found = self.kept.get(key)
-        if found is None:
-            a, b = (np.frombuffer(k, dtype="<u4") for k in key)
-            found = align_window(a.tolist(), b.tolist(), self.sizes[0][a].tolist(), self.sizes[1][b].tolist())
-            if len(a) + len(b) <= KEPT_IDS:
-                if len(self.kept) >= KEPT_WINDOWS:
-                    self.kept.clear()
-                self.kept[key] = found
-        return found
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """The id lists between offsets where a token that begins with a space starts on both sides."""
-        starts = [np.cumsum(size[ids]) - size[ids] for ids, size in zip((a, b), self.sizes)]
-        marked = [start[flag[ids]] for start, ids, flag in zip(starts, (a, b), self.spaced)]
-        anchors = np.intersect1d(*marked, assume_unique=True)  # 0 is one: both sides begin with the added space
-        parts = []
-        for ids, start in zip((a, b), starts):
-            data, cuts = ids.tobytes(), [*(4 * np.searchsorted(start, anchors)).tolist(), 4 * len(ids)]
-            parts.append([data[lo:hi] for lo, hi in zip(cuts, cuts[1:])])
-        return list(zip(*parts))
-
-    def align(self, text: str, pieces: list[int]):
-        """(n_a, n_b, n_groups, n_links, sha256 of the groups, pairs, times); zeros where either side's bytes are not the text's."""
-        data = b" " + text.encode()
-        a = np.frombuffer(self.codec.encode_plain(" " + text), dtype="<u4")
-        b = np.array(pieces, dtype="<u4")
-        if not text or b"".join([self.a_bytes[i] for i in a.tolist()]) != data or b"".join([self.b_bytes[i] for i in pieces]) != data:
-            return 0, 0, 0, 0, "", [], []
-        keys = self.windows(a, b)
-        groups, n_groups, n_links, links = hashlib.sha256(), 0, 0, Counter()
-        found = {key: self.window(key) for key in set(keys)}
-        groups.update(";".join([found[key][0] for key in keys]).encode())
-        for key, n in Counter(keys).items():
-            _, own_groups, own_links, pairs = found[key]
-            n_groups += n * own_groups
-            n_links += n * own_links
-            for pair, times in pairs:
-                links[pair] += n * times
-        return len(a), len(b), n_groups, n_links, groups.hexdigest(), list(links), list(links.values())
+    def forget(self) -> None:
+        self.kept, self.texts, self.n_groups = {}, [], []
+        self.links, self.link_starts = np.zeros(0, dtype=np.int64), [0]
+
+    def unchanged(self, side: int, ids: list[np.ndarray], data: list[bytes]) -> np.ndarray:
+        """For each text, whether its tokens' bytes are the text's."""
+        joined = np.concatenate(ids)
+        size = self.sizes[side][joined]
+        found = self.flat[side][ranges(self.starts[side][joined], size)].tobytes()
+        ends = np.cumsum(size)[np.cumsum([len(x) for x in ids]) - 1].tolist()
+        return np.array([found[lo:hi] == d for lo, hi, d in zip([0, *ends], ends, data)])
+
+    def learn(self, sides: list[np.ndarray], count: list[np.ndarray]) -> None:
+        """Align new windows, ``count`` ids of each side in every one, all in one pass over their bytes."""
+        ends = [np.cumsum(size[ids]) for ids, size in zip(sides, self.sizes)]
+        marks = [np.zeros(int(ends[0][-1]) + 1, dtype=bool) for _ in sides]
+        for mark, end in zip(marks, ends):
+            mark[end] = True
+        either, both = np.flatnonzero(marks[0] | marks[1]), marks[0] & marks[1]  # each stretch up to one of ``either`` is a link
+        place = [(np.cumsum(mark) - mark)[either] for mark in marks]
+        links = sides[0][place[0]].astype(np.int64) * len(self.bytes[1]) + sides[1][place[1]]
+        groups_before = np.cumsum(both) - both
+        last = np.cumsum(count[0]) - 1
+        window_end = ends[0][last]
+        # tokens in the order of the text: by group, side, place
+        group = np.concatenate([groups_before[e] for e in ends])
+        names = np.concatenate([name[both[e].astype(np.int64), ids] for name, e, ids in zip(self.named, ends, sides)])
+        order = np.argsort(group * 2 + np.repeat([0, 1], [len(ids) for ids in sides]), kind="stable")
+        names, cuts = names[order].tolist(), [0, *np.cumsum(count[0] + count[1]).tolist()]
+        self.texts += ["".join(names[lo:hi])[:-1] for lo, hi in zip(cuts, cuts[1:])]
+        self.n_groups += np.diff(groups_before[window_end] + 1, prepend=0).tolist()
+        first = self.link_starts[-1]
+        self.link_starts += (first + np.searchsorted(either, window_end, "right")).tolist()
+        self.links = np.concatenate([self.links, links])
+
+    def windows(self, sides: list[np.ndarray]):
+        """(numbers of the windows in the order of the text, byte places where they start).
+
+        A window starts where a token that begins with a space starts on both sides; windows met for the first time are aligned.
+        """
+        starts = [np.cumsum(size[ids]) - size[ids] for ids, size in zip(sides, self.sizes)]
+        marks = np.zeros(int(starts[0][-1]) + int(self.sizes[0][sides[0][-1]]), dtype=np.int8)
+        for start, ids, flag in zip(starts, sides, self.spaced):
+            marks[start[flag[ids]]] += 1
+        anchors = np.flatnonzero(marks == 2)
+        first = [np.searchsorted(start, anchors) for start in starts]
+        count = [np.diff(np.r_[f, len(ids)]) for f, ids in zip(first, sides)]
+        # a window's key: the ids of one side, a mark, the ids of the other
+        width = count[0] + count[1] + 1
+        at = np.cumsum(width) - width
+        mixed = np.full(int(width.sum()), 2 ** 32 - 1, dtype="<u4")
+        mixed[ranges(at, count[0])], mixed[ranges(at + count[0] + 1, count[1])] = sides
+        data, cuts = mixed.tobytes(), [*(4 * at).tolist(), 4 * len(mixed)]
+        number = [self.kept.setdefault(data[lo:hi], -1) for lo, hi in zip(cuts, cuts[1:])]
+        number = np.array(number)
+        unknown = np.flatnonzero(number < 0).tolist()
+        if unknown:
+            new = []
+            for i in unknown:
+                key = data[cuts[i]:cuts[i + 1]]
+                if self.kept[key] < 0:
+                    self.kept[key] = len(self.texts) + len(new)
+                    new.append(i)
+                number[i] = self.kept[key]
+            new = np.array(new)
+            self.learn([ids[ranges(f[new], c[new])] for ids, f, c in zip(sides, first, count)], [c[new] for c in count])
+        return number, anchors
+
+    def align(self, texts: list[str]) -> dict[str, list]:
+        """Columns of ``ALIGNED``, a row per text; zeros where either side's bytes are not the text's."""
+        used = [i for i, text in enumerate(texts) if text]
+        data = [b" " + texts[i].encode() for i in used]
+        a_ids = [np.array(self.encode_a(" " + texts[i]), dtype="<u4") for i in used]
+        b_ids = [np.array(p, dtype="<u4") for p in self.pieces.encode([texts[i] for i in used], num_threads=1)]
+        if used:
+            whole = np.flatnonzero(self.unchanged(0, a_ids, data) & self.unchanged(1, b_ids, data)).tolist()
+            used, data, a_ids, b_ids = ([side[i] for i in whole] for side in (used, data, a_ids, b_ids))
+        size = [len(d) for d in data]
+        out = {c: np.zeros(len(texts), dtype=np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        hashes, per_text, pairs, times = [""] * len(texts), np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if used:
+            if len(self.kept) > KEPT_WINDOWS or self.link_starts[-1] > KEPT_LINKS:
+                self.forget()
+            out["n_a"][used], out["n_b"][used] = [len(x) for x in a_ids], [len(x) for x in b_ids]
+            # every text begins with the added space on both sides, so windows never cross texts
+            number, anchors = self.windows([np.concatenate(a_ids), np.concatenate(b_ids)])
+            cuts = [*np.searchsorted(anchors, np.cumsum(size) - size).tolist(), len(number)]
+            told = [self.texts[w] for w in number.tolist()]
+            for i, lo, hi in zip(used, cuts, cuts[1:]):
+                hashes[i] = hashlib.sha256(";".join(told[lo:hi]).encode()).hexdigest()
+            first = np.array(self.link_starts)
+            counts = np.diff(first)[number]
+            owner = np.repeat(used, np.diff(cuts))
+            np.add.at(out["n_groups"], owner, np.array(self.n_groups)[number])
+            np.add.at(out["n_links"], owner, counts)
+            vocabulary = len(self.bytes[0]) * len(self.bytes[1])
+            links = np.repeat(owner, counts) * vocabulary + self.links[ranges(first[number], counts)]
+            links, times = np.unique(links, return_counts=True)
+            pairs, per_text = links % vocabulary, np.bincount(links // vocabulary, minlength=len(texts))
+        ends = np.r_[0, np.cumsum(per_text)].astype(np.int32)
+        return {**out, "groups_sha256": hashes, "pairs": pa.ListArray.from_arrays(ends, pa.array(pairs)), "times": pa.ListArray.from_arrays(ends, pa.array(times))}
 
 
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
@@ -114,7 +169,8 @@ ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): one row per input row, written.
 
-    ``pairs``: the different id pairs a text links, as ``a << 32 | b``; ``times``: how many of its links hold each.
+    ``pairs``: the different id pairs a text links, as a's id times the size of b's vocabulary plus b's id;
+    ``times``: how many of its links hold each.
     """
     with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
         shared = Shared(docs.sparkSession, Aligner(a.read(), b.read()))
@@ -123,10 +179,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         aligner = shared.value.ready()
 
         def work(rows):
-            texts = [t or "" for t in rows["text"]]
-            out = [aligner.align(t, p) for t, p in zip(texts, aligner.pieces.encode(texts, num_threads=1))]
-            names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
-            return {"row": rows["row"], "id": rows["id"], **dict(zip(names, map(list, zip(*out))))}
+            return {"row": rows["row"], "id": rows["id"], **aligner.align([t or "" for t in rows["text"]])}
 
         return work
 
@@ -134,11 +187,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     return written(map_slices(own, make, f"row long, id {own.schema['id'].dataType.simpleString()}, {ALIGNED}"), "aligned")
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
+def pair_counts(found: DataFrame, b_size: int) -> DataFrame:
     """(pair, count, best): links that hold each pair over all texts; ``best`` where no pair of its b id has more."""
     counts = (found.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy(F.col("x.pairs").alias("pair"))
               .agg(F.sum("x.times").alias("count")))
-    counts = written(counts.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)), "pair-counts")
+    counts = written(counts.withColumn("b", F.col("pair") % b_size), "pair-counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))  # one row per id of b: the vocabulary bounds it
     return written(counts.join(F.broadcast(most), "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "pairs")
 
@@ -152,7 +205,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, frequent: int = FREQUENT_PA
     other columns are not read. ``frequent`` bounds the pairs that are broadcast and changes no result.
     """
     found = aligned(docs, a_path, b_path, id_col, text_col)
-    counts = pair_counts(found)
+    counts = pair_counts(found, sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size())
     levels = counts.groupBy(F.floor(F.log2("count")).alias("level")).agg(F.count("*").alias("n")).collect()  # 64 rows at most
     floor, rows = 64, 0
     for level, n in sorted(((r.level, r.n) for r in levels), reverse=True):
