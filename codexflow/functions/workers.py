@@ -69,85 +69,108 @@ def batch_splitter(separators: list[str], size: int, overlap: int):
     return split
 
 
-def block_topk(qids, qvecs, ids, vecs, k: int, digits: int) -> pd.DataFrame:
-    """Best k of this block for each question; ties go to the smaller id."""
-    scores = np.round(np.asarray(vecs, dtype=np.float64) @ np.asarray(qvecs, dtype=np.float64).T, digits) + 0.0
-    ids, frames = np.asarray(ids), []
-    for column, qid in enumerate(qids):
-        s = scores[:, column]
-        if len(s) > k:
-            cut = np.partition(s, len(s) - k)[len(s) - k]
-            keep = np.flatnonzero(s >= cut)
-        else:
-            keep = np.arange(len(s))
-        keep = keep[np.lexsort((ids[keep], -s[keep]))[:k]]
-        frames.append(pd.DataFrame({"qid": qid, "id": ids[keep], "score": s[keep]}))
-    return pd.concat(frames) if frames else pd.DataFrame({"qid": [], "id": [], "score": []})
-
-
-def keep_best(held, found, k: int):
-    """The k best rows per question of two frames; ties go to the smaller id."""
-    rows = found if held is None else pd.concat([held, found])
-    return rows.sort_values(["qid", "score", "id"], ascending=[True, False, True], kind="stable").groupby("qid", sort=False).head(k)
-
-
-def scan_topk(queries: dict, k: int, digits: int, batch_rows: int = 4_096):
+class Best:
+    """The k best rows of every question, numbered from 0; equal scores go to the smaller id.
+
+    Rows under a question's k-th score are dropped as they come; the others are sorted when many have gathered.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor, self.parts, self.size = k, np.full(n, -np.inf), [], 0
+        self.most = max(4 * n * k, 1 << 18)
+
+    def add(self, question: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        kept = scores >= self.floor[question]
+        self.parts.append((question[kept], ids[kept], scores[kept]))
+        self.size += len(self.parts[-1][0])
+        if self.size > self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        if not self.parts:
+            return
+        question, ids, scores = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((pd.factorize(ids, sort=True)[0] if ids.dtype == object else ids, -scores, question))
+        question, ids, scores = question[order], ids[order], scores[order]
+        first = np.searchsorted(question, question)
+        rank = np.arange(len(question)) - first
+        last = rank == self.k - 1
+        self.floor[question[last]] = scores[last]
+        kept = rank < self.k
+        self.parts = [(question[kept], ids[kept], scores[kept])]
+        self.size = int(kept.sum())
+
+    def frames(self, qids: list, rows: int = 1 << 16):
+        self.prune()
+        for question, ids, scores in self.parts:
+            for lo in range(0, len(question), rows):
+                part = question[lo:lo + rows].tolist()
+                yield pd.DataFrame({"qid": [qids[q] for q in part], "id": ids[lo:lo + rows], "score": scores[lo:lo + rows].astype(np.float64)})
+
+
+def scan_topk(queries: dict, k: int, digits: int, block: int = 1_024, batch_rows: int = 2_048):
     """mapInPandas body: ``queries`` maps a key to (qids, vectors); corpus rows
-    meet only the questions with their own key."""
+    meet only the questions with their own key, ``block`` of them at a time."""
     def run(batches):
-        held = None
+        held = {key: Best(len(qids), k) for key, (qids, _) in queries.items()}
         for pdf in batches:
             for key, group in pdf.groupby("key", sort=False):
                 if key not in queries:
                     continue
+                vectors, best = queries[key][1], held[key]
                 for start in range(0, len(group), batch_rows):
                     part = group.iloc[start:start + batch_rows]
-                    qids, qvecs = queries[key]
-                    held = keep_best(held, block_topk(qids, qvecs, part["id"].to_numpy(), np.stack(part["vec"].to_numpy()), k, digits), k)
-        if held is not None and len(held):
-            yield held.astype({"score": "float64"})
+                    ids, vecs = part["id"].to_numpy(), np.stack(part["vec"].to_numpy()).astype(np.float64)
+                    for low in range(0, len(vectors), block):
+                        scores = np.round(vectors[low:low + block] @ vecs.T, digits) + 0.0
+                        if len(ids) > k:  # of a tile, no question needs more than its k best and their equals
+                            cut = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                            question, row = np.nonzero(scores >= np.maximum(cut, best.floor[low:low + block])[:, None])
+                        else:
+                            question, row = np.nonzero(scores >= best.floor[low:low + block, None])
+                        best.add(question + low, ids[row], scores[question, row])
+        for key, best in held.items():
+            yield from best.frames(queries[key][0])
 
     return run
 
 
-def scan_terms(weights: list, k: int, avgdl: float, k1: float, b: float, digits: int, batch_rows: int = 256):
-    """mapInPandas body: BM25 of rows (id, dl, toks) for the questions of ``weights`` (qid, term, weight)."""
+def term_scores(by_term: dict, counts, dl, avgdl: float, k1: float, b: float):
+    """(questions, parts of the score) of one document for all terms it shares with questions."""
+    found = [(*by_term[t], tf) for t, tf in counts.items()]
+    return (np.concatenate([at for at, _, _ in found]),
+            np.concatenate([weight * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))) for _, weight, tf in found]))
+
+
+def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits: int, cells: int = 1 << 20):
+    """mapInPandas body: BM25 of rows (id, dl, toks) for the questions of ``weights``, three lists (qid, term, weight).
+
+    All questions are scored in one pass, over as many rows at a time as keep rows x questions within ``cells``.
+    """
     def run(batches):
-        qids = sorted({w[0] for w in weights})
-        place, by_term = {q: i for i, q in enumerate(qids)}, {}
-        for qid, term, weight in weights:
+        place, by_term = {}, {}
+        for qid, term, weight in zip(*weights):
             at, values = by_term.setdefault(term, ([], []))
-            at.append(place[qid])
+            at.append(place.setdefault(qid, len(place)))
             values.append(weight)
         by_term = {t: (np.array(at), np.array(values)) for t, (at, values) in by_term.items()}
-        held = None
-
-        def best(ids, lengths, token_lists):
-            cells, values = [], []
-            for row, (dl, toks) in enumerate(zip(lengths, token_lists)):
-                counts = Counter(t for t in toks if t in by_term)
-                for term, tf in counts.items():
-                    at, weight = by_term[term]
-                    cells.append(row * len(qids) + at)
-                    values.append(weight * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))))
-            if not cells:
-                return None
-            cells = np.concatenate(cells)
-            total = np.bincount(cells, np.concatenate(values), len(ids) * len(qids)).reshape(len(ids), len(qids))
-            met = np.zeros(len(ids) * len(qids), dtype=bool)
-            met[cells] = True
-            total, met = np.round(total, digits) + 0.0, met.reshape(len(ids), len(qids))
-            row, column = np.nonzero(met)
-            found = pd.DataFrame({"qid": [qids[c] for c in column], "id": ids[row], "score": total[row, column]})
-            return keep_best(None, found, k)
-
+        qids, n = list(place), len(place)
+        best, step = Best(n, k), max(1, min(256, cells // max(n, 1)))
         for pdf in batches:
-            for start in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[start:start + batch_rows]
-                found = best(part["id"].to_numpy(), part["dl"].to_numpy(), part["toks"].to_numpy())
-                if found is not None:
-                    held = keep_best(held, found, k)
-        if held is not None and len(held):
-            yield held
+            ids, lengths, lists = pdf["id"].to_numpy(), pdf["dl"].to_numpy(), pdf["toks"].to_numpy()
+            for start in range(0, len(pdf), step):
+                at, values = [], []
+                for row in range(start, min(start + step, len(pdf))):
+                    counts = Counter(t for t in lists[row] if t in by_term)
+                    if counts:
+                        question, parts = term_scores(by_term, counts, lengths[row], avgdl, k1, b)
+                        at.append((row - start) * n + question)
+                        values.append(parts)
+                if at:
+                    at = np.concatenate(at)
+                    total = np.bincount(at, np.concatenate(values), step * n)
+                    cell = np.unique(at)
+                    best.add(cell % n, ids[start + cell // n], np.round(total[cell], digits) + 0.0)
+        yield from best.frames(qids)
 
     return run

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from codexflow.functions import fixed_values as V
 from codexflow.functions.fields import question_article
 from codexflow.functions.text import strip
-from codexflow.operators.lexical import BLOCK, in_blocks
+from codexflow.session import cut_lineage
+
+NUMBERS_AT_ONCE = 1_000_000  # asked article numbers, some 30 MB, that travel to the scan
 
 
 def _segments(text: Column, starts: str) -> Column:
@@ -16,21 +18,21 @@ def _segments(text: Column, starts: str) -> Column:
 
 
 def article_spans(
-    docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, wanted: list[str] | None = None,
+    docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, wanted: DataFrame | None = None,
 ) -> DataFrame:
     """(article, place, span): one row per article and segment that names it.
 
     A span runs from the mention to the end of its segment, that is to the next
     article, chapter or section. A document is cut in its own row. With
-    ``wanted`` only these articles are looked at, and no text is shuffled.
+    ``wanted`` (article, no repeats) only these articles are looked at.
     """
     starts, mention = (V.HEADING_STARTS, V.HEADING_MENTION) if markdown else (V.PLAIN_STARTS, V.PLAIN_MENTION)
     cut = docs.select(order.alias("_doc"), F.posexplode_outer(_segments(F.col(text), starts)).alias("seg_no", "seg"))
     cut = cut.withColumn("seg", F.concat("seg", F.lit("\n")))
     named = F.array_distinct(F.regexp_extract_all("seg", F.lit(f"(?iU){mention}"), F.lit(1)))
-    if wanted is not None:
-        named = F.array_intersect(named, F.array(*map(F.lit, wanted)).cast("array<string>"))
     rows = cut.select("_doc", "seg_no", "seg", F.explode_outer(named).alias("article")).filter("article IS NOT NULL")
+    if wanted is not None:
+        rows = rows.join(wanted, "article", "left_semi")
     tail = r"(?:\.|(?![\d.]))" if markdown else r"\.?\s"
     head = r"#{1,4}\s*" if markdown else ""
     # the number is quoted, so its dots are literal
@@ -46,23 +48,19 @@ def first_spans(spans: DataFrame) -> DataFrame:
 
 
 def lookup(
-    questions: DataFrame, docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, block: int = BLOCK,
+    questions: DataFrame, docs: DataFrame, order: Column, text: str = "text", markdown: bool = False, most: int = NUMBERS_AT_ONCE,
 ) -> DataFrame:
     """(qid, question, article, span); span is NULL when not found or not asked.
 
-    The asked numbers travel to the scan, ``block`` of them at a time, so only
-    their spans enter the aggregation; every block is one more scan.
+    Up to ``most`` different asked numbers travel to the scan, so only their spans are shuffled;
+    more numbers are met in a shuffle of the segments that name an article. Either way the texts are read once.
     """
     asked = questions.withColumn("article", question_article(F.col("question")))
-    numbers = asked.select("article").filter("article IS NOT NULL").distinct()
+    numbers = cut_lineage(asked.select("article").filter("article IS NOT NULL").distinct(), "asked-numbers")
+    wanted = F.broadcast(numbers) if numbers.count() <= most else numbers
 
     def found(as_markdown):
-        out = None
-        for part in in_blocks(numbers, block, "article"):
-            wanted = sorted(r["article"] for r in part.collect())  # about ``block`` numbers
-            spans = first_spans(article_spans(docs, order, text, as_markdown, wanted)).filter("span <> ''").drop("place")
-            out = spans if out is None else out.unionByName(spans)
-        return out
+        return first_spans(article_spans(docs, order, text, as_markdown, wanted)).filter("span <> ''").drop("place")
 
     plain = found(False).withColumnRenamed("span", "plain")
     out = asked.join(plain, "article", "left")

@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexflow.functions.workers import scan_topk
-from codexflow.operators.lexical import BLOCK, SCORE_DIGITS, in_blocks, rank
+from codexflow.operators.lexical import BLOCK, SCORE_DIGITS, in_parts, rank
 from codexflow.session import cut_lineage
 
 
-def dense_topk(questions: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+NUMBERS_AT_ONCE = 16_000_000  # components of question vectors, 128 MB, that travel to one scan
+
+
+def dense_topk(questions: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, most: int = NUMBERS_AT_ONCE) -> DataFrame:
     """Top k by dot product (unit vectors: the cosine order).
 
     questions: (qid, qvec[, key]); corpus: (id, vec[, key]). With ``key`` on both
     sides a question sees only rows of its own key, before any scoring.
 
-    A block of questions travels to the tasks that scan the corpus, where tiles of
-    bounded size are multiplied; nothing else moves. Every block is one more scan,
-    the same plan for few questions and many.
+    The questions travel to the tasks of one corpus scan, where tiles of ``block`` questions
+    are multiplied; nothing else moves. Only question vectors of more than ``most`` numbers in
+    all need another scan.
     """
     keyed = "key" in corpus.columns
     key = (lambda df: df["key"].cast("string")) if keyed else (lambda df: F.lit(""))
@@ -31,8 +34,10 @@ def dense_topk(questions: DataFrame, corpus: DataFrame, k: int, block: int = BLO
     c = corpus.select("id", "vec", key(corpus).alias("key")).filter("key IS NOT NULL")
     result = f"qid {q.schema['qid'].dataType.simpleString()}, id {c.schema['id'].dataType.simpleString()}, score double"
     partial = None
-    for part in in_blocks(q, block):
-        found = c.mapInPandas(scan_topk(_packed(part.collect()), k, SCORE_DIGITS), result)  # about ``block`` rows
+    q = cut_lineage(q, "question-vectors")
+    numbers = q.agg(F.sum(F.size("qvec"))).first()[0] or 0
+    for part in in_parts(q, numbers, most):
+        found = c.mapInPandas(scan_topk(_packed(part.collect()), k, SCORE_DIGITS, block), result)  # ``most`` numbers or about
         partial = found if partial is None else partial.unionByName(found)
     return rank(partial, k, [F.desc("score"), F.asc("id")])
 

@@ -13,7 +13,8 @@ from codexflow.functions.workers import scan_terms
 from codexflow.session import cut_lineage
 
 SCORE_DIGITS = 6
-BLOCK = 1_024  # questions that travel to the corpus scan at once
+BLOCK = 1_024  # questions that meet a batch of the corpus at once, inside a task
+ROWS_AT_ONCE = 4_000_000  # question terms, some 100 MB, that travel to one scan
 
 
 @dataclass
@@ -65,29 +66,28 @@ def query_terms(questions: DataFrame, qid: str = "qid", question: str = "questio
     return rows.filter("term IS NOT NULL").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def in_blocks(rows: DataFrame, block: int = BLOCK, key: str = "qid"):
-    """The rows, about ``block`` keys at a time by a hash of the key."""
-    n = rows.select(key).distinct().count()
-    blocks = max(1, -(-n // block))
-    for b in range(blocks):
-        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+def in_parts(rows: DataFrame, size: int, most: int, key: str = "qid"):
+    """The rows by a hash of the key, in as many parts as keep ``size`` under ``most`` in each: one, unless they are very many."""
+    parts = max(1, -(-size // most))
+    for part in range(parts):
+        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
 
 
-def score(index: Bm25Index, questions: DataFrame, k: int = 10 * V.TOP_K, block: int = BLOCK) -> DataFrame:
+def score(index: Bm25Index, questions: DataFrame, k: int = 10 * V.TOP_K, most: int = ROWS_AT_ONCE) -> DataFrame:
     """(qid, id, score): the k best of the chunks that share a term with each question.
 
-    A chunk is scored in its own row: the weights of a block of questions travel to
-    the scan, each task keeps k rows per question, and neither postings nor
-    (question, chunk) pairs are shuffled. Every block of questions is one more scan.
+    A chunk is scored in its own row for all questions: their weights travel to one scan,
+    each task keeps k rows per question, and neither postings nor (question, chunk) pairs are
+    shuffled. Only questions of more than ``most`` terms in all need another scan.
     """
     weighted = cut_lineage(query_terms(questions).join(index.terms, "term").select(
         "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "question-terms")
     kind = index.documents.schema["id"].dataType.simpleString()
     asked = questions.schema["qid"].dataType.simpleString()
     out = None
-    for part in in_blocks(weighted, block):
-        rows = part.collect()  # the terms of at most about ``block`` questions
-        scan = scan_terms([(r["qid"], r["term"], r["weight"]) for r in rows], k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS)
+    for part in in_parts(weighted, weighted.count(), most):
+        rows = part.toArrow().to_pydict()  # ``most`` rows or about
+        scan = scan_terms((rows["qid"], rows["term"], rows["weight"]), k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS)
         found = index.documents.filter(F.size("toks") > 0).mapInPandas(scan, f"qid {asked}, id {kind}, score double")
         out = found if out is None else out.unionByName(found)
     return rank(out, k, [F.desc("score"), F.asc("id")]).drop("rank")

@@ -62,8 +62,8 @@ def test_first_document_wins_and_numbers_are_exact(spark):
         (2, "CAPÍTULO I\nARTÍCULO 2.2.1. segundo\nARTÍCULO 2.2.10. otro"),
         (1, "ARTÍCULO 2.2.1 primero\nsigue\nARTÍCULO 3 fin")], "doc_id int, text string")
     qs = spark.createDataFrame([(1, "artículo 2.2.1?"), (2, "artículo 2.2.10"), (3, "artículo 9.9.9"), (4, "hola")], "qid int, question string")
-    for block in (1024, 1):
-        got = {r["qid"]: r["span"] for r in R.lookup(qs, docs, F.col("doc_id"), block=block).collect()}
+    for most in (1024, 1):  # numbers that travel to the scan, numbers that are met in a shuffle
+        got = {r["qid"]: r["span"] for r in R.lookup(qs, docs, F.col("doc_id"), most=most).collect()}
         assert got == {1: "ARTÍCULO 2.2.1 primero\nsigue", 2: "ARTÍCULO 2.2.10. otro", 3: None, 4: None}
 
 
