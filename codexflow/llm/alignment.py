@@ -24,7 +24,8 @@ from codexflow.llm.common import Shared, by_value, map_slices, written
 
 by_value(__name__)
 
-KEPT_WINDOWS, KEPT_LINKS = 150_000, 1_500_000  # of a worker; it forgets them all when either is reached
+KEPT_WINDOWS, KEPT_LINKS = 100_000, 1_000_000  # of a worker; it forgets them all when either is reached
+SLICE = 1 << 20  # bytes of text aligned at once
 FREQUENT_PAIRS = 1 << 18  # most rows of pair counts that travel to every task
 
 
@@ -184,7 +185,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         return work
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(map_slices(own, make, f"row long, id {own.schema['id'].dataType.simpleString()}, {ALIGNED}"), "aligned")
+    return written(map_slices(own, make, f"row long, id {own.schema['id'].dataType.simpleString()}, {ALIGNED}", limit=SLICE), "aligned")
 
 
 def pair_counts(found: DataFrame, b_size: int) -> DataFrame:

@@ -93,8 +93,8 @@ def slices(batch: pa.RecordBatch, text_col: str | None, limit: int = SLICE_BYTES
             yield batch.slice(lo, hi - lo)
 
 
-def map_slices(df: DataFrame, make, schema: str | T.StructType, text_col: str | None = "text") -> DataFrame:
-    """``make()`` runs once per task and returns ``work(dict of lists) -> dict of lists``."""
+def map_slices(df: DataFrame, make, schema: str | T.StructType, text_col: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """``make()`` runs once per task and returns ``work(dict of lists) -> dict of lists``; it gets ``limit`` bytes of text at a time."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -103,7 +103,7 @@ def map_slices(df: DataFrame, make, schema: str | T.StructType, text_col: str |
     def run(batches):
         work = None
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, limit):
                 work = work or make()
                 yield pa.RecordBatch.from_pydict(work(part.to_pydict()), schema=arrow)
 
