@@ -80,10 +80,15 @@ def score(index: Bm25Index, questions: DataFrame, k: int = 10 * V.TOP_K, most: i
     each task keeps k rows per question, and neither postings nor (question, chunk) pairs are
     shuffled. Only questions of more than ``most`` terms in all need another scan.
     """
-    weighted = cut_lineage(query_terms(questions).join(index.terms, "term").select(
-        "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "question-terms")
+    weighted = query_terms(questions).join(index.terms, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    return score_weighted(index, weighted, k, most)
+
+
+def score_weighted(index: Bm25Index, weights: DataFrame, k: int, most: int = ROWS_AT_ONCE) -> DataFrame:
+    """``score`` for questions given as (qid, term, weight), the weights times idf."""
+    weighted = cut_lineage(weights, "question-terms")
     kind = index.documents.schema["id"].dataType.simpleString()
-    asked = questions.schema["qid"].dataType.simpleString()
+    asked = weighted.schema["qid"].dataType.simpleString()
     out = None
     for part in in_parts(weighted, weighted.count(), most):
         rows = part.toArrow().to_pydict()  # ``most`` rows or about
