@@ -70,14 +70,15 @@ def join_shared(rows: DataFrame, groups: DataFrame, key: str, hot: int = 10_000)
 
 
 def archive(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id",
-            url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, DataFrame]:
+            url_col: str = "url", payload_col: str = "html", broadcast_keys: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(heads, payloads), both written: one head per row of ``pages``, one payload per content.
 
     Of records whose payloads are equal and have at least ``least`` bytes, that with the largest id is a response and the
     others are revisits that refer to it; smaller ones are all responses. Rows that repeat the largest id are responses
     too; rows with a null id are revisits, or responses where no copy has an id. Null payloads are empty. Line
     breaks in a url are percent-encoded, a null url gives no line. Payloads of any length are one value each, up
-    to Spark's 2 GB. An empty table gives empty tables; other columns are not read.
+    to Spark's 2 GB. An empty table gives empty tables; other columns are not read. ``broadcast_keys`` (of some 100 bytes)
+    bounds the keys that travel to the pages, it changes no result.
     """
     own = keyed(pages, id_col, url_col, payload_col)
     thin = written(own.drop("payload"), "records")
@@ -87,10 +88,13 @@ def archive(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:00:0
     told = (told.withColumn("record_type", F.when(revisits, "revisit").otherwise("response"))
             .withColumn("refers_to", F.when(revisits, F.col("largest"))))
     heads = written(told.select("key", "copies", head_text(date).cast("binary").alias("head")), "heads")
-    packed = map_slices(own.select("key", "payload"), lambda: pack, "key string, packed binary", "payload")
-    contents = packed.groupBy("key").agg(F.first("packed").alias("packed"))
-    payloads = written(contents.join(groups.select("key", "copies"), "key"), "payloads")
-    return heads, payloads
+    # contents of one record stay where they are; only those of several meet
+    several = groups.filter("copies > 1").select("key", "copies")
+    several = F.broadcast(several) if several.count() <= broadcast_keys else several
+    packed = lambda rows: map_slices(rows.select("key", "payload"), lambda: pack, "key string, packed binary", "payload")
+    once = packed(own.join(several, "key", "left_anti")).withColumn("copies", F.lit(1).cast("long"))
+    shared = packed(own.join(several, "key", "left_semi")).groupBy("key").agg(F.first("packed").alias("packed")).join(several, "key")
+    return heads, written(once.unionByName(shared), "payloads")
 
 
 def pack(rows):
