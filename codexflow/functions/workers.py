@@ -69,6 +69,15 @@ def batch_splitter(separators: list[str], size: int, overlap: int):
     return split
 
 
+def chunk_table(separators: list[str], size: int, overlap: int):
+    """A table function's class: the chunks of one text as rows, none for a null text."""
+    class Chunks:
+        def eval(self, text: str):
+            yield from enumerate(split_text(text, separators, size, overlap) if text is not None else [])
+
+    return Chunks
+
+
 class Best:
     """The k best rows of every question, numbered from 0; equal scores go to the smaller id.
 
@@ -174,3 +183,119 @@ def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits
         yield from best.frames(qids)
 
     return run
+
+
+def scan_bounds(weights: tuple, floors: dict, best: int | None, digits: int):
+    """mapInPandas body over rows (block, terms, tops): upper bounds of the scores in each block.
+
+    With ``best``: the blocks of the highest bounds per question. Without: the blocks whose bound reaches the
+    floor of some question, or is above 0 for a question without one.
+    """
+    def run(batches):
+        place, by_term = {}, {}
+        for qid, term, weight in zip(*weights):
+            at, values = by_term.setdefault(term, ([], []))
+            at.append(place.setdefault(qid, len(place)))
+            values.append(max(weight, 0.0))  # a negative part cannot raise a score
+        by_term = {t: (np.array(at), np.array(values)) for t, (at, values) in by_term.items()}
+        slack = 10.0 ** -digits  # scores are rounded
+        least = np.array([floors.get(q, slack) - slack for q in place]) if floors else np.zeros(len(place))
+        kept = Best(len(place), best or 1)
+        for pdf in batches:
+            reached = []
+            for block, terms, tops in zip(pdf["block"], pdf["terms"], pdf["tops"]):
+                found = [(*by_term[t], top) for t, top in zip(terms, tops) if t in by_term]
+                if not found:
+                    continue
+                bound = np.bincount(np.concatenate([at for at, _, _ in found]), np.concatenate([w * top for _, w, top in found]), len(place))
+                if best:
+                    question = np.flatnonzero(bound)
+                    kept.add(question, np.full(len(question), block, dtype=np.int64), bound[question])
+                elif ((bound > 0) & (bound >= least)).any():
+                    reached.append(block)
+            if not best:
+                yield pd.DataFrame({"block": np.array(reached, dtype=np.int64)})
+        if best:
+            for frame in kept.frames(list(place)):
+                yield frame.rename(columns={"id": "block", "score": "bound"})
+
+    return run
+
+
+def nearest_center(points: np.ndarray, centers: np.ndarray, rows: int = 8_192) -> np.ndarray:
+    norms = (centers ** 2).sum(axis=1)
+    return np.concatenate([np.argmin(norms - 2 * points[lo:lo + rows] @ centers.T, axis=1) for lo in range(0, len(points), rows)] or [np.zeros(0, dtype=np.int64)])
+
+
+def kmeans(points: np.ndarray, k: int, random, rounds: int = 12) -> np.ndarray:
+    """Lloyd's centers; fewer than ``k`` where there are fewer different points."""
+    different = np.unique(points, axis=0)
+    centers = different[random.choice(len(different), min(k, len(different)), replace=False)]
+    for _ in range(rounds):
+        own = nearest_center(points, centers)
+        size = np.bincount(own, minlength=len(centers))
+        total = np.zeros_like(centers)
+        np.add.at(total, own, points)
+        centers = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centers)
+    return centers
+
+
+def encode_vectors(centroids: np.ndarray, books: np.ndarray):
+    """mapInPandas body over (id, vec): list, code of the residual, distance of what the code stands for."""
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            vecs = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            own = nearest_center(vecs, centroids)
+            rest = vecs - centroids[own]
+            parts = np.split(rest, len(books), axis=1)
+            code = np.stack([nearest_center(p, book) for p, book in zip(parts, books)], axis=1)
+            error = np.sqrt(sum(((p - book[c]) ** 2).sum(axis=1) for p, book, c in zip(parts, books, code.T)))
+            yield pd.DataFrame({"id": pdf["id"], "vec": list(vecs), "code": [c.tobytes() for c in code.astype(np.uint8)], "error": error, "list": own.astype(np.int32)})
+
+    return run
+
+
+def scan_codes(qids: list, vectors: np.ndarray, chosen: np.ndarray, centroids: np.ndarray, books: np.ndarray, keep: int, exact: bool):
+    """mapInPandas body over (id, code, error, list): members of the chosen lists with bounds of their inner product.
+
+    The ``keep`` of highest low bound per question and task; with ``exact`` also all whose high bound reaches the keep-th low one.
+    """
+    def run(batches):
+        tables = [part @ book.T for part, book in zip(np.split(vectors, len(books), axis=1), books)]
+        length = np.linalg.norm(vectors, axis=1) if exact else np.zeros(len(vectors))
+        best, held, waiting = Best(len(qids), keep), [], 0
+        for pdf in batches:
+            for number, group in pdf.groupby("list", sort=False):
+                asked = np.flatnonzero(chosen[:, number])
+                if not len(asked):
+                    continue
+                ids = group["id"].to_numpy()
+                code = np.frombuffer(b"".join(group["code"]), dtype=np.uint8).reshape(len(ids), -1)
+                about = (vectors[asked] @ centroids[number])[:, None] + sum(t[asked][:, c] for t, c in zip(tables, code.T))
+                low = about - length[asked][:, None] * group["error"].to_numpy()[None]
+                question, row = np.nonzero(low >= best.floor[asked][:, None])
+                if exact:
+                    high = about + length[asked][:, None] * group["error"].to_numpy()[None] + 1e-6
+                    q, r = np.nonzero(high >= best.floor[asked][:, None])
+                    held.append((asked[q], ids[r], np.full(len(r), number), low[q, r], high[q, r]))
+                    best.add(asked[question], ids[row], low[question, row])
+                    waiting += len(q)
+                    if waiting > 1 << 21:  # floors have risen meanwhile
+                        best.prune()
+                        held = [tuple(c[part[4] >= best.floor[part[0]]] for c in part) for part in held]
+                        waiting = sum(len(part[0]) for part in held) // 2
+                else:
+                    best.add(asked[question], np.array([(i, number) for i in ids[row]] + [None], dtype=object)[:-1], low[question, row])
+        if exact:
+            best.prune()
+            for question, ids, number, low, high in held:
+                kept = high >= best.floor[question]
+                yield pd.DataFrame({"qid": [qids[q] for q in question[kept]], "id": ids[kept], "list": number[kept].astype(np.int32), "low": low[kept], "high": high[kept]})
+        else:
+            for frame in best.frames(qids):
+                yield pd.DataFrame({"qid": frame["qid"], "id": [i for i, _ in frame["id"]], "list": np.array([n for _, n in frame["id"]], dtype=np.int32),
+                                    "low": frame["score"], "high": frame["score"]})
+
+    return run

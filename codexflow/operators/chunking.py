@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexflow.functions import fields
 from codexflow.functions import fixed_values as V
 from codexflow.functions.arrays import empty, let
 from codexflow.functions.text import clean_loader, strip, sub, when_any
-from codexflow.functions.workers import batch_splitter
+from codexflow.functions.workers import batch_splitter, chunk_table
 
 # A noncharacter: valid in a string, never part of text.
 GUARD = "\ufdd1"
@@ -50,6 +50,11 @@ def split_recursive(text: Column, separators: list[str], size: int, overlap: int
                       empty("array<string>"))
 
 
+def register_split_recursive(spark: SparkSession, name: str, separators: list[str], size: int, overlap: int) -> None:
+    """SQL twin of ``split_recursive``: ``SELECT doc_id, c.* FROM docs, LATERAL name(text) AS c`` gives (chunk_index, content)."""
+    spark.udtf.register(name, F.udtf(chunk_table(separators, size, overlap), returnType="chunk_index bigint, content string"))
+
+
 def recursive_splitter(separators: list[str], size: int, overlap: int) -> Splitter:
     return lambda texts: split_recursive_all(texts, separators, size, overlap)
 

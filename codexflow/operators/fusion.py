@@ -34,11 +34,12 @@ def attach_content(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -
 def dedupe_by_content(hits: DataFrame) -> DataFrame:
     """One row per (qid, content): first position, payload of the later branch.
 
-    Texts are told apart by their SHA-256, so no text is a shuffle key. Columns
-    beside (qid, id, branch, branch_rank, content) do not pass.
+    Texts are told apart by their SHA-256, so no text is a shuffle key; a column ``content_hash`` stands for
+    it. Columns beside (qid, id, branch, branch_rank) do not pass.
     """
     pos = F.struct("branch", "branch_rank", "id")
-    fused = hits.withColumn("_same", F.sha2("content", 256)).groupBy("qid", "_same").agg(
+    same = F.col("content_hash") if "content_hash" in hits.columns else F.sha2("content", 256)
+    fused = hits.withColumn("_same", same).groupBy("qid", "_same").agg(
         F.min(pos).alias("_first"), F.max_by("id", pos).alias("id"))
     ranked = rank(fused, 2**31 - 1, [F.col("_first")]).withColumnRenamed("rank", "fused_rank").drop("_first", "_same")
     return ranked
@@ -96,9 +97,9 @@ def hybrid_retrieve(
 def fuse(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(qid, id, fused_rank, content): hits without repeats of one text, in fused order.
 
-    Whether two hits are the same text is decided on hashes; the texts themselves
-    join only what remains.
+    Whether two hits are the same text is decided on hashes: those stored with the chunks (``content_hash``), or made
+    where the texts lie. The texts themselves join only what remains.
     """
-    texts = chunks.select(F.col(id_col).alias("id"), "content")
-    fused = dedupe_by_content(attach_content(hits, chunks.select(id_col, "content"), id_col))
-    return fused.join(texts, "id")
+    same = F.col("content_hash") if "content_hash" in chunks.columns else F.sha2("content", 256)
+    keys = chunks.select(F.col(id_col).alias("id"), same.alias("content_hash"))
+    return dedupe_by_content(keys.join(hits, "id")).join(chunks.select(F.col(id_col).alias("id"), "content"), "id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codexflow.functions.text import content_hash, file_name, file_stem, sanitize_name, strip
 from codexflow.sources.files import exists
+from codexflow.sources.sketch import marked
 
 MANIFEST_SCHEMA = (
     "file_hash string, name string, md_filename string, processed_at string, source_tool string, chars bigint")
@@ -57,9 +58,11 @@ def render_golden_copy(
         "processed_at": processed_at, "chars": F.length(body).cast("bigint")})
 
 
-def write_golden_copies(rendered: DataFrame, path: str) -> None:
-    """Parquet bucketed by hash prefix: 256 folders however many documents."""
-    rendered.withColumn("bucket", F.substring("file_hash", 1, 2)).write.mode("append").partitionBy("bucket").parquet(path)
+def write_golden_copies(rendered: DataFrame, path: str, files_per_bucket: int = 1) -> None:
+    """Parquet bucketed by hash prefix: 256 folders of ``files_per_bucket`` files, however many tasks or documents."""
+    salt = F.pmod(F.xxhash64("file_hash"), F.lit(files_per_bucket))
+    dealt = rendered.withColumn("bucket", F.substring("file_hash", 1, 2)).repartition("bucket", salt)
+    dealt.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def golden_copies(spark: SparkSession, path: str) -> DataFrame:
@@ -67,12 +70,19 @@ def golden_copies(spark: SparkSession, path: str) -> DataFrame:
     return latest_per_hash(spark.read.parquet(path).drop("bucket"), F.struct("processed_at", "rendered"))
 
 
-def known(docs: DataFrame, manifest: DataFrame) -> DataFrame:
-    return docs.join(manifest.select("file_hash"), "file_hash", "left_semi")
+def known(docs: DataFrame, manifest: DataFrame, sketch: DataFrame | None = None) -> DataFrame:
+    """Documents that are stored. With the library's ``sketch`` only those that may be are shuffled."""
+    maybe = docs if sketch is None else marked(docs, sketch).filter("maybe_stored").drop("maybe_stored")
+    return maybe.join(manifest.select("file_hash"), "file_hash", "left_semi")
 
 
-def unknown(docs: DataFrame, manifest: DataFrame) -> DataFrame:
-    return docs.join(manifest.select("file_hash"), "file_hash", "left_anti")
+def unknown(docs: DataFrame, manifest: DataFrame, sketch: DataFrame | None = None) -> DataFrame:
+    """Documents that are not stored. With the library's ``sketch`` most of them stay where they are."""
+    if sketch is None:
+        return docs.join(manifest.select("file_hash"), "file_hash", "left_anti")
+    told = marked(docs, sketch)
+    maybe = told.filter("maybe_stored").drop("maybe_stored").join(manifest.select("file_hash"), "file_hash", "left_anti")
+    return told.filter("NOT maybe_stored").drop("maybe_stored").unionByName(maybe)
 
 
 def lookup(docs: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -106,13 +116,19 @@ def delete(manifest: DataFrame, gone: DataFrame) -> DataFrame:
     return manifest.join(gone.select("file_hash"), "file_hash", "left_anti").select(*manifest.columns)
 
 
-def convert_incremental(docs: DataFrame, manifest: DataFrame, tool: Column, force: bool = False) -> DataFrame:
+def convert_incremental(docs: DataFrame, manifest: DataFrame, tool: Column, force: bool = False, sketch: DataFrame | None = None) -> DataFrame:
     """Route each document: stored ones are reused, new ones are converted.
 
-    An empty conversion is a row-level error and does not stop the others.
+    An empty conversion is a row-level error and does not stop the others. With the library's
+    ``sketch`` the texts of documents that are surely new are not shuffled.
     """
     have = manifest.select("file_hash", F.lit(True).alias("_have"))
-    routed = docs.join(have, "file_hash", "left")
+    if sketch is None:
+        routed = docs.join(have, "file_hash", "left")
+    else:
+        told = marked(docs, sketch)
+        maybe = told.filter("maybe_stored").drop("maybe_stored").join(have, "file_hash", "left")
+        routed = maybe.unionByName(told.filter("NOT maybe_stored").drop("maybe_stored").withColumn("_have", F.lit(None).cast("boolean")))
     cached = F.coalesce("_have", F.lit(False)) if not force else F.lit(False)
     empty = ~F.col("was_cached") & (strip(F.coalesce("text", F.lit(""))) == "")
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codexflow.functions.text import content_hash
@@ -12,7 +14,7 @@ from codexflow.operators import hierarchy as H
 from codexflow.plans import ingest as I
 from codexflow.session import new_table_path
 from codexflow.sources import library as L
-from codexflow.sources import store
+from codexflow.sources import sketch, store, tables
 from codexflow.streaming import ingest as X
 from workload import sqlviews as S
 from workload import views as W
@@ -55,17 +57,31 @@ upd AS (SELECT file_hash, 'new ' || doc_id || '.pdf' AS name, 'new_' || doc_id |
 tagged AS (SELECT *, 0 AS is_new FROM manifest UNION ALL SELECT *, 1 AS is_new FROM upd)"""
 
 
-@query("library_upsert", f"""
+UPSERTED = f"""
 WITH {S.LIBRARY}, {UPDATES}
 SELECT file_hash, name, md_filename, processed_at, source_tool, chars FROM tagged
-QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY processed_at DESC, is_new DESC, name DESC) = 1""")
-def library_upsert(spark, sf):
+QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY processed_at DESC, is_new DESC, name DESC) = 1"""
+
+
+def _updates(spark, sf):
     d = F.col("doc_id")
-    updates = W.library(spark, sf).select(
+    return W.library(spark, sf).select(
         "file_hash", F.concat(F.lit("new "), d, F.lit(".pdf")).alias("name"), F.concat(F.lit("new_"), d, F.lit(".md")).alias("md_filename"),
         F.date_format(F.date_add(F.lit("2024-06-01").cast("date"), (d % 200).cast("int")), "yyyy-MM-dd").alias("processed_at"),
         F.col("source").alias("source_tool"), F.length("text").cast("bigint").alias("chars"))
-    return L.upsert(W.manifest(spark, sf), updates).select(*MANIFEST)
+
+
+@query("library_upsert", UPSERTED)
+def library_upsert(spark, sf):
+    return L.upsert(W.manifest(spark, sf), _updates(spark, sf)).select(*MANIFEST)
+
+
+@query("library_upsert_bucketed", UPSERTED)
+def library_upsert_bucketed(spark, sf):
+    """The stored side lies in buckets of the hash; a new version is written in buckets again."""
+    name = f"library_{uuid.uuid4().hex[:8]}"
+    tables.write(W.manifest(spark, sf).select(*MANIFEST), name, 8)
+    return spark.table(tables.append_and_compact(spark, name, _updates(spark, sf), 8)).select(*MANIFEST)
 
 
 @query("library_list", f"WITH {S.LIBRARY} SELECT * FROM manifest ORDER BY processed_at DESC, file_hash")
@@ -80,18 +96,38 @@ def library_delete(spark, sf):
     return L.delete(W.manifest(spark, sf), gone)
 
 
-@query("library_incremental", f"""
-WITH {S.LIBRARY}
+INCREMENTAL = f"""
+WITH {S.LIBRARY},
+src AS (SELECT doc_id, lang, text, file_hash FROM lib UNION ALL SELECT -1 - doc_id, lang, ' ', sha256('blank ' || (-1 - doc_id)) FROM lib WHERE doc_id % 10 = 3)
 SELECT doc_id, file_hash, m.file_hash IS NOT NULL AS was_cached, CASE WHEN m.file_hash IS NOT NULL THEN 'cached' ELSE lang END AS tool,
   m.file_hash IS NOT NULL OR {S.strip('text')} <> '' AS success,
   CASE WHEN m.file_hash IS NULL AND {S.strip('text')} = '' THEN 'no text extracted' END AS error
-FROM (SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END AS text) FROM lib) LEFT JOIN (SELECT file_hash FROM manifest) m USING (file_hash)""")
-def library_incremental(spark, sf):
-    docs = W.library(spark, sf).withColumn("text", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")))  # some conversions fail
-    out = L.convert_incremental(docs, W.manifest(spark, sf), F.col("lang"))
+FROM src LEFT JOIN (SELECT file_hash FROM manifest) m USING (file_hash)"""
+
+
+def _incremental(spark, sf, sketch=None):
+    docs = W.with_blanks(W.library(spark, sf))  # some conversions fail
+    out = L.convert_incremental(docs, W.manifest(spark, sf), F.col("lang"), sketch=sketch)
     return out.select("doc_id", "file_hash", "was_cached", "tool", "success", "error")
 
 
+@query("library_incremental", INCREMENTAL)
+def library_incremental(spark, sf):
+    return _incremental(spark, sf)
+
+
+@query("library_incremental_sketch", INCREMENTAL)
+def library_incremental_sketch(spark, sf):
+    """Texts that the library's sketch rules out are not shuffled."""
+    return _incremental(spark, sf, sketch.save(W.manifest(spark, sf), new_table_path(spark, "sketch")))
+
+
+@query("library_exists_sketch", f"WITH {S.LIBRARY} SELECT doc_id, file_hash FROM lib WHERE file_hash IN (SELECT file_hash FROM manifest)")
+def library_exists_sketch(spark, sf):
+    known = sketch.save(W.manifest(spark, sf), new_table_path(spark, "sketch"))
+    return L.known(W.library(spark, sf), W.manifest(spark, sf), known).select("doc_id", "file_hash")
+
+
 # --------------------------------------------------------------------- store
 
 @query("index_batches", "SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 20 AS BIGINT) AS batch_id FROM events")
@@ -110,13 +146,12 @@ def collection_count(spark, sf):
 
 
 @query("ingest_summary", f"""
-WITH src AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END AS text FROM documents),
-md AS (SELECT doc_id, {_legal('text')} AS body FROM src), {sections_sql('md')}, {chunks_sql(800, 150)},
+WITH {S.BLANKS}, md AS (SELECT doc_id, {_legal('text')} AS body FROM src), {sections_sql('md')}, {chunks_sql(800, 150)},
 out AS (SELECT doc_id, true AS success FROM pieces UNION ALL SELECT doc_id, false FROM md WHERE body = '')
 SELECT lang, 'direct_md' AS tool, count(*) AS docs_loaded, sum(CAST(success AS BIGINT))::BIGINT AS docs_indexed,
   count(DISTINCT source) AS n_sources, sum(CAST(NOT success AS BIGINT))::BIGINT AS n_errors FROM out JOIN src USING (doc_id) GROUP BY lang""")
 def ingest_summary(spark, sf):
-    docs = W.documents(spark, sf).select("doc_id", "lang", "source", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("text"))
+    docs = W.with_blanks(W.documents(spark, sf).select("doc_id", "lang", "source", "text"))
     rows = I.ingest(docs, processed_at=F.lit("2024-05-01"), splitter=C.fixed_splitter(800, 150))
     return store.ingest_summary(rows, "source", "success", "lang", F.col("extraction_tool").alias("tool"))
 
@@ -294,10 +329,10 @@ def _drain(stream, sink, spark):
     X.start(stream, sink, new_table_path(spark, "checkpoint")).awaitTermination()
 
 
-def _arriving(spark, sf, name, schema, batches=4):
-    """The table as files that arrive one micro-batch after the other."""
+def _arriving(spark, rows, name, schema, batches=4):
+    """A table as files that arrive one micro-batch after the other."""
     path = new_table_path(spark, f"arriving-{name}")
-    W.table(spark, sf, name).repartition(batches).write.parquet(path)
+    rows.repartition(batches).write.parquet(path)
     return X.file_stream(spark, path, "*.parquet", schema, files_per_batch=1)
 
 
@@ -307,20 +342,19 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no, i) - 1 AS
 UNION ALL SELECT doc_id, NULL, NULL, false FROM md WHERE body = ''""")
 def stream_ingest(spark, sf):
     out = new_table_path(spark, "stream-ingest")
-    docs = _arriving(spark, sf, "documents", DOCUMENTS_SCHEMA).select("doc_id", "source", "text")
+    docs = _arriving(spark, W.documents(spark, sf), "documents", DOCUMENTS_SCHEMA).select("doc_id", "source", "text")
     _drain(docs, X.ingest_sink(out, processed_at=F.lit("2024-05-01"), splitter=C.fixed_splitter(800, 150)), spark)
     return spark.read.parquet(out).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content", "success")
 
 
 @query("stream_index", f"""
-WITH md AS (SELECT doc_id, {_legal("CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END")} AS body FROM documents), {sections_sql('md')}, {chunks_sql(800, 150)},
+WITH {S.BLANKS}, md AS (SELECT doc_id, {_legal('text')} AS body FROM src), {sections_sql('md')}, {chunks_sql(800, 150)},
 out AS (SELECT doc_id, true AS success FROM pieces UNION ALL SELECT doc_id, false FROM md WHERE body = '')
-SELECT source, success, count(*) AS n FROM out JOIN documents USING (doc_id) GROUP BY ALL""")
+SELECT source, success, count(*) AS n FROM out JOIN src USING (doc_id) GROUP BY ALL""")
 def stream_index(spark, sf):
     """Chunks per source, and beside them the documents set aside for having no text."""
     out = new_table_path(spark, "stream-index")
-    docs = _arriving(spark, sf, "documents", DOCUMENTS_SCHEMA).select(
-        "doc_id", "source", F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("text"))
+    docs = _arriving(spark, W.with_blanks(W.documents(spark, sf)), "documents", DOCUMENTS_SCHEMA).select("doc_id", "source", "text")
     _drain(docs, X.ingest_sink(out, processed_at=F.lit("2024-05-01"), splitter=C.fixed_splitter(800, 150)), spark)
     return spark.read.parquet(out).groupBy("source", "success").agg(F.count("*").alias("n"))
 
@@ -329,7 +363,7 @@ def stream_index(spark, sf):
 WITH {S.LIBRARY} SELECT file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM lib GROUP BY file_hash""")
 def stream_dedupe(spark, sf):
     out = new_table_path(spark, "stream-dedupe")
-    _drain(_arriving(spark, sf, "documents", DOCUMENTS_SCHEMA), X.dedupe_sink(out, "doc_id"), spark)
+    _drain(_arriving(spark, W.documents(spark, sf), "documents", DOCUMENTS_SCHEMA), X.dedupe_sink(out, "doc_id"), spark)
     return X.once_per_content(spark, out, "doc_id")
 
 
@@ -338,6 +372,29 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type,
 FROM events GROUP BY ALL""")
 def stream_window_counts(spark, sf):
     out = new_table_path(spark, "stream-windows")
-    _drain(_arriving(spark, sf, "events", EVENTS_SCHEMA), X.window_sink(out), spark)
+    _drain(_arriving(spark, W.table(spark, sf, "events"), "events", EVENTS_SCHEMA), X.window_sink(out), spark)
     return X.merged_windows(spark, out).select(
         F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_first_copies", f"WITH {S.LIBRARY} SELECT DISTINCT file_hash FROM lib")
+def stream_first_copies(spark, sf):
+    """Each content once, whenever its copies arrive: the engine's state first, the library for those after its time."""
+    out = new_table_path(spark, "stream-first")
+    stream = _arriving(spark, W.documents(spark, sf), "documents", DOCUMENTS_SCHEMA, 6)
+    _drain(X.first_per_content(stream, "30 seconds"), X.library_sink(out, ["doc_id"]), spark)
+    return spark.read.parquet(out).select("file_hash")
+
+
+@query("stream_window_final", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events GROUP BY ALL""")
+def stream_window_final(spark, sf):
+    """Windows given out as final, open ones, and late rows: together they are all rows."""
+    out = new_table_path(spark, "stream-final")
+    stream = _arriving(spark, W.table(spark, sf, "events"), "events", EVENTS_SCHEMA)
+    for running in X.start_windows(stream, out, new_table_path(spark, "checkpoint"), "2 hours"):
+        running.awaitTermination()
+    return X.settled_windows(spark, out).select(
+        F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", (F.col("n") + F.col("n_late")).alias("n"),
+        F.round(F.col("total") + F.col("total_late"), 4).alias("total"))

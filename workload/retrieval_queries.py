@@ -9,6 +9,8 @@ from codexflow.operators import dense as D
 from codexflow.operators import fusion as U
 from codexflow.operators import hierarchy as H
 from codexflow.operators import lexical as X
+from codexflow.operators import pruning as P
+from codexflow.operators import vector_index as VI
 from codexflow.operators.chunking import chunk_page_text, with_chunk_id
 from codexflow.session import cut_lineage, new_table_path
 from workload import sqlviews as S
@@ -57,6 +59,13 @@ def bm25_topk(spark, sf):
     return _ranked(sparse_hits(spark, sf), "score")
 
 
+@query("bm25_topk_pruned", f"WITH {BM25} SELECT qid, id, score, rank FROM sparse")
+def bm25_topk_pruned(spark, sf):
+    """The same rows from the blocks that can hold them."""
+    blocks = P.save_blocks(_index(spark, sf), new_table_path(spark, "bm25-blocks"))
+    return _ranked(P.pruned_topk(blocks, W.questions(spark, sf), K2)[0], "score")
+
+
 # --------------------------------------------------------------------- dense
 
 DENSE = f"""{S.VECTORS},
@@ -93,6 +102,22 @@ def dense_topk_lsh(spark, sf):
     return _ranked(D.dense_topk_lsh(W.question_vectors(spark, sf), W.vectors(spark, sf), 10), "score")
 
 
+def _vector_index(spark, sf):
+    return VI.build(W.vectors(spark, sf).select("id", "vec"), new_table_path(spark, "vector-index"))
+
+
+@query("dense_topk_index", f"WITH {DENSE} SELECT qid, id, score, rank FROM dense")
+def dense_topk_index(spark, sf):
+    """Exact search over the list index: bounds rule out members and are proven by the same rows."""
+    return _ranked(VI.search(_vector_index(spark, sf), W.question_vectors(spark, sf), K2, exact=True), "score")
+
+
+@query("dense_topk_ivf")
+def dense_topk_ivf(spark, sf):
+    """Approximate search over a quarter of the lists; recall is tested."""
+    return _ranked(VI.search(_vector_index(spark, sf), W.question_vectors(spark, sf), K2, probe=32), "score")
+
+
 # -------------------------------------------------------------------- fusion
 
 FUSED = f"""{DENSE}, {BM25},

@@ -74,6 +74,9 @@ manifest AS (
     'docling' AS source_tool, CAST(max(length(text)) AS BIGINT) AS chars
   FROM lib WHERE lang = 'en' GROUP BY file_hash)"""
 
+BLANKS = r"""
+src AS (SELECT doc_id, lang, source, text FROM documents UNION ALL SELECT -1 - doc_id, lang, source, ' ' FROM documents WHERE doc_id % 10 = 3)"""
+
 REPLIES = r"""
 replies AS (
   SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN b WHEN doc_id % 3 = 0 THEN '```json' || chr(10) || b || '}' || chr(10) || '```'

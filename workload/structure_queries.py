@@ -92,6 +92,13 @@ def split_recursive(spark, sf):
         "doc_id", F.col("pos").cast("bigint").alias("chunk_index"), "content")
 
 
+@query("split_recursive_sql", f"WITH RECURSIVE {S.recursive_split('documents', 'doc_id', 'text', *RECURSIVE)} SELECT k AS doc_id, i AS chunk_index, content FROM rec")
+def split_recursive_sql(spark, sf):
+    """The splitter as a table function, called from SQL text."""
+    C.register_split_recursive(spark, "split_recursive", *RECURSIVE)
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.content FROM {docs} AS d, LATERAL split_recursive(d.text) AS c", docs=W.documents(spark, sf))
+
+
 @query("split_fixed_overlap", f"""
 SELECT doc_id, i - 1 AS chunk_index, parts[i] AS content FROM (
   SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (

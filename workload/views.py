@@ -131,6 +131,15 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("in/", F.col("source"), "/doc ", F.col("doc_id"), ".pdf").alias("path"))
 
 
+def with_blanks(docs: DataFrame) -> DataFrame:
+    """``docs`` and, beside them, rows without text under new ids, whose conversion fails."""
+    d = F.col("doc_id")
+    blank = docs.filter("doc_id % 10 = 3").withColumns({"doc_id": -1 - d, "text": F.lit(" ")})
+    if "file_hash" in docs.columns:
+        blank = blank.withColumn("file_hash", F.sha2(F.concat(F.lit("blank "), d.cast("string")).cast("binary"), 256))
+    return docs.unionByName(blank)
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored entries: one per distinct content of the English documents."""
     lib = library(spark, sf_dir).filter("lang = 'en'")
