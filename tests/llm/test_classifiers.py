@@ -34,17 +34,80 @@ def test_grammar_weighs_clauses():
     assert score("idiotic") == score("videot") == score("")
 
 
+def test_quotations_and_reports_outlast_a_clause():
+    score = toxicity.Model({s + "$": 4.0 for s in toxicity.SEEDS}).ready().score
+    plain = score("What an idiot.")
+    assert score('"Fine. Good." What an idiot.') == score("He is fine. What an idiot.") == score("He said so. What an idiot.") == plain
+    assert score('He wrote: "I met them. What an idiot. Bye."') == score('He wrote: "What an idiot."') == score("“Fine. What an idiot.”") < plain
+    assert score('An open " mark\n\nWhat an idiot.') == plain  # a paragraph's end closes it
+    assert score("Not today. What an idiot.") == plain > score("You are not an idiot.")
+    assert score("I will not kill you") < score("I will kill you") > score("kill you")
+
+
+def test_fitted_order_of_clauses(spark):
+    """Learned weights keep the order that the grammar stands for, whatever the labels."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, marks(spark, SF, "toxic", 4, 2)).ready()
+    score = model.score
+    assert score("a harmless clause") < 0.3 < score("What an idiot.") <= score("You idiot.")
+    for weaker in ("You are not an idiot.", 'He wrote: "I met them. What an idiot. Bye."', "She said what an idiot.", 'He wrote: "What an idiot."'):
+        assert score(weaker) < score("What an idiot.")
+    assert score("I will not kill you") <= score("I will kill you")
+
+
 def test_composition_runs_the_parts_in_turn():
-    first, second = toxicity.negation(), toxicity.reported_speech()
-    both = first.compose(second)
-    random = np.random.default_rng(0)
+    parts = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported_speech(), toxicity.target()]
+    both, random = toxicity.grammar(), np.random.default_rng(0)
     for _ in range(200):
-        a = b = c = 0
-        for s in random.choice(sorted(toxicity.SYMBOLS), 12):
-            a, middle = first.arcs[a, s]
-            b, want = second.arcs[b, middle]
+        states, c = [0] * len(parts), 0
+        for s in random.choice(sorted(toxicity.SYMBOLS), 30):
+            out = s
+            for i, part in enumerate(parts):
+                states[i], out = part.arcs[states[i], out]
             c, got = both.arcs[c, s]
-            assert got == want
+            assert got == out
+
+
+def totals_by_rules(text, model):
+    """The weights per path by looking at every hit's surroundings, word by word."""
+    words = [*toxicity.WORD.findall(text.lower()), "\n"]
+    kind = [{".": "E", "!": "E", "?": "E", ";": "E"}.get(w) or toxicity.MARKS.get(w) or model.classes.get(w, "w") for w in words]
+    kind = ["i" if model.insult(w) else "v" if w in toxicity.THREATS else k for w, k in zip(words, kind)]
+    out, quoted, reported, start = np.zeros(len(toxicity.PATHS)), False, False, 0
+    for end, k in enumerate(kind):
+        if k in "EP":
+            clause = kind[start:end]
+            for i, own in enumerate(clause):
+                if own in ("Q", "Qo", "Qc"):
+                    opens = own == "Qo" or (own == "Q" and not quoted)
+                    quoted, reported = (True, reported) if opens else (False, False)
+                elif own == "S":
+                    reported = True
+                elif own in "iv":
+                    near, n = 0, i - 1
+                    negated = False
+                    while n >= 0 and near < toxicity.SCOPE and not negated:
+                        negated = clause[n] == "N"
+                        near += not clause[n].startswith("Q")
+                        n -= 1
+                    hit = "I" if own == "i" else "M" if "F" in clause[:i] else "T"
+                    path = toxicity.PATHS.index((hit, int(negated), int(quoted or reported), int("Y" in clause)))
+                    out[path] += model.insult(words[start + i]) or 3.0
+            reported = reported and quoted
+            if k == "P":
+                quoted = reported = False
+            start = end + 1
+    return out
+
+
+def test_totals_equal_the_rules_over_whole_texts():
+    model, random = toxicity.Model({s + "$": 4.0 for s in toxicity.SEEDS} | {"scumm": 3.5}).ready(), np.random.default_rng(4)
+    bag = ["idiot", "scummy", "kill", "you", "not", "said", "will", "plain", "word", "words", '"', "“", "”", "„", "«", "»", ".", "!", ";", "\n", "I", "é", "no"]
+    for _ in range(400):
+        text = " ".join(random.choice(bag, int(random.integers(1, 60))))
+        assert np.allclose(model.totals(text), totals_by_rules(text, model)), text
+    long = "plain words. " * 200_000 + "You idiot. " * 50_000
+    assert model.totals(long).sum() == 50_000 * 4.0
 
 
 def test_shrunk_discriminant_equals_the_densities():
