@@ -56,6 +56,11 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside are deleted at the end of the block;
@@ -67,8 +72,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _MADE.remove(made)
         for path in made:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            drop_table(spark, path)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
