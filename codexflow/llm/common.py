@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codexflow.session import shared_dir
+from codexflow.session import new_table_path
 
 SLICE_BYTES = 4 << 20  # text handed to a worker function at once; one longer text goes alone
 BATCH_ROWS = 2_000
@@ -56,9 +56,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``session.temporary_tables`` deletes what was written inside it, unless ``path`` was made before.
+    """
+    path = path or new_table_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexflow.llm.common import written
+from codexflow.session import drop_table, new_table_path, temporary_tables
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,19 +18,25 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     where a hub is hot. Self links and
     repeated links change nothing; an empty table gives an empty one.
     """
+    spark = links.sparkSession
     edge = lambda u, v: (F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    edges = written(links.filter("a <> b").select(*edge(F.col("a"), F.col("b"))).distinct(), "links")
+    path = new_table_path(spark, "llm-links")
+    edges = written(links.filter("a <> b").select(*edge(F.col("a"), F.col("b"))).distinct(), "links", path)
     before = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
-        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-stars")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v")
-                 .select(*edge(F.col("u"), F.col("v"))).distinct())
-        edges = written(small, "stars")
+        after = new_table_path(spark, "llm-stars")
+        with temporary_tables(spark):  # a round's tables go when its stars are written
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+            large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = written(large, "large-stars")
+            low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                     .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v")
+                     .select(*edge(F.col("u"), F.col("v"))).distinct())
+            edges = written(small, "stars", after)
+        drop_table(spark, path)
+        path = after
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from codexflow.llm.common import Shared, by_value, map_slices, written
 from codexflow.llm.components import components
+from codexflow.session import new_table_path, temporary_tables
 
 by_value(__name__)
 
@@ -349,7 +350,9 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
 
     Texts that are no near copies all stay, whether or not they share an id.
     """
-    found = near_copies(docs, words, similarity, id_col=id_col, text_col=text_col)
+    path = new_table_path(docs.sparkSession, "llm-near-copies")
+    with temporary_tables(docs.sparkSession):
+        found = written(near_copies(docs, words, similarity, id_col=id_col, text_col=text_col), "near-copies", path)
     own = found.filter(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest")))
     # texts of one digest and id count once, whichever groups their rows came from
     stays = written(own.groupBy(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count("*").alias("_kept_rows")), "kept-texts")
