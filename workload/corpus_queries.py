@@ -14,7 +14,7 @@ from codexflow.operators import hierarchy as H
 from codexflow.plans import ingest as I
 from codexflow.session import new_table_path
 from codexflow.sources import library as L
-from codexflow.sources import sketch, store, tables
+from codexflow.sources import datasource, sketch, store, tables
 from codexflow.streaming import ingest as X
 from workload import sqlviews as S
 from workload import views as W
@@ -128,6 +128,13 @@ def library_exists_sketch(spark, sf):
     return L.known(W.library(spark, sf), W.manifest(spark, sf), known).select("doc_id", "file_hash")
 
 
+@query("page_source", "SELECT doc_id, text, 'documents.parquet' AS source, CAST(NULL AS VARCHAR) AS error FROM documents")
+def page_source(spark, sf):
+    """The documents through the package's own data source."""
+    datasource.register(spark)
+    return spark.read.format("page_text").option("path", f"{sf}/documents.parquet").load()
+
+
 # --------------------------------------------------------------------- store
 
 @query("index_batches", "SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 20 AS BIGINT) AS batch_id FROM events")
@@ -222,7 +229,31 @@ def summarize_extractive(spark, sf):
     return H.summarize(_summary_chunks(spark, sf)).drop("original_content_length")
 
 
-@query("embed_hashing")
+# MurmurHash3 (32 bits, seed 42) of a term's UTF-8 bytes, in 64-bit arithmetic; ``hex`` holds the bytes as text
+M32 = "4294967296::HUGEINT"
+ROTATED = lambda x, n: f"((({x}) * {2 ** n}) % {M32} + ({x}) // {2 ** (32 - n)})"
+MIXED = lambda k: f"(({ROTATED(f'(({k})::HUGEINT * 3432918353) % {M32}', 15)}) * 461845907) % {M32}"
+BYTE = lambda i: f"('0x' || substring(hx, {i} * 2 + 1, 2))::UBIGINT"
+HASHED = f"""
+terms AS (SELECT DISTINCT term, hex(encode(term)) AS hx, strlen(term) AS size FROM tf),
+blocks AS (SELECT term, size, list_transform(generate_series(0, size // 4 - 1), lambda b: {BYTE('(b * 4)')} + {BYTE('(b * 4 + 1)')} * 256 + {BYTE('(b * 4 + 2)')} * 65536 + {BYTE('(b * 4 + 3)')} * 16777216) AS ks,
+  list_sum(list_transform(generate_series(size // 4 * 4, size - 1), lambda i: {BYTE('i')} * (256 ** (i % 4))::UBIGINT))::HUGEINT AS tail FROM terms),
+walked AS (SELECT term, size, tail, list_reduce(list_prepend(42::HUGEINT, list_transform(ks, lambda k: ({MIXED('k')})::HUGEINT)),
+  lambda h, k: (({ROTATED('xor(h, k)', 13)}) * 5 + 3864292196) % {M32}) AS h FROM blocks),
+ended AS (SELECT term, xor(CASE WHEN tail IS NULL THEN h ELSE xor(h, ({MIXED('tail')})::HUGEINT) END, size::HUGEINT) AS h FROM walked),
+f1 AS (SELECT term, (xor(h, h // 65536) * 2246822507) % {M32} AS h FROM ended),
+f2 AS (SELECT term, (xor(h, h // 8192) * 3266489909) % {M32} AS h FROM f1),
+placed AS (SELECT term, CAST(xor(h, h // 65536) % 64 AS INTEGER) AS dim FROM f2)"""
+
+
+@query("embed_hashing", f"""
+WITH tk AS (SELECT doc_id, {S.tokens("coalesce(text, '')")} AS toks FROM documents),
+tf AS (SELECT doc_id, unnest(toks) AS term FROM tk), {HASHED},
+counted AS (SELECT doc_id, dim, count(*) AS n FROM tf JOIN placed USING (term) GROUP BY ALL),
+weighed AS (SELECT doc_id, dim, n * ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) OVER (PARTITION BY dim) + 1.0)) AS w FROM counted),
+unit AS (SELECT doc_id, dim, CAST(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS FLOAT)::DOUBLE AS x FROM weighed),
+cells AS (SELECT doc_id, d.dim, round(coalesce(x, 0.0), 4) + 0.0 AS x FROM documents CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS dim) d LEFT JOIN unit USING (doc_id, dim))
+SELECT doc_id, list(x ORDER BY dim) AS embedding FROM cells GROUP BY doc_id""")
 def embed_hashing(spark, sf):
     out = embed(W.documents(spark, sf).select("doc_id", "text"))
     return out.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
