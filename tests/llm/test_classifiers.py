@@ -22,6 +22,15 @@ def test_language_accuracy(spark):
     assert (rows["lang_pred"] == rows["lang"]).mean() >= 0.97
 
 
+def test_language_of_very_long_texts(spark):
+    """Three megabytes of each language, all its texts one after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null")
+    model = language.fit(docs)
+    rows = [(lang, " ".join(r["text"] for r in docs.filter(docs["lang"] == lang).collect())) for lang in sorted(r["lang"] for r in docs.select("lang").distinct().collect())]
+    long = spark.createDataFrame([(lang, text * (1 + 3_000_000 // len(text))) for lang, text in rows], "doc_id string, text string")
+    assert all(r["doc_id"] == r["lang_pred"] for r in language.predict(long, model).collect())
+
+
 def test_grammar_weighs_clauses():
     model = toxicity.Model({s + "$": 4.0 for s in toxicity.SEEDS}).ready()
     score = model.score

@@ -1,11 +1,15 @@
 """Secret and personal-data scans against plain regular expressions."""
 
 import hashlib
+import math
 import re
+import time
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codexflow.llm import pii, secret_scan
 from codexflow.llm.automaton import Automaton, mirrored, parse
@@ -128,6 +132,55 @@ def test_evidence_of_signatures_and_beside_copies(spark):
     assert [(s["start"], s["kind"], s["end"], s["value"]) for s in found] == [(3, "term", 8, "removed"), (15, "term", 21, "removed")]
 
 
+def test_many_mentions_in_one_text_take_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"mail joe{i}@example.org or call +1 (614) 555-80{i % 90 + 10} about the weather" for i in range(n // 2))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        found = pii.find(df)
+        row = found.withColumn("spans", F.filter("spans", lambda s: s["kind"] != "term")).first()
+        if n <= 1000:
+            assert [(s["start"], s["kind"], s["end"]) for s in row["spans"]] == personal(text)
+        assert len(row["spans"]) == n // 2 * 2
+        assert pii.sanitise(found.withColumn("spans", F.filter("spans", lambda s: s["kind"] != "term"))).first()["text"].count("[EMAIL]") == n // 2
+        return time.time() - start
+
+    seconds(100)
+    few = seconds(1_000)
+    assert seconds(10_000) < 10 * max(few, 2.0)
+
+
+def test_terms_disclose_what_counting_says(spark):
+    """The disclosing terms from the contexts, by plain counting of words, contexts and mutual information."""
+    pick = lambda i, k: f"word{'abcdefghij'[(i * 3 + k * 7) % 10]}{'abcdefghij'[(i + k * k) % 10]}"
+    rows = [(i, f"{pick(i, 1)} {'numbat' if i % 3 else 'tapir'} {pick(i, 2)} call +1 (614) 555-80{i % 2}1 {pick(i, 3)} at {pick(i, 4)}") for i in range(60)]
+    rows += [(100 + i, " ".join(pick(i, k) for k in range(30)) + (" tapir" if i % 4 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans, told = pii.base_spans(docs), []
+    for threshold, support in ((0.8, 5), (0.5, 3), (0.3, 8)):
+        seen = defaultdict(list)
+        for r in pii.contexts(spans).collect():
+            for t in r["words"]:
+                seen[r["entity"], t].append((frozenset(w for w in r["words"] if w != t), r["source"]))
+        words = Counter(w for _, t in rows for w in re.split(r"[^a-zA-Z]+", t.lower()) if len(w) >= 3)
+        total, near = sum(words.values()), Counter()
+        for (entity, _), found in seen.items():
+            near[entity] += len(found)
+        want = {}
+        for (entity, t), found in seen.items():
+            information = -math.log2(near[entity] / total)
+            disclosed = math.log2(min(len(found) / words[t], 1.0)) + information
+            # a sketch tells contexts apart by their smallest hash, so it may count fewer than there are
+            most = max(len({c for c, _ in found}), len({s for _, s in found}))
+            if most >= support and information > 0 and disclosed >= threshold * information:
+                want[t] = want.get(t, False) or ":" in entity
+        got = {r["term"]: r["removed"] for r in pii.disclosing_terms(docs, spans, threshold, support).collect()}
+        assert got.keys() <= want.keys() and all(want[t] or not r for t, r in got.items())
+        assert {"numbat"} <= got.keys()
+        told.append(len(want) - len(got))
+    assert min(told) == 0
+
+
 @pytest.mark.parametrize("text,spans", [("token=abc", []), ("secret=token:abcdefghijklmnop", [])])
 def test_short_bodies_use_up_their_text(text, spans):
     assert SCANNER.scan([text]) == [spans]
