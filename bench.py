@@ -2,7 +2,7 @@
 
 The tables are first copied into several files each, untimed: a large input lies in many
 splits, and the plans measured here are the ones it gets. Every query runs twice;
-``queries`` has the first, cold run, ``warm`` the second.
+``queries`` has the first, cold run, ``warm`` the second. ``prepared`` has the seconds of the copying and of the saved BM25 index.
 """
 
 from __future__ import annotations
@@ -20,19 +20,26 @@ HEADLINE = [
     "enrich_chunks", "ingest_recursive", "quality_report", "library_upsert", "library_incremental", "bm25_index", "bm25_topk",
     "dense_topk", "dense_topk_filtered", "hybrid_retrieve", "hier_retrieve", "article_lookup", "qa_end_to_end",
     "parse_analysis", "stream_dedupe", "stream_window_counts",
+    # new since the second round
+    "query_rewrite", "multi_query_retrieve", "compress_context", "dense_topk_index", "library_exists_sketch", "library_upsert_bucketed",
 ]
 
 
 def main() -> None:
     import workload
+    from workload import retrieval_queries
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(env_int("BENCH_CPUS", 8), os.environ.get("BENCH_MEMORY", "16g"))
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executor threads
-    split = tempfile.mkdtemp(prefix="bench-")
+    split, started = tempfile.mkdtemp(prefix="bench-"), time.perf_counter()
     for table in sorted(x.removesuffix(".parquet") for x in os.listdir(sf_dir) if x.endswith(".parquet")):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{split}/{table}.parquet")
+    prepared = {"split": round(time.perf_counter() - started, 3)}
+    started = time.perf_counter()
+    retrieval_queries._index(spark, split)  # the saved index that the retrieval queries read
+    prepared["bm25_index_saved"] = round(time.perf_counter() - started, 3)
     seconds, warm = {}, {}
     for name in names:
         for run in (seconds, warm):
@@ -42,7 +49,7 @@ def main() -> None:
         print(f"{name} {seconds[name]} {warm[name]}", file=sys.stderr)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "warm": warm, "warm_total": round(sum(warm.values()), 3), "sf": os.path.basename(sf_dir.rstrip("/"))}))
+        "prepared": prepared, "warm": warm, "warm_total": round(sum(warm.values()), 3), "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 
