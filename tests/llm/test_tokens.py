@@ -91,29 +91,75 @@ def test_packing_odd_rows(odd, empty, library):
     assert packing.pack(empty, VOCABULARY).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1))
-def test_plan_is_best_fit_on_rows(counts):
-    """The supersteps give as many sequences as best fit does piece by piece, and place every rank once."""
-    room, rooms = 64, []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            fits = [r for r in rooms if r >= length]
-            left = min(fits) if fits else room
-            if fits:
-                rooms.remove(left)
-            rooms.append(left - length)
-    steps = packing.plan(counts, room)
-    used, ranks = {}, {}
-    for length, lo, hi, first, at in steps:
-        for k in range(hi - lo):
-            used.setdefault(first + k, []).append((at, length))
-            ranks.setdefault(length, []).append(lo + k)
-    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
+def best_fit_rooms(lengths, room):
+    """What is left in each sequence after best fit piece by piece, long ones first."""
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= length]
+        left = min(fits) if fits else room
+        if fits:
+            rooms.remove(left)
+        rooms.append(left - length)
+    return rooms
+
+
+def filled(found, lengths, room):
+    """Number of sequences, after checking that every piece is placed once and every sequence is gapless."""
+    used = {}
+    assert sorted(place for place, _, _ in found) == list(range(len(lengths)))
+    for place, sequence, at in found:
+        used.setdefault(sequence, []).append((at, lengths[place]))
     for parts in used.values():
         ends = 0
         for at, length in sorted(parts):
             assert at == ends
             ends += length
         assert ends <= room
-    assert len(used) == len(rooms)
+    return len(used)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1))
+def test_sweep_of_one_range_is_best_fit_on_rows(counts):
+    """A range is placed into as many sequences as best fit needs piece by piece, and every piece once."""
+    lengths = np.repeat(list(counts), list(counts.values()))
+    placed, left, _ = packing.best_fit(packing.by_size(np.sort(lengths), np.argsort(lengths, kind="stable")), {}, 64, 0)
+    assert not left
+    found = [row for part in placed for row in zip(*(c.tolist() for c in part))]
+    assert filled(found, lengths, 64) == len(best_fit_rooms(lengths.tolist(), 64))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=8))
+def test_carried_gaps_are_those_of_a_stack(counts):
+    stack, want = [], {}
+    for number, (waiting, gaps) in enumerate(counts):
+        for piece in range(waiting):
+            if stack:
+                want[number, piece] = stack.pop()
+        stack += [(number, gap) for gap in range(gaps)]
+    got = packing.carried([(number, *both) for number, both in enumerate(counts)])
+    assert sorted((r, lo + i) for r, lo, hi, _, _ in got for i in range(hi - lo)) == sorted(want)
+    taken = [(g, first + i) for _, lo, hi, g, first in got for i in range(hi - lo)]
+    assert len(set(taken)) == len(taken) == len(want)
+    for r, lo, hi, g, first in got:
+        assert g < r and 0 <= first and first + hi - lo <= counts[g][1]
+        assert {want[r, lo + i][0] for i in range(hi - lo)} == {g}
+
+
+@pytest.mark.parametrize("rows_per_range", [10**6, 400])
+@pytest.mark.parametrize("kind", ["spread", "hot", "halves"])
+def test_supersteps_over_many_ranges(spark, kind, rows_per_range):
+    """Every piece once, no gaps, and over many ranges at most one open sequence a range beside best fit's."""
+    random = np.random.default_rng(5)
+    lengths = {"spread": random.integers(1, 65, 2000), "hot": np.where(random.random(2000) < 0.4, 40, random.integers(1, 30, 2000)),
+               "halves": np.concatenate([np.full(1000, 33), np.full(1000, 31)])}[kind].tolist()
+    rows = spark.createDataFrame(list(enumerate(lengths)), "place long, length long").repartition(4)
+    found = [tuple(r) for r in packing.match(rows, 64, rows_per_range).select("place", "sequence", "at").collect()]
+    sequences, best = filled(found, lengths, 64), len(best_fit_rooms(lengths, 64))
+    assert sequences == best if rows_per_range > 2000 else best <= sequences <= best + 12
+
+
+def test_op3_over_many_ranges(spark, small, library):
+    sequences, bound = packed(packing.pack(small, VOCABULARY, rows_per_range=30), small, library)
+    assert sequences <= 1.1 * bound + 1
