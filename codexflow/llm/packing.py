@@ -28,7 +28,7 @@ by_value(__name__)
 
 PLACED, WAITING, GAP = 0, 1, 2
 STATE_SCHEMA = "kind int, size long, place long, sequence long, at long, range int, nth long"
-ROWS_PER_RANGE = 1 << 18  # pieces and gaps one task sweeps
+ROWS_PER_RANGE = 1 << 15  # pieces and gaps one task sweeps
 
 
 def cut(n_ids: int, room: int) -> list[tuple[int, int]]:
