@@ -9,9 +9,9 @@ Balls are one-sided: a set bit is cleared, never the reverse. Of two values that
 that has the bit finds the other, so half the ball is enough.
 
 ``link`` joins 64-bit fingerprints within ``bits`` differing bits, losing no pair. ``group`` serves near
-copies by shingle similarity, which moves too many bits for balls: texts meet by prefixes of their ordered
-shingles, which no pair of the similarity escapes; longer fingerprints thin the candidates out, and the
-exact similarity decides.
+copies by shingle similarity: the same tables and balls bring the closest together, and the exact similarity
+decides. Similarity may move more bits than balls can cover, so the texts still apart then meet by prefixes of their
+ordered shingles, which no pair of the similarity escapes; longer fingerprints thin these candidates out.
 """
 
 from __future__ import annotations
@@ -160,6 +160,20 @@ def shingle_index(own: DataFrame, common: tuple[np.ndarray, np.ndarray], words:
     return map_slices(own, lambda: work, f"id {kind}, digest binary, same binary, long_print array<long>, prefix array<long>, n int")
 
 
+def fingerprint_pairs(nodes: DataFrame, bits: int = 3) -> DataFrame:
+    """(a, b): nodes (node, fingerprint) to compare, so that all within ``bits`` differing bits are joined through them.
+
+    Each fingerprint's smallest node is paired with the others of it, and with those of the fingerprints near it.
+    """
+    lead = nodes.groupBy("fingerprint").agg(F.min("node").alias("leader"))
+    lead = written(lead, "leading-fingerprints")
+    side = lambda name: lead.select(F.col("fingerprint").alias(name), F.col("leader").alias(f"{name}_leader"))
+    near = near_pairs(lead.select("fingerprint"), bits).join(side("a"), "a").join(side("b"), "b")
+    same = nodes.join(lead, "fingerprint").filter(F.col("node") != F.col("leader"))
+    return same.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(
+        near.select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b")))
+
+
 CELL = ["bucket", "low", "high"]
 
 
@@ -268,8 +282,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, cell:
     """(id, digest, first struct): one row per row; rows whose shingle sets have a Jaccard similarity of
     ``similarity`` or more, transitively, share ``first``: the smallest (id, digest of the text) among them.
 
-    Candidates: each shingle of a text's prefix (``shingle_index``) is a bucket, so every pair of that similarity
-    shares one, whatever the number of texts. First each member of a bucket is compared with one of it,
+    Candidates: fingerprints within 3 bits, by multi-index hashing (``fingerprint_pairs``). For pairs that differ in
+    more, each shingle of a text's prefix (``shingle_index``) is a bucket, so every pair of that similarity
+    shares one, whatever the number of texts. Each member of a bucket is also compared with one of it,
     which joins large groups of near copies. Then, in the buckets that still hold several components, all pairs
     of different components are compared, in cells of about ``cell`` x ``cell`` members: sizes and SimHash
     fingerprints of 512 bits tell which members may have a partner (30 % of the bits may differ; 15 to 19 % do at
@@ -294,7 +309,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, cell:
     met = written(member.join(shared, "bucket"), "bucket-members")
 
     lead = met.groupBy("bucket").agg(F.min("node").alias("leader"))
-    pairs = met.join(lead, "bucket").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = met.join(lead, "bucket").filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_pairs(first.select("node", F.col("long_print")[0].alias("fingerprint")))
+    order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.unionByName(near).select(*order).distinct()
     side = lambda name: full.select(F.col("node").alias(name), F.col("long_print").alias(f"{name}_print"), F.col("n").alias(f"{name}_n"))
     distance = F.aggregate(F.zip_with("a_print", "b_print", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9

@@ -34,7 +34,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share shingles of five words to a similarity of 0.8, the smallest id stays; of repeated rows one."""
+    """Of documents that share shingles of five words to a similarity of 0.8, the smallest id stays; of repeated rows one.
+
+    SimHash fingerprints meet by multi-index hashing, the exact similarity is checked; what fingerprints leave apart meets by prefixes.
+    """
     return simhash.keep_first(docs)
 
 

@@ -252,3 +252,29 @@ def test_op2_recall(spark, sf):
         hits += len(set(got["vec_id"]) & set(ids[np.argsort(-scores)[:20]]))
         total += 20
     assert rows["query_id"].nunique() == (ids % 20 == 0).sum() and hits >= 0.9 * total
+
+
+def test_fingerprint_pairs_join_all_within_three_bits(spark):
+    random = np.random.default_rng(8)
+    base = random.integers(-2 ** 62, 2 ** 62, 60).tolist()
+    prints = base + [p ^ (1 << i % 60) ^ (1 << (i * 7 + 3) % 60) ^ (1 << 61) for i, p in enumerate(base[:40])] + base[:20]
+    pairs = simhash.fingerprint_pairs(spark.createDataFrame(list(enumerate(prints)), "node long, fingerprint long"))
+    links = [tuple(r) for r in pairs.collect()]
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if ((prints[i] ^ prints[j]) & (2 ** 64 - 1)).bit_count() <= 3]
+    assert len(near) >= 60 and roots(len(prints), links) == roots(len(prints), near)
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """The pipeline's stage compares what multi-index hashing brings together, and its exact check decides."""
+    met = []
+    pairs = simhash.fingerprint_pairs
+
+    def seen(nodes, bits=3):
+        met.append(pairs(nodes, bits).count())
+        return pairs(nodes, bits)
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", seen)
+    text = " ".join(f"word{i * 7 % 400}" for i in range(400))
+    rows = [(1, text), (2, text + " tail"), (3, "something else altogether with its own words in it"), (4, None)]
+    found = simhash.group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert dict(map(tuple, found.collect())) == {1: 1, 2: 1, 3: 3, 4: 4} and met == [1]
