@@ -175,3 +175,14 @@ def test_extra_metadata_precedence(spark):
     docs = spark.sql("SELECT 1 doc_id, '## RESUELVE\\nResolución No. 0123 NIT 900123456' text, map('nit', 'old', 'origin', 'web', 'h2', 'old') extra")
     row = enrich_chunks(with_adaptive_chunks(docs).drop("text"), extra="extra").first()
     assert row["metadata"]["origin"] == "web" and row["metadata"]["nit"] == row["nit"] and row["metadata"]["h2"] == "RESUELVE" and "extra" not in row
+
+
+def test_arriving_batches_have_a_file_per_core(spark, monkeypatch):
+    from workload import corpus_queries as C
+
+    made = []
+    monkeypatch.setattr(C.X, "file_stream", lambda spark, path, glob, schema, files_per_batch: made.append((path, files_per_batch)))
+    C._arriving(spark, spark.range(1000), "spread", "id bigint", batches=2)
+    (path, files), = made
+    assert files >= spark.sparkContext.defaultParallelism
+    assert len(spark.read.parquet(path).inputFiles()) == 2 * files and spark.read.parquet(path).count() == 1000

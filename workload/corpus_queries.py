@@ -361,10 +361,11 @@ def _drain(stream, sink, spark):
 
 
 def _arriving(spark, rows, name, schema, batches=4):
-    """A table as files that arrive one micro-batch after the other."""
+    """A table as files that arrive one micro-batch after the other, each batch in as many files as keep all cores busy and each small."""
     path = new_table_path(spark, f"arriving-{name}")
-    rows.repartition(batches).write.parquet(path)
-    return X.file_stream(spark, path, "*.parquet", schema, files_per_batch=1)
+    files = max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // batches))
+    rows.repartition(batches * files).write.parquet(path)
+    return X.file_stream(spark, path, "*.parquet", schema, files_per_batch=files)
 
 
 @query("stream_ingest", f"""
