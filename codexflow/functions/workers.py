@@ -4,10 +4,11 @@ The module is pickled by value, so executors need no copy of this package.
 """
 
 import sys
-from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -60,11 +61,17 @@ def split_text(text: str, separators: list[str], size: int, overlap: int) -> lis
     return out + (fill_chunks(text, run, size, overlap) if len(run) > 1 else [])
 
 
-def batch_splitter(separators: list[str], size: int, overlap: int):
-    """Series of text arrays -> Series of arrays of chunk arrays."""
-    def split(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda row: None if row is None else [
-            None if t is None else split_text(t, separators, size, overlap) for t in row])
+def batch_splitter(separators: list[str], size: int, overlap: int, limit: int = 4 << 20):
+    """Array of text arrays -> array of arrays of chunk arrays; about ``limit`` bytes of text become Python strings at once."""
+    kind = pa.list_(pa.list_(pa.string()))
+
+    def split(batch: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(batch.flatten()), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(batch.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(np.bincount(np.repeat(np.arange(len(batch)), lengths), sizes, len(batch))) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        return pa.concat_arrays([pa.array([None if row is None else [None if t is None else split_text(t, separators, size, overlap) for t in row]
+                                           for row in batch.slice(lo, hi - lo).to_pylist()], kind) for lo, hi in zip(cuts, cuts[1:])])
 
     return split
 
@@ -144,80 +151,118 @@ def scan_topk(queries: dict, k: int, digits: int, block: int = 1_024, batch_rows
     return run
 
 
-def term_scores(by_term: dict, counts, dl, avgdl: float, k1: float, b: float):
-    """(questions, parts of the score) of one document for all terms it shares with questions."""
-    found = [(*by_term[t], tf) for t, tf in counts.items()]
-    return (np.concatenate([at for at, _, _ in found]),
-            np.concatenate([weight * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))) for _, weight, tf in found]))
-
+class Asked:
+    """Questions as three lists (qid, term, weight), to be found in Arrow lists of terms and summed up.
 
-def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits: int, cells: int = 1 << 20):
-    """mapInPandas body: BM25 of rows (id, dl, toks) for the questions of ``weights``, three lists (qid, term, weight).
+    Terms of over a quarter of the questions lie in a table of terms x questions, which has fewer than four cells per entry.
+    """
 
-    All questions are scored in one pass, over as many rows at a time as keep rows x questions within ``cells``.
+    def __init__(self, qids: list, terms: list, weights):
+        place: dict = {}
+        question = np.array([place.setdefault(q, len(place)) for q in qids], dtype=np.int64)
+        self.qids, self.n = list(place), len(place)
+        coded = pa.array(terms, pa.string()).dictionary_encode()
+        self.terms, code = coded.dictionary, coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code, self.question, self.weight = code[order], question[order], np.array(weights, dtype=np.float64)[order]
+        self.start = np.searchsorted(code, np.arange(len(self.terms) + 1))
+        self.size = np.diff(self.start)
+        often = np.flatnonzero(self.size * 4 > self.n)
+        self.column = np.full(len(self.terms), -1)
+        self.column[often] = np.arange(len(often))
+        self.size[often] = 0
+        self.table, self.shared = np.zeros((len(often), self.n)), np.zeros((len(often), self.n), dtype=np.float32)
+        dense = self.column[code] >= 0
+        at = self.column[code[dense]], self.question[dense]
+        np.add.at(self.table, at, self.weight[dense])
+        self.shared[at] = 1
+
+    def tiles(self, lists: pa.ListArray, cells: int = 1 << 20, terms: int = 1 << 20):
+        """(first row, rows, row, code, place) of the asked terms in some rows at a time; ``place`` counts terms from the first list on.
+
+        About ``terms`` terms are looked up at once, and a tile has about ``cells`` pairs of row and question.
+        """
+        ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        step, low, before = max(1, min(256, cells // max(self.n, 1))), 0, 0
+        while low < len(lists):
+            high = max(low + 1, int(np.searchsorted(ends, before + terms, "right")))
+            flat = lists.slice(low, high - low).flatten()
+            code = pc.fill_null(pc.index_in(flat, value_set=self.terms.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.flatnonzero(code >= 0)
+            row, code = np.searchsorted(ends, before + at, "right"), code[at]
+            load = np.cumsum(np.bincount(row - low, self.size[code], high - low))
+            first = low
+            while first < high:
+                most = (load[first - low - 1] if first > low else 0) + 4 * cells
+                last = min(first + step, high, max(first + 1, low + int(np.searchsorted(load, most, "right"))))
+                lo, hi = np.searchsorted(row, (first, last))
+                yield first, last - first, row[lo:hi] - first, code[lo:hi], before + at[lo:hi]
+                first = last
+            low, before = high, int(ends[high - 1])
+
+    def sums(self, rows: int, row: np.ndarray, code: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, met), both rows x questions: sums of weight x part, and where a term is shared. No pair (row, code) repeats."""
+        column = self.column[code]
+        dense = column >= 0
+        parts = np.zeros((rows, len(self.table)))
+        parts[row[dense], column[dense]] = part[dense]
+        total, met = parts @ self.table, (parts != 0).astype(np.float32) @ self.shared > 0
+        row, code, part = row[~dense], code[~dense], part[~dense]
+        size = self.size[code]
+        at = np.arange(size.sum()) + np.repeat(self.start[code] - np.cumsum(size) + size, size)
+        cell = np.repeat(row, size) * self.n + self.question[at]
+        total += np.bincount(cell, self.weight[at] * np.repeat(part, size), rows * self.n).reshape(total.shape)
+        met.reshape(-1)[cell] = True
+        return total, met
+
+
+def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits: int, schema: pa.Schema):
+    """mapInArrow body: BM25 of rows (id, dl, toks) for the questions of ``weights``, three lists (qid, term, weight).
+
+    All questions are scored in one pass. Terms stay in Arrow; only numbers of the asked ones are looked at.
     """
     def run(batches):
-        place, by_term = {}, {}
-        for qid, term, weight in zip(*weights):
-            at, values = by_term.setdefault(term, ([], []))
-            at.append(place.setdefault(qid, len(place)))
-            values.append(weight)
-        by_term = {t: (np.array(at), np.array(values)) for t, (at, values) in by_term.items()}
-        qids, n = list(place), len(place)
-        best, step = Best(n, k), max(1, min(256, cells // max(n, 1)))
-        for pdf in batches:
-            ids, lengths, lists = pdf["id"].to_numpy(), pdf["dl"].to_numpy(), pdf["toks"].to_numpy()
-            for start in range(0, len(pdf), step):
-                at, values = [], []
-                for row in range(start, min(start + step, len(pdf))):
-                    counts = Counter(t for t in lists[row] if t in by_term)
-                    if counts:
-                        question, parts = term_scores(by_term, counts, lengths[row], avgdl, k1, b)
-                        at.append((row - start) * n + question)
-                        values.append(parts)
-                if at:
-                    at = np.concatenate(at)
-                    total = np.bincount(at, np.concatenate(values), step * n)
-                    cell = np.unique(at)
-                    best.add(cell % n, ids[start + cell // n], np.round(total[cell], digits) + 0.0)
-        yield from best.frames(qids)
+        asked = Asked(*weights)
+        best = Best(asked.n, k)
+        for batch in batches:
+            ids, lengths = batch.column("id").to_pandas().to_numpy(), batch.column("dl").to_numpy(zero_copy_only=False)
+            for first, rows, row, code, _ in asked.tiles(batch.column("toks")):
+                pair, tf = np.unique(row * len(asked.terms) + code, return_counts=True)
+                row, code = np.divmod(pair, max(len(asked.terms), 1))
+                total, met = asked.sums(rows, row, code, tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[first + row] / avgdl)))
+                at, question = np.nonzero(met & (np.round(total, digits) >= best.floor[None]))
+                best.add(question, ids[first + at], np.round(total[at, question], digits) + 0.0)
+        for frame in best.frames(asked.qids):
+            yield pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
 
     return run
 
 
-def scan_bounds(weights: tuple, floors: dict, best: int | None, digits: int):
-    """mapInPandas body over rows (block, terms, tops): upper bounds of the scores in each block.
+def scan_bounds(weights: tuple, floors: dict, best: int | None, digits: int, schema: pa.Schema):
+    """mapInArrow body over rows (block, terms, tops): upper bounds of the scores in each block.
 
     With ``best``: the blocks of the highest bounds per question. Without: the blocks whose bound reaches the
     floor of some question, or is above 0 for a question without one.
     """
     def run(batches):
-        place, by_term = {}, {}
-        for qid, term, weight in zip(*weights):
-            at, values = by_term.setdefault(term, ([], []))
-            at.append(place.setdefault(qid, len(place)))
-            values.append(max(weight, 0.0))  # a negative part cannot raise a score
-        by_term = {t: (np.array(at), np.array(values)) for t, (at, values) in by_term.items()}
+        qids, terms, values = weights
+        asked = Asked(qids, terms, np.maximum(np.array(values, dtype=np.float64), 0.0))  # a negative part cannot raise a score
         slack = 10.0 ** -digits  # scores are rounded
-        least = np.array([floors.get(q, slack) - slack for q in place]) if floors else np.zeros(len(place))
-        kept = Best(len(place), best or 1)
-        for pdf in batches:
-            reached = []
-            for block, terms, tops in zip(pdf["block"], pdf["terms"], pdf["tops"]):
-                found = [(*by_term[t], top) for t, top in zip(terms, tops) if t in by_term]
-                if not found:
-                    continue
-                bound = np.bincount(np.concatenate([at for at, _, _ in found]), np.concatenate([w * top for _, w, top in found]), len(place))
+        least = np.array([floors.get(q, slack) - slack for q in asked.qids]) if floors else np.zeros(asked.n)
+        kept = Best(asked.n, best or 1)
+        for batch in batches:
+            blocks, tops = batch.column("block").to_numpy(), batch.column("tops").flatten().to_numpy(zero_copy_only=False)
+            for first, rows, row, code, place in asked.tiles(batch.column("terms")):
+                bound, _ = asked.sums(rows, row, code, tops[place])
                 if best:
-                    question = np.flatnonzero(bound)
-                    kept.add(question, np.full(len(question), block, dtype=np.int64), bound[question])
-                elif ((bound > 0) & (bound >= least)).any():
-                    reached.append(block)
-            if not best:
-                yield pd.DataFrame({"block": np.array(reached, dtype=np.int64)})
+                    at, question = np.nonzero(bound)
+                    kept.add(question, blocks[first + at], bound[at, question])
+                else:
+                    reached = ((bound > 0) & (bound >= least)).any(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[first:first + rows][reached])], schema=schema)
         if best:
-            for frame in kept.frames(list(place)):
-                yield frame.rename(columns={"id": "block", "score": "bound"})
+            for frame in kept.frames(asked.qids):
+                yield pa.RecordBatch.from_pandas(frame.rename(columns={"id": "block", "score": "bound"}), schema, preserve_index=False)
 
     return run
 
@@ -257,43 +302,41 @@ def encode_vectors(centroids: np.ndarray, books: np.ndarray):
     return run
 
 
-def scan_codes(qids: list, vectors: np.ndarray, chosen: np.ndarray, centroids: np.ndarray, books: np.ndarray, keep: int, exact: bool):
+def scan_codes(qids: list, vectors: np.ndarray, chosen: np.ndarray, centroids: np.ndarray, books: np.ndarray, keep: int, exact: bool,
+               floors: np.ndarray | None = None, cells: int = 1 << 18):
     """mapInPandas body over (id, code, error, list): members of the chosen lists with bounds of their inner product.
 
-    The ``keep`` of highest low bound per question and task; with ``exact`` also all whose high bound reaches the keep-th low one.
+    The ``keep`` of highest low bound per question and task, or with ``floors`` all whose high bound reaches the
+    question's floor, which are given out as they come. Tiles have about ``cells`` pairs of question and member.
     """
     def run(batches):
         tables = [part @ book.T for part, book in zip(np.split(vectors, len(books), axis=1), books)]
         length = np.linalg.norm(vectors, axis=1) if exact else np.zeros(len(vectors))
-        best, held, waiting = Best(len(qids), keep), [], 0
-        for pdf in batches:
+        best = Best(len(qids), keep)
+
+        def bounds(pdf):
             for number, group in pdf.groupby("list", sort=False):
                 asked = np.flatnonzero(chosen[:, number])
-                if not len(asked):
+                step = max(1, cells // max(len(asked), 1))
+                for start in range(0, len(group) if len(asked) else 0, step):
+                    tile = group.iloc[start:start + step]
+                    code = np.frombuffer(b"".join(tile["code"]), dtype=np.uint8).reshape(len(tile), -1)
+                    about = (vectors[asked] @ centroids[number])[:, None] + sum(t[asked][:, c] for t, c in zip(tables, code.T))
+                    off = length[asked][:, None] * tile["error"].to_numpy()[None]
+                    yield number, asked, tile["id"].to_numpy(), about - off, about + off + 1e-6 if exact else about
+
+        for pdf in batches:
+            for number, asked, ids, low, high in bounds(pdf):
+                if floors is not None:
+                    q, r = np.nonzero(high >= floors[asked][:, None])
+                    yield pd.DataFrame({"qid": [qids[i] for i in asked[q].tolist()], "id": ids[r], "list": np.full(len(r), number, dtype=np.int32), "low": low[q, r], "high": high[q, r]})
                     continue
-                ids = group["id"].to_numpy()
-                code = np.frombuffer(b"".join(group["code"]), dtype=np.uint8).reshape(len(ids), -1)
-                about = (vectors[asked] @ centroids[number])[:, None] + sum(t[asked][:, c] for t, c in zip(tables, code.T))
-                low = about - length[asked][:, None] * group["error"].to_numpy()[None]
-                question, row = np.nonzero(low >= best.floor[asked][:, None])
-                if exact:
-                    high = about + length[asked][:, None] * group["error"].to_numpy()[None] + 1e-6
-                    q, r = np.nonzero(high >= best.floor[asked][:, None])
-                    held.append((asked[q], ids[r], np.full(len(r), number), low[q, r], high[q, r]))
-                    best.add(asked[question], ids[row], low[question, row])
-                    waiting += len(q)
-                    if waiting > 1 << 21:  # floors have risen meanwhile
-                        best.prune()
-                        held = [tuple(c[part[4] >= best.floor[part[0]]] for c in part) for part in held]
-                        waiting = sum(len(part[0]) for part in held) // 2
-                else:
-                    best.add(asked[question], np.array([(i, number) for i in ids[row]] + [None], dtype=object)[:-1], low[question, row])
-        if exact:
-            best.prune()
-            for question, ids, number, low, high in held:
-                kept = high >= best.floor[question]
-                yield pd.DataFrame({"qid": [qids[q] for q in question[kept]], "id": ids[kept], "list": number[kept].astype(np.int32), "low": low[kept], "high": high[kept]})
-        else:
+                floor = best.floor[asked]
+                if len(ids) > keep:  # of a tile, no question needs more than its best and their equals
+                    floor = np.maximum(floor, np.partition(low, len(ids) - keep, axis=1)[:, len(ids) - keep])
+                q, r = np.nonzero(low >= floor[:, None])
+                best.add(asked[q], np.array([(i, number) for i in ids[r]] + [None], dtype=object)[:-1], low[q, r])
+        if floors is None:
             for frame in best.frames(qids):
                 yield pd.DataFrame({"qid": frame["qid"], "id": [i for i, _ in frame["id"]], "list": np.array([n for _, n in frame["id"]], dtype=np.int32),
                                     "low": frame["score"], "high": frame["score"]})

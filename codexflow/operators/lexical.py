@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
@@ -13,7 +16,7 @@ from codexflow.functions.workers import scan_terms
 from codexflow.session import cut_lineage
 
 SCORE_DIGITS = 6
-BLOCK = 1_024  # questions that meet a batch of the corpus at once, inside a task
+BLOCK = 1_024  # question vectors that meet a batch of the corpus at once, inside a task
 ROWS_AT_ONCE = 4_000_000  # question terms, some 100 MB, that travel to one scan
 
 
@@ -73,6 +76,10 @@ def in_parts(rows: DataFrame, size: int, most: int, key: str = "qid"):
         yield rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
 def score(index: Bm25Index, questions: DataFrame, k: int = 10 * V.TOP_K, most: int = ROWS_AT_ONCE) -> DataFrame:
     """(qid, id, score): the k best of the chunks that share a term with each question.
 
@@ -89,11 +96,12 @@ def score_weighted(index: Bm25Index, weights: DataFrame, k: int, most: int = ROW
     weighted = cut_lineage(weights, "question-terms")
     kind = index.documents.schema["id"].dataType.simpleString()
     asked = weighted.schema["qid"].dataType.simpleString()
+    result = f"qid {asked}, id {kind}, score double"
     out = None
     for part in in_parts(weighted, weighted.count(), most):
         rows = part.toArrow().to_pydict()  # ``most`` rows or about
-        scan = scan_terms((rows["qid"], rows["term"], rows["weight"]), k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS)
-        found = index.documents.filter(F.size("toks") > 0).mapInPandas(scan, f"qid {asked}, id {kind}, score double")
+        scan = scan_terms((rows["qid"], rows["term"], rows["weight"]), k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS, arrow_schema(result))
+        found = index.documents.filter(F.size("toks") > 0).select("id", "dl", "toks").mapInArrow(scan, result)
         out = found if out is None else out.unionByName(found)
     return rank(out, k, [F.desc("score"), F.asc("id")]).drop("rank")
 

@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
+from codexflow.functions.arrays import let
 from codexflow.functions.workers import scan_bounds
 from codexflow.operators import lexical
 from codexflow.session import cut_lineage
 
 BLOCKS_AT_ONCE = 1_000_000  # block numbers, 8 MB, that travel to the scan
+TERMS_AT_ONCE = 1_000_000  # terms with their weights, some 100 MB, that travel to the documents
 
 
 @dataclass
@@ -36,16 +38,18 @@ def save_blocks(index: lexical.Bm25Index, path: str, size: int = 128) -> BlockIn
     term are in no block: no question finds them.
     """
     part = _part(index, "tf", "dl")
-    rows = index.documents.filter(F.size("toks") > 0).select("id", "dl", F.explode("toks").alias("term"))
-    counted = cut_lineage(rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    heavy = counted.join(index.terms.select("term", "idf"), "term").groupBy("id").agg(F.max_by("term", F.struct(F.col("idf") * part, "term")).alias("subject"))
-    ranged = index.documents.join(heavy, "id").repartitionByRange("subject", "id").withColumn("part", F.spark_partition_id())
-    ranged = cut_lineage(ranged, "ranged-documents")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("subject", "id")) - 1
-    blocks = ranged.withColumn("block", F.col("part").cast("long") * (1 << 32) + F.floor(place / size)).select("block", "id", "dl", "toks")
-    blocks.repartitionByRange("block").sortWithinPartitions("block", "id").write.mode("errorifexists").parquet(f"{path}/documents")
+    rows = index.documents.filter(F.size("toks") > 0).select("id", "dl", "toks")
+    postings = lambda df, key: df.select(key, "dl", F.explode(counted(F.col("toks"))).alias("p")).select(key, "dl", "p.*")
+    weights = index.terms.select("term", "idf")
+    weights = F.broadcast(weights) if weights.count() <= TERMS_AT_ONCE else weights
+    heavy = postings(rows, "id").join(weights, "term").groupBy("id").agg(F.max_by("term", F.struct(F.col("idf") * part, "term")).alias("subject"))
+    placed = (rows.join(heavy, "id").repartitionByRange("subject", "id").sortWithinPartitions("subject", "id")
+              .withColumn("place", F.monotonically_increasing_id()))  # partition, and place in it
+    block = F.shiftright("place", 33) * (1 << 32) + F.floor(F.col("place").bitwiseAND((1 << 33) - 1) / size)
+    placed.select(block.alias("block"), "id", "dl", "toks").write.mode("errorifexists").parquet(f"{path}/documents")
     stored = index.terms.sparkSession.read.parquet(f"{path}/documents")
-    tops = counted.join(stored.select("id", "block"), "id").groupBy("block", "term").agg(F.max(part).alias("top"))
+    # dealt by block before terms become rows, so that both groupings stay where the documents are
+    tops = postings(stored.select("block", "dl", "toks").repartition("block"), "block").groupBy("block", "term").agg(F.max(part).alias("top"))
     pairs = F.collect_list(F.struct("term", "top"))  # the terms of ``size`` documents at most
     tops.groupBy("block").agg(pairs.alias("p")).select("block", F.col("p.term").alias("terms"), F.col("p.top").alias("tops")).write.parquet(f"{path}/bounds")
     spark = index.terms.sparkSession
@@ -54,6 +58,16 @@ def save_blocks(index: lexical.Bm25Index, path: str, size: int = 128) -> BlockIn
     return load_blocks(spark, path)
 
 
+def counted(toks: Column) -> Column:
+    """array<struct<term, tf>>: each different term of a list and how often it occurs, from the runs of the sorted list."""
+    def runs(s):
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(first, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
+
+    return let(F.array_sort(toks), runs)
+
+
 def load_blocks(spark: SparkSession, path: str) -> BlockIndex:
     return BlockIndex(lexical.load_index(spark, path), spark.read.parquet(f"{path}/bounds"))
 
@@ -84,8 +98,9 @@ def pruned_topk(index: BlockIndex, questions: DataFrame, k: int = 2 * V.TOP_K, p
         out = None
         for part in parts:
             rows = part.toArrow().to_pydict()  # ``ROWS_AT_ONCE`` rows or about
-            scan = scan_bounds((rows["qid"], rows["term"], rows["weight"]), floors, best, lexical.SCORE_DIGITS)
-            found = index.bounds.mapInPandas(scan, f"qid {asked}, block long, bound double" if best else "block long")
+            result = f"qid {asked}, block long, bound double" if best else "block long"
+            scan = scan_bounds((rows["qid"], rows["term"], rows["weight"]), floors, best, lexical.SCORE_DIGITS, lexical.arrow_schema(result))
+            found = index.bounds.select("block", "terms", "tops").mapInArrow(scan, result)
             out = found if out is None else out.unionByName(found)
         return out
 

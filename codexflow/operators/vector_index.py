@@ -82,7 +82,7 @@ def search(index: VectorIndex, questions: DataFrame, k: int, probe: int = 16, re
     """(qid, id, score, rank): the k largest inner products found among each question's ``probe`` lists.
 
     Codes choose ``refine`` x k members per question, which are scored exactly. With ``exact`` all lists are probed and all
-    members that the codes do not rule out are scored. Questions (qid, qvec) travel to the scan; their number is to
+    members that the codes do not rule out are scored: one scan finds each question's k-th low bound, another gives out what reaches it. Questions (qid, qvec) travel to the scan; their number is to
     be such that the vectors fit there, as in ``dense_topk``.
     """
     asked = cut_lineage(questions.select("qid", "qvec"), "question-vectors").toArrow().to_pydict()
@@ -93,15 +93,18 @@ def search(index: VectorIndex, questions: DataFrame, k: int, probe: int = 16, re
     wanted = np.flatnonzero(chosen.any(axis=0)).tolist()
     members = index.members.filter(F.col("list").isin(wanted))  # partitions of other lists are not read
     kind, asked_kind = (t.simpleString() for t in (index.members.schema["id"].dataType, questions.schema["qid"].dataType))
-    scan = scan_codes(asked["qid"], vectors, chosen, index.centroids, index.books, k if exact else refine * k, exact)
-    found = cut_lineage(members.select("id", "code", "error", "list").mapInPandas(scan, f"qid {asked_kind}, id {kind}, list int, low double, high double"), "candidates")
+    codes, result = members.select("id", "code", "error", "list"), f"qid {asked_kind}, id {kind}, list int, low double, high double"
+    keep = k if exact else refine * k
+    scan = lambda floors=None: codes.mapInPandas(
+        scan_codes(asked["qid"], vectors, chosen, index.centroids, index.books, keep, exact, floors), result)
+    found = rank(scan(), keep, [F.desc("low"), F.asc("id")])
     if exact:
-        floor = rank(found, k, [F.desc("low"), F.asc("id")]).filter(F.col("rank") == k).select("qid", F.col("low").alias("floor"))
-        found = found.join(floor, "qid", "left").filter(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
-    else:
-        found = rank(found, refine * k, [F.desc("low"), F.asc("id")])
+        last = found.filter(F.col("rank") == k).select("qid", "low").toArrow().to_pydict()  # a number per question
+        floor = dict(zip(last["qid"], last["low"]))
+        found = scan(np.array([floor.get(q, -np.inf) for q in asked["qid"]]))
+    found = cut_lineage(found.select("qid", "id", "list"), "candidates")
     product = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = (found.select("qid", "id", "list").join(members.select("id", "vec", "list"), ["list", "id"]).join(questions.select("qid", "qvec"), "qid")
+    scored = (found.join(members.select("id", "vec", "list"), ["list", "id"]).join(questions.select("qid", "qvec"), "qid")
               .select("qid", "id", (F.round(product, SCORE_DIGITS) + 0.0).alias("score")))
     best = cut_lineage(rank(scored, k, [F.desc("score"), F.asc("id")]), "index-hits")
     full = best.groupBy("qid").count().filter(F.col("count") >= k)

@@ -81,3 +81,33 @@ def test_recall_on_the_given_vectors(spark, sf):
     lsh = {(r["qid"], r["id"]) for r in QUERIES["dense_topk_lsh"](spark, sf).collect()}
     first = {(r["qid"], r["id"]) for r in QUERIES["dense_topk"](spark, sf).filter("rank <= 10").collect()}
     print("recall", len(want & got) / len(want), "lsh", len(first & lsh) / len(first))
+
+
+def test_scans_hold_tiles_only(spark):
+    """Exact candidates come out tile by tile, once the floors are known; a batch is never held whole."""
+    from codexflow.functions import workers as K
+    import pandas as pd
+
+    random = np.random.default_rng(3)
+    vectors, books = random.normal(size=(50, 8)), random.normal(size=(2, 4, 4))
+    code = random.integers(0, 4, (3000, 2)).astype(np.uint8)
+    pdf = pd.DataFrame({"id": range(3000), "code": [c.tobytes() for c in code], "error": 0.1, "list": 0})
+    scan = K.scan_codes(list(range(50)), vectors, np.ones((50, 1), dtype=bool), np.zeros((1, 8)), books, 5, True, np.full(50, -np.inf), cells=5000)
+    frames = list(scan(iter([pdf])))
+    assert sum(map(len, frames)) == 150_000 and max(map(len, frames)) <= 5000
+
+
+def test_sums_of_common_and_rare_terms():
+    """Terms of most questions and of few are summed alike, over nulls, sliced lists and small tiles."""
+    import pyarrow as pa
+    from codexflow.functions import workers as K
+
+    weights = [(q, "all", 0.5) for q in range(9)] + [(3, "rare", 2.0), (4, "rare", -1.0), (5, "zero", 0.0)]
+    asked = K.Asked(*map(list, zip(*weights)))
+    lists = pa.array([["x"], ["all", "rare"], None, [], ["zero", "x"], ["rare"]]).slice(1)
+    total, met = np.zeros((5, 9)), np.zeros((5, 9), dtype=bool)
+    for first, rows, row, code, place in asked.tiles(lists, cells=9, terms=2):
+        assert lists.flatten().take(pa.array(place)).to_pylist() == asked.terms.take(pa.array(code)).to_pylist()
+        total[first:first + rows], met[first:first + rows] = asked.sums(rows, row, code, np.ones(len(row)))
+    assert total[0].tolist() == [.5, .5, .5, 2.5, -.5, .5, .5, .5, .5] and met[0].all() and not met[1:3].any()
+    assert met[3].tolist() == [q == 5 for q in range(9)] and total[4].tolist() == [0, 0, 0, 2, -1, 0, 0, 0, 0]
