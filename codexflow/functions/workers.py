@@ -267,6 +267,62 @@ def scan_bounds(weights: tuple, floors: dict, best: int | None, digits: int, sch
     return run
 
 
+def term_part(tf, dl, avgdl: float, k1: float, b: float):
+    """A term's part of a document's BM25 score, before its weight."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(avgdl, 1e-9)))
+
+
+def counted_terms(lists: pa.ListArray, most: int = 1 << 20):
+    """(row, code, tf, terms): each different term of each list, by its number among ``terms``; about ``most`` terms at once."""
+    lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    ends, low, before = np.cumsum(lengths, dtype=np.int64), 0, 0
+    while low < len(lists):
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        coded = lists.slice(low, high - low).flatten().dictionary_encode()
+        terms = coded.dictionary
+        row = np.repeat(np.arange(low, high), lengths[low:high])
+        pair, tf = np.unique(row * max(len(terms), 1) + coded.indices.to_numpy(), return_counts=True)
+        yield *np.divmod(pair, max(len(terms), 1)), tf, terms
+        low, before = high, int(ends[high - 1])
+
+
+def weighty_terms(common: pa.Array, idf: np.ndarray, avgdl: float, k1: float, b: float, schema: pa.Schema):
+    """mapInArrow body over (id, dl, toks): (id, term, part) of the weightiest ``common`` term of each row, and of all terms that are not common."""
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column("dl").to_numpy(zero_copy_only=False)
+            for row, code, tf, terms in counted_terms(batch.column("toks")):
+                place = pc.fill_null(pc.index_in(terms, value_set=common.cast(terms.type)), -1).to_numpy(zero_copy_only=False)[code]
+                part = term_part(tf, lengths[row], avgdl, k1, b)
+                known = np.flatnonzero(place >= 0)
+                order = known[np.lexsort((idf[place[known]] * part[known], row[known]))]
+                last = order[np.flatnonzero(np.diff(row[order], append=-1))]
+                kept = np.concatenate([last, np.flatnonzero(place < 0)])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[kept])), terms.take(pa.array(code[kept])), pa.array(part[kept])], schema=schema)
+
+    return run
+
+
+def block_tops(avgdl: float, k1: float, b: float, schema: pa.Schema):
+    """mapInArrow body over (block, dl, toks), sorted by block: (block, terms, tops), each term's largest part in the block."""
+    def run(batches):
+        for batch in batches:
+            blocks, lengths = batch.column("block").to_numpy(), batch.column("dl").to_numpy(zero_copy_only=False)
+            for row, code, tf, terms in counted_terms(batch.column("toks")):
+                found, own = np.unique(blocks[row], return_inverse=True)
+                pair = own * max(len(terms), 1) + code
+                order = np.argsort(pair, kind="stable")
+                first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+                if not len(first):
+                    continue
+                tops = np.maximum.reduceat(term_part(tf, lengths[row], avgdl, k1, b)[order], first)
+                ends = pa.array(np.r_[np.searchsorted(own[order][first], np.arange(len(found))), len(first)].astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, terms.take(pa.array(code[order][first]))), pa.ListArray.from_arrays(ends, pa.array(tops))
+                yield pa.RecordBatch.from_arrays([pa.array(found), *(x.cast(schema.field(i).type) for i, x in enumerate(lists, 1))], schema=schema)
+
+    return run
+
+
 def nearest_center(points: np.ndarray, centers: np.ndarray, rows: int = 8_192) -> np.ndarray:
     norms = (centers ** 2).sum(axis=1)
     return np.concatenate([np.argmin(norms - 2 * points[lo:lo + rows] @ centers.T, axis=1) for lo in range(0, len(points), rows)] or [np.zeros(0, dtype=np.int64)])

@@ -10,22 +10,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexflow.functions import fixed_values as V
-from codexflow.functions.arrays import let
-from codexflow.functions.workers import scan_bounds
+from codexflow.functions.workers import block_tops, scan_bounds, weighty_terms
 from codexflow.operators import lexical
 from codexflow.session import cut_lineage
 
 BLOCKS_AT_ONCE = 1_000_000  # block numbers, 8 MB, that travel to the scan
-TERMS_AT_ONCE = 1_000_000  # terms with their weights, some 100 MB, that travel to the documents
+TERMS_AT_ONCE = 200_000  # terms with their weights, some 5 MB, that travel to the documents
 
 
 @dataclass
 class BlockIndex:
-    """bounds: (block, terms, tops). corpus.documents: (block, id, dl, toks), sorted by block."""
+    """bounds: (block, terms, tops); a block read in two parts has a row for each. corpus.documents: (block, id, dl, toks), sorted by block."""
 
     corpus: lexical.Bm25Index
     bounds: DataFrame
@@ -37,47 +38,45 @@ def save_blocks(index: lexical.Bm25Index, path: str, size: int = 128) -> BlockIn
     Documents that share their weightiest term are neighbours; ``size`` of them make a block. Documents without a
     term are in no block: no question finds them.
     """
-    part = _part(index, "tf", "dl")
+    bm25 = index.avgdl, V.BM25_K1, V.BM25_B
     rows = index.documents.filter(F.size("toks") > 0).select("id", "dl", "toks")
-    postings = lambda df, key: df.select(key, "dl", F.explode(counted(F.col("toks"))).alias("p")).select(key, "dl", "p.*")
-    weights = index.terms.select("term", "idf")
-    weights = F.broadcast(weights) if weights.count() <= TERMS_AT_ONCE else weights
-    heavy = postings(rows, "id").join(weights, "term").groupBy("id").agg(F.max_by("term", F.struct(F.col("idf") * part, "term")).alias("subject"))
-    placed = (rows.join(heavy, "id").repartitionByRange("subject", "id").sortWithinPartitions("subject", "id")
+    common = _common_terms(index.terms).toArrow().combine_chunks()
+    term, idf = (pa.array([], pa.string()), []) if not common.num_rows else (common["term"].combine_chunks(), common["idf"].to_numpy())
+    result = f"id {rows.schema['id'].dataType.simpleString()}, term string, part double"
+    parts = rows.mapInArrow(weighty_terms(term, np.array(idf, dtype=np.float64), *bm25, lexical.arrow_schema(result)), result)
+    heavy = parts.join(index.terms.select("term", "idf"), "term").groupBy("id").agg(F.max_by("term", F.struct(F.col("idf") * F.col("part"), "term")).alias("subject"))
+    # a document moves as one text, a third of its list; no term holds white space
+    texts = rows.select("id", "dl", F.array_join("toks", "\n").alias("text"))
+    placed = (texts.join(heavy, "id").repartitionByRange("subject", "id").sortWithinPartitions("subject", "id")
               .withColumn("place", F.monotonically_increasing_id()))  # partition, and place in it
     block = F.shiftright("place", 33) * (1 << 32) + F.floor(F.col("place").bitwiseAND((1 << 33) - 1) / size)
-    placed.select(block.alias("block"), "id", "dl", "toks").write.mode("errorifexists").parquet(f"{path}/documents")
+    placed.select(block.alias("block"), "id", "dl", F.split("text", "\n").alias("toks")).write.mode("errorifexists").parquet(f"{path}/documents")
     stored = index.terms.sparkSession.read.parquet(f"{path}/documents")
-    # dealt by block before terms become rows, so that both groupings stay where the documents are
-    tops = postings(stored.select("block", "dl", "toks").repartition("block"), "block").groupBy("block", "term").agg(F.max(part).alias("top"))
-    pairs = F.collect_list(F.struct("term", "top"))  # the terms of ``size`` documents at most
-    tops.groupBy("block").agg(pairs.alias("p")).select("block", F.col("p.term").alias("terms"), F.col("p.top").alias("tops")).write.parquet(f"{path}/bounds")
+    result = "block long, terms array<string>, tops array<double>"
+    tops = stored.select("block", "dl", "toks").mapInArrow(block_tops(*bm25, lexical.arrow_schema(result)), result)
+    tops.write.parquet(f"{path}/bounds")
     spark = index.terms.sparkSession
     spark.createDataFrame([(index.n_docs, index.avgdl)], "n_docs bigint, avgdl double").write.parquet(f"{path}/corpus")
     index.terms.write.parquet(f"{path}/terms")
     return load_blocks(spark, path)
 
 
-def counted(toks: Column) -> Column:
-    """array<struct<term, tf>>: each different term of a list and how often it occurs, from the runs of the sorted list."""
-    def runs(s):
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(first, lambda at: F.transform(at, lambda i, k: F.struct(
-            F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
-
-    return let(F.array_sort(toks), runs)
+def _common_terms(terms: DataFrame) -> DataFrame:
+    """(term, idf): the terms in most documents, ``TERMS_AT_ONCE`` at most, cut at a power of two of documents."""
+    power = F.floor(F.log2("df"))
+    total, least = 0, 64
+    for row in sorted(terms.groupBy(power.alias("power")).count().collect(), key=lambda r: -r["power"]):  # at most 63 rows
+        total += row["count"]
+        if total > TERMS_AT_ONCE:
+            break
+        least = row["power"]
+    return terms.filter(power >= least).select("term", "idf")
 
 
 def load_blocks(spark: SparkSession, path: str) -> BlockIndex:
     return BlockIndex(lexical.load_index(spark, path), spark.read.parquet(f"{path}/bounds"))
 
 
-def _part(index: lexical.Bm25Index, tf: str, dl: str):
-    """A term's part of a document's score, before its weight."""
-    k1, b = V.BM25_K1, V.BM25_B
-    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / max(index.avgdl, 1e-9)))
-
-
 def _scored(index: BlockIndex, blocks: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     near = F.broadcast(blocks) if blocks.count() <= BLOCKS_AT_ONCE else blocks
     corpus = lexical.Bm25Index(index.corpus.n_docs, index.corpus.avgdl, index.corpus.terms, index.corpus.documents.join(near, "block", "left_semi"))
