@@ -216,24 +216,29 @@ class Asked:
         return total, met
 
 
-def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits: int, schema: pa.Schema):
-    """mapInArrow body: BM25 of rows (id, dl, toks) for the questions of ``weights``, three lists (qid, term, weight).
+def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits: int, most: int = 8 << 20):
+    """mapInPandas body: BM25 of rows (id, dl, text) for the questions of ``weights``, three lists (qid, term, weight).
 
-    All questions are scored in one pass. Terms stay in Arrow; only numbers of the asked ones are looked at.
+    All questions are scored in one pass. ``text`` holds a document's terms, a line each; they become Arrow lists, of about
+    ``most`` characters at a time, and only numbers of the asked ones are looked at.
     """
     def run(batches):
         asked = Asked(*weights)
         best = Best(asked.n, k)
-        for batch in batches:
-            ids, lengths = batch.column("id").to_pandas().to_numpy(), batch.column("dl").to_numpy(zero_copy_only=False)
-            for first, rows, row, code, _ in asked.tiles(batch.column("toks")):
-                pair, tf = np.unique(row * len(asked.terms) + code, return_counts=True)
-                row, code = np.divmod(pair, max(len(asked.terms), 1))
-                total, met = asked.sums(rows, row, code, tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[first + row] / avgdl)))
-                at, question = np.nonzero(met & (np.round(total, digits) >= best.floor[None]))
-                best.add(question, ids[first + at], np.round(total[at, question], digits) + 0.0)
-        for frame in best.frames(asked.qids):
-            yield pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+        for pdf in batches:
+            ids, lengths = pdf["id"].to_numpy(), pdf["dl"].to_numpy()
+            part = np.cumsum([len(t) for t in pdf["text"]]) // most
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pdf)]
+            for low, high in zip(cuts, cuts[1:]):
+                lists = pc.split_pattern(pa.array(pdf["text"].iloc[low:high], pa.string()), "\n")
+                for first, rows, row, code, _ in asked.tiles(lists):
+                    pair, tf = np.unique(row * len(asked.terms) + code, return_counts=True)
+                    row, code = np.divmod(pair, max(len(asked.terms), 1))
+                    total, met = asked.sums(rows, row, code, term_part(tf, lengths[low + first + row], avgdl, k1, b))
+                    total = np.round(total, digits) + 0.0
+                    at, question = np.nonzero(met & (total >= best.floor[None]))
+                    best.add(question, ids[low + first + at], total[at, question])
+        yield from best.frames(asked.qids)
 
     return run
 

@@ -100,8 +100,8 @@ def score_weighted(index: Bm25Index, weights: DataFrame, k: int, most: int = ROW
     out = None
     for part in in_parts(weighted, weighted.count(), most):
         rows = part.toArrow().to_pydict()  # ``most`` rows or about
-        scan = scan_terms((rows["qid"], rows["term"], rows["weight"]), k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS, arrow_schema(result))
-        found = index.documents.filter(F.size("toks") > 0).select("id", "dl", "toks").mapInArrow(scan, result)
+        scan = scan_terms((rows["qid"], rows["term"], rows["weight"]), k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS)
+        found = index.documents.filter(F.size("toks") > 0).select("id", "dl", F.array_join("toks", "\n").alias("text")).mapInPandas(scan, result)
         out = found if out is None else out.unionByName(found)
     return rank(out, k, [F.desc("score"), F.asc("id")]).drop("rank")
 
