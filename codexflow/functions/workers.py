@@ -216,6 +216,22 @@ class Asked:
         return total, met
 
 
+def runs(sizes, most: int):
+    """(first row, row after the last) of neighbours, with ``sizes`` of about ``most`` in all."""
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return zip(cuts, cuts[1:])
+
+
+def tile_scores(asked: Asked, lists: pa.ListArray, lengths: np.ndarray, avgdl: float, k1: float, b: float, digits: int):
+    """(first row, total, met) of some rows at a time: BM25 scores, rows x questions, and where a term is shared."""
+    for first, rows, row, code, _ in asked.tiles(lists):
+        pair, tf = np.unique(row * len(asked.terms) + code, return_counts=True)
+        row, code = np.divmod(pair, max(len(asked.terms), 1))
+        total, met = asked.sums(rows, row, code, term_part(tf, lengths[first + row], avgdl, k1, b))
+        yield first, np.round(total, digits) + 0.0, met
+
+
 def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits: int, most: int = 8 << 20):
     """mapInPandas body: BM25 of rows (id, dl, text) for the questions of ``weights``, three lists (qid, term, weight).
 
@@ -227,15 +243,9 @@ def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits
         best = Best(asked.n, k)
         for pdf in batches:
             ids, lengths = pdf["id"].to_numpy(), pdf["dl"].to_numpy()
-            part = np.cumsum([len(t) for t in pdf["text"]]) // most
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pdf)]
-            for low, high in zip(cuts, cuts[1:]):
+            for low, high in runs([len(t) for t in pdf["text"]], most):
                 lists = pc.split_pattern(pa.array(pdf["text"].iloc[low:high], pa.string()), "\n")
-                for first, rows, row, code, _ in asked.tiles(lists):
-                    pair, tf = np.unique(row * len(asked.terms) + code, return_counts=True)
-                    row, code = np.divmod(pair, max(len(asked.terms), 1))
-                    total, met = asked.sums(rows, row, code, term_part(tf, lengths[low + first + row], avgdl, k1, b))
-                    total = np.round(total, digits) + 0.0
+                for first, total, met in tile_scores(asked, lists, lengths[low:high], avgdl, k1, b, digits):
                     at, question = np.nonzero(met & (total >= best.floor[None]))
                     best.add(question, ids[low + first + at], total[at, question])
         yield from best.frames(asked.qids)
@@ -243,6 +253,23 @@ def scan_terms(weights: tuple, k: int, avgdl: float, k1: float, b: float, digits
     return run
 
 
+def scan_scores(weights: tuple, avgdl: float, k1: float, b: float, digits: int, schema: pa.Schema, most: int = 8 << 20):
+    """mapInArrow body: ``scan_terms`` without a k. Every pair of a question and a row that share a term is given out as it comes."""
+    def run(batches):
+        asked = Asked(*weights)
+        qids = pa.array(asked.qids, schema.field("qid").type)
+        for batch in batches:
+            ids, lengths, text = batch.column("id"), batch.column("dl").to_numpy(zero_copy_only=False), batch.column("text")
+            for low, high in runs(pc.binary_length(text).to_numpy(zero_copy_only=False), most):
+                lists = pc.split_pattern(text.slice(low, high - low), "\n")
+                for first, total, met in tile_scores(asked, lists, lengths[low:high], avgdl, k1, b, digits):
+                    at, question = np.nonzero(met)
+                    pairs = [qids.take(pa.array(question)), ids.take(pa.array(low + first + at)), pa.array(total[at, question])]
+                    yield pa.RecordBatch.from_arrays(pairs, schema=schema)
+
+    return run
+
+
 def scan_bounds(weights: tuple, floors: dict, best: int | None, digits: int, schema: pa.Schema):
     """mapInArrow body over rows (block, terms, tops): upper bounds of the scores in each block.
 

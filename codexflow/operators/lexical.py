@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codexflow.functions import fixed_values as V
 from codexflow.functions.text import tokens
-from codexflow.functions.workers import scan_terms
+from codexflow.functions.workers import scan_scores, scan_terms
 from codexflow.session import cut_lineage
 
 SCORE_DIGITS = 6
@@ -80,30 +80,36 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
-def score(index: Bm25Index, questions: DataFrame, k: int = 10 * V.TOP_K, most: int = ROWS_AT_ONCE) -> DataFrame:
-    """(qid, id, score): the k best of the chunks that share a term with each question.
+def score(index: Bm25Index, questions: DataFrame, k: int | None = None, most: int = ROWS_AT_ONCE) -> DataFrame:
+    """(qid, id, score) of all chunks that share a term with each question, or of the ``k`` best of them.
 
-    A chunk is scored in its own row for all questions: their weights travel to one scan,
-    each task keeps k rows per question, and neither postings nor (question, chunk) pairs are
-    shuffled. Only questions of more than ``most`` terms in all need another scan.
+    A chunk is scored in its own row for all questions: their weights travel to one scan, and
+    neither postings nor (question, chunk) pairs are shuffled. Without ``k`` the pairs leave the scan
+    as they come, with it each task keeps k rows per question. Only questions of more than ``most``
+    terms in all need another scan.
     """
     weighted = query_terms(questions).join(index.terms, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     return score_weighted(index, weighted, k, most)
 
 
-def score_weighted(index: Bm25Index, weights: DataFrame, k: int, most: int = ROWS_AT_ONCE) -> DataFrame:
+def score_weighted(index: Bm25Index, weights: DataFrame, k: int | None, most: int = ROWS_AT_ONCE) -> DataFrame:
     """``score`` for questions given as (qid, term, weight), the weights times idf."""
     weighted = cut_lineage(weights, "question-terms")
     kind = index.documents.schema["id"].dataType.simpleString()
     asked = weighted.schema["qid"].dataType.simpleString()
     result = f"qid {asked}, id {kind}, score double"
+    documents = index.documents.filter(F.size("toks") > 0).select("id", "dl", F.array_join("toks", "\n").alias("text"))
+    bm25 = index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS
     out = None
     for part in in_parts(weighted, weighted.count(), most):
         rows = part.toArrow().to_pydict()  # ``most`` rows or about
-        scan = scan_terms((rows["qid"], rows["term"], rows["weight"]), k, index.avgdl, V.BM25_K1, V.BM25_B, SCORE_DIGITS)
-        found = index.documents.filter(F.size("toks") > 0).select("id", "dl", F.array_join("toks", "\n").alias("text")).mapInPandas(scan, result)
+        asked_terms = rows["qid"], rows["term"], rows["weight"]
+        if k is None:
+            found = documents.mapInArrow(scan_scores(asked_terms, *bm25, arrow_schema(result)), result)
+        else:
+            found = documents.mapInPandas(scan_terms(asked_terms, k, *bm25), result)
         out = found if out is None else out.unionByName(found)
-    return rank(out, k, [F.desc("score"), F.asc("id")]).drop("rank")
+    return out if k is None else rank(out, k, [F.desc("score"), F.asc("id")]).drop("rank")
 
 
 def rank(scored: DataFrame, k: int, order: list, by: str = "qid") -> DataFrame:

@@ -46,6 +46,22 @@ def test_saved_index_scores_alike(spark, sf):
     assert a == b and a
 
 
+def test_every_pair_that_shares_a_term_is_scored(spark):
+    """Far more documents than any top k hold a term; scores may be negative, and ids of different size stay exact."""
+    rows = [(i if i % 2 else 2**60 + i, "common " * (1 + i % 3) + f"own{i}") for i in range(700)] + [(None, "common rare"), (-1, "other"), (-2, ""), (-3, None)]
+    index = X.build_index(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    questions = spark.createDataFrame([("a", "common common"), ("b", "own7 rare"), ("c", "nothing"), (None, "other")], "qid string, question string")
+    scored = X.score(index, questions)
+    found = [tuple(r) for r in scored.collect()]
+    want = [("a", d) for d, t in rows if "common" in (t or "")] + [("b", 7), ("b", None), (None, -1)]
+    assert sorted(map(repr, want)) == sorted(repr(r[:2]) for r in found)
+    assert "hashpartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
+    in_parts = [tuple(r) for r in X.score(index, questions, most=1).collect()]
+    assert sorted(map(repr, in_parts)) == sorted(map(repr, found))
+    best = {tuple(r) for r in X.score(index, questions.filter("qid = 'a'"), 5).collect()}
+    assert len(best) == 5 and best <= set(found) and min(s for _, _, s in best) >= max(s for q, d, s in found if q == "a" and (q, d, s) not in best)
+
+
 def test_empty_inputs(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     index = X.build_index(docs)
