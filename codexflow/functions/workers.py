@@ -3,7 +3,9 @@
 The module is pickled by value, so executors need no copy of this package.
 """
 
+import hashlib
 import sys
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -430,3 +432,58 @@ def scan_codes(qids: list, vectors: np.ndarray, chosen: np.ndarray, centroids: n
                                     "low": frame["score"], "high": frame["score"]})
 
     return run
+
+
+class Digest:
+    """SHA-256 of a file of known size that comes as its lines, without the newlines between them.
+
+    The reader of lines drops a byte order mark at a file's start and does not tell whether a newline ends it; the size
+    does. So there is one sum with the mark and one without.
+    """
+
+    MARK = b"\xef\xbb\xbf"
+
+    def __init__(self, path: str, size: int):
+        self.path, self.size, self.read, self.begun = path, size, 0, False
+        self.plain, self.marked = hashlib.sha256(), hashlib.sha256(self.MARK)
+
+    def update(self, part) -> None:
+        self.plain.update(part)
+        self.marked.update(part)
+        self.read += len(part)
+
+    def add(self, lines: pa.BinaryArray) -> None:
+        if self.begun:
+            self.update(b"\n")
+        self.begun = True
+        self.update(memoryview(pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), b"\n")[0].as_buffer()))
+
+    def row(self) -> tuple[str, int, str]:
+        mark, newline = divmod(self.size - self.read, len(self.MARK))
+        if mark not in (0, 1) or newline not in (0, 1):
+            raise ValueError(f"{self.path}: {self.read} bytes were read of {self.size}")
+        self.update(b"\n" * newline)
+        return unquote(self.path), self.size, (self.marked if mark else self.plain).hexdigest()
+
+
+def digest_lines(batches):
+    """mapInArrow body over the lines (file_path, file_size, line) of files, each whole and in order: (path, length, sha256)."""
+    file = None
+    for batch in batches:
+        paths, sizes, lines = batch.column("file_path"), batch.column("file_size"), batch.column("line")
+        code = paths.dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            if file is None or file.path != paths[low].as_py():
+                if file is not None:
+                    yield digest_row(file)
+                file = Digest(paths[low].as_py(), sizes[low].as_py())
+            file.add(lines.slice(low, high - low))
+    if file is not None:
+        yield digest_row(file)
+
+
+def digest_row(file: Digest) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x]) for x in file.row()], names=["path", "length", "sha256"])

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexflow.functions.text import file_name, file_stem, file_suffix, strip_front_matter
+from codexflow.functions.workers import digest_lines
 
 log = logging.getLogger(__name__)
 DEFAULT_GLOB = "*.{md,txt,html}"
+WHOLE_BYTES = 16 << 20  # of a file that may be one value
 
 
 def _status(spark: SparkSession, path: str) -> str:
@@ -52,6 +54,24 @@ def scan_files(spark: SparkSession, paths: list[str] | str, glob: str = DEFAULT_
         .withColumn("name", file_name(F.col("path"))))
 
 
+def with_sha256(files: DataFrame, paths: list[str] | str, suffix: str, whole: int = WHOLE_BYTES) -> DataFrame:
+    """(path, name, length, sha256) of the ``files`` that ``scan_files`` found by ``*suffix`` in ``paths``.
+
+    A file of over ``whole`` bytes is no value: its task reads it from start to end, a line and a batch of lines at a time.
+    ``whole`` is 3 at least, as a byte order mark alone is no line.
+    """
+    small = files.filter(F.col("length") <= whole).select("path", "name", "length", F.sha2("content", 256).alias("sha256"))
+    spark = files.sparkSession
+    codec = spark._jvm.org.apache.hadoop.io.compress.PassthroughCodec  # bytes as they are, and no split
+    lines = (
+        spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+        .option("io.compression.codecs", codec.CLASSNAME).option(codec.OPT_EXTENSION, suffix).load(paths)
+        .filter(F.col("_metadata.file_size") > whole)
+        .select("_metadata.file_path", "_metadata.file_size", F.col("value").cast("binary").alias("line")))
+    large = lines.mapInArrow(digest_lines, "path string, length long, sha256 string")
+    return small.unionByName(large.select("path", file_name(F.col("path")).alias("name"), "length", "sha256"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return _status(spark, path) != "missing"
 

@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +40,35 @@ def test_read_markdown_and_registry(spark, folder):
         registry.load("ocr", spark, str(folder))
 
 
+def test_digests_of_files_that_are_no_value(spark, tmp_path):
+    """Read by lines, every file has the digest of its bytes, and no task holds it whole or reads a part of it."""
+    random = np.random.default_rng(2)
+    parts = [b"PAR1\n\n", b"\r\n", b"\r", b"\n", b"\xef\xbb\xbf", b"x", b"\x00\xff", b""]
+    bodies = {f"{i} é%20+.parquet": b"".join(parts[p] for p in random.integers(0, len(parts), 1 + i % 9)) for i in range(120)}
+    bodies |= {"large.parquet": random.bytes(70_000_000), "long line.parquet": b"PAR1" + b"a" * 30_000_000 + b"\n", "packed.gz.parquet": b"\x1f\x8b\n\n"}
+    (tmp_path / "sub").mkdir()
+    for i, (name, body) in enumerate(bodies.items()):
+        (tmp_path / ("sub" if i % 2 else "") / name).write_bytes(body)
+    (tmp_path / "other.bin").write_bytes(b"not asked for")
+    want = sorted((name, len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items() if body)  # Spark lists no empty file
+    listed = files.scan_files(spark, str(tmp_path), "*.parquet")
+    for whole in (3, 20, files.WHOLE_BYTES):
+        found = files.with_sha256(listed, str(tmp_path), ".parquet", whole)
+        assert sorted(map(tuple, found.select("name", "length", "sha256").collect())) == want
+        assert sorted(r[0] for r in found.select("path").collect()) == sorted(r[0] for r in listed.select("path").collect())
+
+
+def test_digests_do_not_need_the_content_of_large_files(spark, tmp_path):
+    (tmp_path / "a.parquet").write_bytes(b"PAR1\nx" * 1000)
+    kept = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 5000)
+    try:
+        got = files.with_sha256(files.scan_files(spark, str(tmp_path), "*.parquet"), str(tmp_path), ".parquet", 5000).first()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", kept)
+    assert (got["length"], got["sha256"]) == (6000, hashlib.sha256(b"PAR1\nx" * 1000).hexdigest())
+
+
 def test_pages_cap_and_blank(spark):
     pages = spark.createDataFrame([(1, n, "x" if n != 2 else " \n") for n in range(1, 405)], "doc_id int, page_no int, text string")
     text = P.assemble_pages(pages).first()["text"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codexflow.functions import text as T
-from codexflow.sources.files import path_parts, scan_files
+from codexflow.sources.files import path_parts, scan_files, with_sha256
 from workload import sqlviews as S
 from workload import views as W
 from workload.registry import query
@@ -264,4 +264,4 @@ def content_hash(spark, sf):
 @query("scan_files")
 def scan(spark, sf):
     """The given files by name, with a digest of what they hold."""
-    return scan_files(spark, sf, "*.parquet").select("name", "length", F.sha2("content", 256).alias("sha256"))
+    return with_sha256(scan_files(spark, sf, "*.parquet"), sf, ".parquet").select("name", "length", "sha256")
